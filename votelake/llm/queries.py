@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import labelled, language, quality, toxicity
 from .ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,17 +21,46 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def _with_fold(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.withColumn("held_out", labelled.held_out(F.col("doc_id"), modulus, remainder))
+
+
+def _labels(table: DataFrame, column: str, modulus: int, remainder: int) -> DataFrame:
+    return table.where(~labelled.held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col(column).alias("y"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit_language(docs, _labels(docs, "lang", 4, 2))
+    return _with_fold(language.identify_language(docs, model), 4, 2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _labels(_table(spark, sf_dir, "labels"), "toxic", 4, 2))
+    return _with_fold(toxicity.score_toxicity(docs, model), 4, 2)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _labels(_table(spark, sf_dir, "labels"), "quality", 5, 0))
+    return _with_fold(quality.score_quality(docs, model), 5, 0)
+
+
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
 }
 
 _OP2_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
   FROM words),
 sized AS MATERIALIZED (SELECT doc_id, s, len(s)::BIGINT AS n FROM sets),
 items AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS g FROM sized),

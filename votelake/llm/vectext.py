@@ -71,11 +71,28 @@ class Words:
         total = np.zeros(len(data) + 1, np.uint64)
         if len(data):
             np.cumsum(_BYTE[data] * _power(_BASE, len(data), "up"), out=total[1:])
-        down = _power(pow(_BASE, -1, 1 << 64), len(data) + 1, "down")
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        self._total = total
+        self._down = _power(pow(_BASE, -1, 1 << 64), len(data) + 1, "down")
+        self.hashes = self._span(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, begin)
         self.n_docs = len(begin) - 1
 
+    def _span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self._total[b] - self._total[a]) * self._down[a])
+
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``k`` bytes of the words longer than that, and these words' indices."""
+        at = np.flatnonzero(self.ends - self.starts > k)
+        a = self.starts[at]
+        return self._span(a, a + k) ^ _LANES[k], at
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``k`` bytes inside words, and where each document's begin."""
+        n = np.maximum(self.ends - self.starts - k + 1, 0)
+        where = np.concatenate(([0], np.cumsum(n)))
+        a = np.arange(where[-1]) + np.repeat(self.starts - where[:-1], n)
+        return self._span(a, a + k) ^ _LANES[20 + k], where[self.first]
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``k`` words that lie in one document, and where each document's begin.
 
@@ -96,18 +113,30 @@ class Words:
         keep[:] = at < sizes[doc]
         for d in np.flatnonzero(~long & (counts > 0)):
             a, b = self.first[d], self.first[d + 1]
-            acc[a] = (self.hashes[a:b] * _LANES[: b - a]).sum(dtype=np.uint64) + _LANES[40 + b - a]
+            acc[a] = np.append(self.hashes[a:b] * _LANES[: b - a], _LANES[40 + b - a]).sum(dtype=np.uint64)
         return mix(acc[keep]), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def blocks(texts: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of blocks of whole documents; a null text is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(texts):
+    data, offsets = utf8(texts)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
         end = int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1
-        end = min(max(end, row + 1), len(texts))
+        end = min(max(end, row + 1), rows)
         yield row, end, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], separators)
         row = end
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and where each begins (one closing entry); null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def per_doc(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring entries of ``begin``; 0 where they are equal."""
+    total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
+    return total[begin[1:]] - total[begin[:-1]]
