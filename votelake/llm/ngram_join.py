@@ -181,8 +181,8 @@ def _meetings(num: int, den: int):
     return run
 
 
-def tree_matches(query: np.ndarray, members: list[np.ndarray], num: int, den: int, rank: dict | None = None) -> list[bool]:
-    """Which members' sets are similar to the query's; all in the global order given by position in ``rank`` or, without it, by hash.
+def tree_matches(query: np.ndarray, members: list[np.ndarray], num: int, den: int) -> list[bool]:
+    """Which members' sets are similar to the query's; all in the global order.
 
     The members sorted as sequences are the prefix tree in depth-first order:
     neighbours share as many leading entries as their longest common prefix.
@@ -262,15 +262,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, k2 long, n long, p long")
     meetings = materialize(prefixes.repartition("token").sortWithinPartitions("token", "n", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, n long, p long, q1 long, q2 long"), "shingle-meetings")
     met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left").select("token", "id", "n", "p", "pivot")
-    met = materialize(met, "shingle-rows")
 
     wanted = met.select("id").distinct()
     def ordered_sets(batches):
         for batch in batches:
             rows = [(i, s) for i, s, _, _ in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ordered(s, frequent.value).tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
-    once = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-    sets = materialize(once.mapInArrow(ordered_sets, "id long, size long, tokens binary").dropDuplicates(["id"]), "shingle-sets")
+    once = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])  # both deal by the id: one shuffle
+    sets = materialize(once.select("doc_id", "text").mapInArrow(ordered_sets, "id long, size long, tokens binary"), "shingle-sets")
 
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_verified(stars, sets, num, den), "links")
