@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, language, quality, toxicity
+from . import decontamination, labelled, language, packing, quality, toxicity
 from .ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -47,11 +51,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(quality.score_quality(docs, model), 5, 0)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op9_packing": op9_packing,
 }
 
 _OP2_SQL = r"""
