@@ -33,6 +33,8 @@ SUPPORT = 2000
 MAX_FREQUENT = 1 << 20
 #: Rows of one shingle that a task looks at together; a larger group passes on unexamined.
 GROUP_ROWS = 4096
+#: Ids that are broadcast to fetch the texts of candidates, at most; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Shingles of one prefix tree; more candidates of a query are split over several trees.
 TREE_SHINGLES = 1 << 21
 
@@ -104,35 +106,26 @@ def _prefixes(n: int, num: int, den: int, frequent):
 
 
 def _meetings(num: int, den: int):
-    """Of rows sorted by ``token, n, k1, k2``: those with a possible partner under the same token, with the smallest such partner as pivot.
+    """Of rows sorted by ``token, n, k1, k2``: those whose token another set has too, with the smallest possible partner as pivot.
 
     A partner is possible if both sizes and both positions leave room for the
     overlap that the pair needs.
     """
 
     def group(t, k1, k2, n, p):
-        if len(t) > 1:
-            new = np.ones(len(t), bool)
-            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            t, k1, k2, n, p = t[new], k1[new], k2[new], n[new], p[new]
-        m = len(t)
-        if m < 2:
+        new = np.ones(len(t), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        t, k1, k2, n, p = t[new], k1[new], k2[new], n[new], p[new]
+        if len(t) < 2:
             return None
-        pivot = np.full(m, -1)
-        viable = np.zeros(m, bool)
+        pivot = np.full(len(t), -1)
         left = n - p
-        smaller = np.flatnonzero(left >= _need(n, n, num, den))
-        for i in smaller:
+        for i in np.flatnonzero(left >= _need(n, n, num, den)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
-            j = j[np.minimum(left[i], left[j]) >= _need(n[i], n[j], num, den)]
-            if len(j):
-                viable[i] = True
-                viable[j] = True
-                pivot[j[pivot[j] < 0]] = i
-        if not viable.any():
-            return None
-        q = np.where(pivot >= 0, pivot, 0)
-        return [x[viable] for x in (t, k1, k2, n, p)] + [k1[q][viable], k2[q][viable], (pivot >= 0)[viable]]
+            j = j[(pivot[j] < 0) & (np.minimum(left[i], left[j]) >= _need(n[i], n[j], num, den))]
+            pivot[j] = i
+        q = np.maximum(pivot, 0)
+        return [t, k1, k2, n, p, k1[q], k2[q], pivot >= 0]
 
     def emit(groups):
         if groups:
@@ -141,41 +134,38 @@ def _meetings(num: int, den: int):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:5]] + [pa.array(cols[5], mask=none), pa.array(cols[6], mask=none)], names=["token", "k1", "k2", "n", "p", "q1", "q2"])
 
     def run(batches):
-        held: list[list[np.ndarray]] = []  # of the group that is still open
-        size, wide = 0, False
+        held: list[np.ndarray] = []  # the rows of the token that is still open, or its first row once it is too large to hold
+        wide = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            cuts = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [batch.num_rows]))
-            counts = np.diff(cuts)
             out = []
-            for g in range(len(counts)):
-                a, b = cuts[g], cuts[g + 1]
-                fresh = not held or held[0][0][0] != cols[0][a]
-                if fresh:
-                    if size > 1 and not wide:
-                        out.append(group(*(np.concatenate(x) for x in zip(*held))))
-                    held, size, wide = [], 0, False
-                    if counts[g] == 1 and g < len(counts) - 1:
-                        continue  # alone under its token
-                held.append([c[a:b] for c in cols])
-                size += b - a
-                if wide or size > GROUP_ROWS:  # an open group too large to hold passes on, its first row as pivot
-                    wide = True
-                    whole = [np.concatenate(x) for x in zip(*held)]
-                    first = [x[:1] for x in whole] if len(whole[0]) == size else held[0]
-                    new = whole if len(whole[0]) == size else [x[1:] for x in whole]
-                    m = len(new[0])
-                    if m:
-                        ok = new[3] * num <= first[3][0] * den
-                        ok &= (new[1] != first[1][0]) | (new[2] != first[2][0])
-                        out.append([*new, np.full(m, first[1][0]), np.full(m, first[2][0]), ok])
-                    held = [[x[:1] for x in first]]
+            if held and held[0][0] == cols[0][0]:
+                a = int(np.searchsorted(cols[0], cols[0][0], "right"))
+            else:
+                a = 0
+            if a and wide:
+                new = [c[:a] for c in cols]
+                m = len(new[0])
+                out.append([*new, np.full(m, held[1][0]), np.full(m, held[2][0]), new[3] * num <= held[3][0] * den])
+            elif a:
+                held = [np.concatenate((h, c[:a])) for h, c in zip(held, cols)]
+                if len(held[0]) > GROUP_ROWS:
+                    m, wide = len(held[0]), True
+                    out.append([*held, np.full(m, held[1][0]), np.full(m, held[2][0]), held[3] * num <= held[3][0] * den])
+                    held = [h[:1] for h in held]
+            if a < batch.num_rows:  # the open token ends here
+                if held and not wide:
+                    out.append(group(*held))
+                t = cols[0]
+                cuts = np.concatenate(([a], a + 1 + np.flatnonzero(t[a + 1 :] != t[a:-1]), [len(t)]))
+                for g in np.flatnonzero(np.diff(cuts[:-1]) > 1):
+                    out.append(group(*(c[cuts[g] : cuts[g + 1]] for c in cols)))
+                held, wide = [c[cuts[-2] :].copy() for c in cols], False
             yield from emit([x for x in out if x])
-            held = [[c.copy() for c in x] for x in held]
-        if size > 1 and not wide:
-            last = group(*(np.concatenate(x) for x in zip(*held)))
+        if held and not wide:
+            last = group(*held)
             yield from emit([last] if last else [])
 
     return run
@@ -229,15 +219,33 @@ def _tree_join(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar, as ``(u, v)``."""
-    pairs = pairs.join(sets.select(F.col("id").alias("b"), "size"), "b")
-    trees = pairs.groupBy("a").agg(F.ceil(F.sum("size") / F.lit(TREE_SHINGLES)).cast("int").alias("trees"))
-    members = pairs.join(trees, "a").select("a", "b", F.when(F.col("trees") > 1, F.pmod(F.xxhash64("b"), F.col("trees"))).otherwise(0).alias("tree"))
-    queries = members.select("a", F.lit(None).cast("long").alias("b"), "tree").distinct()
-    rows = members.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "b", "tree", "tokens").unionByName(
-        queries.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", "b", "tree", "tokens")
-    )
+def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose first shingles agree often enough.
+
+    Of a set's first ``p = n - ceil(t * n) + 1`` shingles at most ``n - need``
+    are missing in a similar one.  For the set whose first shingles end earlier
+    in the global order, all the others are among the first of the other set.
+    """
+    x, y = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = pairs.join(x, "a").join(y, "b")
+    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    least = lambda n: need + 1 - F.ceil(F.lit(num) * F.col(n) / F.lit(den))  # noqa: E731  p - (n - need)
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= F.least(least("na"), least("nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, build_sets, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets are similar, as ``(u, v)``."""
+    pairs = materialize(pairs, "shingle-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    own = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
+    sets = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets").dropDuplicates(["id"])
+    sized = pairs.join(sets.select(F.col("id").alias("b"), "size", "tokens"), "b")
+    trees = sized.groupBy("a").agg(F.ceil(F.sum("size") / F.lit(TREE_SHINGLES)).cast("int").alias("trees"))
+    members = sized.join(trees, "a").select("a", "b", F.when(F.col("trees") > 1, F.pmod(F.xxhash64("b"), F.col("trees"))).otherwise(0).alias("tree"), "tokens")
+    queries = members.select("a", "tree").distinct().join(sets.select(F.col("id").alias("a"), "tokens"), "a")
+    rows = members.unionByName(queries.select("a", F.lit(None).cast("long").alias("b"), "tree", "tokens"))
     return rows.groupBy("a", "tree").applyInPandas(_tree_join(num, den), "u long, v long")
 
 
@@ -260,19 +268,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "shingle-classes")
     prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, k2 long, n long, p long")
-    meetings = materialize(prefixes.repartition("token").sortWithinPartitions("token", "n", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, n long, p long, q1 long, q2 long"), "shingle-meetings")
+    meetings = prefixes.repartition("token").sortWithinPartitions("token", "n", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, n long, p long, q1 long, q2 long")
+    meetings = materialize(meetings, "shingle-meetings")
     met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left").select("token", "id", "n", "p", "pivot")
+    met = materialize(met, "shingle-rows")
+    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
 
-    wanted = met.select("id").distinct()
-    def ordered_sets(batches):
+    def build_sets(batches):
         for batch in batches:
             rows = [(i, s) for i, s, _, _ in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ordered(s, frequent.value).tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
-    once = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])  # both deal by the id: one shuffle
-    sets = materialize(once.select("doc_id", "text").mapInArrow(ordered_sets, "id long, size long, tokens binary"), "shingle-sets")
 
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, num, den), "links")
+    links = materialize(_verified(_possible(stars, heads, num, den), docs, build_sets, num, den), "links")
     first = connected_components(links)
     row = met.join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
@@ -283,7 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    & (F.col("b.n") * num <= F.col("a.n") * den)
                    & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= need(F.col("a.n"), F.col("b.n"))))
     cross = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    more = materialize(_verified(cross, sets, num, den), "links")
+    more = materialize(_verified(_possible(cross, heads, num, den), docs, build_sets, num, den), "links")
     merged = connected_components(links.unionByName(more))
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
