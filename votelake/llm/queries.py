@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, labelled, language, packing, quality, toxicity
+from . import chat, decontamination, labelled, language, merkle, packing, quality, toxicity
 from .ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(quality.score_quality(docs, model), 5, 0)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = chat.canonical_turns(_table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    return chat.chat_digest(chat.format_chats(turns))
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_trial(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the packing contract."""
     import public_tokenizers
@@ -68,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_chat_format": op6_chat_format,
+    "op8_merkle": op8_merkle,
     "op9_packing": op9_packing,
 }
 
@@ -91,6 +104,39 @@ reach(doc_id, r) AS (
 SELECT sized.doc_id, n AS n_shingles, CAST(min(r) AS BIGINT) AS component_id FROM sized JOIN reach USING (doc_id) GROUP BY sized.doc_id, n
 """
 
+_OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(role, '\\|###|</turn>', '\\\0', 'g')) + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_OP8_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+chain AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next FROM base),
+texts AS (SELECT doc_id, text, next, left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited FROM chain),
+prints AS (
+  SELECT t, md5(array_to_string(list_transform(regexp_extract_all(tree, '[0-9a-f.]*/|[0-9a-f.]+$'), lambda s: left(md5(array_to_string(list_transform(regexp_extract_all(s, '[0-9a-f]+'), lambda p: left(md5(p), 8)), '')), 8)), '')) || ':' || tree AS fp,
+    list_distinct(regexp_extract_all(tree, '[0-9a-f]{8}')) AS leaves
+  FROM (
+    SELECT t, array_to_string(list_transform(list_transform(regexp_extract_all(t, '[^\n]*\n|[^\n]+'),
+        lambda p: array_to_string(list_transform(regexp_extract_all(p, '[^.!?,;:|\n]{1,64}[.!?,;:|\n]*|[.!?,;:|\n]+'), lambda x: left(md5(x), 8)), '')),
+        lambda h: h || CASE WHEN left(md5(h), 1) < '4' THEN '/' ELSE '.' END), '') AS tree
+    FROM (SELECT text AS t FROM base UNION SELECT edited FROM texts)))
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint,
+  CASE WHEN split_part(a.fp, ':', 1) = split_part(e.fp, ':', 1) THEN 1.0::DOUBLE WHEN len(a.leaves) + len(e.leaves) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, e.leaves)) / (len(a.leaves) + len(e.leaves)) END AS near_edited,
+  CASE WHEN split_part(a.fp, ':', 1) = split_part(n.fp, ':', 1) THEN 1.0::DOUBLE WHEN len(a.leaves) + len(n.leaves) = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, n.leaves)) / (len(a.leaves) + len(n.leaves)) END AS near_next
+FROM texts JOIN prints a ON a.t = text JOIN prints e ON e.t = edited JOIN prints n ON n.t = next
+"""
+
 SQL: dict[str, str] = {
+    "op6_chat_format": _OP6_SQL,
+    "op8_merkle": _OP8_SQL,
     "op2_ngram_join": _OP2_SQL,
 }
