@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, labelled, language, merkle, packing, quality, toxicity
+from . import chat, decontamination, labelled, language, merkle, packing, quality, site_tree, toxicity
 from .ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns))
 
 
+def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_trial(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
+    "op7_site_tree": op7_site_tree,
     "op8_merkle": op8_merkle,
     "op9_packing": op9_packing,
 }
