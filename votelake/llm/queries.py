@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, labelled, language, merkle, packing, quality, site_tree, toxicity
+from . import chat, decontamination, labelled, language, licences, merkle, packing, quality, site_tree, toxicity
 from .ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op7_site_tree": op7_site_tree,
     "op8_merkle": op8_merkle,
     "op9_packing": op9_packing,
+    "op10_licences": op10_licences,
 }
 
 _OP2_SQL = r"""
