@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Classes that are sampled, at most; the most frequent.
+MAX_CLASSES = 1 << 12
+
+
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """Whether the CRC-32 of the id written as text leaves ``remainder``."""
     return F.crc32(id_col.cast("string")) % modulus == remainder
@@ -21,7 +25,11 @@ def sample(docs: DataFrame, classes: DataFrame, per_class: int, id_col: str = "d
     ``per_class`` times the number of classes and are broadcast.
     """
     labelled = classes.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    # hashes are uniform, so this share of them has per_class rows of a class and few more; the rest is cut exactly
+    counts = F.broadcast(labelled.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MAX_CLASSES))
+    ample = per_class + 8 * per_class**0.5 + 64
     order = Window.partitionBy("y").orderBy("h", "doc_id")
-    some = labelled.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("doc_id", "y")
+    hashed = labelled.join(counts, "y").withColumn("h", F.xxhash64("doc_id")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= ample / F.col("n")).drop("n")
+    some = hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("doc_id", "y")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.join(F.broadcast(some), "doc_id")
