@@ -35,6 +35,8 @@ MAX_FREQUENT = 1 << 20
 GROUP_ROWS = 4096
 #: Ids that are broadcast to fetch the texts of candidates, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Shingles of a block of documents whose frequent shingles are counted together.
+BLOCK_SHINGLES = 1 << 20
 #: Shingles of one prefix tree; more candidates of a query are split over several trees.
 TREE_SHINGLES = 1 << 21
 
@@ -69,18 +71,26 @@ def _keys(n: int):
 
     def run(batches):
         for batch in batches:
-            ids, out, block, known = batch.column(0), [], [], set()
+            ids, out, block, known, held = batch.column(0).to_pylist(), [], [], set(), 0
             for i, s, k1, k2 in _sets(batch, n):
-                out.append((ids[i].as_py(), len(s), k1, k2, None))
+                out.append((ids[i], len(s), k1, k2, None))
                 if len(s) and (k1, k2) not in known:
                     known.add((k1, k2))
                     block.append(s)
-            if block:
-                shingles, seen = np.unique(np.concatenate(block), return_counts=True)
-                often = seen >= max(3, len(block) // SUPPORT)
-                out += [(None, None, k, None, c) for k, c in zip(shingles[often].view(np.int64).tolist(), seen[often].tolist())]
+                    held += len(s)
+                if held >= BLOCK_SHINGLES:
+                    out += often(block)
+                    block, known, held = [], set(), 0
+            out += often(block)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 5, names=["doc_id", "n", "k1", "k2", "seen"])
 
+    def often(block):
+        if not block:
+            return []
+        shingles, seen = np.unique(np.concatenate(block), return_counts=True)
+        many = seen >= max(3, len(block) // SUPPORT)
+        return [(None, None, k, None, c) for k, c in zip(shingles[many].view(np.int64).tolist(), seen[many].tolist())]
+
     return run
 
 
