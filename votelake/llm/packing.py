@@ -21,50 +21,49 @@ CAPACITY, END = 4096, 1
 GROUP = 20_000
 #: Emptiest sequences in a row that the search may fail to empty before it ends.
 PATIENCE = 24
-#: Distinct words whose ids a task remembers, and characters that one call to the tokenizer gets.
-MEMORY, CALL = 400_000, 200_000
+#: Distinct words whose ids a task remembers.
+MEMORY = 800_000
 
-_SPLIT = re.compile(r"([^\W\d_]+)([.,!?%$#&*|:;()-]+)\Z")
-_SENTINEL = "\x01"
+#: A word that is one run of western letters and one of marks: two words of the tokenizer, both stable under its normalisation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?%$#&*|:;()+=@/-]*)\Z")
 _state: dict = {}
 
 
+def _byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer whose tokens never cross a space or line feed.
 
     The ids of a text are those of its space-separated words in turn, so each
-    distinct word is encoded once and remembered.  Words not seen yet go to the
-    tokenizer in one string, with a control character between them.
+    distinct word is encoded once and remembered.  Plain words go straight to
+    the tokenizer's merges; all others take its whole way.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(definition)
+        self.model = self.inner.model
+        self.symbols = _byte_symbols()
         self.known: dict[str, bytes] = {"": b""}
-        self.mark = self.inner.encode(_SENTINEL, add_special_tokens=False).ids
-
-    def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if _SENTINEL not in w]
-        odd = [w for w in words if _SENTINEL in w]
-        if len(self.mark) != 1:
-            plain, odd = [], words
-        at = 0
-        while at < len(plain):
-            size, end = 0, at
-            while end < len(plain) and size < CALL:
-                size += len(plain[end]) + 3
-                end += 1
-            ids = np.array(self.inner.encode(f" {_SENTINEL} ".join(plain[at:end]), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) == end - at - 1:
-                for w, part in zip(plain[at:end], np.split(ids, cut)):
-                    self.known[w] = part[1 if len(part) and part[0] == self.mark[0] else 0 :].tobytes()
-            else:
-                odd += plain[at:end]
-            at = end
-        for w in odd:
-            self.known[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.known.get(piece)
+        if got is None:
+            low = piece.lower().encode("utf-8").decode("latin-1").translate(self.symbols)
+            got = self.known[piece] = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+        return got
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.match(word)
+        if plain:
+            return self._piece(plain[1]) + self._piece(plain[2])
+        return np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -72,16 +71,9 @@ class WordTokenizer:
             self.known = {"": b""}
         known = self.known
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in words for w in ws if w not in known}
-        parts = {}
-        for w in new:  # letters, then marks: two tokenizer words
-            m = _SPLIT.match(w)
-            if m:
-                parts[w] = m.groups()
-        missing = {p for w in new for p in parts.get(w, (w,)) if p not in known}
-        self._encode(sorted(missing))
-        for w, (a, b) in parts.items():
-            known[w] = known[a] + known[b]
+        for w in {w for ws in words for w in ws}:
+            if w not in known:
+                known[w] = self._word(w)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
