@@ -71,13 +71,14 @@ def _slice(bounds: list[int], c: Column) -> Column:
     return F.when(rough == 0, 0).otherwise((rough - 1) * step + fine)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs(doc_id, ...)`` with ``next_<column>`` of the row that follows by id; the first follows the last.
+def with_next(docs: DataFrame, column: str, derived: dict[str, Column]) -> DataFrame:
+    """``docs(doc_id, column)`` with ``derived`` columns, and ``next_<name>`` of all of them from the row that follows by id; the first follows the last.
 
     The order is cut into slices of ids.  Each slice also gets a copy of the
     first row of the one after it, so no task sees more than a slice.  Equal ids
-    follow each other by the given columns.  A row with a null id is not in the
-    order and has nulls there.
+    follow each other by ``column``.  A row with a null id is not in the order
+    and has nulls there.  The derived columns are made after the rows have
+    moved: only ``column`` is shuffled.
     """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null")
@@ -88,14 +89,15 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     firsts = sliced.groupBy("_slice").agg(F.min("doc_id").alias("doc_id")).orderBy("_slice").collect()  # one row a slice
     before = {r["doc_id"]: firsts[i - 1]["_slice"] for i, r in enumerate(firsts)}
     target = spark.createDataFrame(sorted(before.items()) or [(0, 0)], "doc_id long, _slice int")
-    copies = known.where(F.col("doc_id").isin(list(before)))
-    copies = copies.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row")).select("doc_id", *[F.col("_row")[c].alias(c) for c in columns])
+    copies = known.where(F.col("doc_id").isin(list(before))).groupBy("doc_id").agg(F.min(column).alias(column))
     copies = copies.join(F.broadcast(target), "doc_id").withColumn("_copy", F.lit(1))
-    order = Window.partitionBy("_slice").orderBy("_copy", "doc_id", *columns)
-    names = ["doc_id", *columns, "_slice", "_copy"]
-    chained = sliced.select(*names).unionByName(copies.select(*names)).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    rest = docs.where("doc_id is null").select("doc_id", *columns, *[F.lit(None).cast("string").alias(f"next_{c}") for c in columns])
-    return chained.where("_copy = 0").drop("_slice", "_copy").unionByName(rest)
+    order = Window.partitionBy("_slice").orderBy("_copy", "doc_id", column)
+    names = ["doc_id", column, "_slice", "_copy"]
+    placed = sliced.select(*names).unionByName(copies.select(*names)).withColumn(f"next_{column}", F.lead(column).over(order))
+    made = placed.withColumns(derived).withColumns({f"next_{c}": F.lead(c).over(order) for c in derived})
+    out = made.where("_copy = 0").drop("_slice", "_copy")
+    rest = docs.where("doc_id is null").select("doc_id", column, F.lit(None).cast("string").alias(f"next_{column}")).withColumns(derived)
+    return out.unionByName(rest.withColumns({f"next_{c}": F.lit(None).cast("string") for c in derived}))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +116,7 @@ def edit_trial(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document of a row with a null id is empty; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = base.withColumn("fingerprint", fingerprint(F.col("text")))
-    chain = with_next(own, ["text", "fingerprint"])
+    chain = with_next(base, "text", {"fingerprint": fingerprint(F.col("text"))})
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter))
