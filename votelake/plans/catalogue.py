@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import models, votes  # noqa: F401  modules register their queries
+from .bindings import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
