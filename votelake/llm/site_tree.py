@@ -23,6 +23,8 @@ from .storage import materialize
 
 #: Importance below which a branch goes, and pages of a host from which its tree decides.
 IMPORTANCE, MIN_PAGES = 0.15, 5
+#: Weak nodes of all hosts that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 #: Elements whose content is never the article.
 NOISE_TAGS = {"head", "title", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "iframe", "svg", "object", "dialog", "menu", "input", "label"}
 #: Words of a class, id or role that mark what is not the article.
@@ -121,21 +123,28 @@ def _digest(parts: list[str]) -> int:
 _NODE = pa.struct([("path", pa.string()), ("n", pa.int64()), ("content", pa.int64())])
 
 
-def _cut(batches):
+def _nodes(batches):
+    """A page's digest and, per node of its tree, number and digest of the texts there."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            part = batch.slice(a, 500)
-            found = [blocks(page or "") for page in part.column(2).to_pylist()]
-            nodes = []
-            for own in found:
-                at: dict[str, list[str]] = {}
-                for path, text in own:
-                    at.setdefault(path, []).append(text)
-                nodes.append([{"path": k, "n": len(v), "content": _digest(v)} for k, v in at.items()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([_digest([k + "\t" + t for k, t in own]) for own in found], pa.int64()), pa.array(nodes, pa.list_(_NODE)), pa.array([[k for k, _ in own] for own in found], pa.list_(pa.string())), pa.array([[t for _, t in own] for own in found], pa.list_(pa.string()))],
-                names=["page_id", "url", "digest", "nodes", "paths", "texts"],
-            )
+        digests, nodes = [], []
+        for page in batch.column(1).to_pylist():
+            at: dict[str, list[str]] = {}
+            own = blocks(page or "")
+            for path, text in own:
+                at.setdefault(path, []).append(text)
+            digests.append(_digest([f"{k}\t{t}" for k, t in own]))
+            nodes.append([{"path": k, "n": len(v), "content": _digest(v)} for k, v in at.items()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(nodes, pa.list_(_NODE))], names=["url", "digest", "nodes"])
+
+
+def _texts(batches):
+    """The remaining blocks of pages, each with the weak nodes of its host."""
+    for batch in batches:
+        made = []
+        for page, weak in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            gone = set(weak or ())
+            made.append("\n\n".join(text for path, text in blocks(page or "") if path not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["page_id", "url", "text"])
 
 
 def host_of(url: Column) -> Column:
@@ -154,6 +163,7 @@ def importance(cut: DataFrame) -> DataFrame:
     """
     once = cut.groupBy("host", "digest").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("node"))
     kinds = once.groupBy("host", F.col("node.path").alias("path"), F.col("node.n").alias("n"), F.col("node.content").alias("content")).agg(F.count("*").alias("c"))
+    kinds = materialize(kinds, "site-nodes")
     pages = kinds.groupBy("host", "path").agg(F.sum("c").alias("pages")).where(F.col("pages") >= MIN_PAGES)
 
     def entropy(kind: str) -> DataFrame:
@@ -172,13 +182,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     block is one space.  A null page is empty and has the empty text, as has a
     page of which nothing remains.  Repeated rows are extracted each; pages
     without a host are judged by their own elements only.  Other columns are
-    not read.
+    not read.  Pages are parsed twice, for the tree and for the text, so that no
+    page's text is shuffled or stored in between.
     """
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    cut = given.mapInArrow(_cut, "page_id long, url string, digest long, nodes array<struct<path:string,n:long,content:long>>, paths array<string>, texts array<string>")
-    cut = materialize(cut, "page-blocks").withColumn("host", host_of(F.col("url")))
-    weak = importance(cut.where(F.col("host") != "")).where(F.col("importance") < IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("weak"))
-    joined = cut.select("page_id", "url", "host", "paths", "texts").join(weak, "host", "left")
-    kept = F.filter("texts", lambda t, i: ~F.array_contains(F.coalesce("weak", F.array().cast("array<string>")), F.col("paths")[i]))
-    made = joined.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))
+    trees = given.select("url", "html").mapInArrow(_nodes, "url string, digest long, nodes array<struct<path:string,n:long,content:long>>").withColumn("host", host_of(F.col("url")))
+    low = importance(trees.where(F.col("host") != "")).where(F.col("importance") < IMPORTANCE)
+    weak = materialize(low.groupBy("host").agg(F.collect_set("path").alias("weak")), "weak-nodes")
+    size = weak.agg(F.coalesce(F.sum(F.size("weak")), F.lit(0))).first()[0]
+    hosted = given.withColumn("host", host_of(F.col("url")))
+    joined = hosted.join(F.broadcast(weak) if size <= BROADCAST_NODES else weak, "host", "left")
+    made = joined.select("page_id", "url", "html", "weak").mapInArrow(_texts, "page_id long, url string, text string")
     return made.withColumn("n_chars", F.length("text").cast("long"))
