@@ -125,6 +125,8 @@ def fit_language(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
     """Fit on at most ``per_class`` documents of each language of ``classes(doc_id, y)``, y a string; rows with nulls are not used."""
     top = classes.where("y is not null").groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["y"] for r in top)
+    if not languages:
+        return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(0), 1.0, 0.0)
 
     def describe(batches):
         for batch in batches:
