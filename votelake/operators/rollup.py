@@ -100,14 +100,14 @@ def quantile_bin(df: DataFrame, x: str, n: int, name: str = "bin", by: Sequence[
 def variance_parts(df: DataFrame, upper: str, lower: str, x: str, w: str) -> DataFrame:
     """Weighted variance of ``x`` split: between upper units, between lower units inside them, and inside these; as shares of the whole."""
     own = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
-    low = own.groupBy(upper, lower).agg(F.sum(w).alias("w"), weighted_mean(x, w).alias("m_low"), F.sum(F.col(w) * F.col(x) * F.col(x)).alias("xx"))
-    up = low.groupBy(upper).agg(weighted_mean("m_low", "w").alias("m_up"))
-    all_ = low.agg(weighted_mean("m_low", "w").alias("m"))
+    low = own.groupBy(upper, lower).agg(F.sum(w).alias("_w"), weighted_mean(x, w).alias("_low"), F.sum(F.col(w) * F.col(x) * F.col(x)).alias("_xx"))
+    up = low.groupBy(upper).agg(weighted_mean("_low", "_w").alias("_up"))
+    all_ = low.agg(weighted_mean("_low", "_w").alias("_all"))
     j = low.join(F.broadcast(up), upper).crossJoin(F.broadcast(all_))
     sums = j.agg(
-        F.sum(F.col("w") * F.pow(F.col("m_up") - F.col("m"), 2)).alias("a"),
-        F.sum(F.col("w") * F.pow(F.col("m_low") - F.col("m_up"), 2)).alias("b"),
-        F.sum(F.col("xx") - F.col("w") * F.pow("m_low", 2)).alias("c"),
+        F.sum(F.col("_w") * F.pow(F.col("_up") - F.col("_all"), 2)).alias("a"),
+        F.sum(F.col("_w") * F.pow(F.col("_low") - F.col("_up"), 2)).alias("b"),
+        F.sum(F.col("_xx") - F.col("_w") * F.pow("_low", 2)).alias("c"),
     )
     whole = F.col("a") + F.col("b") + F.col("c")
     return sums.select(share(F.col("a"), whole).alias("between_upper"), share(F.col("b"), whole).alias("between_lower"), share(F.col("c"), whole).alias("within"))

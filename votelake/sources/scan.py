@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import SENTINELS, clean_nulls, zero_padded
 
@@ -69,7 +68,7 @@ def column_roles(columns: Sequence[str], roles: Mapping[str, str], optional: Seq
     return found
 
 
-RESULT_SCHEMA = T.StructType.fromDDL("cdabr string, dt string, ht string, pst string, carg array<struct<cd:string, agr:array<struct<par:array<struct<sg:string, cand:array<struct<n:string, nm:string, vap:string, st:string>>>>>>>>")
+RESULT_SCHEMA = "cdabr string, dt string, ht string, pst string, carg array<struct<cd:string, agr:array<struct<par:array<struct<sg:string, cand:array<struct<n:string, nm:string, vap:string, st:string>>>>>>>>"
 
 
 def nested_results(docs: DataFrame) -> DataFrame:
