@@ -65,6 +65,8 @@ class Neighbours:
                 self.maxima[t, i // BLOCK] = max(self.maxima[t, i // BLOCK], w)
         self.ids = [np.array([i for i, _ in x], np.int64) for x in lists]
         self.weights = [np.array([w for _, w in x]) for x in lists]
+        edges = np.arange(self.n_blocks + 1) * BLOCK
+        self.cuts = [np.searchsorted(x, edges).tolist() for x in self.ids]
         self.memory: dict[bytes, tuple[float, float, list[int]]] = {}
         self.calibration = np.zeros(3)
 
@@ -80,10 +82,13 @@ class Neighbours:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(ids) >= NEIGHBOURS and bound[b] < kth - 1e-12:
                 break
+            if len(ids) >= NEIGHBOURS and bound[b] < kth + 1e-12 and ids[-1] < b * BLOCK:
+                continue  # at best ties, and those go to smaller ids
             found = np.zeros(BLOCK)
             for t, w in zip(at, q):
-                lo, hi = np.searchsorted(self.ids[t], (b * BLOCK, (b + 1) * BLOCK))
-                found[self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
+                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
+                if lo < hi:
+                    found[self.ids[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
             hit = np.flatnonzero(found > 0)
             hit = hit[hit + b * BLOCK != without]
             ids, cosines = np.concatenate((ids, hit + b * BLOCK)), np.concatenate((cosines, found[hit]))
@@ -179,6 +184,9 @@ def fit_toxicity(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int64()))], names=["doc_id", "y", "at", "n"])
 
     rows = taken.mapInArrow(vectors, "doc_id long, y int, at array<long>, n array<long>").toPandas().sort_values(["doc_id", "y"])
+    # examples with the same terms lie together, which makes the blocks' bounds tight
+    rows["key"] = [tuple(x) for x in rows["at"]]
+    rows = rows.sort_values(["key", "doc_id", "y"])
     examples = [(np.asarray(x, np.int64), np.asarray(c, np.int64)) for x, c in zip(rows["at"], rows["n"])]
     model = Neighbours(terms, examples, rows["y"].to_numpy(np.int64))
     if examples:
