@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, votes  # noqa: F401  modules register their queries
+from . import models, territory, votes  # noqa: F401  modules register their queries
 from .bindings import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
