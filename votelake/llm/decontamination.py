@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
+from .storage import ids_to_join
 
 #: Words of a shingle, and the similarity from which a window matches an item.
 WORDS, SIMILARITY = 5, 0.8
@@ -214,4 +215,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """The documents without a match, with all columns as given; rows with a null id stay."""
     bad = contaminated(docs, benchmark, id_col, **columns).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    return docs.join(ids_to_join(bad, "contaminated"), id_col, "left_anti").select(*docs.columns)

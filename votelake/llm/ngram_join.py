@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .components import connected_components
-from .storage import materialize
+from .storage import ids_to_join, materialize
 
 #: A shingle is ordered by its frequency if one in so many documents of a block holds it.
 SUPPORT = 2000
@@ -33,8 +33,6 @@ SUPPORT = 2000
 MAX_FREQUENT = 1 << 20
 #: Rows of one shingle that a task looks at together; a larger group passes on unexamined.
 GROUP_ROWS = 4096
-#: Ids that are broadcast to fetch the texts of candidates, at most; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
 #: Shingles of a block of documents whose frequent shingles are counted together.
 BLOCK_SHINGLES = 1 << 20
 #: Shingles of one prefix tree; more candidates of a query are split over several trees.
@@ -246,9 +244,7 @@ def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
 def _verified(pairs: DataFrame, docs: DataFrame, build_sets, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar, as ``(u, v)``."""
     pairs = materialize(pairs, "shingle-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = ids_to_join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
     own = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
     sets = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets").dropDuplicates(["id"])
     sized = pairs.join(sets.select(F.col("id").alias("b"), "size", "tokens"), "b")
@@ -314,6 +310,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     One document of each group stays, the one with the smallest id; repeated
     rows of that id stay as one.  Rows with a null id or an empty text stay.
     """
-    found = jaccard_components(docs, id_col, text_col, **settings).where("doc_id is not null and component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(found, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    found = materialize(jaccard_components(docs, id_col, text_col, **settings).where("doc_id is not null"), "shingle-components")
+    gone = ids_to_join(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-duplicates")
+    kept = docs.join(gone, id_col, "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    again = ids_to_join(again, "repeated-ids")
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").unionByName(once).select(*docs.columns)

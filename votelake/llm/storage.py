@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids that are broadcast to a join, at most.
+BROADCAST_IDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ids_to_join(ids: DataFrame, name: str) -> DataFrame:
+    """A one-column table of distinct ids, written, counted, and marked for broadcast if it has at most BROADCAST_IDS rows.
+
+    Then the other side of a semi- or anti-join, which may hold whole texts, is
+    not shuffled; a larger table is joined by a shuffle.
+    """
+    ids = materialize(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
