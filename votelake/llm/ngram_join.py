@@ -44,15 +44,21 @@ def _need(n1, n2, num: int, den: int):
     return -(-num * (n1 + n2) // (num + den))
 
 
-def _ordered(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A set in the global order: by frequency (unlisted ones count as 0), then by hash."""
+def _ranked(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A set in the global order, by frequency (unlisted ones count as 0), then by hash; and the frequencies."""
     keys, counts = frequent
     if not len(keys):
-        return shingles
+        return shingles, np.zeros(len(shingles), np.int64)
     at = np.searchsorted(keys, shingles)
     at[at == len(keys)] = 0
     rank = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(rank, kind="stable")]
+    order = np.argsort(rank, kind="stable")
+    return shingles[order], rank[order]
+
+
+def _place(shingle: int, rank: int) -> int:
+    """A number that grows with the global order; places that it can't tell apart are equal."""
+    return min(rank, 0xFFFF) << 47 | (shingle >> 17 if rank < 0xFFFF else 0)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
@@ -93,7 +99,10 @@ def _keys(n: int):
 
 
 def _prefixes(n: int, num: int, den: int, frequent):
-    """Rows ``(token, k1, k2, n, p)`` for the shingles by which a set can meet a similar one; equal sets of a batch give one."""
+    """Rows ``(token, k1, k2, np, e)`` for the first shingles of a set, by which it meets any similar one; equal sets of a batch give one.
+
+    ``np`` is the set's size and, in the lower half, the shingle's position; ``e`` is the place in the global order where the first shingles end.
+    """
 
     def run(batches):
         keys, counts = frequent.value
@@ -104,26 +113,28 @@ def _prefixes(n: int, num: int, den: int, frequent):
                     known.add((k1, k2))
                     size = len(s)
                     length = size - (-(-num * size // den)) + 1
-                    parts.append((_ordered(s, (keys, counts))[:length], k1, k2, size))
+                    own, rank = _ranked(s, (keys, counts))
+                    parts.append((own[:length], k1, k2, size, _place(int(own[length - 1]), int(rank[length - 1]))))
             lengths = [len(x[0]) for x in parts]
             column = lambda k: np.repeat(np.array([x[k] for x in parts], np.int64), lengths)
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(column(1)), pa.array(column(2)), pa.array(column(3)), pa.array(np.concatenate([np.arange(k) for k in lengths]))], names=["token", "k1", "k2", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(column(1)), pa.array(column(2)), pa.array(column(3) << 32 | np.concatenate([np.arange(k) for k in lengths])), pa.array(column(4))], names=["token", "k1", "k2", "np", "e"])
 
     return run
 
 
 def _meetings(num: int, den: int):
-    """Of rows sorted by ``token, n, k1, k2``: those whose token another set has too, with the smallest possible partner as pivot.
+    """Of rows sorted by ``token, np, k1, k2``: those whose token another set has too, with the smallest possible partner as pivot.
 
     A partner is possible if both sizes and both positions leave room for the
     overlap that the pair needs.
     """
 
-    def group(t, k1, k2, n, p):
+    def group(t, k1, k2, both, e):
         new = np.ones(len(t), bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        t, k1, k2, n, p = t[new], k1[new], k2[new], n[new], p[new]
+        t, k1, k2, both, e = t[new], k1[new], k2[new], both[new], e[new]
+        n, p = both >> 32, both & 0xFFFFFFFF
         if len(t) < 2:
             return None
         pivot = np.full(len(t), -1)
@@ -133,13 +144,13 @@ def _meetings(num: int, den: int):
             j = j[(pivot[j] < 0) & (np.minimum(left[i], left[j]) >= _need(n[i], n[j], num, den))]
             pivot[j] = i
         q = np.maximum(pivot, 0)
-        return [t, k1, k2, n, p, k1[q], k2[q], pivot >= 0]
+        return [t, k1, k2, both, e, k1[q], k2[q], pivot >= 0]
 
     def emit(groups):
         if groups:
             cols = [np.concatenate(x) for x in zip(*groups)]
             none = ~cols[7]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:5]] + [pa.array(cols[5], mask=none), pa.array(cols[6], mask=none)], names=["token", "k1", "k2", "n", "p", "q1", "q2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:5]] + [pa.array(cols[5], mask=none), pa.array(cols[6], mask=none)], names=["token", "k1", "k2", "np", "e", "q1", "q2"])
 
     def run(batches):
         held: list[np.ndarray] = []  # the rows of the token that is still open, or its first row once it is too large to hold
@@ -156,12 +167,12 @@ def _meetings(num: int, den: int):
             if a and wide:
                 new = [c[:a] for c in cols]
                 m = len(new[0])
-                out.append([*new, np.full(m, held[1][0]), np.full(m, held[2][0]), new[3] * num <= held[3][0] * den])
+                out.append([*new, np.full(m, held[1][0]), np.full(m, held[2][0]), (new[3] >> 32) * num <= (held[3][0] >> 32) * den])
             elif a:
                 held = [np.concatenate((h, c[:a])) for h, c in zip(held, cols)]
                 if len(held[0]) > GROUP_ROWS:
                     m, wide = len(held[0]), True
-                    out.append([*held, np.full(m, held[1][0]), np.full(m, held[2][0]), held[3] * num <= held[3][0] * den])
+                    out.append([*held, np.full(m, held[1][0]), np.full(m, held[2][0]), (held[3] >> 32) * num <= (held[3][0] >> 32) * den])
                     held = [h[:1] for h in held]
             if a < batch.num_rows:  # the open token ends here
                 if held and not wide:
@@ -234,11 +245,13 @@ def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
     are missing in a similar one.  For the set whose first shingles end earlier
     in the global order, all the others are among the first of the other set.
     """
-    x, y = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    x, y = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("tokens").alias("ta")), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("tokens").alias("tb"))
     both = pairs.join(x, "a").join(y, "b")
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
     least = lambda n: need + 1 - F.ceil(F.lit(num) * F.col(n) / F.lit(den))  # noqa: E731  p - (n - need)
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= F.least(least("na"), least("nb"))).select("a", "b")
+    a, b = least("na"), least("nb")
+    enough = F.when(F.col("ea") < F.col("eb"), a).when(F.col("eb") < F.col("ea"), b).otherwise(F.least(a, b))
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= enough).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, build_sets, num: int, den: int) -> DataFrame:
@@ -273,29 +286,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((often["k1"].to_numpy(np.int64).view(np.uint64)[order], often["seen"].to_numpy(np.int64)[order]))
 
     same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "shingle-classes")
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, k2 long, n long, p long")
-    meetings = prefixes.repartition("token").sortWithinPartitions("token", "n", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, n long, p long, q1 long, q2 long")
+    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, k2 long, np long, e long")
+    meetings = prefixes.repartition("token").sortWithinPartitions("token", "np", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, np long, e long, q1 long, q2 long")
     meetings = materialize(meetings, "shingle-meetings")
-    met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left").select("token", "id", "n", "p", "pivot")
+    met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left")
+    met = met.select("token", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), "e", "pivot")
     met = materialize(met, "shingle-rows")
-    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
+    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"))
+    # of the first shingles, those that no other set has among its own are missing in any set whose first ones end later
+    unshared = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.size("tokens")
+    heads = materialize(heads.withColumn("room", F.col("n") - unshared), "shingle-heads")
 
     def build_sets(batches):
         for batch in batches:
             rows = [(i, s) for i, s, _, _ in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ordered(s, frequent.value).tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ranked(s, frequent.value)[0].tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
 
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_verified(_possible(stars, heads, num, den), docs, build_sets, num, den), "links")
     first = connected_components(links)
-    row = met.join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", F.coalesce("component", "id").alias("c")).distinct()
+    row = met.join(heads.select("id", "room"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
     a, b = row.alias("a"), row.alias("b")
     need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
+    room = F.when(F.col("a.e") < F.col("b.e"), F.col("a.room")).when(F.col("b.e") < F.col("a.e"), F.col("b.room")).otherwise(F.greatest("a.room", "b.room"))
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.struct("a.n", "a.id") < F.struct("b.n", "b.id")) & (F.col("a.c") != F.col("b.c"))
                    & (F.col("b.n") * num <= F.col("a.n") * den)
-                   & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= need(F.col("a.n"), F.col("b.n"))))
+                   & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= need(F.col("a.n"), F.col("b.n")))
+                   & (room >= need(F.col("a.n"), F.col("b.n"))))
     cross = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     more = materialize(_verified(_possible(cross, heads, num, den), docs, build_sets, num, den), "links")
     merged = connected_components(links.unionByName(more))
