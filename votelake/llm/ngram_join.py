@@ -35,8 +35,10 @@ MAX_FREQUENT = 1 << 20
 GROUP_ROWS = 4096
 #: Shingles of a block of documents whose frequent shingles are counted together.
 BLOCK_SHINGLES = 1 << 20
-#: Shingles of one prefix tree; more candidates of a query are split over several trees.
+#: Shingles of one prefix tree of a query's candidates; more are split over several trees.
 TREE_SHINGLES = 1 << 21
+#: Members and queries of a block, about; candidates that a query compares before it looks again which are connected.
+MEMBERS, QUERIES, TREE_MEMBERS = 256, 1024, 32
 
 
 def _need(n1, n2, num: int, den: int):
@@ -225,15 +227,28 @@ def tree_matches(query: np.ndarray, members: list[np.ndarray], num: int, den: in
 
 
 def _tree_join(num: int, den: int):
+    """Links of a block: its queries (``q`` true) walk the tree of its members.  Rows that are connected already, before or by links found here, are not compared."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
-        is_query = rows["b"].isna().to_numpy()
-        members = np.flatnonzero(~is_query)
-        if not is_query.any() or not len(members):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        hit = tree_matches(sets[int(np.flatnonzero(is_query)[0])], [sets[i] for i in members], num, den)
-        hit = members[np.array(hit, bool)]
-        return pd.DataFrame({"u": rows["a"].to_numpy()[hit].astype("int64"), "v": rows["b"].to_numpy()[hit].astype("int64")})
+        ids, comp, is_query = rows["id"].to_numpy(), rows["c"].to_numpy().copy(), rows["q"].to_numpy(bool)
+        queries, members = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        members = members[np.argsort([sets[i].byteswap().tobytes() for i in members])] if len(members) else members
+        sizes = np.array([len(x) for x in sets], np.int64)
+        u, v = [], []
+        for q in queries:
+            n = sizes[q]
+            open_ = members[(comp[members] != comp[q]) & (sizes[members] * num <= n * den) & (n * num <= sizes[members] * den) & (ids[members] != ids[q])]
+            while len(open_):
+                some, open_ = open_[:TREE_MEMBERS], open_[TREE_MEMBERS:]
+                hit = some[np.array(tree_matches(sets[q], [sets[i] for i in some], num, den), bool)]
+                for i in hit:
+                    u.append(ids[q])
+                    v.append(ids[i])
+                    comp[comp == comp[i]] = comp[q]
+                if len(hit) and len(open_):
+                    open_ = open_[comp[open_] != comp[q]]
+        return pd.DataFrame({"u": np.array(u, "int64"), "v": np.array(v, "int64")})
 
     return run
 
@@ -254,18 +269,51 @@ def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
     return both.where(F.size(F.array_intersect("ta", "tb")) >= enough).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, build_sets, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets are similar, as ``(u, v)``."""
-    pairs = materialize(pairs, "shingle-pairs")
-    wanted = ids_to_join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame | None, build_sets, num: int, den: int) -> DataFrame:
+    """Links ``(u, v)`` in blocks of rows ``(block, part, id, q)``; ``classes`` tells which ids are connected already."""
+    blocks = materialize(blocks, "shingle-blocks")
+    wanted = ids_to_join(blocks.select("id").distinct(), "candidates")
     own = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
     sets = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets").dropDuplicates(["id"])
-    sized = pairs.join(sets.select(F.col("id").alias("b"), "size", "tokens"), "b")
-    trees = sized.groupBy("a").agg(F.ceil(F.sum("size") / F.lit(TREE_SHINGLES)).cast("int").alias("trees"))
-    members = sized.join(trees, "a").select("a", "b", F.when(F.col("trees") > 1, F.pmod(F.xxhash64("b"), F.col("trees"))).otherwise(0).alias("tree"), "tokens")
-    queries = members.select("a", "tree").distinct().join(sets.select(F.col("id").alias("a"), "tokens"), "a")
-    rows = members.unionByName(queries.select("a", F.lit(None).cast("long").alias("b"), "tree", "tokens"))
-    return rows.groupBy("a", "tree").applyInPandas(_tree_join(num, den), "u long, v long")
+    rows = blocks.join(sets.select("id", "tokens"), "id")
+    if classes is not None:
+        rows = rows.join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = rows.select("block", "part", "id", "q", "tokens", F.coalesce("component", "id").alias("c") if classes is not None else F.col("id").alias("c"))
+    return rows.groupBy("block", "part").applyInPandas(_tree_join(num, den), "u long, v long")
+
+
+def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of pairs ``(a, b)``: a query with its candidates, in several parts if these have more than TREE_SHINGLES shingles."""
+    sized = pairs.join(sizes.select(F.col("id").alias("b"), "n"), "b")
+    parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
+    members = sized.join(parts, "a").select(F.col("a").alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("q"))
+    return members.unionByName(members.select("block", "part").distinct().select("block", "part", F.col("block").alias("id"), F.lit(True).alias("q")))
+
+
+def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks in which all rows ``(token, id, n, p, e, room, c)`` meet that may be similar and are not connected.
+
+    A member's home is the token of its own that most rows have, and a part of
+    that token's members by hash; its queries are all rows with which it shares
+    any token.  So a large group of copies is some parts of MEMBERS rows, each
+    met by every row of the group once, and not a row for each pair.
+    """
+    counts = row.groupBy("token").agg(F.count("*").alias("m"))
+    sized = row.join(counts, "token")
+    home = sized.groupBy("id").agg(F.max(F.struct("m", "token")).alias("h")).select("id", F.xxhash64("h.token", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.m") / F.lit(MEMBERS)))).alias("block"))
+    wide = materialize(row.join(home, "id"), "shingle-homes")
+    need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
+    # a query meets a block under a token: the block's bounds there, over its rows, decide whether any row could be similar
+    at = wide.groupBy("token", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("p")).alias("left"), F.max("room").alias("room1"), F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    q = wide.select("token", "id", "n", "p", "e", "room", "c")
+    least = need(F.col("n"), F.greatest(F.col("n0"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))))
+    room = F.when(F.col("e") < F.col("e0"), F.col("room")).when(F.col("e1") < F.col("e"), F.col("room1")).otherwise(F.greatest("room", "room1"))
+    met = q.join(at, "token").where(((F.col("c0") != F.col("c")) | (F.col("c1") != F.col("c"))) & (F.col("n0") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("n1") * den) & (F.least(F.col("n") - F.col("p"), "left") >= least) & (room >= least))
+    met = materialize(met.select("block", "id").distinct(), "shingle-met")
+    parts = met.groupBy("block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("parts"))
+    queries = met.join(parts, "block").select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("q"))
+    members = wide.select("block", "id").distinct().join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("q"))
+    return queries.unionByName(members)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -303,20 +351,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ranked(s, frequent.value)[0].tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
 
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(_possible(stars, heads, num, den), docs, build_sets, num, den), "links")
-    first = connected_components(links)
+    links = materialize(_verified(_star_blocks(_possible(stars, heads, num, den), heads), docs, None, build_sets, num, den), "links")
+    first = materialize(connected_components(links), "components")
     row = met.join(heads.select("id", "room"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
-    a, b = row.alias("a"), row.alias("b")
-    need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
-    room = F.when(F.col("a.e") < F.col("b.e"), F.col("a.room")).when(F.col("b.e") < F.col("a.e"), F.col("b.room")).otherwise(F.greatest("a.room", "b.room"))
-    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.struct("a.n", "a.id") < F.struct("b.n", "b.id")) & (F.col("a.c") != F.col("b.c"))
-                   & (F.col("b.n") * num <= F.col("a.n") * den)
-                   & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) >= need(F.col("a.n"), F.col("b.n")))
-                   & (room >= need(F.col("a.n"), F.col("b.n"))))
-    cross = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    more = materialize(_verified(_possible(cross, heads, num, den), docs, build_sets, num, den), "links")
+    more = materialize(_verified(_cross_blocks(row, num, den), docs, first, build_sets, num, den), "links")
     merged = connected_components(links.unionByName(more))
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
