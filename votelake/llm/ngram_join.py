@@ -37,6 +37,8 @@ GROUP_ROWS = 4096
 BLOCK_SHINGLES = 1 << 20
 #: Shingles of one prefix tree of a query's candidates; more are split over several trees.
 TREE_SHINGLES = 1 << 21
+#: Rows of a shingle up to which they meet as pairs, under the exact conditions; the rows of a larger group meet in blocks.
+PAIRED = 400
 #: Members and queries of a block, about; candidates that a query compares before it looks again which are connected.
 MEMBERS, QUERIES, TREE_MEMBERS = 256, 1024, 32
 
@@ -286,8 +288,19 @@ def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of pairs ``(a, b)``: a query with its candidates, in several parts if these have more than TREE_SHINGLES shingles."""
     sized = pairs.join(sizes.select(F.col("id").alias("b"), "n"), "b")
     parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
-    members = sized.join(parts, "a").select(F.col("a").alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("q"))
-    return members.unionByName(members.select("block", "part").distinct().select("block", "part", F.col("block").alias("id"), F.lit(True).alias("q")))
+    members = sized.join(parts, "a").select("a", F.xxhash64("a", F.lit(7)).alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("q"))
+    queries = members.select("block", "part", F.col("a").alias("id"), F.lit(True).alias("q")).distinct()
+    return members.drop("a").unionByName(queries)
+
+
+def _cross_pairs(row: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``(token, id, n, p, e, room, c)`` of one token that may be similar and are not connected."""
+    a, b = row.alias("a"), row.alias("b")
+    need = F.ceil(F.lit(num) * (F.col("a.n") + F.col("b.n")) / F.lit(num + den))
+    room = F.when(F.col("a.e") < F.col("b.e"), F.col("a.room")).when(F.col("b.e") < F.col("a.e"), F.col("b.room")).otherwise(F.greatest("a.room", "b.room"))
+    left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.struct("a.n", "a.id") < F.struct("b.n", "b.id")) & (F.col("a.c") != F.col("b.c")) & (F.col("b.n") * num <= F.col("a.n") * den) & (left >= need) & (room >= need))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
@@ -356,7 +369,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = met.join(heads.select("id", "room"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
-    more = materialize(_verified(_cross_blocks(row, num, den), docs, first, build_sets, num, den), "links")
+    counts = row.groupBy("token").agg(F.count("*").alias("m"))
+    few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
+    pairs = _star_blocks(_possible(_cross_pairs(few, num, den), heads, num, den), heads)
+    more = materialize(_verified(pairs.unionByName(_cross_blocks(many, num, den)), docs, first, build_sets, num, den), "links")
     merged = connected_components(links.unionByName(more))
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
