@@ -101,6 +101,14 @@ def test_join_with_groups_too_large_to_hold(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, rows)).collect()} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_join_in_small_blocks(spark, monkeypatch):
+    for name in ("MEMBERS", "QUERIES", "PAIRED"):
+        monkeypatch.setattr(ngram_join, name, 2)
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 100)
+    rows = near_copies(4)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, rows)).collect()} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_tree_prunes_but_never_loses():
     rng = np.random.default_rng(5)
     for _ in range(30):
