@@ -254,6 +254,17 @@ def test_toxicity_held_out_and_edges(spark):
     assert {r["score"] for r in toxicity.score_toxicity(odd_docs(spark), empty).collect()} == {0.5} and toxicity.keep_civil(d, empty).count() == len(rows)
 
 
+def test_toxicity_prior_is_that_of_all_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["stone", "river", "light", "walk"], k=12)) + (" vilewort" if i % 10 == 1 and i % 3 or i % 30 == 4 else ""), int(i % 10 == 1)) for i in range(1200)]
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    y = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, y int")
+    assert {(r["y"], round(r["weight"], 6)) for r in labelled.sample(d, y, 60).select("y", "weight").distinct().collect()} == {(0, 18.0), (1, 2.0)}
+    for per_class in (4000, 60):
+        scored = toxicity.score_toxicity(d, toxicity.fit_toxicity(d, y, per_class))
+        assert abs(scored.agg(F.avg("score")).first()[0] - 0.1) < 0.03  # a tenth of all labels is toxic, however many are taken
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []

@@ -46,10 +46,11 @@ def _blocks(texts: pa.Array):
 
 
 class Neighbours:
-    """Examples in block-max inverted lists.  ``terms`` are sorted hashes; ``vectors`` one (positions, counts) per example."""
+    """Examples in block-max inverted lists.  ``terms`` are sorted hashes; ``vectors`` one (positions, counts) per example, ``weights`` how many labelled documents each stands for."""
 
-    def __init__(self, terms: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    def __init__(self, terms: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray | None = None):
         self.terms, self.labels = terms, labels
+        self.stands_for = np.ones(len(vectors)) if weights is None else weights
         self.hint = np.zeros(1 << 16, bool)
         self.hint[(terms >> np.uint64(48)).astype(np.int64)] = True
         df = np.zeros(len(terms))
@@ -98,14 +99,15 @@ class Neighbours:
         return ids, cosines
 
     def vote(self, at: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, float, list[int]]:
-        """(cosine-weighted share of toxic neighbours, best cosine, neighbours); all 0 for a text without any term."""
+        """(share of toxic neighbours, weighted by cosine and by what they stand for, best cosine, neighbours); all 0 for a text without any term."""
         if not len(at):
             return 0.0, 0.0, []
         key = at.tobytes() + counts.tobytes()
         if without < 0 and key in self.memory:
             return self.memory[key]
         ids, cosines = self.nearest(at, counts, without)
-        got = (float((cosines * self.labels[ids]).sum() / cosines.sum()), float(cosines[0]), ids.tolist()) if len(ids) else (0.0, 0.0, [])
+        say = cosines * self.stands_for[ids]
+        got = (float((say * self.labels[ids]).sum() / say.sum()), float(cosines[0]), ids.tolist()) if len(ids) else (0.0, 0.0, [])
         if without < 0:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
@@ -130,10 +132,10 @@ class Neighbours:
             for i in range(b - a):
                 yield np.unique(hit[cut[i] : cut[i + 1]], return_counts=True)
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> None:
-        """Fit the probability of label 1 to each example's vote without itself; ``weights`` undo the sampling."""
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit the probability of label 1 to each example's vote without itself; what the examples stand for undoes the sampling."""
         x = np.array([(v, c, 1.0) for v, c, _ in (self.vote(*vec, without=i) for i, vec in enumerate(vectors))]).reshape(-1, 3)
-        w, y = np.zeros(3), self.labels.astype(float)
+        w, y, weights = np.zeros(3), self.labels.astype(float), self.stands_for
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             r = weights * (p - y)
@@ -154,7 +156,7 @@ def fit_toxicity(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
     Terms are chosen by chi-square over the examples in one grouped count; the
     driver receives the chosen terms and the examples' vectors over them.
     """
-    taken = sample(docs, classes, per_class, id_col, text_col).select("doc_id", F.col("y").cast("int").alias("y"), "text")
+    taken = sample(docs, classes, per_class, id_col, text_col).select("doc_id", F.col("y").cast("int").alias("y"), "text", "weight")
 
     def distinct_terms(batches):
         for batch in batches:
@@ -181,16 +183,16 @@ def fit_toxicity(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
     def vectors(batches):
         for batch in batches:
             found = list(finder.vectors(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int64()))], names=["doc_id", "y", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int64()))], names=["doc_id", "y", "weight", "at", "n"])
 
-    rows = taken.mapInArrow(vectors, "doc_id long, y int, at array<long>, n array<long>").toPandas().sort_values(["doc_id", "y"])
+    rows = taken.mapInArrow(vectors, "doc_id long, y int, weight double, at array<long>, n array<long>").toPandas().sort_values(["doc_id", "y"])
     # examples with the same terms lie together, which makes the blocks' bounds tight
     rows["key"] = [tuple(x) for x in rows["at"]]
     rows = rows.sort_values(["key", "doc_id", "y"])
     examples = [(np.asarray(x, np.int64), np.asarray(c, np.int64)) for x, c in zip(rows["at"], rows["n"])]
-    model = Neighbours(terms, examples, rows["y"].to_numpy(np.int64))
+    model = Neighbours(terms, examples, rows["y"].to_numpy(np.int64), rows["weight"].to_numpy(float))
     if examples:
-        model.calibrate(examples, np.ones(len(examples)))
+        model.calibrate(examples)
     model.examples = rows["doc_id"].to_numpy(np.int64)
     return model
 
