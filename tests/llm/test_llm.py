@@ -192,6 +192,25 @@ def test_decontamination_edges(spark, monkeypatch):
     assert kept.columns == odd_docs(spark).columns and kept.count() == 8
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    common = rng.choices(vocab, k=20)
+    items = [(k, " ".join(common + rng.choices(vocab, k=14))) for k in range(12)] + [(None, "a passage of an item that has no id at all")]
+    rows = [(k, " ".join(t.split()[:-3] + ["cut", "off", "here"])) for k, t in items[:12]] + [(k + 20, t.replace(common[2], "edited")) for k, t in items[:12]] + [(50, "see a passage of an item that has no id at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(parts):
+        got = decontamination.contaminated(docs(spark, rows), bench.repartition(parts)).collect()
+        return {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got}
+
+    whole = found(1)
+    assert whole[50, None] == 1 and 0.8 < whole.get((20, 0), 0) < 1
+    for size, parts in ((1, 3), (4, 7)):
+        monkeypatch.setattr(decontamination, "ITEMS", size)
+        assert found(parts) == whole
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     items = [(k, rng.integers(0, 2**63, 30, dtype=np.uint64)) for k in range(50)]

@@ -12,6 +12,7 @@ taken only where a shingle of the benchmark lies in the window.
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -45,18 +46,24 @@ def simhash(hashes: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
     return ((total[length:] - total[:-length] > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
+@dataclass
+class Counts:
+    """Items of one shingle size in the whole benchmark, their shingles that several have (sorted), and how many have each."""
+
+    items: int
+    shared: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """The items that have ``words`` words to a shingle."""
+    """The items of a block that have ``words`` words to a shingle; ``counts`` are those of the whole benchmark, which ``items`` are if not given."""
 
-    def __init__(self, words: int, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, words: int, items: list[tuple[int | None, np.ndarray]], counts: Counts | None = None):
         self.words, self.ids = words, [i for i, _ in items]
-        df: dict[int, int] = defaultdict(int)
-        for _, h in items:
-            for s in set(h.tolist()):
-                df[s] += 1
-        self.keys = np.sort(np.array(list(df), np.uint64))
-        self.default = float(np.log(1 + len(items)))  # of a shingle that no item has; as of one that one item has
-        self.key_weights = np.array([np.log(1 + len(items) / df[int(k)]) for k in self.keys])
+        self.keys, df = np.unique(np.concatenate([np.unique(h) for _, h in items]), return_counts=True)
+        counts = counts or Counts(len(items), self.keys, df)
+        self.default = float(np.log(1 + counts.items))  # of a shingle that no item has; as of one that one item has
+        self.shared, self.shared_weights = counts.shared, np.log(1 + counts.items / counts.df)
         self.hint = np.zeros(1 << 16, bool)
         self.hint[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.sets = [np.unique(h) for _, h in items]
@@ -76,9 +83,9 @@ class Index:
                         table[own ^ sum(1 << f for f in flips)].append(k)
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.key_weights[at], self.default) if len(self.keys) else np.full(len(hashes), self.default)
+        at = np.searchsorted(self.shared, hashes)
+        at[at == len(self.shared)] = 0
+        return np.where(self.shared[at] == hashes, self.shared_weights[at], self.default) if len(self.shared) else np.full(len(hashes), self.default)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the benchmark's shingles."""
@@ -148,18 +155,52 @@ class Index:
                     yield k, s, where
 
 
-def _index(items: list[tuple[int, str]]) -> list[Index]:
-    """One index per shingle size: items of fewer than WORDS words are one shingle of all their words."""
-    by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-    texts = pc.utf8_lower(pa.array([t for _, t in items], pa.string()))
-    for a, b, words in vectext.blocks(texts, vectext.NON_ALNUM):
+def _shingled(items: pa.Array):
+    """(shingle size, position, shingles) of every item with words: one of fewer than WORDS words is one shingle of all its words."""
+    for a, b, words in vectext.blocks(pc.utf8_lower(items), vectext.NON_ALNUM):
         counts = np.diff(words.first)
         for k in range(1, WORDS + 1):
             some = [i for i in range(b - a) if min(counts[i], WORDS) == k]
             if some:
                 h, first = words.shingles(k)
-                by_size[k] += [(items[a + i][0], h[first[i] : first[i + 1]]) for i in some]
-    return [Index(k, own) for k, own in sorted(by_size.items())]
+                for i in some:
+                    yield k, a + i, h[first[i] : first[i + 1]]
+
+
+def _counts(items: DataFrame) -> dict[int, Counts]:
+    """Per shingle size, over all rows of ``items(i, t)`` in one grouped count; the driver receives shingles that several items have."""
+
+    def emit(batches):  # one row per item and distinct shingle, and one without a shingle per item
+        for batch in batches:
+            sizes, own = [], []
+            for k, _, h in _shingled(batch.column(0)):
+                own.append(np.unique(h))
+                sizes.append((k, len(own[-1])))
+            k = np.repeat([x for x, _ in sizes], [n for _, n in sizes]).astype(np.int32)
+            hashes = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(hashes)], names=["k", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sizes], pa.int32()), pa.nulls(len(sizes), pa.int64())], names=["k", "shingle"])
+
+    counted = items.select("t").mapInArrow(emit, "k int, shingle long").groupBy("k", "shingle").agg(F.count("*").alias("df"))
+    got = counted.where("shingle is null or df > 1").toArrow()
+    sizes, hashes, df = (got.column(c) for c in ("k", "shingle", "df"))
+    none = pc.is_null(hashes)
+    totals = dict(zip(sizes.filter(none).to_pylist(), df.filter(none).to_pylist()))
+    out = {}
+    for k, n in totals.items():
+        own = pc.and_(pc.equal(sizes, k), pc.invert(none))
+        h, d = hashes.filter(own).to_numpy().astype(np.int64).view(np.uint64), df.filter(own).to_numpy().astype(float)
+        order = np.argsort(h)
+        out[k] = Counts(n, h[order], d[order])
+    return out
+
+
+def _index(items: list[tuple[int | None, str]], counts: dict[int, Counts]) -> list[Index]:
+    """One index per shingle size."""
+    by_size: dict[int, list[tuple[int | None, np.ndarray]]] = defaultdict(list)
+    for k, at, h in _shingled(pa.array([t for _, t in items], pa.string())):
+        by_size[k].append((items[at][0], h))
+    return [Index(k, own, counts[k]) for k, own in sorted(by_size.items())]
 
 
 def _scan(shared):
@@ -188,22 +229,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``(doc_id, item_id, similarity, first_word)``: every document and benchmark item with a window of similarity SIMILARITY or more.
 
     The best window is given, by its similarity and first word (from 0).
-    Shingles have WORDS words in lower case, and weigh less the more items have
-    them.  Null texts are empty; empty texts and items match nothing; of
-    repeated rows each gives its matches; a row with a null document id is
-    searched like any other.  The benchmark is read in blocks of ITEMS items,
-    each broadcast for one pass over the documents.
+    Shingles have WORDS words in lower case, and weigh less the more items
+    of the whole benchmark have them.  Null texts are empty; empty texts and
+    items match nothing; of repeated rows each gives its matches; rows with a
+    null document or item id are searched like any other.  The benchmark is
+    read in blocks of ITEMS items in order of their ids, each broadcast for one
+    pass over the documents with the counts of shingles that several items have.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, similarity double, first_word long"
     found, block = None, []
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null").distinct()
+    counts = _counts(rows)
 
     def search(items):
-        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(_index(items))), schema)
+        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(_index(items, counts))), schema)
 
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    for r in rows.toLocalIterator():
+    for r in rows.orderBy("i", "t").toLocalIterator():
         block.append((r["i"], r["t"]))
         if len(block) == ITEMS:
             found, block = search(block) if found is None else found.unionByName(search(block)), []
