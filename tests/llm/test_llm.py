@@ -373,6 +373,16 @@ def test_site_tree(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_words_of_attributes_do_not_drop_the_article():
+    for page in (
+        "<body class='no-sidebar'><p>kept</p>", "<body class='has-comments search'><p>kept</p>", "<article class='post with-share'>kept</article>", "<article class='related'>kept</article>", "<div id='main-widget'>kept</div>",
+        "<main aria-label='Search results'>kept</main>", "<div aria-label='Search results'>kept</div>", "<section class='related-work'>kept</section>", "<div class='sidebar'><main>kept</main></div>", "<div id='widget'><p class='ad'>x</p><article>kept</article></div>",
+        "<article>kept</article><div class='comments'><article>x</article></div>", "<p>kept</p><div class='cookie-banner'>x</div><div class='Share'>x</div><div role='search'>x</div><p aria-label='social share'>x</p>", "<main>kept</main><aside><article>x</article></aside>",
+        "<p>kept</p><div hidden='' class='no-ad'>x</div><div class='social'><nav><p>x</p></nav></div>",
+    ):
+        assert [t for _, t in site_tree.blocks(page)] == ["kept"], page
+
+
 def test_site_tree_keeps_copied_articles(spark):
     df = spark.createDataFrame([(i, "http://x.org/", "<article><p>the one article</p></article>") for i in range(50)], "page_id long, url string, html string")
     assert {r["text"] for r in site_tree.extract(df).collect()} == {"the one article"}

@@ -29,6 +29,8 @@ BROADCAST_NODES = 200_000
 NOISE_TAGS = {"head", "title", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "iframe", "svg", "object", "dialog", "menu", "input", "label"}
 #: Words of a class, id or role that mark what is not the article.
 NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies", "consent", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "site-footer", "site-header", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Elements that no word marks; nor does it one that holds the page's main, or all its articles.
+KEPT_TAGS = {"html", "body", "main", "article"}
 #: Elements that begin and end a block of text.
 BLOCK_TAGS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements without an end, and what an opening element closes before it.
@@ -41,17 +43,25 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _SPACE = re.compile(r"\s+")
 
 
-def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _noise(tag: str, attributes: str, inside_article: bool) -> str:
+    """"sure" if the element says that it is noise, "word" if a word of its attributes does, "" if none.
+
+    A token counts as a whole, or if all its parts at - and _ are NOISE_WORDS;
+    so do all words of an aria-label.  Of other compounds (no-sidebar,
+    related-work) the style tree decides.
+    """
     if tag in NOISE_TAGS or tag == "header" and not inside_article:
-        return True
+        return "sure"
+    found = ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role", "aria-label"):
-            words = {w for value in (a or b or c).lower().split() for w in (value, *re.split(r"[-_]", value))}
-            if words & NOISE_WORDS or name.lower() == "role" and "complementary" in words:
-                return True
-        elif name.lower() == "hidden" or name.lower() == "aria-hidden" and (a or b or c).lower() == "true":
-            return True
-    return False
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return "sure"
+        if name in ("class", "id", "role", "aria-label") and tag not in KEPT_TAGS:
+            tokens = [re.split(r"[\s_-]+", value)] if name == "aria-label" else [[t] if t in NOISE_WORDS else re.split(r"[_-]", t) for t in value.split()]
+            if any(NOISE_WORDS.issuperset(t) for t in tokens) or name == "role" and "complementary" in value.split():
+                found = "word"
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -60,16 +70,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
     Markup may be incomplete: an end without a beginning is ignored, what is
     open at the end is closed there, and ``p`` ends where a block begins.
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
-    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # tag, path, marks of noise on it and around it
+    marks: list[str] = []
+    out: list[tuple[str, str, tuple[int, ...]]] = []
+    lifted: set[int] = set()
+    around: set[int] = set()  # marks by a word that hold an article
+    outside = False  # a main or article lies below no mark
     run: list[str] = []
     at, lower = 0, None
 
     def flush():
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
         run.clear()
-        if text and not (stack and stack[-1][2]):
-            out.append((next((path for tag, path, _ in reversed(stack) if tag in BLOCK_TAGS), ""), text))
+        if text:
+            out.append((next((path for tag, path, _ in reversed(stack) if tag in BLOCK_TAGS), ""), text, stack[-1][2] if stack else ()))
 
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -103,17 +117,25 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     stack.pop()
         if tag in VOID_TAGS or m.group(3).rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        noise = bool(stack and stack[-1][2]) or _noise(tag, m.group(3), any(s[0] in ("article", "main") for s in stack))
-        if noise and not (stack and stack[-1][2]):
+        above = stack[-1][2] if stack else ()
+        noise = "" if any(marks[k] == "sure" for k in above) else _noise(tag, m.group(3), any(s[0] in ("article", "main") for s in stack))
+        if noise:
             flush()
+            marks.append(noise)
+            above = (*above, len(marks) - 1)
+        elif tag in ("main", "article") and all(marks[k] == "word" for k in above):
+            (lifted if tag == "main" else around).update(above)
+            outside = outside or not above
         kind = next((a or b or c for n, a, b, c in _ATTRIBUTE.findall(m.group(3)) if n.lower() == "class"), "")
-        stack.append((tag, f"{stack[-1][1] if stack else ''}/{tag}{'.' + '.'.join(sorted(kind.lower().split())) if kind else ''}", noise))
+        stack.append((tag, f"{stack[-1][1] if stack else ''}/{tag}{'.' + '.'.join(sorted(kind.lower().split())) if kind else ''}", above))
         if tag in RAW_TAGS:  # no markup inside: on to its own end
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at)
             at = end if end >= 0 else len(page)
     flush()
-    return out
+    if not outside:
+        lifted |= around
+    return [(path, text) for path, text, below in out if lifted.issuperset(below)]
 
 
 def _digest(parts: list[str]) -> int:
