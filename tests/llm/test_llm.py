@@ -478,6 +478,14 @@ def test_licence_edges(spark):
     assert licences.scan(df, []).count() == 0 and licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_of_few_words(spark):
+    lines = [(30, "Text. Licensed under MIT License."), (31, "released UNDER\nISC-License, and released under MIT license"), (32, "This work is licensed under MIT License"), (33, "licensed under MIT"), (34, "zlib")]
+    df = odd_docs(spark).unionByName(docs(spark, lines))
+    got = {(r["doc_id"], r["license"], r["first_word"], r["last_word"], r["containment"]) for r in licences.scan(df).collect()}
+    assert got == {(30, "MIT", 1, 4, 1.0), (31, "ISC", 0, 3, 1.0), (31, "MIT", 5, 8, 1.0), (32, "MIT", 0, 6, 1.0)}
+    assert {(r["doc_id"], r["license"]) for r in licences.scan(df, [("Zlib", "zlib"), ("none", "--")]).collect()} == {(34, "Zlib")}
+
+
 def test_anchors_cover_every_template():
     anchors = licences._anchors(licences.default_templates())
     assert all(len(a) == 6 for a in anchors)

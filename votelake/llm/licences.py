@@ -10,6 +10,7 @@ ROWS values these share a band with probability 0.99999 and 0.998.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,12 +70,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingles(own: Column) -> Column:
-    """Hashes of all runs of WORDS words of an array, in order; none if it has fewer."""
+def shingles(own: Column, k: int = WORDS) -> Column:
+    """Hashes of all runs of ``k`` words of an array, in order; none if it has fewer."""
 
     def runs(w: Column) -> Column:
-        at = F.when(F.size(w) >= WORDS, F.sequence(F.lit(1), F.size(w) - (WORDS - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))
+        at = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
 
     return _let(own, runs)
 
@@ -87,8 +88,20 @@ def bands(window: Column) -> Column:
 
 def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     given = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template_id int, license string, template string")
-    made = given.withColumn("grams", F.array_distinct(shingles(words(F.col("template")))))
-    return made.withColumn("m", F.size("grams")).where("m > 0")
+    sized = given.withColumn("w", words(F.col("template"))).withColumn("k", F.least(F.size("w"), F.lit(WORDS)))
+    # fewer words are one shingle; m is then below 1, so that longer templates come first
+    grams = F.when(F.col("k") < WORDS, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.array_distinct(shingles(F.col("w"))))
+    made = sized.where("k > 0").withColumn("grams", grams).drop("w")
+    return made.withColumn("m", F.size("grams") - (WORDS - F.col("k")))
+
+
+def _short(some: DataFrame, short: DataFrame, k: int, keys: list[int]) -> DataFrame:
+    """Places of ``some(doc_id, text)`` that hold a template of ``k`` words, fewer than WORDS."""
+    wanted = F.array(*[F.lit(x) for x in keys])
+    at = _let(shingles(words(F.col("text")), k), lambda h: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(wanted, x), F.struct(i.alias("i"), x.alias("gram")))), lambda s: s.isNotNull()))
+    hits = some.select("doc_id", F.explode(at).alias("hit")).select("doc_id", F.col("hit.i").alias("first_word"), F.col("hit.gram").alias("gram"))
+    met = hits.join(F.broadcast(short.where(F.col("k") == k).select("template_id", "m", F.col("grams")[0].alias("gram"))), "gram")
+    return met.select("doc_id", "template_id", "m", F.lit(1.0).alias("containment"), "first_word", (F.col("first_word") + (k - 1)).alias("last_word"))
 
 
 def _anchors(templates: list[tuple[str, str]]) -> list[str]:
@@ -100,7 +113,7 @@ def _anchors(templates: list[tuple[str, str]]) -> list[str]:
     wanted = []
     for _, text in templates:
         own = re.findall(r"[^\W_]+", text.lower())
-        grams = {tuple(own[i : i + WORDS]) for i in range(len(own) - WORDS + 1)}
+        grams = {tuple(own[i : i + WORDS]) for i in range(len(own) - WORDS + 1)} or ({tuple(own)} if own else set())
         if grams:
             wanted.append([{w[:6] for w in g} for g in grams])
     chosen: list[str] = []
@@ -115,51 +128,59 @@ def _anchors(templates: list[tuple[str, str]]) -> list[str]:
         chosen.append(max((w for w in count if w not in chosen), key=lambda w: (len(w), count[w], w)))
 
 
+def _long(some: DataFrame, known: DataFrame, sizes: list[int], keys: list[int]) -> DataFrame:
+    """Places of ``some(doc_id, text)`` that hold a template of WORDS words or more; ``sizes`` are theirs in shingles, ``keys`` their shingles."""
+    grams = F.array(*[F.lit(x) for x in keys])
+    some = some.select("doc_id", shingles(words(F.col("text"))).alias("h"))
+    some = some.where(F.arrays_overlap("h", grams)).distinct()
+    hits = _let(F.array_intersect("h", grams), lambda own: F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull()))
+    some = some.select("doc_id", "h", hits.alias("hits"))
+
+    def starts(m: int) -> Column:  # windows of the grid of size m with a shingle of a template
+        step = max(1, m // 4)
+        grid = F.transform("hits", lambda p: F.sequence(F.greatest(F.floor((p - (m - 1) + step - 1) / step), F.lit(0)).cast("int"), F.floor(p / step).cast("int")))
+        return F.transform(F.array_distinct(F.flatten(grid)), lambda g: F.struct(F.lit(m).alias("m"), (g * step).alias("start")))
+
+    windows = some.select("doc_id", "h", F.explode(F.flatten(F.array(*[starts(m) for m in sizes]))).alias("w")).select("doc_id", "h", "w.m", "w.start")
+    keyed = windows.withColumn("band", F.explode(bands(F.slice("h", F.col("start") + 1, F.col("m")))))
+    index = known.select("template_id", "m", "grams", F.explode(bands(F.col("grams"))).alias("band"))
+    met = keyed.join(F.broadcast(index), ["m", "band"])
+    lo = F.greatest(F.col("start") - F.col("m") / 2, F.lit(0)).cast("int")
+    wide = F.slice("h", lo + 1, F.col("m") * 2)
+    at = F.filter(F.transform(wide, lambda x, i: F.when(F.array_contains(F.col("grams"), x), lo + i)), lambda i: i.isNotNull())
+    share = F.size(F.array_intersect("grams", wide)) / F.col("m")
+    return met.select("doc_id", "template_id", "m", share.alias("containment"), F.array_min(at).alias("first_word"), (F.array_max(at) + (WORDS - 1)).alias("last_word")).where(F.col("containment") >= CONTAINED)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, first_word, last_word, containment)``: every place of a document that holds a licence's template.
 
     A template is there if a window with a common band, widened by half a
-    window at both sides, has CONTAINED of its distinct shingles of WORDS words.
+    window at both sides, has CONTAINED of its distinct shingles of WORDS words;
+    a template of fewer words, where all its words stand in a row.
     Of matches that overlap in words, those with a smaller containment, or the
-    same with fewer shingles, give way.  Null texts are empty; texts and
-    templates of fewer words match nothing; equal rows give their matches once;
+    same with fewer shingles, give way.  Null texts are empty; a
+    template without words matches nothing; equal rows give their matches once;
     other columns are not read.  The templates are fixed and few, and broadcast.
     """
     spark = docs.sparkSession
     templates = default_templates() if templates is None else templates
     known = _templates(spark, templates)
-    rows = known.select("template_id", "license", "m", "grams").collect()
+    rows = known.select("k", "m", "grams").collect()
     empty = "doc_id long, license string, first_word int, last_word int, containment double"
     if not rows:
         return spark.createDataFrame([], empty)
-    sizes = sorted({r["m"] for r in rows})
-    grams = F.array(*[F.lit(x) for x in sorted({g for r in rows for g in r["grams"]})])
-
     text = F.col(text_col).cast("string")
     low = F.lower(text)
     near = F.lit(False)
     for a in _anchors(templates):
         near = near | low.contains(a)
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(near)
-    some = some.select("doc_id", shingles(words(F.col("text"))).alias("h"))
-    some = some.where(F.arrays_overlap("h", grams)).distinct()
-    hits = _let(F.array_intersect("h", grams), lambda own: F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull()))
-    some = some.select("doc_id", "h", hits.alias("hits"))
-
-    def starts(m: int) -> Column:  # windows of the grid of size m with a shingle of a template
-        step = max(1, m // 4)
-        grid = F.transform("hits", lambda p: F.sequence(F.greatest(F.floor((p - (m - 1) + step - 1) / step), F.lit(0)).cast("int"), F.floor(p / step).cast("int")))
-        return F.transform(F.array_distinct(F.flatten(grid)), lambda g: F.struct(F.lit(m).alias("m"), (g * step).alias("start")))
-
-    windows = some.select("doc_id", "h", F.explode(F.flatten(F.array(*[starts(m) for m in sizes]))).alias("w")).select("doc_id", "h", "w.m", "w.start")
-    keyed = windows.withColumn("band", F.explode(bands(F.slice("h", F.col("start") + 1, F.col("m")))))
-    index = known.select("template_id", "m", "grams", F.explode(bands(F.col("grams"))).alias("band"))
-    met = keyed.join(F.broadcast(index), ["m", "band"])
-    lo = F.greatest(F.col("start") - F.col("m") / 2, F.lit(0)).cast("int")
-    wide = F.slice("h", lo + 1, F.col("m") * 2)
-    at = F.filter(F.transform(wide, lambda x, i: F.when(F.array_contains(F.col("grams"), x), lo + i)), lambda i: i.isNotNull())
-    share = F.size(F.array_intersect("grams", wide)) / F.col("m")
-    found = met.select("doc_id", "template_id", "m", share.alias("containment"), F.array_min(at).alias("first_word"), (F.array_max(at) + (WORDS - 1)).alias("last_word")).where(F.col("containment") >= CONTAINED)
+    parts = [_short(some, known, k, sorted({r["grams"][0] for r in rows if r["k"] == k})) for k in sorted({r["k"] for r in rows} - {WORDS})]
+    if any(r["k"] == WORDS for r in rows):
+        long = [r for r in rows if r["k"] == WORDS]
+        parts.append(_long(some, known.where(F.col("k") == WORDS), sorted({r["m"] for r in long}), sorted({g for r in long for g in r["grams"]})))
+    found = reduce(DataFrame.unionByName, parts)
     names = F.broadcast(known.select("template_id", "license"))
     found = found.join(names, "template_id").groupBy("doc_id", "license", "first_word", "last_word").agg(F.max(F.struct("containment", "m")).alias("best")).select("doc_id", "license", "first_word", "last_word", "best.containment", "best.m")
     a, b = found.alias("a"), found.alias("b")
