@@ -446,29 +446,73 @@ def test_local_search_empties_bins():
     assert bins.max() + 1 == 3
 
 
+def test_minhash_values_differ_and_ignore_order(spark):
+    grams = [F.lit([5, 9, 13, 77, 2]), F.lit([13, 2, 5, 77, 9])]
+    least = [[F.array_min(F.transform(g, licences._seeded(k))) for k in range(licences.BANDS * licences.ROWS)] for g in grams]
+    a, b = (list(spark.range(1).select(*x).first()) for x in least)
+    assert a == b and len(set(a)) == len(a)
+
+
+def brute_licences(rows, templates):
+    """(doc, template) with CONTAINED of the template's shingles in a run of twice its length, and those that hold it whole."""
+    tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
+    near, whole = set(), set()
+    for i, t in rows:
+        w = tokens(t)
+        for x, (_, template) in enumerate(templates):
+            g = tokens(template)
+            k = min(5, len(g))
+            own = {tuple(g[j : j + k]) for j in range(len(g) - k + 1)}
+            at = [j for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in own]
+            if k < 5:
+                whole |= {(i, x)} if at else set()
+                continue
+            m = len(own)
+            for j in at:  # in place: as long as the template
+                share = len({tuple(w[p : p + 5]) for p in at if j <= p < j + m}) / m
+                if share >= licences.CONTAINED:
+                    near.add((i, x))
+                if share == 1:
+                    whole.add((i, x))
+    return near | whole, whole
+
+
 def test_licences_against_brute_force(spark):
     templates = licences.default_templates()
     rng = random.Random(3)
     filler = [f"w{i}" for i in range(200)]
     rows = []
-    for i in range(80):
-        own = rng.choices(filler, k=rng.randrange(0, 200))
-        if i % 2:
-            k, t = templates[rng.randrange(len(templates))]
+    for x, (_, t) in enumerate(templates):
+        for edit in (False, True):
+            own = rng.choices(filler, k=rng.randrange(0, 90))
+            passage = t.split()
+            if edit and len(passage) > 12:  # a cut and a changed word
+                del passage[: max(1, len(passage) // 20)]
+                if len(passage) > 40:
+                    passage[rng.randrange(len(passage))] = "edited"
             at = rng.randrange(len(own) + 1)
-            own[at:at] = t.split()
-        rows.append((i, " ".join(own)))
-    got = {(r["doc_id"], r["first_word"], r["last_word"]) for r in licences.scan(docs(spark, rows)).where("containment = 1").collect()}
-    tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
-    for i, t in rows:
-        w = tokens(t)
-        spans = set()
-        for _, x in templates:
-            g = tokens(x)
-            spans |= {(s, s + len(g) - 1) for s in range(len(w) - len(g) + 1) if len(g) >= 5 and w[s : s + len(g)] == g}
-        widest = {a for a in spans if not any(b != a and b[0] <= a[1] and a[0] <= b[1] and b[1] - b[0] > a[1] - a[0] for b in spans)}
-        mine = {(a, b) for d, a, b in got if d == i}
-        assert mine <= spans and all(any(a <= z and y <= b for y, z in mine) for a, b in widest), (i, widest, mine)
+            own[at:at] = passage
+            rows.append((len(rows), " ".join(own)))
+    near, whole = brute_licences(rows, templates)
+    assert len(near) > len(templates)
+    names = {x: n for x, (n, _) in enumerate(templates)}
+    found = collections.defaultdict(set)
+    for r in licences.scan(docs(spark, rows)).collect():
+        found[r["doc_id"]].add(r["license"])
+        assert r["containment"] >= licences.CONTAINED
+    # of overlapping matches one stays: every document with a match has one, and the licence of a whole text or line is there
+    have = {i for i, _ in near}
+    assert set(found) <= have and len(have & set(found)) >= 0.99 * len(have)
+    lost = [(i, names[i // 2]) for i in range(0, len(rows), 2) if names[i // 2] not in found[i]]
+    assert len(lost) <= 0.01 * len(rows), lost
+
+
+def test_licences_at_every_offset(spark):
+    rows = []
+    for _, t in [*licences.NOTICES.items(), *licences.TEXTS.items()]:
+        rows += [(len(rows) + k, " ".join([f"f{j}" for j in range(k)] + t.split() + ["end"])) for k in range(0, 60, 7)]
+    got = collections.Counter(r["doc_id"] for r in licences.scan(docs(spark, rows)).where("containment > 0.999").select("doc_id").distinct().collect())
+    assert len(got) >= 0.99 * len(rows)
 
 
 def test_licence_edges(spark):
@@ -476,6 +520,10 @@ def test_licence_edges(spark):
     df = odd_docs(spark).unionByName(docs(spark, lines))
     assert {(r["doc_id"], r["license"]) for r in licences.scan(df).collect()} == {(20, "MIT"), (21, "MIT"), (23, "GPL-3.0")}
     assert licences.scan(df, []).count() == 0 and licences.scan(docs(spark, [])).count() == 0
+    # rows without an id, or with the same one, don't suppress each other; equal rows count once; SPDX lines and whole texts are found
+    same = docs(spark, [(None, "Released under the MIT License."), (None, "x y z. Licensed under the ISC License and more"), (7, "# SPDX-License-Identifier: MIT"), (7, "// SPDX-License-Identifier: Apache-2.0"), (7, "# SPDX-License-Identifier: MIT"), (8, licences.TEXTS["BSD-3-Clause"]), (9, licences.TEXTS["BSD-2-Clause"]), (10, licences.TEXTS["GPL-3.0"])])
+    got = sorted((r["doc_id"] or 0, r["license"]) for r in licences.scan(same).collect())
+    assert got == [(0, "ISC"), (0, "MIT"), (7, "Apache-2.0"), (7, "MIT"), (8, "BSD-3-Clause"), (9, "BSD-2-Clause"), (10, "GPL-3.0")]
 
 
 def test_licences_of_few_words(spark):

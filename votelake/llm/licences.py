@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping windows find templates, exact shingle containment decides.
 
 Only DataFrame functions are used.  A template of ``m`` shingles is looked for
-in windows of ``m`` shingles, one at every ``max(1, m // 4)``-th place.  A text
-that holds the template has a window with Jaccard similarity of at least 0.77,
-and one that holds 80 % of it in place one of about 0.66; with BANDS bands of
-ROWS values these share a band with probability 0.99999 and 0.998.
+in windows of ``m`` shingles, one at every ``max(1, m // 5)``-th place.  A text
+that holds the template has a window with a Jaccard similarity of at least
+0.81, and one that holds 80 % of it in place one of at least 0.56; with BANDS
+bands of ROWS values these share a band with a probability of 0.9999999 and
+0.997.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a shingle, the share of a template's shingles that must be there, MinHash bands and values of a band.
-WORDS, CONTAINED, BANDS, ROWS = 5, 0.8, 12, 2
+WORDS, CONTAINED, BANDS, ROWS = 5, 0.8, 16, 2
 
 #: Names of licences, the sentences that grant them, and the beginnings of well-known notices.
 NAMES = {
@@ -42,6 +43,7 @@ NAMES = {
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"],
 }
 SENTENCES = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}", "This work is licensed under the {}", "Distributed under the {}", "Made available under the {}"]
+SPDX = "SPDX-License-Identifier: {}"
 NOTICES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
@@ -53,12 +55,55 @@ NOTICES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty",
     "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
 }
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. " + _GNU_END
+#: The short licences whole, and the notices that files under the long ones carry.
+TEXTS = {
+    "MIT": NOTICES["MIT"] + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": NOTICES["ISC"] + ", provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": f"{NOTICES['BSD']}: 1. {_BSD_1} 2. {_BSD_2} {_BSD_END}",
+    "BSD-3-Clause": f"{NOTICES['BSD']}: 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_END}",
+    "Zlib": NOTICES["Zlib"] + ". In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": NOTICES["Unlicense"] + ". Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+    "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "BSL-1.0": NOTICES["BSL-1.0"] + ' (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: '
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+    "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); ' + NOTICES["Apache-2.0"] + " http://www.apache.org/licenses/LICENSE-2.0 "
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License.",
+    "MPL-2.0": NOTICES["MPL-2.0"] + ". If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0": _GNU.format("GNU General Public License", "2"),
+    "GPL-3.0": _GNU.format("GNU General Public License", "3"),
+    "LGPL-2.1": _GNU.format("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _GNU.format("GNU Lesser General Public License", "3"),
+    "AGPL-3.0": _GNU.format("GNU Affero General Public License", "3"),
+}
 
 
 def default_templates() -> list[tuple[str, str]]:
-    """(licence, text) of every sentence with every name, and of the notices."""
+    """(licence, text) of every sentence with every name, of SPDX lines, beginnings of notices, and whole texts."""
     made = [(k, s.format(n)) for k, names in NAMES.items() for n in names for s in SENTENCES]
-    return made + list(NOTICES.items())
+    lines = [(k, SPDX.format(k)) for k in [*NAMES, "Zlib", "Unlicense"]]
+    return made + lines + list(NOTICES.items()) + list(TEXTS.items())
 
 
 def _let(value: Column, body) -> Column:
@@ -80,9 +125,19 @@ def shingles(own: Column, k: int = WORDS) -> Column:
     return _let(own, runs)
 
 
-def bands(window: Column) -> Column:
-    """One hash per band of a window of shingles: its number and its MinHash values."""
-    least = [F.array_min(F.transform(window, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(BANDS * ROWS)]
+def _seeded(k: int):
+    """The ``k``-th hash of an element; made here so that the lambda has one parameter, as a second one would be the element's position."""
+    return lambda x: F.xxhash64(x, F.lit(k))
+
+
+def minhash_values(grams: Column) -> Column:
+    """An array of BANDS * ROWS arrays: the elements under each of the hash functions."""
+    return F.array(*[F.transform(grams, _seeded(k)) for k in range(BANDS * ROWS)])
+
+
+def bands(window) -> Column:
+    """One hash per band, of its number and its MinHash values; ``window(k)`` are the window's elements under the ``k``-th hash function."""
+    least = [F.array_min(window(k)) for k in range(BANDS * ROWS)]
     return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
 
 
@@ -96,12 +151,12 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFra
 
 
 def _short(some: DataFrame, short: DataFrame, k: int, keys: list[int]) -> DataFrame:
-    """Places of ``some(doc_id, text)`` that hold a template of ``k`` words, fewer than WORDS."""
-    wanted = F.array(*[F.lit(x) for x in keys])
+    """Places of ``some(doc_id, row, text)`` that hold a template of ``k`` words, fewer than WORDS."""
+    wanted = F.lit(keys)
     at = _let(shingles(words(F.col("text")), k), lambda h: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(wanted, x), F.struct(i.alias("i"), x.alias("gram")))), lambda s: s.isNotNull()))
-    hits = some.select("doc_id", F.explode(at).alias("hit")).select("doc_id", F.col("hit.i").alias("first_word"), F.col("hit.gram").alias("gram"))
-    met = hits.join(F.broadcast(short.where(F.col("k") == k).select("template_id", "m", F.col("grams")[0].alias("gram"))), "gram")
-    return met.select("doc_id", "template_id", "m", F.lit(1.0).alias("containment"), "first_word", (F.col("first_word") + (k - 1)).alias("last_word"))
+    hits = some.select("doc_id", "row", F.explode(at).alias("hit")).select("doc_id", "row", F.col("hit.i").alias("first_word"), F.col("hit.gram").alias("gram"))
+    met = hits.join(F.broadcast(short.where(F.col("k") == k).select("template_id", "license", "m", F.col("grams")[0].alias("gram"))), "gram")
+    return met.select("doc_id", "row", "license", "m", F.lit(1.0).alias("containment"), "first_word", (F.col("first_word") + (k - 1)).alias("last_word"))
 
 
 def _anchors(templates: list[tuple[str, str]]) -> list[str]:
@@ -129,27 +184,32 @@ def _anchors(templates: list[tuple[str, str]]) -> list[str]:
 
 
 def _long(some: DataFrame, known: DataFrame, sizes: list[int], keys: list[int]) -> DataFrame:
-    """Places of ``some(doc_id, text)`` that hold a template of WORDS words or more; ``sizes`` are theirs in shingles, ``keys`` their shingles."""
-    grams = F.array(*[F.lit(x) for x in keys])
-    some = some.select("doc_id", shingles(words(F.col("text"))).alias("h"))
-    some = some.where(F.arrays_overlap("h", grams)).distinct()
+    """Places of ``some(doc_id, row, text)`` that hold a template of WORDS words or more; ``sizes`` are theirs in shingles, ``keys`` their shingles."""
+    grams = F.lit(keys)
+    some = some.select("doc_id", "row", shingles(words(F.col("text"))).alias("h")).where(F.arrays_overlap("h", grams))
     hits = _let(F.array_intersect("h", grams), lambda own: F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull()))
-    some = some.select("doc_id", "h", hits.alias("hits"))
+    some = some.select("doc_id", "row", "h", hits.alias("hits"), minhash_values(F.col("h")).alias("values"))
 
     def starts(m: int) -> Column:  # windows of the grid of size m with a shingle of a template
-        step = max(1, m // 4)
+        step = max(1, m // 5)
         grid = F.transform("hits", lambda p: F.sequence(F.greatest(F.floor((p - (m - 1) + step - 1) / step), F.lit(0)).cast("int"), F.floor(p / step).cast("int")))
         return F.transform(F.array_distinct(F.flatten(grid)), lambda g: F.struct(F.lit(m).alias("m"), (g * step).alias("start")))
 
-    windows = some.select("doc_id", "h", F.explode(F.flatten(F.array(*[starts(m) for m in sizes]))).alias("w")).select("doc_id", "h", "w.m", "w.start")
-    keyed = windows.withColumn("band", F.explode(bands(F.slice("h", F.col("start") + 1, F.col("m")))))
-    index = known.select("template_id", "m", "grams", F.explode(bands(F.col("grams"))).alias("band"))
-    met = keyed.join(F.broadcast(index), ["m", "band"])
+    def keyed(w: Column) -> Column:
+        return F.struct(w["m"].alias("m"), w["start"].alias("start"), bands(lambda k: F.slice(F.col("values")[k], w["start"] + 1, w["m"])).alias("bands"))
+
+    windows = F.transform(F.flatten(F.array(*[starts(m) for m in sizes])), keyed)
+    windows = some.select("doc_id", "row", "h", F.explode(windows).alias("w")).select("doc_id", "row", "h", "w.m", "w.start", "w.bands")
+    index = known.select("template_id", "license", "m", "grams", bands(lambda k: F.transform("grams", _seeded(k))).alias("own")).withColumn("band", F.explode("own"))
+    met = windows.withColumn("band", F.explode("bands")).join(F.broadcast(index), ["m", "band"])
+    # a window and a template may share several bands: only the first one counts
+    met = met.where(F.element_at(F.filter(F.zip_with("bands", "own", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("band"))
     lo = F.greatest(F.col("start") - F.col("m") / 2, F.lit(0)).cast("int")
     wide = F.slice("h", lo + 1, F.col("m") * 2)
     at = F.filter(F.transform(wide, lambda x, i: F.when(F.array_contains(F.col("grams"), x), lo + i)), lambda i: i.isNotNull())
     share = F.size(F.array_intersect("grams", wide)) / F.col("m")
-    return met.select("doc_id", "template_id", "m", share.alias("containment"), F.array_min(at).alias("first_word"), (F.array_max(at) + (WORDS - 1)).alias("last_word")).where(F.col("containment") >= CONTAINED)
+    met = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED)
+    return met.select("doc_id", "row", "license", "m", "containment", F.array_min(at).alias("first_word"), (F.array_max(at) + (WORDS - 1)).alias("last_word"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,10 +218,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     A template is there if a window with a common band, widened by half a
     window at both sides, has CONTAINED of its distinct shingles of WORDS words;
     a template of fewer words, where all its words stand in a row.
-    Of matches that overlap in words, those with a smaller containment, or the
-    same with fewer shingles, give way.  Null texts are empty; a
-    template without words matches nothing; equal rows give their matches once;
-    other columns are not read.  The templates are fixed and few, and broadcast.
+    Of matches of one text that overlap in words, those with a smaller
+    containment, or the same with fewer shingles, give way; the matches of a
+    text are gathered in one row for that.  Null texts are empty; a template
+    without words matches nothing; rows with the same id, or none, and the same
+    text give their matches once, those with other texts each their own; other
+    columns are not read; an empty table gives no match.  The templates are
+    fixed and few, and broadcast.
     """
     spark = docs.sparkSession
     templates = default_templates() if templates is None else templates
@@ -175,19 +238,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     near = F.lit(False)
     for a in _anchors(templates):
         near = near | low.contains(a)
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(near)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(near).select("doc_id", F.md5(F.col("text").cast("binary")).alias("row"), "text")
     parts = [_short(some, known, k, sorted({r["grams"][0] for r in rows if r["k"] == k})) for k in sorted({r["k"] for r in rows} - {WORDS})]
     if any(r["k"] == WORDS for r in rows):
         long = [r for r in rows if r["k"] == WORDS]
         parts.append(_long(some, known.where(F.col("k") == WORDS), sorted({r["m"] for r in long}), sorted({g for r in long for g in r["grams"]})))
     found = reduce(DataFrame.unionByName, parts)
-    names = F.broadcast(known.select("template_id", "license"))
-    found = found.join(names, "template_id").groupBy("doc_id", "license", "first_word", "last_word").agg(F.max(F.struct("containment", "m")).alias("best")).select("doc_id", "license", "first_word", "last_word", "best.containment", "best.m")
-    a, b = found.alias("a"), found.alias("b")
-    beaten = a.join(
-        b,
-        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.first_word") <= F.col("b.last_word")) & (F.col("b.first_word") <= F.col("a.last_word"))
-        & (F.struct("b.containment", "b.m", F.col("b.license")) > F.struct("a.containment", "a.m", F.col("a.license"))),
-        "left_anti",
-    )
-    return beaten.select("doc_id", "license", "first_word", "last_word", "containment")
+    # by text: at a place, a licence's best match; then those that no better one overlaps
+    best = found.groupBy("doc_id", "row", "license", "first_word", "last_word").agg(F.max(F.struct("containment", "m")).alias("best"))
+    own = best.groupBy("doc_id", "row").agg(F.collect_list(F.struct("best.containment", "best.m", "license", "first_word", "last_word")).alias("all"))
+    rank = lambda x: F.struct(x["containment"], x["m"], x["license"])
+    beats = lambda b, a: (a["first_word"] <= b["last_word"]) & (b["first_word"] <= a["last_word"]) & (rank(b) > rank(a))
+    left = F.filter("all", lambda a: ~F.exists("all", lambda b: beats(b, a)))
+    return own.select("doc_id", F.explode(left).alias("x")).select("doc_id", "x.license", "x.first_word", "x.last_word", "x.containment")
