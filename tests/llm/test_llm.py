@@ -118,7 +118,21 @@ def test_tree_prunes_but_never_loses():
             keep = q[rng.random(len(q)) < rng.choice([0.3, 0.9, 0.97])]
             members.append(np.unique(np.concatenate((keep, rng.integers(300, 900, rng.integers(0, 12)).astype(np.uint64)))))
         want = [100 * len(np.intersect1d(q, m)) >= 85 * len(np.union1d(q, m)) for m in members]
-        assert ngram_join.tree_matches(q, members, 85, 100) == want
+        found = ngram_join.PrefixTree(members).similar(q, 85, 100)
+        assert sorted(found) == np.flatnonzero(want).tolist()
+
+
+def test_tree_shares_beginnings_and_prunes_subtrees():
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.choice(10_000, 200, replace=False)).astype(np.uint64)
+    near = [np.concatenate((base[:190], np.array([20_000 + i], np.uint64))) for i in range(50)]
+    far = [np.concatenate((np.array([50_000], np.uint64), np.sort(rng.choice(10_000, 150, replace=False)).astype(np.uint64))) for _ in range(50)]
+    short = [base[: 20 + i] for i in range(50)]
+    tree = ngram_join.PrefixTree(near + far + short)
+    assert sorted(tree.similar(base, 85, 100)) == list(range(50))
+    assert tree.visited < 50 + 50 + 10  # of the far ones only the common beginning, of the short ones the path to the near ones
+    assert tree.similar(np.zeros(0, np.uint64), 85, 100) == [] and ngram_join.PrefixTree([]).similar(base, 85, 100) == []
+    assert sorted(ngram_join.PrefixTree([base, base[:199], base]).similar(base, 85, 100)) == [0, 1, 2]
 
 
 def test_join_edge_cases(spark):

@@ -3,10 +3,11 @@
 A document's set holds its distinct 4-word shingles.  All sets are sorted by
 one global order (rare shingles first), so two sets that are similar enough
 share one of their first few shingles, at a position that leaves room for the
-overlap they need.  Those shared shingles name the candidates.  Candidates of
-one query set are stored in a prefix tree; the query walks it once, runs of
-shingles that several candidates share are matched once, and a branch is left
-as soon as the shingles that remain below it cannot supply the missing overlap.
+overlap they need.  Those shared shingles name the candidates.  The candidates
+of a block are stored in one prefix tree that all its queries walk: shingles
+that several candidates begin with are matched once, and a subtree is left as
+soon as no size below it fits, or what remains below it cannot supply the
+missing overlap.
 
 Equal sets collapse to one representative before anything is paired, and pairs
 whose ends are already connected are not compared again: the result is the
@@ -16,6 +17,7 @@ partition into components, which needs no more than that.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,10 +39,12 @@ GROUP_ROWS = 4096
 BLOCK_SHINGLES = 1 << 20
 #: Shingles of one prefix tree of a query's candidates; more are split over several trees.
 TREE_SHINGLES = 1 << 21
-#: Rows of a shingle up to which they meet as pairs, under the exact conditions; the rows of a larger group meet in blocks.
+#: Rows of a shingle that one task compares with each other; the rows of a larger group meet in blocks.
 PAIRED = 400
-#: Members and queries of a block, about; candidates that a query compares before it looks again which are connected.
-MEMBERS, QUERIES, TREE_MEMBERS = 256, 1024, 32
+#: 64-bit words of the marks by which a task rules out that two sets share enough of their first shingles.
+MARKS = 8
+#: Members and queries of a block, about.
+MEMBERS, QUERIES = 256, 1024
 
 
 def _need(n1, n2, num: int, den: int):
@@ -194,62 +198,104 @@ def _meetings(num: int, den: int):
     return run
 
 
-def tree_matches(query: np.ndarray, members: list[np.ndarray], num: int, den: int) -> list[bool]:
-    """Which members' sets are similar to the query's; all in the global order.
+class PrefixTree:
+    """Sets in the global order, stored as a trie: sets with a common beginning share its nodes.
 
-    The members sorted as sequences are the prefix tree in depth-first order:
-    neighbours share as many leading entries as their longest common prefix.
-    The overlap with the query at every depth of the current path is kept, so a
-    shared part is matched once.  Where the overlap so far plus all that is
-    left cannot reach the need of any set below, the whole branch is passed.
+    A node holds the entries from ``begin`` to ``end`` of the sequences below
+    it, the smallest and largest size among them, and the sets that end there.
     """
-    found = [False] * len(members)
-    in_query = np.sort(query)
-    order = sorted(range(len(members)), key=lambda i: members[i].byteswap().tobytes())
-    path = np.zeros(0, np.uint64)  # the entries that led here, and the overlap before each
-    overlap = np.zeros(1, np.int64)
-    for i in order:
-        own = members[i]
-        m = min(len(path), len(own))
-        differ = np.flatnonzero(path[:m] != own[:m])
-        depth = int(differ[0]) if len(differ) else m
-        need = int(_need(len(query), len(own), num, den))
-        have = int(overlap[depth])
-        path, overlap = path[:depth], overlap[: depth + 1]
-        step = 64
-        while have + min(len(own) - depth, len(query) - have) >= need and depth < len(own):
-            part = own[depth : depth + step]
-            at = np.searchsorted(in_query, part)
-            at[at == len(in_query)] = 0
-            run = have + np.cumsum(in_query[at] == part)
-            path, overlap = np.concatenate((path, part)), np.concatenate((overlap, run))
-            depth, have, step = depth + len(part), int(run[-1]), step * 2
-        found[i] = depth == len(own) and have >= need
-    return found
+
+    def __init__(self, members: list[np.ndarray]):
+        self.members = members
+        order = sorted((i for i in range(len(members)) if len(members[i])), key=lambda i: members[i].byteswap().tobytes())
+        own = [members[i] for i in order]
+        same = [0] * len(order)  # entries that a sequence shares with the one before it
+        for k in range(1, len(order)):
+            m = min(len(own[k - 1]), len(own[k]))
+            differ = np.flatnonzero(own[k - 1][:m] != own[k][:m])
+            same[k] = int(differ[0]) if len(differ) else m
+        same = np.array(same, np.int64)
+        sizes = np.array([len(x) for x in own], np.int64)
+        self.nodes: list[tuple[int, int, int, int, int, list[int], list[int]]] = []  # begin, end, a set that runs through, smallest, largest, sets that end here, children
+        self.roots: list[int] = []
+        open_ = [(a, b, 0, self.roots) for a, b in self._runs(same, 0, len(order), 0)]
+        while open_:
+            a, b, begin, parent = open_.pop()
+            end = int(same[a + 1 : b].min()) if b - a > 1 else int(sizes[a])
+            here = a
+            while here < b and sizes[here] == end:
+                here += 1
+            children: list[int] = []
+            parent.append(len(self.nodes))
+            self.nodes.append((begin, end, order[a], int(sizes[a:b].min()), int(sizes[a:b].max()), order[a:here], children))
+            open_ += [(x, y, end, children) for x, y in self._runs(same, here, b, end)]
+
+    @staticmethod
+    def _runs(same: np.ndarray, a: int, b: int, depth: int) -> list[tuple[int, int]]:
+        """The parts of a..b whose sequences share more than ``depth`` entries."""
+        if a >= b:
+            return []
+        edges = [a, *(a + 1 + np.flatnonzero(same[a + 1 : b] <= depth)).tolist(), b]
+        return list(zip(edges[:-1], edges[1:]))
+
+    def similar(self, query: np.ndarray, num: int, den: int, wanted=None) -> list[int]:
+        """The members with ``den * intersection >= num * union``, of those that ``wanted`` accepts; ``visited`` counts the nodes that were entered.
+
+        The overlap with a node's entries is counted once for all sets below.
+        A subtree is left where none of its sizes fits the query's, or where
+        what remains of the query behind the last common entry, or of the
+        longest set below, cannot supply the overlap that the shortest one
+        that fits needs.
+        """
+        found, n = [], len(query)
+        by_value = np.argsort(query, kind="stable")
+        in_query = query[by_value]
+        least, most = -(-num * n // den), n * den // num
+        self.visited = 0
+        open_ = [(k, 0, 0) for k in self.roots]  # node, overlap before it, entries of the query up to the last common one
+        while open_:
+            k, have, behind = open_.pop()
+            begin, end, through, small, large, ending, children = self.nodes[k]
+            if not n or large < least or small > most:
+                continue
+            need = int(_need(n, max(small, least), num, den))
+            large = min(large, most)
+            self.visited += 1
+            depth, step, path = begin, 64, self.members[through]
+            while depth < end and have + min(n - behind, large - depth) >= need:
+                part = path[depth : min(end, depth + step)]
+                at = np.searchsorted(in_query, part)
+                at[at == n] = 0
+                hit = by_value[at[in_query[at] == part]]
+                if len(hit):
+                    have, behind = have + len(hit), int(hit.max()) + 1
+                depth, step = depth + len(part), step * 2
+            if depth < end or have + min(n - behind, large - depth) < need:
+                continue
+            if have >= _need(n, end, num, den):
+                found += [i for i in ending if wanted is None or wanted(i)]
+            open_ += [(c, have, behind) for c in children]
+        return found
 
 
 def _tree_join(num: int, den: int):
-    """Links of a block: its queries (``q`` true) walk the tree of its members.  Rows that are connected already, before or by links found here, are not compared."""
+    """Links of a block: its queries (``q`` true) walk the tree of its members.  Rows that are connected already, before or by links found here, are not linked again."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         ids, comp, is_query = rows["id"].to_numpy(), rows["c"].to_numpy().copy(), rows["q"].to_numpy(bool)
         queries, members = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        members = members[np.argsort([sets[i].byteswap().tobytes() for i in members])] if len(members) else members
-        sizes = np.array([len(x) for x in sets], np.int64)
+        tree = PrefixTree([sets[i] for i in members])
         u, v = [], []
         for q in queries:
-            n = sizes[q]
-            open_ = members[(comp[members] != comp[q]) & (sizes[members] * num <= n * den) & (n * num <= sizes[members] * den) & (ids[members] != ids[q])]
-            while len(open_):
-                some, open_ = open_[:TREE_MEMBERS], open_[TREE_MEMBERS:]
-                hit = some[np.array(tree_matches(sets[q], [sets[i] for i in some], num, den), bool)]
-                for i in hit:
+            if (comp[members] == comp[q]).all():
+                continue
+            for k in tree.similar(sets[q], num, den, lambda k: comp[members[k]] != comp[q]):  # noqa: B023
+                i = members[k]
+                if comp[i] != comp[q]:
                     u.append(ids[q])
                     v.append(ids[i])
                     comp[comp == comp[i]] = comp[q]
-                if len(hit) and len(open_):
-                    open_ = open_[comp[open_] != comp[q]]
         return pd.DataFrame({"u": np.array(u, "int64"), "v": np.array(v, "int64")})
 
     return run
@@ -293,14 +339,60 @@ def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return members.drop("a").unionByName(queries)
 
 
-def _cross_pairs(row: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(token, id, n, p, e, room, c)`` of one token that may be similar and are not connected."""
-    a, b = row.alias("a"), row.alias("b")
-    need = F.ceil(F.lit(num) * (F.col("a.n") + F.col("b.n")) / F.lit(num + den))
-    room = F.when(F.col("a.e") < F.col("b.e"), F.col("a.room")).when(F.col("b.e") < F.col("a.e"), F.col("b.room")).otherwise(F.greatest("a.room", "b.room"))
-    left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.struct("a.n", "a.id") < F.struct("b.n", "b.id")) & (F.col("a.c") != F.col("b.c")) & (F.col("b.n") * num <= F.col("a.n") * den) & (left >= need) & (room >= need))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _marks(name: str) -> list:
+    """Aggregates that set, for each token of a group, one of 64 * MARKS bits."""
+    word, bit = F.pmod(F.shiftright(name, 6), F.lit(MARKS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(name), F.lit(64)).cast("int"))
+    return [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(MARKS)]
+
+
+def _near_pairs(num: int, den: int):
+    """Of rows ``(token, id, n, p, e, c, k, m0, ...)`` sorted by token: the pairs ``(a, b)`` of one token that may be similar and are not connected.
+
+    ``k`` and the bits ``m`` stand for a set's first shingles that other sets
+    have among theirs.  Of the set whose first shingles end earlier in the
+    global order at most ``n - need`` may be missing in the other one; every bit
+    that only the first has is at least one of them.  All is decided here, so
+    that a shingle which many dissimilar sets share gives no row per pair.
+    """
+
+    def group(cols, marks):
+        n, e, c, k = cols["n"], cols["e"], cols["c"], cols["k"]
+        a, b = np.triu_indices(len(n), 1)
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ok = (c[a] != c[b]) & (cols["id"][a] != cols["id"][b]) & (large * num <= small * den)
+        a, b = a[ok], b[ok]
+        need = _need(n[a], n[b], num, den)
+        ok = np.minimum(n[a] - cols["p"][a], n[b] - cols["p"][b]) >= need
+        a, b, need = a[ok], b[ok], need[ok]
+        first = lambda x: need + 1 - -(-num * n[x] // den)  # noqa: E731  the least number of common first shingles, if those of x end earlier
+        have = lambda x, y: k[x] - np.bitwise_count(marks[x] & ~marks[y]).sum(1)  # noqa: E731  and the most that there can be
+        return a, b, np.where(e[a] < e[b], have(a, b) >= first(a), np.where(e[b] < e[a], have(b, a) >= first(b), np.minimum(have(a, b), have(b, a)) >= np.minimum(first(a), first(b))))
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if held is not None or batch is not None else None
+            if table is None or not table.num_rows:
+                continue
+            token = table.column("token").to_numpy()
+            edges = np.concatenate(([0], 1 + np.flatnonzero(token[1:] != token[:-1]), [len(token)]))
+            done = len(edges) - 1 if batch is None else len(edges) - 2  # the last token may go on
+            held = None if batch is None else table.slice(int(edges[-2])).to_batches()[0]
+            cols = {x: table.column(x).to_numpy() for x in ("id", "n", "p", "e", "c", "k")}
+            marks = np.column_stack([table.column(f"m{w}").to_numpy() for w in range(MARKS)]).astype(np.int64).view(np.uint64)
+            us, vs = [], []
+            for g in range(done):
+                lo, hi = int(edges[g]), int(edges[g + 1])
+                if hi - lo > 1:
+                    a, b, ok = group({x: y[lo:hi] for x, y in cols.items()}, marks[lo:hi])
+                    us.append(cols["id"][lo:hi][a[ok]])
+                    vs.append(cols["id"][lo:hi][b[ok]])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
@@ -311,9 +403,9 @@ def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
     any token.  So a large group of copies is some parts of MEMBERS rows, each
     met by every row of the group once, and not a row for each pair.
     """
-    counts = row.groupBy("token").agg(F.count("*").alias("m"))
+    counts = row.groupBy("token").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / F.lit(MEMBERS), F.sum("n") / F.lit(TREE_SHINGLES))).alias("parts"))
     sized = row.join(counts, "token")
-    home = sized.groupBy("id").agg(F.max(F.struct("m", "token")).alias("h")).select("id", F.xxhash64("h.token", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.m") / F.lit(MEMBERS)))).alias("block"))
+    home = sized.groupBy("id").agg(F.max(F.struct("m", "token", "parts")).alias("h")).select("id", F.xxhash64("h.token", F.pmod(F.xxhash64("id"), F.col("h.parts"))).alias("block"))
     wide = materialize(row.join(home, "id"), "shingle-homes")
     need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
     # a query meets a block under a token: the block's bounds there, over its rows, decide whether any row could be similar
@@ -322,8 +414,8 @@ def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
     least = need(F.col("n"), F.greatest(F.col("n0"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))))
     room = F.when(F.col("e") < F.col("e0"), F.col("room")).when(F.col("e1") < F.col("e"), F.col("room1")).otherwise(F.greatest("room", "room1"))
     met = q.join(at, "token").where(((F.col("c0") != F.col("c")) | (F.col("c1") != F.col("c"))) & (F.col("n0") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("n1") * den) & (F.least(F.col("n") - F.col("p"), "left") >= least) & (room >= least))
-    met = materialize(met.select("block", "id").distinct(), "shingle-met")
-    parts = met.groupBy("block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("parts"))
+    met = materialize(met.select("block", "id", "n").distinct(), "shingle-met")
+    parts = met.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / F.lit(QUERIES), F.sum("n") / F.lit(TREE_SHINGLES))).cast("int").alias("parts"))
     queries = met.join(parts, "block").select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("q"))
     members = wide.select("block", "id").distinct().join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("q"))
     return queries.unionByName(members)
@@ -353,7 +445,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left")
     met = met.select("token", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), "e", "pivot")
     met = materialize(met, "shingle-rows")
-    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"))
+    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"), *_marks("token"))
     # of the first shingles, those that no other set has among its own are missing in any set whose first ones end later
     unshared = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.size("tokens")
     heads = materialize(heads.withColumn("room", F.col("n") - unshared), "shingle-heads")
@@ -371,8 +463,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
     counts = row.groupBy("token").agg(F.count("*").alias("m"))
     few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
-    pairs = _star_blocks(_possible(_cross_pairs(few, num, den), heads, num, den), heads)
+    names = [f"m{w}" for w in range(MARKS)]
+    marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
+    near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "a long, b long").distinct(), "shingle-pairs")
+    pairs = _star_blocks(_possible(near, heads, num, den), heads)
     more = materialize(_verified(pairs.unionByName(_cross_blocks(many, num, den)), docs, first, build_sets, num, den), "links")
+    frequent.unpersist()
     merged = connected_components(links.unionByName(more))
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
