@@ -45,9 +45,9 @@ def test_completed_coordinates(spark):
 
 def test_grouped_options(spark):
     v = spark.createDataFrame([(1, k, n) for k, n in (("13", 100), ("22", 80), ("12", 10), ("30", 5), ("95", 3), ("96", 2))], "section int, option string, votes long")
-    g = spark.createDataFrame([("13", "pt"), ("22", "bolsonaro"), ("12", "ciro"), ("95", "blanco_nulo"), ("96", "blanco_nulo")], "option string, grp string")
+    g = spark.createDataFrame([("13", "ab"), ("22", "xy"), ("12", "third"), ("95", "blank"), ("96", "blank")], "option string, grp string")
     got = {r["grp"]: r["votes"] for r in dims.grouped_options(v, g, ["section"]).collect()}
-    assert got == {"pt": 100, "bolsonaro": 80, "ciro": 10, "otros": 5, "blanco_nulo": 5}
+    assert got == {"ab": 100, "xy": 80, "third": 10, "otros": 5, "blank": 5}
 
 
 def test_variance_parts_and_means(spark):
@@ -95,20 +95,20 @@ def matrix(spark, rows):
     return spark.createDataFrame([("X", o, d, float(p)) for o, r in rows.items() for d, p in r.items()], "unit string, origin string, dest string, p double")
 
 
-BASE = {"pt": dict(pt=0.9, bolsonaro=0.05, blank=0.05, gone=0.0), "bolsonaro": dict(pt=0.05, bolsonaro=0.9, blank=0.05, gone=0.0), "otros": dict(pt=0.4, bolsonaro=0.4, blank=0.2, gone=0.0)}
+BASE = {"ab": dict(ab=0.9, xy=0.05, blank=0.05, gone=0.0), "xy": dict(ab=0.05, xy=0.9, blank=0.05, gone=0.0), "otros": dict(ab=0.4, xy=0.4, blank=0.2, gone=0.0)}
 
 
 def test_second_round(spark):
-    v = spark.createDataFrame([("X", "pt", 60), ("X", "bolsonaro", 60), ("X", "third", 80)], "unit string, grp string, votes long")
+    v = spark.createDataFrame([("X", "ab", 60), ("X", "xy", 60), ("X", "third", 80)], "unit string, grp string, votes long")
     like = spark.createDataFrame([("third", "otros")], "grp string, like string")
     args = (v, matrix(spark, BASE), like)
     by = lambda df: {r["dest"]: round(r["votes"], 6) for r in df.collect()}
-    plain = by(transfer.second_round(*args, None, ("pt", "bolsonaro"), ("blank", "gone"), "unit"))
-    assert plain["pt"] == plain["bolsonaro"] == 89.0 and plain["blank"] == 22.0
-    cells = spark.createDataFrame([("X", "third", "pt", 80.0)], "unit string, third string, origin string, votes double")
-    moved = by(transfer.second_round(*args, cells, ("pt", "bolsonaro"), ("blank", "gone"), "unit"))
-    assert moved["pt"] == 121.0 and moved["bolsonaro"] == 57.0
-    forced = by(transfer.second_round(*args, None, ("pt", "bolsonaro"), ("blank", "gone"), "unit", override=spark.createDataFrame([("third", 1.0)], "grp string, share double")))
+    plain = by(transfer.second_round(*args, None, ("ab", "xy"), ("blank", "gone"), "unit"))
+    assert plain["ab"] == plain["xy"] == 89.0 and plain["blank"] == 22.0
+    cells = spark.createDataFrame([("X", "third", "ab", 80.0)], "unit string, third string, origin string, votes double")
+    moved = by(transfer.second_round(*args, cells, ("ab", "xy"), ("blank", "gone"), "unit"))
+    assert moved["ab"] == 121.0 and moved["xy"] == 57.0
+    forced = by(transfer.second_round(*args, None, ("ab", "xy"), ("blank", "gone"), "unit", override=spark.createDataFrame([("third", 1.0)], "grp string, share double")))
     assert forced == moved
     assert abs(sum(plain.values()) - 200) < 1e-9
 
@@ -122,9 +122,9 @@ def test_origin_cells_scale_to_the_observed(spark):
 
 
 def test_blocks_recombine(spark):
-    v = spark.createDataFrame([("X", g, 10.0) for g in ("pt", "bolsonaro", "otros")], "unit string, grp string, votes double")
+    v = spark.createDataFrame([("X", g, 10.0) for g in ("ab", "xy", "otros")], "unit string, grp string, votes double")
     parts = transfer.blocks(v, matrix(spark, BASE), "unit")
-    s = {r["scenario"]: r["share"] for r in transfer.recombine(parts, spark.createDataFrame([("same", "pt", 1.0), ("more", "pt", 2.0)], "scenario string, grp string, factor double"), "pt", "bolsonaro").collect()}
+    s = {r["scenario"]: r["share"] for r in transfer.recombine(parts, spark.createDataFrame([("same", "ab", 1.0), ("more", "ab", 2.0)], "scenario string, grp string, factor double"), "ab", "xy").collect()}
     assert abs(s["same"] - 0.5) < 1e-12 and s["more"] > 0.6
 
 

@@ -13,13 +13,17 @@ def value(spark, c):
 
 
 @pytest.mark.parametrize("raw, expected", [
-    ("27–29 Sep", (dt.date(2022, 9, 27), dt.date(2022, 9, 29))),
-    ("30 Sep – 1 Oct", (dt.date(2022, 9, 30), dt.date(2022, 10, 1))),
-    ("2–5 October 2018", (dt.date(2018, 10, 2), dt.date(2018, 10, 5))),
-    ("24 October 2018", (dt.date(2018, 10, 24), dt.date(2018, 10, 24))),
-    ("30 Dec – 2 Jan", None),
-    ("soon", None),
-    ("31 Feb", None),
+    ("3–5 Mar", (dt.date(2022, 3, 3), dt.date(2022, 3, 5))),
+    ("28 Feb − 2 Mar", (dt.date(2022, 2, 28), dt.date(2022, 3, 2))),
+    ("11-14 August 2016[b]", (dt.date(2016, 8, 11), dt.date(2016, 8, 14))),
+    ("7 May 2014", (dt.date(2014, 5, 7), dt.date(2014, 5, 7))),
+    ("28 Feb 2020 - 1 March 2020", (dt.date(2020, 2, 28), dt.date(2020, 3, 1))),
+    ("19 Nov – 4 Jan", None),
+    ("unknown", None),
+    ("30 Feb", None),
+    ("5 anm", None),
+    ("4", None),
+    ("1-2-3 Mar", None),
     (None, None),
 ])
 def test_date_range(spark, raw, expected):
@@ -27,15 +31,16 @@ def test_date_range(spark, raw, expected):
     assert (tuple(got) if got else None) == expected
 
 
-@pytest.mark.parametrize("raw, name, expected", [("44,87%", None, 44.87), ("–N/a", None, None), ("41% (Haddad)", "haddad", 41.0), ("39% (Lula)", "haddad", None), ("12[3]", None, 12.0)])
+@pytest.mark.parametrize("raw, name, expected", [("17,25%", None, 17.25), ("—", None, None), ("33% (Rivera)", "rivera", 33.0), ("35% (Soto)", "rivera", None), ("8[x]", None, 8.0)])
 def test_number_cell(spark, raw, name, expected):
     assert value(spark, text.number_cell(F.lit(raw), name)) == expected
 
 
-@pytest.mark.parametrize("raw, expected", [("Datafolha[5]", "datafolha"), ("Genial/Quaest", "quaest"), ("ÍPEC", "ipec"), ("Nova Casa", "wiki_nova_casa"), ("Quaest Archived 3 May", "quaest")])
+@pytest.mark.parametrize("raw, expected", [("Norte Pesquisa[2]", "norte"), ("Sul / Mérito", "merito"), ("MÉRITO", "merito"), ("A New  One", "wiki_a_new_one"), ("Mérito Archived 9 June at a site", "merito"), ("Sul/Leste", "wiki_sul_leste")])
 def test_canonical_house(spark, raw, expected):
-    aliases = {"datafolha": "datafolha", "quaest": "quaest", "ipec": "ipec"}
+    aliases = {"norte pesquisa": "norte", "merito": "merito"}
     assert value(spark, text.canonical(F.lit(raw), aliases)) == expected
+    assert value(spark, text.canonical(F.lit(raw), {})).startswith("wiki_")
 
 
 def test_small_text_functions(spark):
@@ -43,7 +48,8 @@ def test_small_text_functions(spark):
     assert value(spark, text.sample_size(F.lit("2.000[a]"))) == 2000
     assert value(spark, text.zero_padded(F.lit("71"), 5)) == "00071"
     assert value(spark, text.proper_name(F.lit("RIO DE JANEIRO"))) == "Rio de Janeiro"
-    assert value(spark, text.header_label(F.lit("Unnamed: 1"), F.lit("Lula [a]"))) == "Lula"
+    assert value(spark, text.header_label(F.lit("Unnamed: 3"), F.lit(None).cast("string"), F.lit("Rivera [note]"))) == "Rivera"
+    assert value(spark, text.header_label(F.lit("Unnamed: 3"))) == "?"
     assert value(spark, text.lenient(F.lit("x1"), "long")) is None
     assert value(spark, text.date_of(F.lit("03/10/2022"), "yyyy-MM-dd", "dd/MM/yyyy")) == dt.date(2022, 10, 3)
     assert value(spark, text.same_prefix(F.lit("ESCOLA MUNICIPAL A"), F.lit("ESCOLA MUNICIPAL B"))) is True
@@ -77,8 +83,8 @@ def test_conform_and_roles(spark):
     out = scan.conform(df, {"t": ["old", "a", "b"], "n": ["none"]}, {"t": "int"}).collect()
     assert [r["t"] for r in out] == [1, None] and out[0]["n"] is None
     assert scan.first_existing(df, "z", "b") == "b"
-    roles = {"date": "date|period", "sample": "sample", "candidate*": "lula|ciro"}
-    assert scan.column_roles(["Date", "Sample", "Lula", "Ciro"], roles)["Ciro"] == "candidate*"
+    roles = {"date": "date|period", "sample": "sample", "candidate*": "rivera|soto"}
+    assert scan.column_roles(["Date", "Sample", "Rivera", "Soto"], roles)["Soto"] == "candidate*"
     with pytest.raises(ValueError):
         scan.column_roles(["Date", "Sample", "Odd"], roles)
 
