@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .storage import ids_to_join
+from .storage import ids_to_join, texts_of
 
 #: Words of a shingle, and the similarity from which a window matches an item.
 WORDS, SIMILARITY = 5, 0.8
@@ -237,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pass over the documents with the counts of shingles that several items have.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts_of(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, first_word long"
     found, block = None, []
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null").distinct()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, texts_of
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
@@ -22,7 +22,7 @@ GROUP = 20_000
 #: Emptiest sequences in a row that the search may fail to empty before it ends.
 PATIENCE = 24
 #: Distinct words whose ids a task remembers.
-MEMORY = 800_000
+MEMORY = 150_000
 
 #: A word that is one run of western letters and one of marks: two words of the tokenizer, both stable under its normalisation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?%$#&*|:;()+=@/-]*)\Z")
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
         definition = f.read()
     json.loads(definition)
     shared = spark.sparkContext.broadcast(definition)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts_of(docs, id_col, text_col)
     pieces = materialize(texts.mapInArrow(_pieces(shared, capacity), "doc_id long, piece long, start long, length long, ids_crc32 long"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))

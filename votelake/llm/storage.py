@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,42 @@ from pyspark.sql import functions as F
 
 #: Ids that are broadcast to a join, at most.
 BROADCAST_IDS = 1 << 20
+#: Bytes of a batch of rows that Spark sends to a Python worker, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's batches to Python workers bounded by BATCH_BYTES.
+
+    Texts differ in length, so Spark's bound on rows does not bound memory.  A
+    smaller bound that the session has already stays.
+    """
+    conf = df.sparkSession.conf
+    size = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)b?\s*", conf.get(_BATCH_CONF).lower())
+    now = int(size[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[size[2]] if size and int(size[1]) > 0 else None
+    if now is None or now > BATCH_BYTES:
+        conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+    return df
+
+
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text)`` of all rows, a number and a string, in bounded batches."""
+    return bound_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    on one machine in tests, a new temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and
+    the driver is the one executor, as in tests, a new temporary folder takes
+    its place; on a cluster an unset folder is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="votelake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,7 +62,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them is written itself."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ids_to_join(ids: DataFrame, name: str) -> DataFrame:
