@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .components import connected_components
-from .storage import ids_to_join, materialize
+from .storage import discard, ids_to_join, materialize, texts_of
 
 #: A shingle is ordered by its frequency if one in so many documents of a block holds it.
 SUPPORT = 2000
@@ -107,9 +107,10 @@ def _keys(n: int):
 
 
 def _prefixes(n: int, num: int, den: int, frequent):
-    """Rows ``(token, k1, k2, np, e)`` for the first shingles of a set, by which it meets any similar one; equal sets of a batch give one.
+    """Rows ``(token, k1, np, e)`` for the first shingles of a set, by which it meets any similar one; equal sets of a batch give one.
 
-    ``np`` is the set's size and, in the lower half, the shingle's position; ``e`` is the place in the global order where the first shingles end.
+    Among the sets that have a token, the first half of the key tells them
+    apart.  ``np`` is the set's size and, in the lower half, the shingle's position; ``e`` is the place in the global order where the first shingles end.
     """
 
     def run(batches):
@@ -122,26 +123,26 @@ def _prefixes(n: int, num: int, den: int, frequent):
                     size = len(s)
                     length = size - (-(-num * size // den)) + 1
                     own, rank = _ranked(s, (keys, counts))
-                    parts.append((own[:length], k1, k2, size, _place(int(own[length - 1]), int(rank[length - 1]))))
+                    parts.append((own[:length], k1, size, _place(int(own[length - 1]), int(rank[length - 1]))))
             lengths = [len(x[0]) for x in parts]
             column = lambda k: np.repeat(np.array([x[k] for x in parts], np.int64), lengths)
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(column(1)), pa.array(column(2)), pa.array(column(3) << 32 | np.concatenate([np.arange(k) for k in lengths])), pa.array(column(4))], names=["token", "k1", "k2", "np", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(column(1)), pa.array(column(2) << 32 | np.concatenate([np.arange(k) for k in lengths])), pa.array(column(3))], names=["token", "k1", "np", "e"])
 
     return run
 
 
 def _meetings(num: int, den: int):
-    """Of rows sorted by ``token, np, k1, k2``: those whose token another set has too, with the smallest possible partner as pivot.
+    """Of rows sorted by ``token, np, k1``: those whose token another set has too, with the smallest possible partner as pivot.
 
     A partner is possible if both sizes and both positions leave room for the
     overlap that the pair needs.
     """
 
-    def group(t, k1, k2, both, e):
+    def group(t, k1, both, e):
         new = np.ones(len(t), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        t, k1, k2, both, e = t[new], k1[new], k2[new], both[new], e[new]
+        new[1:] = (k1[1:] != k1[:-1]) | (both[1:] != both[:-1])
+        t, k1, both, e = t[new], k1[new], both[new], e[new]
         n, p = both >> 32, both & 0xFFFFFFFF
         if len(t) < 2:
             return None
@@ -152,13 +153,13 @@ def _meetings(num: int, den: int):
             j = j[(pivot[j] < 0) & (np.minimum(left[i], left[j]) >= _need(n[i], n[j], num, den))]
             pivot[j] = i
         q = np.maximum(pivot, 0)
-        return [t, k1, k2, both, e, k1[q], k2[q], pivot >= 0]
+        return [t, k1, both, e, k1[q], n[q], pivot >= 0]
 
     def emit(groups):
         if groups:
             cols = [np.concatenate(x) for x in zip(*groups)]
-            none = ~cols[7]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:5]] + [pa.array(cols[5], mask=none), pa.array(cols[6], mask=none)], names=["token", "k1", "k2", "np", "e", "q1", "q2"])
+            none = ~cols[6]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:4]] + [pa.array(cols[4], mask=none), pa.array(cols[5], mask=none)], names=["token", "k1", "np", "e", "q1", "qn"])
 
     def run(batches):
         held: list[np.ndarray] = []  # the rows of the token that is still open, or its first row once it is too large to hold
@@ -166,7 +167,7 @@ def _meetings(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             out = []
             if held and held[0][0] == cols[0][0]:
                 a = int(np.searchsorted(cols[0], cols[0][0], "right"))
@@ -175,12 +176,12 @@ def _meetings(num: int, den: int):
             if a and wide:
                 new = [c[:a] for c in cols]
                 m = len(new[0])
-                out.append([*new, np.full(m, held[1][0]), np.full(m, held[2][0]), (new[3] >> 32) * num <= (held[3][0] >> 32) * den])
+                out.append([*new, np.full(m, held[1][0]), np.full(m, held[2][0] >> 32), (new[2] >> 32) * num <= (held[2][0] >> 32) * den])
             elif a:
                 held = [np.concatenate((h, c[:a])) for h, c in zip(held, cols)]
                 if len(held[0]) > GROUP_ROWS:
                     m, wide = len(held[0]), True
-                    out.append([*held, np.full(m, held[1][0]), np.full(m, held[2][0]), (held[3] >> 32) * num <= (held[3][0] >> 32) * den])
+                    out.append([*held, np.full(m, held[1][0]), np.full(m, held[2][0] >> 32), (held[2] >> 32) * num <= (held[2][0] >> 32) * den])
                     held = [h[:1] for h in held]
             if a < batch.num_rows:  # the open token ends here
                 if held and not wide:
@@ -322,12 +323,15 @@ def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame | None, bui
     blocks = materialize(blocks, "shingle-blocks")
     wanted = ids_to_join(blocks.select("id").distinct(), "candidates")
     own = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
-    sets = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets").dropDuplicates(["id"])
+    written = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets")
+    sets = written.dropDuplicates(["id"])
     rows = blocks.join(sets.select("id", "tokens"), "id")
     if classes is not None:
         rows = rows.join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
     rows = rows.select("block", "part", "id", "q", "tokens", F.coalesce("component", "id").alias("c") if classes is not None else F.col("id").alias("c"))
-    return rows.groupBy("block", "part").applyInPandas(_tree_join(num, den), "u long, v long")
+    links = materialize(rows.groupBy("block", "part").applyInPandas(_tree_join(num, den), "u long, v long"), "links")
+    discard(blocks, written)
+    return links
 
 
 def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -431,20 +435,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = texts_of(docs, id_col, text_col)
     found = materialize(docs.mapInArrow(_keys(n), "doc_id long, n long, k1 long, k2 long, seen long"), "shingle-keys")
     keys = found.where("seen is null")
     often = found.where("seen is not null").groupBy("k1").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "k1").limit(MAX_FREQUENT).toPandas()
     order = np.argsort(often["k1"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((often["k1"].to_numpy(np.int64).view(np.uint64)[order], often["seen"].to_numpy(np.int64)[order]))
 
-    same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "shingle-classes")
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, k2 long, np long, e long")
-    meetings = prefixes.repartition("token").sortWithinPartitions("token", "np", "k1", "k2").mapInArrow(_meetings(num, den), "token long, k1 long, k2 long, np long, e long, q1 long, q2 long")
+    same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "shingle-classes")
+    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, np long, e long")
+    meetings = prefixes.repartition("token").sortWithinPartitions("token", "np", "k1").mapInArrow(_meetings(num, den), "token long, k1 long, np long, e long, q1 long, qn long")
     meetings = materialize(meetings, "shingle-meetings")
-    met = meetings.join(same, ["k1", "k2"]).join(same.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("pivot")), ["q1", "q2"], "left")
-    met = met.select("token", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), "e", "pivot")
-    met = materialize(met, "shingle-rows")
+    met = meetings.select("token", "k1", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), "e", "q1", "qn")
+    met = met.join(same.select("k1", "n", "id"), ["k1", "n"]).join(same.select(F.col("k1").alias("q1"), F.col("n").alias("qn"), F.col("id").alias("pivot")), ["q1", "qn"], "left")
+    met = materialize(met.select("token", "id", "n", "p", "e", "pivot"), "shingle-rows")
+    discard(meetings)
     heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"), *_marks("token"))
     # of the first shingles, those that no other set has among its own are missing in any set whose first ones end later
     unshared = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.size("tokens")
@@ -456,20 +461,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([_ranked(s, frequent.value)[0].tobytes() for _, s in rows], pa.binary())], names=["id", "size", "tokens"])
 
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(_star_blocks(_possible(stars, heads, num, den), heads), docs, None, build_sets, num, den), "links")
-    first = materialize(connected_components(links), "components")
+    links = _verified(_star_blocks(_possible(stars, heads, num, den), heads), docs, None, build_sets, num, den)
+    first = connected_components(links)
     row = met.join(heads.select("id", "room"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
+    discard(met)
     counts = row.groupBy("token").agg(F.count("*").alias("m"))
     few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
     names = [f"m{w}" for w in range(MARKS)]
     marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
     near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "a long, b long").distinct(), "shingle-pairs")
     pairs = _star_blocks(_possible(near, heads, num, den), heads)
-    more = materialize(_verified(pairs.unionByName(_cross_blocks(many, num, den)), docs, first, build_sets, num, den), "links")
+    more = _verified(pairs.unionByName(_cross_blocks(many, num, den)), docs, first, build_sets, num, den)
     frequent.unpersist()
     merged = connected_components(links.unionByName(more))
+    discard(row, near, heads, first, links, more)
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
