@@ -5,7 +5,8 @@ most 64 characters; nothing is lost between them.  A paragraph's hash is that
 of its leaves' hashes, a section is a run of paragraphs that ends where the
 content says so, and the root hashes the sections.  The fingerprint is the root
 and the leaves in their tree, from which every inner hash follows: equal texts
-have equal roots, and unequal branches lead to the edits.
+have equal roots, and unequal branches lead to the edits.  Inner hashes have 64
+bits, the root 128.
 """
 
 from __future__ import annotations
@@ -15,36 +16,53 @@ from pyspark.sql import functions as F
 
 #: Paragraphs with their line feeds; leaves: up to 64 characters and the marks after them.
 PARAGRAPH, LEAF = r"[^\n]*\n|[^\n]+", r"[^.!?,;:|\n]{1,64}[.!?,;:|\n]*|[.!?,;:|\n]+"
+#: Hex digits of the hash of a leaf, paragraph or section.
+DIGITS = 16
+_PLACES = "array<struct<section:int,paragraph:int,leaf:int>>"
 #: Rows of one slice of the order by id, and slices at most.
 SLICE_ROWS, MAX_SLICES = 4096, 1 << 16
 
 
-def _hash(c: Column, digits: int = 8) -> Column:
+def _hash(c: Column, digits: int = DIGITS) -> Column:
     return F.substring(F.md5(c.cast("binary")), 1, digits)
 
 
 def fingerprint(text: Column) -> Column:
-    """``root:tree`` of a text (null: empty).  In the tree a leaf is 8 hex digits, ``.`` ends a paragraph and ``/`` one that ends its section."""
+    """``root:tree`` of a text (null: empty).  In the tree a leaf is DIGITS hex digits, ``.`` ends a paragraph and ``/`` one that ends its section."""
     paragraphs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     leaves = F.transform(paragraphs, lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: _hash(x)), ""))
     tree = F.array_join(F.transform(leaves, lambda x: F.concat(x, F.when(_hash(x, 1) < "4", "/").otherwise("."))), "")
     return F.concat(root(tree), F.lit(":"), tree)
 
 
+def _branches(tree: Column) -> Column:
+    """The parts of a tree that are its sections, in order."""
+    return F.regexp_extract_all(tree, F.lit("[0-9a-f.]*/|[0-9a-f.]+$"), F.lit(0))
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.regexp_extract_all(section, F.lit("[0-9a-f]+"), F.lit(0))
+
+
+def _section_hash(section: Column) -> Column:
+    return _hash(F.array_join(F.transform(_paragraphs(section), lambda p: _hash(p)), ""))
+
+
 def sections(tree: Column) -> Column:
     """The hashes of a tree's sections, in order."""
-    return F.transform(
-        F.regexp_extract_all(tree, F.lit("[0-9a-f.]*/|[0-9a-f.]+$"), F.lit(0)),
-        lambda s: _hash(F.array_join(F.transform(F.regexp_extract_all(s, F.lit("[0-9a-f]+"), F.lit(0)), lambda p: _hash(p)), "")),
-    )
+    return F.transform(_branches(tree), _section_hash)
 
 
 def root(tree: Column) -> Column:
     return F.md5(F.array_join(sections(tree), "").cast("binary"))
 
 
+def _leaves(part: Column) -> Column:
+    return F.regexp_extract_all(part, F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
+
+
 def leaves(print_: Column) -> Column:
-    return F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit("[0-9a-f]{8}"), F.lit(0))
+    return _leaves(F.substring_index(print_, ":", -1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -55,10 +73,27 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Positions (from 0) of the leaves of ``a`` that are not in ``b``, looked for only if the roots differ."""
-    other = leaves(b)
-    at = F.filter(F.transform(leaves(a), lambda x, i: F.when(~F.array_contains(other, x), i)), lambda i: i.isNotNull())
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<int>")).otherwise(at)
+    """The edited places of ``a`` against ``b``: structs of section, paragraph in it and leaf in that (all from 0), in order.
+
+    The trees are descended from their roots: only sections of ``a`` that
+    ``b`` has not are opened, in these only paragraphs that no such section of
+    ``b`` holds, and in these the leaves that ``b`` has nowhere are edits.
+    """
+    mine, other = (_branches(F.substring_index(x, ":", -1)) for x in (a, b))
+    known = F.transform(other, _section_hash)
+    own = F.transform(mine, _section_hash)
+    opened = F.filter(F.zip_with(other, known, lambda s, h: F.when(~F.array_contains(own, h), s)), lambda s: s.isNotNull())
+    paragraphs = F.array_distinct(F.flatten(F.transform(opened, _paragraphs)))
+    theirs = leaves(b)
+
+    def places(part: Column, section: Column) -> Column:
+        def in_paragraph(p: Column, k: Column) -> Column:
+            found = F.transform(_leaves(p), lambda x, i: F.when(~F.array_contains(theirs, x), F.struct(section.alias("section"), k.alias("paragraph"), i.alias("leaf"))))
+            return F.when(F.array_contains(paragraphs, p), F.array().cast(_PLACES)).otherwise(F.filter(found, lambda x: x.isNotNull()))
+
+        return F.flatten(F.transform(_paragraphs(part), in_paragraph))
+
+    return F.flatten(F.transform(mine, lambda s, i: F.when(F.array_contains(known, _section_hash(s)), F.array().cast(_PLACES)).otherwise(places(s, i))))
 
 
 def _slice(bounds: list[int], c: Column) -> Column:

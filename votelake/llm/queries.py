@@ -132,11 +132,11 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 chain AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next FROM base),
 texts AS (SELECT doc_id, text, next, left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited FROM chain),
 prints AS (
-  SELECT t, md5(array_to_string(list_transform(regexp_extract_all(tree, '[0-9a-f.]*/|[0-9a-f.]+$'), lambda s: left(md5(array_to_string(list_transform(regexp_extract_all(s, '[0-9a-f]+'), lambda p: left(md5(p), 8)), '')), 8)), '')) || ':' || tree AS fp,
-    list_distinct(regexp_extract_all(tree, '[0-9a-f]{8}')) AS leaves
+  SELECT t, md5(array_to_string(list_transform(regexp_extract_all(tree, '[0-9a-f.]*/|[0-9a-f.]+$'), lambda s: left(md5(array_to_string(list_transform(regexp_extract_all(s, '[0-9a-f]+'), lambda p: left(md5(p), 16)), '')), 16)), '')) || ':' || tree AS fp,
+    list_distinct(regexp_extract_all(tree, '[0-9a-f]{16}')) AS leaves
   FROM (
     SELECT t, array_to_string(list_transform(list_transform(regexp_extract_all(t, '[^\n]*\n|[^\n]+'),
-        lambda p: array_to_string(list_transform(regexp_extract_all(p, '[^.!?,;:|\n]{1,64}[.!?,;:|\n]*|[.!?,;:|\n]+'), lambda x: left(md5(x), 8)), '')),
+        lambda p: array_to_string(list_transform(regexp_extract_all(p, '[^.!?,;:|\n]{1,64}[.!?,;:|\n]*|[.!?,;:|\n]+'), lambda x: left(md5(x), 16)), '')),
         lambda h: h || CASE WHEN left(md5(h), 1) < '4' THEN '/' ELSE '.' END), '') AS tree
     FROM (SELECT text AS t FROM base UNION SELECT edited FROM texts)))
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint,
