@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .labelled import sample
+from .storage import texts_of
 
-#: Labelled documents of each language that the model is fitted on, at most; and languages, the most frequent first.
-PER_CLASS, MAX_LANGUAGES = 400, 256
+#: Labelled documents of each language that the model is fitted on, at most.
+PER_CLASS = 400
 #: Hash buckets of the pieces, size of an embedding, passes over the examples.
 BUCKETS, DIM, EPOCHS = 1 << 15, 16, 12
 #: Lengths of the pieces in bytes.
@@ -122,9 +123,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, lan
 
 
 def fit_language(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
-    """Fit on at most ``per_class`` documents of each language of ``classes(doc_id, y)``, y a string; rows with nulls are not used."""
-    top = classes.where("y is not null").groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["y"] for r in top)
+    """Fit on at most ``per_class`` documents of each language of ``classes(doc_id, y)``, y a string; rows with nulls are not used.
+
+    All languages are learned; the model has BUCKETS numbers for each.
+    """
+    languages = sorted(r["y"] for r in classes.where("y is not null").select("y").distinct().collect())
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS)), np.zeros(0), 1.0, 0.0)
 
@@ -133,9 +136,10 @@ def fit_language(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
             got = list(bags(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "y", "a", "c"])
 
-    rows = sample(docs, classes.where(F.col("y").isin(languages)), per_class, id_col, text_col).select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y string, a binary, c binary").toPandas().sort_values(["doc_id", "y"])
+    rows = sample(docs, classes, per_class, id_col, text_col).select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y string, a binary, c binary").toPandas().sort_values(["doc_id", "y"])
     examples = [(np.frombuffer(a, np.int32), np.frombuffer(c, np.int32)) for a, c in zip(rows["a"], rows["c"])]
-    return train(examples, np.array([languages.index(y) for y in rows["y"]], np.int64), languages)
+    place = {y: k for k, y in enumerate(languages)}
+    return train(examples, np.array([place[y] for y in rows["y"]], np.int64), languages)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +147,9 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     A null text, a text without any letter, and every text where no language
     was learned get ``und`` with score 0.  ``rejected`` marks predictions whose
-    calibrated confidence is below the learned bound.  Repeated rows are
-    predicted each; other columns are not read.
+    calibrated confidence is below the learned bound.  Of languages with the
+    same score the first by name is predicted.  Repeated rows are predicted
+    each; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,5 +166,4 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
             top = np.where(letters, top, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(top), pa.array(top < model.reject_below)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return texts_of(docs, id_col, text_col).withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
