@@ -227,13 +227,20 @@ def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
 
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
-    items = [(k, rng.integers(0, 2**63, 30, dtype=np.uint64)) for k in range(50)]
+    items = [(k, rng.integers(0, 2**63, 30, dtype=np.uint64)) for k in range(400)]
     index = decontamination.Index(5, items)
     base = index.prints[7]
     for r in range(decontamination.RADIUS + 1):
-        flips = rng.choice(64, r, replace=False)
-        probe = base ^ np.bitwise_or.reduce(np.array([1 << int(f) for f in flips] or [0], np.uint64))
-        assert 7 in index.candidates(30, np.array([probe], np.uint64))
+        for _ in range(5):
+            flips = rng.choice(decontamination.BITS, r, replace=False)
+            probe = base.copy()
+            for f in flips.tolist():
+                probe[f // 64] ^= np.uint64(1 << f % 64)
+            assert 7 in index.candidates(30, probe[None])
+    probes = rng.integers(0, 2**64, (100, decontamination.BITS // 64), dtype=np.uint64)
+    shares = [len(index.retrieved(30, p[None])) / len(items) for p in probes]
+    assert 0.05 < np.mean(shares) < 0.35  # the blocks select
+    assert not any(index.candidates(30, p[None]) for p in probes[:20])  # and no random fingerprint is that near
 
 
 def labelled_rows(n=400):

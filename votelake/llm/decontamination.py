@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
 A benchmark item of ``m`` word shingles is looked for in windows of ``m``
-shingles of every document.  A window's SimHash is looked up in one table per
-block of its bits; with the keys near each item's own in every block, all items
-within ``RADIUS`` bits are found (pigeonhole).  Candidates are decided by the
+shingles of every document.  A window's SimHash of BITS bits is looked up in one
+table per block of its bits; with the keys near each item's own in every block,
+all items within ``RADIUS`` bits are found (pigeonhole), and about a quarter of
+all others, which the whole fingerprint rules out.  Candidates are decided by the
 exact weighted Jaccard similarity of the shingle sets.  A window without any
 shingle of the benchmark has similarity 0 with every item, so fingerprints are
 taken only where a shingle of the benchmark lies in the window.
@@ -26,24 +27,37 @@ from .storage import ids_to_join, texts_of
 
 #: Words of a shingle, and the similarity from which a window matches an item.
 WORDS, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints may differ, and blocks they are cut into. At similarity 0.8 about 10 of 64 bits differ, with a deviation below 3.
-RADIUS, PARTS = 22, 11
+#: Bits of a fingerprint, bits in which two may differ, and blocks they are cut into. At similarity 0.8 about 19 of 128 bits differ, with a deviation of 4.
+BITS, RADIUS, PARTS = 128, 32, 11
 #: Items that one pass over the documents looks for; more items are looked for in further passes.
 ITEMS = 5000
 
-_BITS = np.arange(64, dtype=np.uint64)
+_WORD = np.arange(64, dtype=np.uint64)
 
 
 def _cuts() -> list[tuple[int, int]]:
-    edges = [round(i * 64 / PARTS) for i in range(PARTS + 1)]
+    edges = [round(i * BITS / PARTS) for i in range(PARTS + 1)]
     return list(zip(edges[:-1], edges[1:]))
 
 
+def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Bits ``a`` to ``b`` of fingerprints, rows of 64-bit words."""
+    word, at = divmod(a, 64)
+    own = prints[:, word] >> np.uint64(at)
+    if b > (word + 1) * 64:
+        own = own | prints[:, word + 1] << np.uint64(64 - at)
+    return own & np.uint64((1 << (b - a)) - 1)
+
+
 def simhash(hashes: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of all runs of ``length`` entries."""
-    sign = ((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.float64) * 2 - 1
-    total = np.concatenate((np.zeros((1, 64)), np.cumsum(sign * weights[:, None], axis=0)))
-    return ((total[length:] - total[:-length] > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    """Fingerprints of all runs of ``length`` entries, rows of BITS / 64 words."""
+    out = []
+    for k in range(BITS // 64):
+        own = vectext.mix(hashes + np.uint64(k)) if k else hashes
+        sign = ((own[:, None] >> _WORD) & np.uint64(1)).astype(np.float64) * 2 - 1
+        total = np.concatenate((np.zeros((1, 64)), np.cumsum(sign * weights[:, None], axis=0)))
+        out.append(((total[length:] - total[:-length] > 0).astype(np.uint64) << _WORD).sum(axis=1, dtype=np.uint64))
+    return np.column_stack(out)
 
 
 @dataclass
@@ -69,18 +83,22 @@ class Index:
         self.sets = [np.unique(h) for _, h in items]
         self.set_weights = [float(self.weigh(s).sum()) for s in self.sets]
         self.lengths = [len(h) for _, h in items]
-        self.prints = np.array([simhash(h, self.weigh(h), len(h))[0] for _, h in items], np.uint64)
+        self.prints = np.array([simhash(h, self.weigh(h), len(h))[0] for _, h in items], np.uint64).reshape(-1, BITS // 64)
         self.owners: dict[int, list[int]] = defaultdict(list)
         for k, s in enumerate(self.sets):
             for h in s.tolist():
                 self.owners[h].append(k)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # per block: sorted keys near an item's own, and the items
+        by_length: dict[int, list[int]] = defaultdict(list)
         for k, length in enumerate(self.lengths):
-            for (a, b), table in zip(_cuts(), self.tables.setdefault(length, [defaultdict(list) for _ in range(PARTS)])):
-                own = (int(self.prints[k]) >> a) & ((1 << (b - a)) - 1)
-                for r in range(RADIUS // PARTS + 1):
-                    for flips in combinations(range(b - a), r):
-                        table[own ^ sum(1 << f for f in flips)].append(k)
+            by_length[length].append(k)
+        for length, own in by_length.items():
+            tables = self.tables[length] = []
+            for a, b in _cuts():
+                flips = np.array([sum(1 << f for f in some) for r in range(RADIUS // PARTS + 1) for some in combinations(range(b - a), r)], np.uint64)
+                keys = (_block(self.prints[own], a, b)[:, None] ^ flips).ravel().astype(np.uint16 if b - a <= 16 else np.uint64)
+                order = np.argsort(keys, kind="stable")
+                tables.append((keys[order], np.repeat(np.array(own, np.int32), len(flips))[order]))
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.shared, hashes)
@@ -96,18 +114,22 @@ class Index:
 
     def candidates(self, length: int, prints: np.ndarray) -> dict[int, np.ndarray]:
         """Items of ``length`` shingles within RADIUS bits, and the windows that are."""
-        tables, near = self.tables[length], set()
-        for (a, b), table in zip(_cuts(), tables):
-            keys = (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            for key in np.unique(keys).tolist():
-                near.update(table.get(key, ()))
         found = {}
-        for k in near:
-            ok = np.flatnonzero(np.bitwise_count(prints ^ self.prints[k]) <= RADIUS)
+        for k in self.retrieved(length, prints).tolist():
+            ok = np.flatnonzero(np.bitwise_count(prints ^ self.prints[k]).sum(axis=1) <= RADIUS)
             if len(ok):
                 found[k] = ok
         return found
 
+    def retrieved(self, length: int, prints: np.ndarray) -> np.ndarray:
+        """Items of ``length`` shingles that share a near key of some block with one of the windows: all within RADIUS bits, and a part of the others."""
+        near = np.zeros(len(self.ids), bool)
+        for (a, b), (keys, items) in zip(_cuts(), self.tables[length]):
+            own = np.unique(_block(prints, a, b)).astype(keys.dtype)
+            for lo, hi in zip(np.searchsorted(keys, own, "left").tolist(), np.searchsorted(keys, own, "right").tolist()):
+                near[items[lo:hi]] = True
+        return np.flatnonzero(near)
+
     def best(self, k: int, hashes: np.ndarray, starts: np.ndarray, length: int) -> tuple[float, int]:
         """The highest similarity of item ``k`` to a window at ``starts`` and the first window that has it."""
         own = self.sets[k]
