@@ -6,7 +6,7 @@ are 0: both are stated here once and hold for every function.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +118,39 @@ def change(df: DataFrame, series: Sequence[str], order: str, value: str, name: s
     return df.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(*series).orderBy(order)))
 
 
+def first_last(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """First and last value of each group in an order (ties: the smaller, the larger value) and the change between them."""
+    s = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(F.struct(order, value)).alias("_a"), F.max(F.struct(order, value)).alias("_z"))
+    s = s.select(*by, F.col("_a")[value].alias("first"), F.col("_z")[value].alias("last"))
+    return s.withColumn("change", F.col("last") - F.col("first"))
+
+
+def fill_constant(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Nulls take the value that their group has elsewhere, the smallest if it has several."""
+    known = df.groupBy(*by).agg(F.min(value).alias("_known"))
+    return df.join(known, list(by), "left").withColumn(value, F.coalesce(value, "_known")).drop("_known")
+
+
+def line_input(df: DataFrame, by: Sequence[str], x: str, y: str, target: float) -> DataFrame:
+    """Slope and intercept of a straight line per group, and the ``x`` at which it gives ``target``."""
+    s = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return s.withColumn("needed", F.try_divide(F.lit(target) - F.col("intercept"), F.col("slope")))
+
+
+def bin_summary(binned: DataFrame, columns: Sequence[str], weight: str, name: str = "bin") -> DataFrame:
+    """Per bin: rows, weighted mean and median of each column."""
+    cells = [c for x in columns for c in (weighted_mean(x, weight).alias(f"{x}_mean"), F.median(x).alias(f"{x}_median"))]
+    return binned.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), *cells)
+
+
+def hit_rates(df: DataFrame, truth: str, methods: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Per method: cases it decides, how many it gets right, and their part."""
+    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("said")) for m, c in methods.items()])
+    long = df.select(*by, truth, F.explode(cells).alias("x")).select(*by, truth, "x.*").where(F.col("said").isNotNull())
+    s = long.groupBy(*by, "method").agg(F.count("*").alias("n"), F.sum((F.col("said") == F.col(truth)).cast("long")).alias("hits"))
+    return s.withColumn("rate", share("hits", "n"))
+
+
 def complete_grid(df: DataFrame, axes: Sequence[Sequence[str]], value: str) -> DataFrame:
     """All combinations of the values that occur on each axis; the value is 0 where there was none."""
     grid: DataFrame | None = None
@@ -186,6 +219,19 @@ def trim_box(df: DataFrame, columns: Sequence[str], low: float = 0.002, high: fl
     return out.drop(*[f"_{c}" for c in columns])
 
 
+def layers(df: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[Column]) -> DataFrame:
+    """The same measures for several layers, each a set of columns, from one pass; ``layer`` names the set, the other columns are null."""
+    columns = sorted({c for s in sets.values() for c in s})
+    made = df.groupingSets([list(s) for s in sets.values()], *columns).agg(*measures, *[F.grouping(c).cast("int").alias(f"_{c}") for c in columns])
+    layer = F.lit(None).cast("string")
+    for name, own in sets.items():
+        here = F.lit(True)
+        for c in columns:
+            here = here & (F.col(f"_{c}") == (0 if c in own else 1))
+        layer = F.when(here, name).otherwise(layer)
+    return made.withColumn("layer", layer).drop(*[f"_{c}" for c in columns])
+
+
 def levels(df: DataFrame, hierarchy: Sequence[str], measures: Sequence[Column]) -> DataFrame:
     """The same measures at every level of a hierarchy and over all, from one pass (grouping sets of its prefixes)."""
     return df.rollup(*hierarchy).agg(*measures, F.grouping_id().alias("_g")).withColumn("level", F.lit(len(hierarchy)) - F.bit_count("_g")).drop("_g")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import normal, share, student_t
+from . import rollup
 
 
 def sims(spark: SparkSession, n: int) -> DataFrame:
@@ -169,6 +170,30 @@ def chamber(in_play: DataFrame, continuing: DataFrame, seats: int, family: str =
     return all_
 
 
+def list_base(votes: DataFrame, contest: Sequence[str], option: str = "list", family: str = "family", amount: str = "votes") -> DataFrame:
+    """``(contest, list, family, pct)``: lists with their part of the contest; a list of more than one family is an error."""
+    mixed = [r[0] for r in rollup.consistent(votes, option, family).limit(10).collect()]
+    if mixed:
+        raise ValueError(f"lists of several families: {mixed}")
+    return rollup.share_of_group(rollup.total(votes, [*contest, option, family], amount), amount, contest, "pct")
+
+
+def seat_differences(allocated: DataFrame, actual: DataFrame, contest: Sequence[str], option: str) -> DataFrame:
+    """Per contest: seats allocated, seats on another option than the actual ones, and options with a difference."""
+    k = [*contest, option]
+    j = allocated.select(*k, F.col("seats").alias("_a")).join(actual.select(*k, F.col("seats").alias("_b")), k, "full_outer")
+    gap = F.abs(F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0)))
+    return j.groupBy(*contest).agg(F.sum(F.coalesce("_a", F.lit(0))).alias("seats"), (F.sum(gap) / 2).alias("misplaced"), F.sum((gap > 0).cast("long")).alias("options"))
+
+
+def race_probabilities(outcomes: DataFrame, candidates: DataFrame, race: Sequence[str], candidate: str = "candidate") -> DataFrame:
+    """``(race, candidate, win, runoff)``: how often each candidate wins and the race has a second round, over the simulations of ``two_round_rule``."""
+    n = outcomes.groupBy(*race).agg(F.count("*").alias("_n"), F.avg(F.col("runoff").cast("double")).alias("runoff"))
+    won = outcomes.groupBy(*race, F.col("winner").alias(candidate)).agg(F.count("*").alias("_w"))
+    j = candidates.select(*race, candidate).distinct().join(n, list(race)).join(won, [*race, candidate], "left")
+    return j.select(*race, candidate, share(F.coalesce("_w", F.lit(0)), F.col("_n")).alias("win"), "runoff")
+
+
 def coalition_thresholds(seats: DataFrame, coalitions: DataFrame, thresholds: DataFrame, party: str = "party") -> DataFrame:
     """Seats of each coalition against each named threshold, with what lacks."""
     sums = seats.join(F.broadcast(coalitions), party).groupBy("coalition").agg(F.sum("seats").cast("long").alias("seats"))

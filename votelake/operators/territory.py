@@ -39,6 +39,12 @@ def participation(df: DataFrame, by: Sequence[str], electors: str, attended: str
     return df.groupBy(*by).agg(F.sum(electors).alias("electors"), F.sum(attended).alias("attended")).withColumn("rate", share("attended", "electors"))
 
 
+def abandonment(df: DataFrame, by: Sequence[str], before: str, after: str) -> DataFrame:
+    """Per group: what was cast before and after, and the part of it that did not come back, 0 at least."""
+    s = df.groupBy(*by).agg(F.sum(before).alias("before"), F.sum(after).alias("after"))
+    return s.withColumn("rate", F.greatest(share(F.col("before") - F.col("after"), F.col("before")), F.lit(0.0)))
+
+
 def distribution(df: DataFrame, by: Sequence[str], x: str, weight: str, lines: Sequence[float]) -> DataFrame:
     """Number, minimum, 10 and 90 % points, maximum, weighted mean, and how many lie above each line."""
     q = F.percentile(x, F.array(F.lit(0.1), F.lit(0.9)))
@@ -137,7 +143,8 @@ def variants(predictions: Mapping[str, DataFrame], sides: tuple[str, str]) -> Da
 
 def continuing(members: DataFrame, legislature: str, expected: int | None = None) -> DataFrame:
     """Members of the last legislature of a list; their number is checked."""
-    own = members.withColumn("_last", F.max(legislature).over(Window.partitionBy())).where(F.col(legislature) == F.col("_last")).drop("_last")
+    last = members.agg(F.max(legislature).alias(legislature))  # one row
+    own = members.join(F.broadcast(last), legislature, "left_semi")
     if expected is not None and (n := own.count()) != expected:
         raise ValueError(f"{n} members, not {expected}")
     return own

@@ -139,6 +139,22 @@ def bootstrap_gram(df: DataFrame, by: Sequence[str], unit: Sequence[str], xs: Se
     return gram(fan, ["replicate", *by], xs, ys, F.col(weight) * F.col("_times"))
 
 
+def bootstrap_interval(replicated: DataFrame, mass: DataFrame, by: Sequence[str], sides: tuple[str, str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Mean, deviation and percentiles of side 1's share over bootstrap replicates of a transfer matrix.
+
+    ``replicated`` has (replicate, by, origin, dest, p), re-estimated in each
+    replicate; ``mass`` (by, origin, votes).  One row per replicate is summed
+    over all groups.
+    """
+    votes = F.col("p") * F.col("votes")
+    at = lambda d: F.coalesce(F.sum(F.when(F.col("dest") == d, votes)), F.lit(0.0))
+    per = replicated.join(mass, [*by, "origin"]).groupBy("replicate").agg(at(sides[0]).alias("a"), at(sides[1]).alias("b"))
+    shares = per.select(share("a", F.col("a") + F.col("b")).alias("share"))
+    q = F.percentile("share", F.array(F.lit(low), F.lit(high)))
+    s = shares.agg(F.count("*").alias("replicates"), F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"), q.alias("_q"))
+    return s.select("replicates", "mean", "sd", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
 def origin_cells(now: DataFrame, before: DataFrame, matrix: DataFrame, unit: str, place: str) -> DataFrame:
     """``(unit, place, third, origin, votes)``: a third candidate's votes by what their voters chose before, scaled to what was observed.
 
@@ -220,6 +236,18 @@ def needed_swing(units: DataFrame) -> DataFrame:
     return s.select("*", gap.alias("gap"), share(gap, F.col("reserve1")).alias("needed_of_reserve1"), share(-gap, F.col("reserve0")).alias("needed_of_reserve0"))
 
 
+def coefficient_change(fit: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """``(by, term, before, after, change)``: each coefficient of ``least_squares`` in the first and the last election."""
+    s = fit.groupBy(*by, "term").agg(F.min_by("coef", order).alias("before"), F.max_by("coef", order).alias("after"))
+    return s.withColumn("change", F.col("after") - F.col("before"))
+
+
+def endorsement(gap: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Share of side 1 per scenario ``(scenario, follow, turnout)``: of a third group ``turnout`` comes, ``follow`` of these choose side 1.  ``gap`` is one row (side1, side0, third)."""
+    j = scenarios.crossJoin(F.broadcast(gap)).withColumn("_t", F.col("third") * F.col("turnout"))
+    return j.select("scenario", share(F.col("side1") + F.col("_t") * F.col("follow"), F.col("side1") + F.col("side0") + F.col("_t")).alias("share"))
+
+
 def path_grid(gap: DataFrame, shares: Sequence[float], extra: Sequence[float]) -> DataFrame:
     """Sensitivity table: every share of a third group against every number of extra votes, with the resulting side share.
 

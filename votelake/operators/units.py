@@ -115,6 +115,23 @@ def unit_annex(now: DataFrame, before: DataFrame, unit: Sequence[str], names: Da
     return j if names is None else j.join(F.broadcast(names), u[-1], "left")
 
 
+def annex_summary(annex: DataFrame, weight: str, by: Sequence[str] = ("winner",)) -> DataFrame:
+    """Units and weight by winner, with how many changed."""
+    return annex.groupBy(*by).agg(F.count("*").alias("n"), F.sum(weight).alias(weight), F.sum(F.col("flipped").cast("long")).alias("flips"))
+
+
+def final_results(votes: DataFrame, roll: DataFrame, unit: str, blank: Sequence[str] = (), null: Sequence[str] = ()) -> DataFrame:
+    """Per unit: electors, attendance, turnout, valid, blank and null votes, and the winner; ``votes`` has (unit, option, votes), ``roll`` (unit, electors)."""
+    at = lambda options: F.coalesce(F.sum(F.when(F.col("option").isin(list(options)), F.col("votes"))), F.lit(0))
+    other = F.col("option").isin([*blank, *null])
+    sums = rollup.total(votes, [unit, "option"], "votes")
+    s = sums.groupBy(unit).agg(
+        F.sum("votes").alias("attended"), at(blank).alias("blank"), at(null).alias("null"), F.coalesce(F.sum(F.when(~other, F.col("votes"))), F.lit(0)).alias("valid"))
+    best = rollup.top_per_group(sums.where(~other), [unit], [F.desc("votes"), F.asc("option")]).select(unit, F.col("option").alias("winner"))
+    j = s.join(best, unit, "left").join(roll, unit, "left")
+    return j.withColumn("turnout", share("attended", "electors"))
+
+
 def shares_by_year(votes: DataFrame, unit: str, side: str, years: Sequence[int]) -> DataFrame:
     """One row per unit with the share of a side in each year."""
     s = votes.groupBy(unit).agg(*[share(F.sum(F.when((F.col("year") == y) & (F.col("option") == side), F.col("votes"))), F.sum(F.when(F.col("year") == y, F.col("votes")))).alias(f"share_{y}") for y in years])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,6 +79,12 @@ def nested_results(docs: DataFrame) -> DataFrame:
     return p.select("cdabr", "counted_pct", "office", F.col("p.sg").alias("party"), F.explode("p.cand").alias("d")).select("cdabr", "counted_pct", "office", "party", F.col("d.n").alias("number"), F.col("d.nm").alias("name"), F.col("d.vap").try_cast("long").alias("votes"))
 
 
+def reference_json(spark: SparkSession, path: str, schema: str, fields: Mapping[str, str]) -> DataFrame:
+    """A reference list in JSON: each target is the (dotted) path of a field."""
+    df = spark.read.schema(schema).json(path)
+    return df.select(*[F.col(source).alias(target) for target, source in fields.items()])
+
+
 def reference_csv(spark: SparkSession, path: str, padded: Mapping[str, int] | None = None) -> DataFrame:
     """A reference table as strings; empty is null, codes keep their zeros."""
     df = spark.read.csv(path, header=True, nullValue="", inferSchema=False)
@@ -122,6 +128,20 @@ def changed_snapshots(snapshots: DataFrame, by: Sequence[str] = ("dataset",), ve
     return snapshots.withColumn("_before", before).where(~F.col(digest).eqNullSafe(F.col("_before"))).drop("_before")
 
 
+def stored_results(spark: SparkSession, path: str, inputs: DataFrame, compute: Callable[[DataFrame], DataFrame], digest: str = "sha256") -> DataFrame:
+    """The results of ``inputs``, of which those with a stored digest are not computed again.
+
+    ``compute`` gives rows with the digest of the input that they come from;
+    they are appended under it.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    fresh = to_recompute(inputs, spark.read.parquet(path).select(F.col(digest).cast("string")), digest) if there else inputs
+    compute(fresh).write.mode("append").partitionBy(digest).parquet(path)
+    stored = spark.read.parquet(path).withColumn(digest, F.col(digest).cast("string"))
+    return stored.join(inputs.select(digest).distinct(), digest, "left_semi")
+
+
 def to_recompute(inputs: DataFrame, done: DataFrame, digest: str = "sha256") -> DataFrame:
     """Inputs whose digest has no result yet."""
     return inputs.join(done.select(digest).distinct(), digest, "left_anti")
