@@ -69,17 +69,18 @@ def unit_base(votes: DataFrame, roll: DataFrame, section: Sequence[str], place:
     return j.groupBy(*place).agg(F.coalesce(F.sum("electors"), F.lit(0)).alias("electors"), F.count("*").alias("sections"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
 
 
-def family_series(votes: DataFrame, keys: Sequence[str], years: Sequence[int]) -> DataFrame:
+def family_series(votes: DataFrame, keys: Sequence[str], years: Sequence[int] | None = None) -> DataFrame:
     """Share per (keys, unit, family, year) on the full grid, with the change to the election before; at least two years must exist.
 
-    ``votes`` has (keys, unit, family, year, votes).
+    ``votes`` has (keys, unit, family, year, votes); all its years are taken,
+    or only ``years``.
     """
-    own = votes.where(F.col("year").isin(list(years)))
-    have = own.select("year").distinct().count()
-    if have < 2:
-        raise ValueError(f"{have} of the years {list(years)}, two are needed")
+    own = votes if years is None else votes.where(F.col("year").isin(list(years)))
     k = list(keys)
     sums = rollup.total(own, [*k, "unit", "family", "year"], "votes")
+    have = sums.select("year").distinct().count()
+    if have < 2:
+        raise ValueError(f"{have} years, two are needed")
     axes = [[c] for c in k] + [["unit"], ["family"], ["year"]]
     full = rollup.complete_grid(sums, axes, "votes")
     shared = full.withColumn("share", F.coalesce(share("votes", F.sum("votes").over(Window.partitionBy(*k, "unit", "year"))), F.lit(0.0)))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import normal, normal_sql, share, uniform, uniform_sql
 from ..operators import dims, polls as poll_ops, rollup, scenario, spatial, transfer, units
 from ..streaming import live
-from .bindings import POINTS, POLLS, VOTES, points, polls, query, r6, table, votes
+from .bindings import POINTS, POLLS, VOTES, points, polls, query, r6, scratch, table, votes
 from .votes import FAMILY, GROUP_SQL, assigned_families, group_votes
 
 # --- seats and scenarios -----------------------------------------------------
@@ -20,10 +18,10 @@ q AS (SELECT {k}, list, d, row_number() OVER (PARTITION BY {k} ORDER BY votes /
 won AS (SELECT {k}, list, count(*) AS seats FROM q WHERE r <= seats GROUP BY ALL)"""
 
 
-@query("dhondt_seats", f"""WITH {VOTES}, base AS (SELECT unit, year, party AS list, CAST(sum(votes) AS DOUBLE) AS votes, 8 + year % 7 AS seats FROM votes WHERE year BETWEEN 1995 AND 2000 GROUP BY ALL), {DHONDT.format(k='unit, year')}
+@query("dhondt_seats", f"""WITH {VOTES}, base AS (SELECT unit, year, party AS list, CAST(sum(votes) AS DOUBLE) AS votes, 8 + year % 7 AS seats FROM votes GROUP BY ALL), {DHONDT.format(k='unit, year')}
 SELECT base.unit, base.year, base.list, CAST(base.votes AS BIGINT) AS votes, coalesce(won.seats, 0) AS seats FROM base LEFT JOIN won USING (unit, year, list)""")
 def dhondt_seats(spark: SparkSession, d: str) -> DataFrame:
-    v = rollup.total(votes(spark, d).where("year between 1995 and 2000").withColumnRenamed("party", "list"), ["unit", "year", "list"], "votes")
+    v = rollup.total(votes(spark, d).withColumnRenamed("party", "list"), ["unit", "year", "list"], "votes")
     return scenario.allocate(v, ["unit", "year"], "list", "votes", 8 + F.col("year") % 7)
 
 
@@ -485,8 +483,7 @@ def snapshot_replay(spark: SparkSession, d: str) -> DataFrame:
 @query("live_stream")
 def live_stream(spark: SparkSession, d: str) -> DataFrame:
     """The snapshots as JSON files through the stream: history of estimates after every micro-batch."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="votelake-")).rstrip("/")
-    run = f"{root}/live-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**9}-{spark.range(1).select(F.unix_millis(F.current_timestamp())).first()[0]}"
+    run = scratch(spark, "live")
     s = snapshots(spark, d).withColumn("slice", F.ceil(F.dayofmonth("ts") / 10).cast("int"))
     s.repartition("slice").write.partitionBy("slice").json(f"{run}/in")
     stream = spark.readStream.schema(live.COUNT_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{run}/in/*")

@@ -42,11 +42,10 @@ def conform_and_clean(spark: SparkSession, d: str) -> DataFrame:
     return c.select(text.zero_padded("code", 7).alias("code"), F.upper("name").alias("name"), balance.alias("balance"), F.greatest(balance, F.lit(0.0)).alias("clipped"), F.coalesce(text.lenient(text.clean_nulls("nation"), "long"), F.lit(-1).cast("long")).alias("nation"), band(balance, [-1e18, 0, 5000, 20000], ["under", "low", "high"]).alias("band"))
 
 
-@query("name_keys", r"""SELECT doc_id, trim(regexp_replace(upper(translate(replace(left(text, 80), 'ß', 'ss'), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')), '[^A-Z0-9]+', ' ', 'g')) AS key,
-  'd_' || regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents""")
+@query("name_keys", r"""SELECT doc_id, trim(regexp_replace(upper(translate(replace(text, 'ß', 'ss'), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')), '[^A-Z0-9]+', ' ', 'g')) AS key,
+  'd_' || regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents""")
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    head = lambda n: F.substring("text", 1, n)  # noqa: E731  a name is the beginning of a text
-    return table(spark, d, "documents").select("doc_id", text.name_key(head(80)).alias("key"), text.slug(head(40), "d_").alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.name_key("text").alias("key"), text.slug("text", "d_").alias("slug"))
 
 
 @query("must_match_violations", """WITH x AS (SELECT s_name AS source, s_nationkey AS target FROM supplier)
@@ -122,7 +121,7 @@ def unit_base(spark: SparkSession, d: str) -> DataFrame:
     return units.unit_base(group_votes(spark, d), roll, ["section"], ["unit", "place"], ["a", "b", "blank", "otros"])
 
 
-SERIES = f"""s0 AS (SELECT unit, {FAMILY} AS family, year, sum(votes) AS votes FROM votes WHERE year BETWEEN 1995 AND 2000 GROUP BY ALL),
+SERIES = f"""s0 AS (SELECT unit, {FAMILY} AS family, year, sum(votes) AS votes FROM votes GROUP BY ALL),
 s1 AS (SELECT u.unit, f.family, y.year, coalesce(s0.votes, 0) AS votes FROM (SELECT DISTINCT unit FROM s0) u CROSS JOIN (SELECT DISTINCT family FROM s0) f CROSS JOIN (SELECT DISTINCT year FROM s0) y LEFT JOIN s0 USING (unit, family, year)),
 s2 AS (SELECT *, votes / sum(votes) OVER (PARTITION BY unit, year) AS share FROM s1),
 series AS (SELECT *, share - lag(share) OVER (PARTITION BY unit, family ORDER BY year) AS change FROM s2)"""
@@ -130,7 +129,7 @@ series AS (SELECT *, share - lag(share) OVER (PARTITION BY unit, family ORDER BY
 
 def series(spark: SparkSession, d: str) -> DataFrame:
     v = dims.families(votes(spark, d).groupBy("unit", "party", "year").agg(F.sum("votes").alias("votes")), assigned_families(spark, d))
-    return units.family_series(v, [], range(1995, 2001))
+    return units.family_series(v, [])
 
 
 @query("series_change", f"WITH {VOTES}, {SERIES} SELECT unit, family, year, CAST(votes AS BIGINT) AS votes, round(share, 6) AS share, round(change, 6) AS change FROM series")
