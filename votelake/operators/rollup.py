@@ -180,6 +180,20 @@ def average_rank(df: DataFrame, x: str, name: str, by: Sequence[str] = ()) -> Da
     return df.join(ranks, [*by, x], "left")
 
 
+def numbered(df: DataFrame, key: str, name: str = "pos", per_task: int = 50_000) -> DataFrame:
+    """Positions from 0 in the order of a numeric key: ranges of the key are numbered side by side and start where those before end."""
+    cuts = min(4096, df.count() // per_task)
+    bounds = sorted(set(df.approxQuantile(key, [(i + 1) / (cuts + 1) for i in range(cuts)], 0.2 / (cuts + 1)))) if cuts else []
+    part = F.lit(0)
+    if bounds:
+        part = F.size(F.filter(F.lit([float(b) for b in bounds]), lambda b: b <= F.col(key)))
+    own = df.withColumn("_part", part)
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
+    placed = own.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    return placed.join(F.broadcast(start), "_part").withColumn(name, F.col("_r") - 1 + F.col("_start")).drop("_part", "_r", "_start")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(own, x, "_rx", by), y, "_ry", by)

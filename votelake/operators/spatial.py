@@ -3,23 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import haversine_km, planar_km, share, uniform
+from . import rollup
 
+#: Nodes whose values are broadcast to the draws of a permutation test, at most; more are joined by a shuffle.
+BROADCAST_NODES = 1 << 20
 
-def nearest_place(sectors: DataFrame, places: DataFrame, within: str, sector: str = "sector", place: str = "place") -> DataFrame:
+
+def near_candidates(points: DataFrame, targets: DataFrame, key: Sequence[str], x: str, y: str, tx: str, ty: str, k: int, cell: float, within: Sequence[str] = (), reach: Column | None = None) -> DataFrame:
+    """Each row of ``points`` with all targets that can be among its ``k`` nearest, and few others: joined by grid cells, not by pairs.
+
+    Grids of cells of ``cell``, twice that, and so on, up to one cell for all.
+    A point uses the finest one whose cell around it holds ``k`` targets: these
+    are at most a cell's diagonal away, so no nearer ones lie beyond the second
+    ring of cells.  ``reach`` is the number of rings along ``x``, for a distance
+    that shrinks ``x``.  ``key`` identifies the points; ``within`` are columns
+    of both that must be equal.
+    """
+    edges = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
+    both = [e for e in (edges(points, x, y), edges(targets, tx, ty)) if e[0] is not None]
+    x0, y0 = min((e[0] for e in both), default=0.0), min((e[2] for e in both), default=0.0)
+    span = max([max(e[1] for e in both) - x0, max(e[3] for e in both) - y0] if both else [0.0])
+    levels = max(1, ceil(log2(max(span / cell, 1.0)) + 1e-9) + 1)
+    w, at = list(within), ["_l", "_cx", "_cy"]
+
+    def placed(df: DataFrame, a: str, b: str) -> DataFrame:
+        size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
+        return df.withColumn("_cx", F.floor((F.col(a) - x0) / size)).withColumn("_cy", F.floor((F.col(b) - y0) / size))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    t = placed(targets.withColumn("_l", every), tx, ty)
+    full = t.groupBy(*w, *at).agg(F.count("*").alias("_c")).where(F.col("_c") >= k).drop("_c")
+    own = placed(points.withColumn("_l", every), x, y).join(full, [*w, *at], "left_semi").groupBy(*key).agg(F.min("_l").alias("_l"))
+    p = placed(points.join(own, list(key), "left").withColumn("_l", F.coalesce("_l", F.lit(levels - 1))), x, y)
+    rings = F.lit(2) if reach is None else F.greatest(reach.cast("int"), F.lit(2))
+    p = p.withColumn("_dx", F.explode(F.sequence(-rings, rings))).withColumn("_cx", F.col("_cx") + F.col("_dx")).drop("_dx")
+    p = p.withColumn("_dy", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dy")
+    return p.join(t, [*w, *at]).drop(*at)
+
+
+def nearest_place(sectors: DataFrame, places: DataFrame, within: str, sector: str = "sector", place: str = "place", cell: float = 0.5) -> DataFrame:
     """``(within, sector, place, km)``: the nearest place of the same unit, planar with the sector's latitude; ties to the smaller place.
 
-    Pairs are bounded by the unit; the smallest is kept by an aggregate that
-    combines before the shuffle.
+    A sector meets the places of grid cells around it, as far as a nearer one can
+    be (up to 89 degrees of latitude).  Sectors without coordinates, or in a
+    unit without places, have none.
     """
     p = places.select(within, F.col(place).alias("_p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null")
-    pairs = sectors.select(within, sector, "lat", "lon").where("lat is not null").join(p, within).withColumn("_km", planar_km("lat", "lon", "_lat", "_lon", "lat"))
+    s = sectors.select(within, sector, "lat", "lon").where("lat is not null")
+    shrink = F.greatest(F.cos(F.radians("lat")), F.lit(0.0174))  # a degree of longitude against one of latitude
+    reach = F.ceil(F.sqrt(1 + 1 / (shrink * shrink)))
+    pairs = near_candidates(s, p, [within, sector], "lon", "lat", "_lon", "_lat", 1, cell, [within], reach).withColumn("_km", planar_km("lat", "lon", "_lat", "_lon", "lat"))
     best = pairs.groupBy(within, sector).agg(F.min(F.struct("_km", "_p")).alias("_b"))
     return best.select(within, sector, F.col("_b._p").alias(place), F.col("_b._km").alias("km"))
 
@@ -95,7 +136,7 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     A permutation draws as many other nodes' values as the node has neighbours:
     each draw takes the position that a hash of (seed, permutation, node,
     neighbour) gives, so all permutations are one job of permutations x edges
-    rows.  ``p`` is the part of statistics at least as extreme on the smaller side.
+    rows; node ids are numbers.  ``p`` is the part of statistics at least as extreme on the smaller side.
     """
     s = _scaled(values, node, x)
     e = edges.select("src", "dst").distinct().where("src <> dst")
@@ -104,10 +145,12 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     own = s.select(F.col(node).alias("src"), "z", "_n")
     seen = e.join(s.select(F.col(node).alias("dst"), F.col("z").alias("zd")), "dst").groupBy("src").agg(F.avg("zd").alias("lag"), F.count("*").alias("deg"))
     base = own.join(seen, "src").withColumn("statistic", F.col("lag") if star else F.col("z") * F.col("lag"))
-    pos = s.select(node, "z").withColumn("pos", F.row_number().over(Window.orderBy(node)) - 1).select("pos", F.col("z").alias("zp"))
+    pos = rollup.numbered(s.select(node, "z"), node).select("pos", F.col("z").alias("zp"))
+    if pos.count() <= BROADCAST_NODES:
+        pos = F.broadcast(pos)
     reps = values.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm"))
     fan = base.crossJoin(F.broadcast(reps)).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("deg").cast("int"))))
-    drawn = fan.withColumn("pos", F.floor(uniform(seed, "perm", "src", "slot") * F.col("_n")).cast("int")).join(F.broadcast(pos), "pos")
+    drawn = fan.withColumn("pos", F.floor(uniform(seed, "perm", "src", "slot") * F.col("_n")).cast("long")).join(pos, "pos")
     value = F.when((F.col("slot") == 1) & F.lit(star), F.col("z")).otherwise(F.col("zp"))
     lags = drawn.groupBy("src", "perm").agg(F.avg(value).alias("plag"), F.max("z").alias("z"), F.max("statistic").alias("statistic"))
     stat = F.col("plag") if star else F.col("z") * F.col("plag")
@@ -119,15 +162,15 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
 
 
 def local_regression(points: DataFrame, xs: Sequence[str], y: str, k: int, cell: float, node: str = "node") -> DataFrame:
-    """Geographically weighted regression: per point, bisquare weights over its k nearest, and their own least squares.
+    """Geographically weighted regression: per point, bisquare weights over its k nearest, itself included, and their own least squares.
 
-    Neighbours are looked for in the 3 x 3 grid cells around a point, so
-    ``cell`` must be wide enough to hold k of them; a point with fewer takes
-    what there is.  Returns (node, term, coef, local_r2, n, hat, residual).
+    Neighbours come from the cells around a point, on a grid of ``cell`` or as
+    coarse as k of them need; ties go to the smaller node.  Returns (node,
+    term, coef, local_r2, n, hat, residual).
     """
-    p = points.dropna(subset=["px", "py", *xs, y]).withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    around = p.select(F.col(node).alias("focus"), F.col("px").alias("fx"), F.col("py").alias("fy"), F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")).select("focus", "fx", "fy", "c.*")
-    pairs = around.join(p, ["cx", "cy"]).withColumn("_d", F.sqrt(F.pow(F.col("px") - F.col("fx"), 2) + F.pow(F.col("py") - F.col("fy"), 2)))
+    p = points.dropna(subset=["px", "py", *xs, y])
+    focus = p.select(F.col(node).alias("focus"), F.col("px").alias("fx"), F.col("py").alias("fy"))
+    pairs = near_candidates(focus, p, ["focus"], "fx", "fy", "px", "py", k, cell).withColumn("_d", F.sqrt(F.pow(F.col("px") - F.col("fx"), 2) + F.pow(F.col("py") - F.col("fy"), 2)))
     near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("focus").orderBy("_d", node))).where(F.col("_r") <= k)
     near = near.withColumn("_b", F.max("_d").over(Window.partitionBy("focus"))).withColumn("_w", F.pow(1 - F.pow(F.coalesce(F.try_divide("_d", "_b"), F.lit(0.0)), 2), 2)).withColumn("_one", F.lit(1.0))
     terms = ["_one", *xs]

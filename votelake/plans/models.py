@@ -365,13 +365,14 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return spatial.point_in_polygon(p.select("point", F.col("lon").alias("x"), F.col("lat").alias("y")), edges, cell=2.0)
 
 
-NODES = f"""nd AS (SELECT o_custkey % 400 AS node, avg(o_totalprice) AS x FROM orders GROUP BY 1), eg AS (SELECT node AS src, (node + k) % 400 AS dst FROM nd, (VALUES (1), (3), (397), (399)) t(k)), ee AS (SELECT DISTINCT src, dst FROM eg WHERE dst IN (SELECT node FROM nd)), mm AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM nd)"""
+NODES = f"""nd AS (SELECT o_custkey AS node, avg(o_totalprice) AS x FROM orders GROUP BY 1), sz AS (SELECT count(*) AS size FROM customer), eg AS (SELECT node AS src, (node + k + size) % size AS dst FROM nd, sz, (VALUES (1), (3), (-3), (-1)) t(k)), ee AS (SELECT DISTINCT src, dst FROM eg WHERE dst IN (SELECT node FROM nd)), mm AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM nd)"""
 
 
 def nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A ring of 400 groups of customers, each next to four others."""
-    n = table(spark, d, "orders").groupBy((F.col("o_custkey") % 400).alias("node")).agg(F.avg("o_totalprice").alias("x"))
-    e = n.select(F.col("node").alias("src"), F.explode(F.array(*[(F.col("node") + k) % 400 for k in (1, 3, 397, 399)])).alias("dst"))
+    """A ring of all customers, each next to four others."""
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.avg("o_totalprice").alias("x"))
+    size = table(spark, d, "customer").count()
+    e = n.select(F.col("node").alias("src"), F.explode(F.array(*[(F.col("node") + k + size) % size for k in (1, 3, -3, -1)])).alias("dst"))
     return n, e.join(n.select(F.col("node").alias("dst")), "dst", "left_semi").distinct()
 
 
@@ -380,19 +381,38 @@ def moran(spark: SparkSession, d: str) -> DataFrame:
     return spatial.moran(*nodes(spark, d)).select(r6("moran_i"), "n")
 
 
-@query("local_moran", f"WITH {NODES}, lg AS (SELECT src, avg((x - m) / s) AS lag FROM ee JOIN nd ON nd.node = ee.dst, mm WHERE src <> dst GROUP BY src) SELECT node, round((x - m) / s, 6) AS z, round(lag, 6) AS lag, round((x - m) / s * lag, 6) AS statistic FROM nd JOIN lg ON lg.src = nd.node, mm")
+PERMUTATIONS, SIGNIFICANCE = 999, 0.01
+Z = "zz AS (SELECT node, (x - m) / s AS z FROM nd, mm), n AS (SELECT count(*) AS n FROM nd), ps AS (SELECT row_number() OVER (ORDER BY node) - 1 AS pos, z AS zp FROM zz)"
+
+
+def _permuted(seed: int, edges: str, own: str, statistic: str, draw: str) -> str:
+    """Common tables ``pp`` (node, z, lag, statistic, p) of a conditional permutation test."""
+    return f"""lg AS (SELECT src, avg(z) AS lag, count(*) AS deg FROM {edges} JOIN zz ON zz.node = dst GROUP BY src), ba AS (SELECT zz.node AS src, z, lag, deg, {own} AS statistic FROM zz JOIN lg ON lg.src = zz.node),
+fa AS (SELECT src, z, statistic, perm, unnest(range(1, deg + 1)) AS slot FROM ba, (SELECT unnest(range(0, {PERMUTATIONS})) AS perm)), dw AS (SELECT src, perm, avg({draw}) AS plag, any_value(z) AS z, any_value(statistic) AS statistic
+FROM (SELECT *, CAST(floor({uniform_sql(seed, 'perm', 'src', 'slot')} * n) AS BIGINT) AS pos FROM fa, n) JOIN ps USING (pos) GROUP BY src, perm),
+ct AS (SELECT src, sum(CAST({statistic} >= statistic AS INTEGER)) AS above, sum(CAST({statistic} <= statistic AS INTEGER)) AS below FROM dw GROUP BY src),
+pp AS (SELECT ba.src AS node, z, lag, statistic, (least(above, below) + 1) / {PERMUTATIONS + 1}.0::DOUBLE AS p FROM ba JOIN ct ON ct.src = ba.src)"""
+
+
+MORAN = _permuted(1, "(SELECT * FROM ee WHERE src <> dst)", "z * lag", "z * plag", "zp")
+MORAN_CLUSTER = f"CASE WHEN p > {SIGNIFICANCE} THEN 'none' WHEN z > 0 AND lag > 0 THEN 'high-high' WHEN z <= 0 AND lag <= 0 THEN 'low-low' WHEN z > 0 THEN 'high-low' ELSE 'low-high' END"
+STAR = _permuted(2, "(SELECT * FROM ee WHERE src <> dst UNION ALL SELECT node, node FROM nd)", "lag", "plag", "CASE WHEN slot = 1 THEN z ELSE zp END")
+
+
+@query("local_moran", f"WITH {NODES}, {Z}, {MORAN} SELECT node, round(z, 6) AS z, round(lag, 6) AS lag, round(statistic, 6) AS statistic, round(p, 6) AS p, {MORAN_CLUSTER} AS cluster FROM pp")
 def local_moran(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.local_clusters(*nodes(spark, d), permutations=19, seed=1, significance=0.1).select("node", r6("z"), r6("lag"), r6("statistic"))
+    return spatial.local_clusters(*nodes(spark, d), PERMUTATIONS, 1, SIGNIFICANCE).select("node", r6("z"), r6("lag"), r6("statistic"), r6("p"), "cluster")
 
 
-@query("gi_star", f"WITH {NODES}, e2 AS (SELECT * FROM ee UNION SELECT node, node FROM nd), lg AS (SELECT src, avg((x - m) / s) AS lag FROM e2 JOIN nd ON nd.node = e2.dst, mm GROUP BY src) SELECT node, round((x - m) / s, 6) AS z, round(lag, 6) AS lag, round(lag, 6) AS statistic FROM nd JOIN lg ON lg.src = nd.node, mm")
+@query("gi_star", f"WITH {NODES}, {Z}, {STAR} SELECT node, round(z, 6) AS z, round(lag, 6) AS lag, round(statistic, 6) AS statistic, round(p, 6) AS p, CASE WHEN p > {SIGNIFICANCE} THEN 'none' WHEN lag > 0 THEN 'high' ELSE 'low' END AS cluster FROM pp")
 def gi_star(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.local_clusters(*nodes(spark, d), permutations=19, seed=2, significance=0.1, star=True).select("node", r6("z"), r6("lag"), r6("statistic"))
+    return spatial.local_clusters(*nodes(spark, d), PERMUTATIONS, 2, SIGNIFICANCE, star=True).select("node", r6("z"), r6("lag"), r6("statistic"), r6("p"), "cluster")
 
 
-@query("cluster_labels")
+@query("cluster_labels", f"WITH {NODES}, {Z}, {MORAN}, l AS (SELECT {MORAN_CLUSTER} AS cluster, count(*) AS n FROM pp GROUP BY 1) SELECT cluster, n, round(n / sum(n) OVER (), 6) AS part FROM l")
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.local_clusters(*nodes(spark, d), permutations=99, seed=1, significance=0.05).groupBy("cluster").agg(F.count("*").alias("n"))
+    found = spatial.local_clusters(*nodes(spark, d), PERMUTATIONS, 1, SIGNIFICANCE)
+    return rollup.frequency(found, ["cluster"]).select("cluster", "n", r6("frequency", "part"))
 
 
 @query("local_regression")
