@@ -133,6 +133,20 @@ def test_tree_shares_beginnings_and_prunes_subtrees():
     assert tree.visited < 50 + 50 + 10  # of the far ones only the common beginning, of the short ones the path to the near ones
     assert tree.similar(np.zeros(0, np.uint64), 85, 100) == [] and ngram_join.PrefixTree([]).similar(base, 85, 100) == []
     assert sorted(ngram_join.PrefixTree([base, base[:199], base]).similar(base, 85, 100)) == [0, 1, 2]
+    assert tree.similar(base, 85, 100, np.array([3, 70, 120])) == [3] and tree.visited < 60  # the path to the near ones goes through the short ones
+
+
+def test_join_of_a_chain_of_edits(spark):
+    """Each text is near the next one only: no pivot is near all, and all are one group."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        at = (i * 2) % 118
+        words[at] = f"new{i}"
+    rows += [(100 + i, " ".join(rng.sample([f"w{k}" for k in range(120)], 30) + [f"own{i}x{j}" for j in range(60)])) for i in range(20)]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, rows)).collect()} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
 def test_join_edge_cases(spark):

@@ -217,8 +217,11 @@ class PrefixTree:
             same[k] = int(differ[0]) if len(differ) else m
         same = np.array(same, np.int64)
         sizes = np.array([len(x) for x in own], np.int64)
-        self.nodes: list[tuple[int, int, int, int, int, list[int], list[int]]] = []  # begin, end, a set that runs through, smallest, largest, sets that end here, children
+        # begin, end, a set that runs through, smallest, largest, sets that end here, children, first and last place in the order
+        self.nodes: list[tuple[int, int, int, int, int, list[int], list[int], int, int]] = []
         self.roots: list[int] = []
+        self.place = np.full(len(members), -1)
+        self.place[order] = np.arange(len(order))
         open_ = [(a, b, 0, self.roots) for a, b in self._runs(same, 0, len(order), 0)]
         while open_:
             a, b, begin, parent = open_.pop()
@@ -228,8 +231,10 @@ class PrefixTree:
                 here += 1
             children: list[int] = []
             parent.append(len(self.nodes))
-            self.nodes.append((begin, end, order[a], int(sizes[a:b].min()), int(sizes[a:b].max()), order[a:here], children))
+            self.nodes.append((begin, end, order[a], int(sizes[a:b].min()), int(sizes[a:b].max()), order[a:here], children, a, b))
             open_ += [(x, y, end, children) for x, y in self._runs(same, here, b, end)]
+        self.roots.sort(key=lambda k: self.nodes[k][7])
+        self.root_begins = np.array([self.nodes[k][7] for k in self.roots], np.int64)
 
     @staticmethod
     def _runs(same: np.ndarray, a: int, b: int, depth: int) -> list[tuple[int, int]]:
@@ -239,25 +244,30 @@ class PrefixTree:
         edges = [a, *(a + 1 + np.flatnonzero(same[a + 1 : b] <= depth)).tolist(), b]
         return list(zip(edges[:-1], edges[1:]))
 
-    def similar(self, query: np.ndarray, num: int, den: int, wanted=None) -> list[int]:
-        """The members with ``den * intersection >= num * union``, of those that ``wanted`` accepts; ``visited`` counts the nodes that were entered.
+    def similar(self, query: np.ndarray, num: int, den: int, among: np.ndarray | None = None) -> list[int]:
+        """The members with ``den * intersection >= num * union``, of all or ``among`` some; ``visited`` counts the nodes that were entered.
 
         The overlap with a node's entries is counted once for all sets below.
-        A subtree is left where none of its sizes fits the query's, or where
-        what remains of the query behind the last common entry, or of the
-        longest set below, cannot supply the overlap that the shortest one
-        that fits needs.
+        A subtree is left where it has none of those asked for, where none of
+        its sizes fits the query's, or where what remains of the query behind
+        the last common entry, or of the longest set below, cannot supply the
+        overlap that the shortest one that fits needs.
         """
         found, n = [], len(query)
+        self.visited = 0
+        asked = np.sort(self.place if among is None else self.place[among])
+        asked = asked[asked >= 0]
+        if not n or not len(asked):
+            return found
         by_value = np.argsort(query, kind="stable")
         in_query = query[by_value]
         least, most = -(-num * n // den), n * den // num
-        self.visited = 0
-        open_ = [(k, 0, 0) for k in self.roots]  # node, overlap before it, entries of the query up to the last common one
+        first = np.unique(np.searchsorted(self.root_begins, asked, "right") - 1)
+        open_ = [(self.roots[k], 0, 0) for k in first.tolist()]  # node, overlap before it, entries of the query up to the last common one
         while open_:
             k, have, behind = open_.pop()
-            begin, end, through, small, large, ending, children = self.nodes[k]
-            if not n or large < least or small > most:
+            begin, end, through, small, large, ending, children, a, b = self.nodes[k]
+            if large < least or small > most or np.searchsorted(asked, a) == np.searchsorted(asked, b):
                 continue
             need = int(_need(n, max(small, least), num, den))
             large = min(large, most)
@@ -273,30 +283,54 @@ class PrefixTree:
                 depth, step = depth + len(part), step * 2
             if depth < end or have + min(n - behind, large - depth) < need:
                 continue
-            if have >= _need(n, end, num, den):
-                found += [i for i in ending if wanted is None or wanted(i)]
+            if ending and have >= _need(n, end, num, den):
+                found += ending
             open_ += [(c, have, behind) for c in children]
-        return found
+        if among is None:
+            return found
+        wanted = set(among.tolist())
+        return [i for i in found if i in wanted]
 
 
 def _tree_join(num: int, den: int):
-    """Links of a block: its queries (``q`` true) walk the tree of its members.  Rows that are connected already, before or by links found here, are not linked again."""
+    """Links of a block: its queries (``q`` 1, or 2 for both) walk the tree of its members (``q`` 0 or 2).
+
+    Of the members only those are asked for whose first shingles agree with the
+    query's often enough.  Rows that are connected already, before or by links
+    found here, are not linked again.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
-        ids, comp, is_query = rows["id"].to_numpy(), rows["c"].to_numpy().copy(), rows["q"].to_numpy(bool)
-        queries, members = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        ids, comp, q = rows["id"].to_numpy(), rows["c"].to_numpy().copy(), rows["q"].to_numpy()
+        queries, members = np.flatnonzero(q > 0), np.flatnonzero(q != 1)
         tree = PrefixTree([sets[i] for i in members])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        firsts = sizes - -(-num * sizes // den) + 1
+        owner = np.repeat(np.arange(len(members)), firsts[members])
+        token = np.concatenate([sets[i][: firsts[i]] for i in members] or [np.zeros(0, np.uint64)])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
         u, v = [], []
-        for q in queries:
-            if (comp[members] == comp[q]).all():
+        for i in queries:
+            if (comp[members] == comp[i]).all():
                 continue
-            for k in tree.similar(sets[q], num, den, lambda k: comp[members[k]] != comp[q]):  # noqa: B023
-                i = members[k]
-                if comp[i] != comp[q]:
-                    u.append(ids[q])
-                    v.append(ids[i])
-                    comp[comp == comp[i]] = comp[q]
+            own = sets[i][: firsts[i]]
+            lo, hi = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+            n = hi - lo
+            where = np.cumsum(n)
+            met = owner[np.arange(where[-1] if len(where) else 0) + np.repeat(lo - where + n, n)]
+            common = np.bincount(met, minlength=len(members))
+            size = sizes[members]
+            need = _need(size, sizes[i], num, den)
+            least = np.maximum(need + 1 - np.maximum(-(-num * size // den), -(-num * sizes[i] // den)), 1)
+            some = np.flatnonzero((common >= least) & (comp[members] != comp[i]) & (size * num <= sizes[i] * den) & (sizes[i] * num <= size * den))
+            for k in tree.similar(sets[i], num, den, some) if len(some) else ():
+                j = members[k]
+                if comp[j] != comp[i]:
+                    u.append(ids[i])
+                    v.append(ids[j])
+                    comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"u": np.array(u, "int64"), "v": np.array(v, "int64")})
 
     return run
@@ -338,8 +372,8 @@ def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of pairs ``(a, b)``: a query with its candidates, in several parts if these have more than TREE_SHINGLES shingles."""
     sized = pairs.join(sizes.select(F.col("id").alias("b"), "n"), "b")
     parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
-    members = sized.join(parts, "a").select("a", F.xxhash64("a", F.lit(7)).alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("q"))
-    queries = members.select("block", "part", F.col("a").alias("id"), F.lit(True).alias("q")).distinct()
+    members = sized.join(parts, "a").select("a", F.xxhash64("a", F.lit(7)).alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(0).alias("q"))
+    queries = members.select("block", "part", F.col("a").alias("id"), F.lit(1).alias("q")).distinct()
     return members.drop("a").unionByName(queries)
 
 
@@ -350,13 +384,13 @@ def _marks(name: str) -> list:
 
 
 def _near_pairs(num: int, den: int):
-    """Of rows ``(token, id, n, p, e, c, k, m0, ...)`` sorted by token: the pairs ``(a, b)`` of one token that may be similar and are not connected.
+    """Of rows ``(token, id, n, p, e, c, k, m0, ...)`` sorted by token: edges ``(u, v)`` that connect what pairs of one token connect that may be similar and aren't connected yet.
 
     ``k`` and the bits ``m`` stand for a set's first shingles that other sets
     have among theirs.  Of the set whose first shingles end earlier in the
     global order at most ``n - need`` may be missing in the other one; every bit
-    that only the first has is at least one of them.  All is decided here, so
-    that a shingle which many dissimilar sets share gives no row per pair.
+    that only the first has is at least one of them.  All is decided here, and
+    a token gives fewer edges than it has rows, however many pairs there are.
     """
 
     def group(cols, marks):
@@ -389,16 +423,37 @@ def _near_pairs(num: int, den: int):
                 lo, hi = int(edges[g]), int(edges[g + 1])
                 if hi - lo > 1:
                     a, b, ok = group({x: y[lo:hi] for x, y in cols.items()}, marks[lo:hi])
-                    us.append(cols["id"][lo:hi][a[ok]])
-                    vs.append(cols["id"][lo:hi][b[ok]])
+                    a, b = a[ok], b[ok]
+                    root = np.arange(hi - lo)
+                    while len(a):  # the smallest row that a row is connected with, by as many rounds as the longest chain takes
+                        new = root.copy()
+                        np.minimum.at(new, a, root[b])
+                        np.minimum.at(new, b, root[a])
+                        if (new == root).all():
+                            break
+                        root = new
+                    far = np.flatnonzero(root != np.arange(hi - lo))
+                    us.append(cols["id"][lo:hi][far])
+                    vs.append(cols["id"][lo:hi][root[far]])
             if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                pairs = np.unique(np.column_stack((np.concatenate(us), np.concatenate(vs))), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     return run
 
 
+def _cluster_blocks(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of clusters ``(node, component)`` in which all rows meet all: in one part, each row once, if that has at most TREE_SHINGLES shingles; else members are dealt over parts, and every part has all as queries."""
+    sized = clusters.select(F.col("component").alias("_c"), F.col("node").alias("id")).join(sizes.select("id", "n"), "id")
+    parts = sized.groupBy("_c").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
+    own = sized.join(parts, "_c").select(F.xxhash64("_c", F.lit(11)).alias("block"), "id", "parts")
+    whole = own.where("parts = 1").select("block", F.lit(0).alias("part"), "id", F.lit(2).alias("q"))
+    wide = own.where("parts > 1")
+    members = wide.select("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("part"), "id", F.lit(0).alias("q"))
+    queries = wide.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(1).alias("q"))
+    return whole.unionByName(members).unionByName(queries)
+
+
 def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
     """Blocks in which all rows ``(token, id, n, p, e, room, c)`` meet that may be similar and are not connected.
 
@@ -420,8 +475,8 @@ def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
     met = q.join(at, "token").where(((F.col("c0") != F.col("c")) | (F.col("c1") != F.col("c"))) & (F.col("n0") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("n1") * den) & (F.least(F.col("n") - F.col("p"), "left") >= least) & (room >= least))
     met = materialize(met.select("block", "id", "n").distinct(), "shingle-met")
     parts = met.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / F.lit(QUERIES), F.sum("n") / F.lit(TREE_SHINGLES))).cast("int").alias("parts"))
-    queries = met.join(parts, "block").select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("q"))
-    members = wide.select("block", "id").distinct().join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("q"))
+    queries = met.join(parts, "block").select("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id", F.lit(1).alias("q"))
+    members = wide.select("block", "id").distinct().join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(0).alias("q"))
     return queries.unionByName(members)
 
 
@@ -471,12 +526,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
     names = [f"m{w}" for w in range(MARKS)]
     marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
-    near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "a long, b long").distinct(), "shingle-pairs")
-    pairs = _star_blocks(_possible(near, heads, num, den), heads)
+    near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "u long, v long").distinct(), "shingle-pairs")
+    clusters = connected_components(near)
+    pairs = _cluster_blocks(clusters, heads)
     more = _verified(pairs.unionByName(_cross_blocks(many, num, den)), docs, first, build_sets, num, den)
     frequent.unpersist()
     merged = connected_components(links.unionByName(more))
-    discard(row, near, heads, first, links, more)
+    discard(row, near, clusters, heads, first, links, more)
     classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
