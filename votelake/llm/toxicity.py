@@ -24,7 +24,7 @@ from .labelled import sample
 from .storage import bound_batches, texts_of
 
 #: Labelled documents of each class that serve as examples, at most.
-PER_CLASS = 2000
+PER_CLASS = 1000
 #: The weight of a term that does not lean, the chi-square at which a leaning term has half its weight, and the one from which a beginning is a term.
 LEAST, HALF_CHI2, BEGINNING_CHI2 = 0.02, 40.0, 10.0
 #: Neighbours that vote, examples of one block, and blocks that a query looks at first.
