@@ -24,7 +24,7 @@ from .labelled import sample
 from .storage import bound_batches, texts_of
 
 #: Labelled documents of each class that serve as examples, at most.
-PER_CLASS = 1000
+PER_CLASS = 1500
 #: The weight of a term that does not lean, the chi-square at which a leaning term has half its weight, and the one from which a beginning is a term.
 LEAST, HALF_CHI2, BEGINNING_CHI2 = 0.02, 40.0, 10.0
 #: Neighbours that vote, examples of one block, and blocks that a query looks at first.
@@ -186,12 +186,13 @@ def fit_toxicity(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
     bad, fine = float(totals.get(1, 0)), float(sum(totals.values()) - totals.get(1, 0))
     counted = taken.mapInArrow(distinct_terms, "term long, beginning boolean, y int").groupBy("term", "beginning").agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(1.0)).alias("b"))
     # a beginning needs the chi-square BEGINNING_CHI2, which takes at least as many toxic examples less what all examples are fewer than that
-    rows = counted.where(f"not beginning or a >= 2 and a * {fine} > b * {bad}").toPandas()
-    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-    leans = lean(a, b, bad, fine)
-    keep = ~rows["beginning"].to_numpy(bool) | (leans >= (BEGINNING_CHI2 / (BEGINNING_CHI2 + HALF_CHI2)) ** 2)
-    terms, own = np.unique(rows["term"].to_numpy(np.int64).view(np.uint64)[keep], return_index=True)
+    rows = counted.where(f"not beginning or a >= 2 and a * {fine} > b * {bad}").toArrow()
+    column = lambda name: rows.column(name).to_numpy()
+    leans = lean(column("a"), column("b"), bad, fine)
+    keep = ~column("beginning").astype(bool) | (leans >= (BEGINNING_CHI2 / (BEGINNING_CHI2 + HALF_CHI2)) ** 2)
+    terms, own = np.unique(column("term").astype(np.int64).view(np.uint64)[keep], return_index=True)
     boost = LEAST + leans[keep][own]
+    del rows, leans, keep, own
     finder = Neighbours(terms, [], np.zeros(0))
 
     def vectors(batches):
@@ -203,13 +204,19 @@ def fit_toxicity(docs: DataFrame, classes: DataFrame, per_class: int = PER_CLASS
     examples = [(np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(c, np.int32).astype(np.int64)) for x, c in zip(rows["at"], rows["n"])]
     # examples with the same telling terms, and then those that share their most common word, lie together: the blocks' bounds are tight
     df = np.bincount(np.concatenate([x for x, _ in examples] or [np.zeros(0, np.int64)]), minlength=len(terms))
-    key = [(tuple(x[np.argsort(-boost[x] * (boost[x] > 2 * LEAST), kind="stable")[: int((boost[x] > 2 * LEAST).sum())]]), int(x[np.argmax(df[x])]) if len(x) else -1, i) for i, (x, _) in enumerate(examples)]
-    order = sorted(range(len(examples)), key=key.__getitem__)
+
+    def key(i: int) -> tuple:
+        x = examples[i][0]
+        telling = x[boost[x] > 2 * LEAST]
+        return tuple(telling[np.argsort(-boost[telling], kind="stable")].tolist()), int(x[np.argmax(df[x])]) if len(x) else -1, i
+
+    order = sorted(range(len(examples)), key=key)
     examples = [examples[i] for i in order]
     model = Neighbours(terms, examples, rows["y"].to_numpy(np.int64)[order], rows["weight"].to_numpy(float)[order], boost)
     if examples:
         model.calibrate(examples)
     model.examples = rows["doc_id"].to_numpy(np.int64)[order]
+    pa.default_memory_pool().release_unused()
     return model
 
 
