@@ -106,6 +106,12 @@ def normal_sql(seed: int, *key: str) -> str:
     return f"(sqrt(-2.0::DOUBLE * ln({u('u')})) * cos({2 * pi!r}::DOUBLE * {u('v')}))"
 
 
+def student_t_sql(seed: int, nu: int, *key: str) -> str:
+    """The DuckDB expression of ``student_t``."""
+    square = " + ".join(f"({normal_sql(seed, *key, chr(39) + f'chi{i}' + chr(39))}) ** 2" for i in range(nu))
+    return f"({normal_sql(seed, *key, chr(39) + 't' + chr(39))} / sqrt(({square}) / {nu}.0::DOUBLE))"
+
+
 def uniform_sql(seed: int, *key: str) -> str:
     """The DuckDB expression of ``uniform``."""
     parts = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in key]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import normal, normal_sql, share, uniform, uniform_sql
+from ..functions.maths import normal, normal_sql, share, student_t_sql, uniform, uniform_sql
 from ..operators import dims, polls as poll_ops, rollup, scenario, spatial, transfer, units
 from ..streaming import live
 from .bindings import POINTS, POLLS, VOTES, points, polls, query, r6, scratch, table, votes
@@ -25,7 +25,8 @@ def dhondt_seats(spark: SparkSession, d: str) -> DataFrame:
     return scenario.allocate(v, ["unit", "year"], "list", "votes", 8 + F.col("year") % 7)
 
 
-N_SIM = 20
+#: Simulations of seats, of single contests, and of national shares; bootstrap replicates; degrees of freedom of heavy-tailed shocks.
+N_SIM, DRAWS, SWINGS, REPLICATES, NU = 1000, 2000, 20_000, 200, 5
 SCENARIO_BASE = f"""b0 AS (SELECT unit, party AS list, 'f' || (CAST(substr(party, 7) AS INTEGER) + 1999) % 6 AS family, CAST(sum(votes) AS DOUBLE) AS v FROM votes WHERE year = 1999 GROUP BY ALL),
 b AS (SELECT unit, list, family, v / sum(v) OVER (PARTITION BY unit) AS pct FROM b0), fam AS (SELECT unit, family, sum(pct) AS fb FROM b GROUP BY ALL), sims AS (SELECT unnest(range(0, {N_SIM})) AS sim),
 mv AS (SELECT sim, unit, family, fb, CASE WHEN fb > 0 THEN greatest(fb + {normal_sql(42, 'sim', 'family', "'national'")} * 2 / 100 + {normal_sql(42, 'sim', 'unit', 'family', "'unit'")} * 5 / 100, 0) ELSE 0 END AS fn FROM fam, sims),
@@ -76,26 +77,26 @@ t AS (SELECT *, v * exp({sb} * {zb}) AS s2 FROM r WHERE place <= 2),
 res AS (SELECT {k}, max(v) <= 0.5 AS runoff, CASE WHEN max(v) <= 0.5 THEN arg_max(candidate, s2) ELSE arg_max(candidate, v) END AS winner FROM t GROUP BY {k})"""
 
 
-@query("two_round_rule", f"""WITH {VOTES}, {STRENGTH}, sims AS (SELECT unnest(range(0, 10)) AS sim), scored AS (SELECT unit, sim, family AS candidate, strength * CASE WHEN n_cand = 2 THEN 1 ELSE 0.7 END * exp(0.4 * {normal_sql(11, 'unit', 'sim', 'family')} + 0.5 * CAST(family = 'f2' AS INTEGER)) AS sc FROM strength, sims),
+@query("two_round_rule", f"""WITH {VOTES}, {STRENGTH}, sims AS (SELECT unnest(range(0, {DRAWS})) AS sim), scored AS (SELECT unit, sim, family AS candidate, strength * CASE WHEN n_cand = 2 THEN 1 ELSE 0.7 END * exp(0.4 * {normal_sql(11, 'unit', 'sim', 'family')} + 0.5 * CAST(family = 'f2' AS INTEGER)) AS sc FROM strength, sims),
 {ROUND.format(k='unit, sim', sb='0.2', zb=normal_sql(11, 'unit', 'sim', 'place', "'runoff'"))} SELECT unit, CAST(sim AS INTEGER) AS sim, winner, runoff FROM res""")
 def two_round_rule(spark: SparkSession, d: str) -> DataFrame:
-    c = strength(spark, d).select("unit", F.col("family").alias("candidate"), "strength", (F.col("n_cand") == 2).alias("first"), (F.col("family") == "f2").alias("incumbent")).crossJoin(F.broadcast(scenario.sims(spark, 10)))
+    c = strength(spark, d).select("unit", F.col("family").alias("candidate"), "strength", (F.col("n_cand") == 2).alias("first"), (F.col("family") == "f2").alias("incumbent")).crossJoin(F.broadcast(scenario.sims(spark, DRAWS)))
     n = F.lit
     return scenario.two_round_rule(c, ["unit", "sim"], n(0.7), n(0.4), n(0.5), n(0.2), normal(11, "unit", "sim", "candidate"), normal(11, "unit", "sim", "place", F.lit("runoff")))
 
 
-@query("grid_likelihood", f"""WITH {VOTES}, {STRENGTH}, grid AS (SELECT * FROM (VALUES (0.5), (0.8)) a(beta), (VALUES (0.2), (0.6)) b(sigma), (VALUES (0.0), (0.4)) c(delta), (VALUES (0.1)) e(sigma_runoff)), sims AS (SELECT unnest(range(0, 12)) AS sim),
+@query("grid_likelihood", f"""WITH {VOTES}, {STRENGTH}, grid AS (SELECT * FROM (VALUES (0.5), (0.8)) a(beta), (VALUES (0.2), (0.6)) b(sigma), (VALUES (0.0), (0.4)) c(delta), (VALUES (0.1)) e(sigma_runoff)), sims AS (SELECT unnest(range(0, {DRAWS})) AS sim),
 ra AS (SELECT unit AS race, family AS candidate, family, strength, n_cand = 2 AS fst, family = 'f2' AS inc, first_value(family) OVER (PARTITION BY unit ORDER BY strength DESC, family) AS rf FROM strength),
 scored AS (SELECT beta, sigma, delta, sigma_runoff, race, sim, candidate, strength * CASE WHEN fst THEN 1 ELSE beta END * exp(sigma * {normal_sql(5, 'race', 'sim', 'candidate')} + delta * CAST(inc AS INTEGER)) AS sc FROM ra, grid, sims),
 {ROUND.format(k='beta, sigma, delta, sigma_runoff, race, sim', sb='sigma_runoff', zb=normal_sql(5, 'race', 'sim', 'place', "'runoff'"))},
 p AS (SELECT beta, sigma, delta, sigma_runoff, res.race, avg(CAST(ra.family = ra.rf AND ra.inc = (ra.rf = 'f2') AND res.runoff = true AS INTEGER)) AS p FROM res JOIN ra ON ra.race = res.race AND ra.candidate = res.winner GROUP BY ALL)
-SELECT CAST(beta AS DOUBLE) AS beta, CAST(sigma AS DOUBLE) AS sigma, CAST(delta AS DOUBLE) AS delta, CAST(sigma_runoff AS DOUBLE) AS sigma_runoff, round(sum(ln(p + 1.0::DOUBLE / 24)), 6) AS log_likelihood FROM p GROUP BY ALL""")
+SELECT CAST(beta AS DOUBLE) AS beta, CAST(sigma AS DOUBLE) AS sigma, CAST(delta AS DOUBLE) AS delta, CAST(sigma_runoff AS DOUBLE) AS sigma_runoff, round(sum(ln(p + 1.0::DOUBLE / {2 * DRAWS})), 6) AS log_likelihood FROM p GROUP BY ALL""")
 def grid_likelihood(spark: SparkSession, d: str) -> DataFrame:
     top = F.first("family").over(Window.partitionBy("unit").orderBy(F.desc("strength"), "family"))
     races = strength(spark, d).select(F.col("unit").alias("race"), F.col("family").alias("candidate"), "family", "strength", (F.col("n_cand") == 2).alias("first"), (F.col("family") == "f2").alias("incumbent"), top.alias("real_family"))
     races = races.withColumn("real_incumbent", F.col("real_family") == "f2").withColumn("real_runoff", F.lit(True))
     grid = spark.createDataFrame([(b, s, e, 0.1) for b in (0.5, 0.8) for s in (0.2, 0.6) for e in (0.0, 0.4)], "beta double, sigma double, delta double, sigma_runoff double")
-    return scenario.grid_likelihood(races, grid, 12, 5).withColumn("log_likelihood", r6("log_likelihood"))
+    return scenario.grid_likelihood(races, grid, DRAWS, 5).withColumn("log_likelihood", r6("log_likelihood"))
 
 
 UNIT_SHARE = "us AS (SELECT unit, CAST(coalesce(sum(votes) FILTER (WHERE option IN ('PROMO', 'LARGE', 'SMALL')), 0) AS DOUBLE) / sum(votes) AS share, CAST(sum(votes) AS DOUBLE) AS weight FROM votes GROUP BY unit)"
@@ -106,24 +107,30 @@ def unit_share(spark: SparkSession, d: str) -> DataFrame:
     return votes(spark, d).groupBy("unit").agg((side / F.sum("votes")).alias("share"), F.sum("votes").cast("double").alias("weight"))
 
 
-@query("swing_scenarios", f"""WITH {VOTES}, {UNIT_SHARE}, sims AS (SELECT unnest(range(0, 50)) AS sim), p AS (SELECT sim, weight, least(greatest(share + {normal_sql(3, 'sim', "'national'")} * 0.02 + {normal_sql(3, 'sim', 'unit')} * 0.03, 0), 1) AS p FROM us, sims)
+@query("swing_scenarios", f"""WITH {VOTES}, {UNIT_SHARE}, sims AS (SELECT unnest(range(0, {SWINGS})) AS sim), p AS (SELECT sim, weight, least(greatest(share + {normal_sql(3, 'sim', "'national'")} * 0.02 + {normal_sql(3, 'sim', 'unit')} * 0.03, 0), 1) AS p FROM us, sims)
 SELECT CAST(sim AS INTEGER) AS sim, round(sum(p * weight) / sum(weight), 6) AS share FROM p GROUP BY sim""")
 def swing_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.swing_scenarios(unit_share(spark, d), 50, 3, 0.03, 0.02).select("sim", r6("share"))
+    return scenario.swing_scenarios(unit_share(spark, d), SWINGS, 3, 0.03, 0.02).select("sim", r6("share"))
 
 
-@query("win_probability")
+@query("win_probability", f"""WITH {VOTES}, {UNIT_SHARE}, sims AS (SELECT unnest(range(0, {SWINGS})) AS sim), nt AS (SELECT sim, {student_t_sql(9, NU, 'sim', "'national'")} AS shock FROM sims),
+dr AS (SELECT unit, least(greatest(share + shock * 0.02 + {student_t_sql(9, NU, 'sim', 'unit')} * 0.03, 0), 1) AS p FROM us, nt)
+SELECT unit, round(avg(CAST(p > 0.5 AS INTEGER)), 6) AS win, round(avg(p), 6) AS mean, """ + ", ".join(f"round(quantile_cont(p, {q}), 6) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM dr GROUP BY unit")
 def win_probability(spark: SparkSession, d: str) -> DataFrame:
-    return scenario.win_probability(scenario.student_scenarios(unit_share(spark, d), 200, 9, 5, 0.03, 0.02), ["unit"])
+    return scenario.win_probability(scenario.student_scenarios(unit_share(spark, d), SWINGS, 9, NU, 0.03, 0.02), ["unit"]).select("unit", *[r6(c) for c in ("win", "mean", "p05", "p25", "p50", "p75", "p95")])
 
 
-@query("pairing_scenarios")
+@query("pairing_scenarios", f"""WITH {POLLS}, f0 AS (SELECT candidate, avg(pct) AS x FROM polls GROUP BY 1), f AS (SELECT candidate, x / sum(x) OVER () AS share FROM f0), pr AS (SELECT a.candidate AS a, b.candidate AS b, 0.4 + 0.2 * {uniform_sql(1, 'a.candidate', 'b.candidate')} AS share_a FROM f a JOIN f b ON a.candidate < b.candidate),
+dr AS (SELECT sim, candidate, share, {normal_sql(4, 'sim', 'candidate')} AS z FROM f, (SELECT unnest(range(0, {SWINGS})) AS sim)), rk AS (SELECT sim, candidate, z, greatest(share + 0.02 * z, 0) AS x, row_number() OVER (PARTITION BY sim ORDER BY greatest(share + 0.02 * z, 0) DESC, candidate) AS r FROM dr),
+tw AS (SELECT o.sim, o.candidate AS one, t.candidate AS two, o.z AS z1, t.z AS z2 FROM rk o JOIN rk t ON o.sim = t.sim AND o.r = 1 AND t.r = 2),
+ou AS (SELECT one, two, CASE WHEN one = a THEN share_a ELSE 1 - share_a END + (z1 - z2) * 0.03 / 2 + {normal_sql(4, 'sim', "'runoff'")} * 0.03 AS swing FROM tw JOIN pr ON a = least(one, two) AND b = greatest(one, two)), wn AS (SELECT CASE WHEN swing >= 0.5 THEN one ELSE two END AS winner FROM ou), c AS (SELECT winner, count(*) AS n FROM wn GROUP BY 1)
+SELECT winner, n, round(n / sum(n) OVER (), 6) AS frequency FROM c""")
 def pairing_scenarios(spark: SparkSession, d: str) -> DataFrame:
     first = polls(spark, d).groupBy("candidate").agg(F.avg("pct").alias("x"))
     first = rollup.share_of_group(first, "x", [], "share").select("candidate", "share")
     pairs = first.select(F.col("candidate").alias("a")).crossJoin(first.select(F.col("candidate").alias("b"))).where("a < b").withColumn("share_a", 0.4 + 0.2 * uniform(1, "a", "b"))
-    out = scenario.pairing_scenarios(first, pairs, 500, 4, F.lit(0.02), 0.03)
-    return rollup.frequency(out, ["winner"]).orderBy("winner")
+    out = scenario.pairing_scenarios(first, pairs, SWINGS, 4, F.lit(0.02), 0.03)
+    return rollup.frequency(out, ["winner"]).withColumn("frequency", r6("frequency"))
 
 
 @query("coalitions", """WITH s AS (SELECT p_type AS party, count(*) AS seats FROM part GROUP BY 1), c AS (SELECT party, CASE WHEN party < 'M' THEN 'left' ELSE 'right' END AS coalition, seats FROM s), k AS (SELECT coalition, CAST(sum(seats) AS BIGINT) AS seats FROM c GROUP BY 1), n AS (SELECT sum(seats) AS n FROM s)
@@ -300,14 +307,24 @@ def origin_cells(spark: SparkSession, d: str) -> DataFrame:
     return transfer.origin_cells(now, before, matrices(spark, d).select("unit", "origin", "dest", "p"), "unit", "place").withColumn("votes", r6("votes"))
 
 
-@query("bootstrap_gram", f"""WITH {VOTES}, {PLACE}, reps AS (SELECT unnest(range(0, 5)) AS replicate), dr AS (SELECT *, {uniform_sql(17, 'replicate', 'place')} AS u FROM pl, reps),
+@query("bootstrap_gram", f"""WITH {VOTES}, {PLACE}, reps AS (SELECT unnest(range(0, {REPLICATES})) AS replicate), dr AS (SELECT *, {uniform_sql(17, 'replicate', 'place')} AS u FROM pl, reps),
 tm AS (SELECT *, CAST(u > 0.36787944117144233 AS INTEGER) + CAST(u > 0.7357588823428847 AS INTEGER) + CAST(u > 0.9196986029286058 AS INTEGER) + CAST(u > 0.9810118431238462 AS INTEGER) + CAST(u > 0.9963401531726563 AS INTEGER) + CAST(u > 0.9994058151824183 AS INTEGER) + CAST(u > 0.999916758850712 AS INTEGER) + CAST(u > 0.9999897508033253 AS INTEGER) AS t FROM dr)
 SELECT CAST(replicate AS INTEGER) AS replicate, unit, round(sum(t * w * a_1 * a_1), 4) AS x00, round(sum(t * w * b_1 * a_2), 4) AS y10, count(*) AS n FROM tm WHERE t > 0 GROUP BY ALL""")
 def bootstrap_gram(spark: SparkSession, d: str) -> DataFrame:
-    g = transfer.bootstrap_gram(place_rounds(spark, d), ["unit"], ["place"], ORIGINS, DESTS, "w", 5, 17)
+    g = transfer.bootstrap_gram(place_rounds(spark, d), ["unit"], ["place"], ORIGINS, DESTS, "w", REPLICATES, 17)
     return g.select("replicate", "unit", F.round(F.col("xx")[0], 4).alias("x00"), F.round(F.col("xy")[4], 4).alias("y10"), "n")
 
 
+@query("bootstrap_interval")
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The first side's share, with matrices estimated again in every replicate: mean, deviation and the middle 90 %."""
+    g = transfer.bootstrap_gram(place_rounds(spark, d), ["unit"], ["place"], ORIGINS, DESTS, "w", REPLICATES, 17)
+    own = transfer.transfer_matrix(g, ["replicate", "unit"], ORIGINS, DESTS)
+    mass = group_votes(spark, d).where("round = 1").groupBy("unit", F.concat("grp", F.lit("_1")).alias("origin")).agg(F.sum("votes").alias("votes"))
+    out = transfer.bootstrap_interval(own, mass, ["unit"], ("a_2", "b_2"))
+    return out.select("replicates", *[r6(c) for c in ("mean", "sd", "low", "high")])
+
+
 @query("wls_slope", f"WITH {VOTES}, {PLACE} SELECT unit, round(regr_slope(a_2, a_1), 5) AS coef, round(regr_r2(a_2, a_1), 5) AS r2, count(*) AS n FROM pl GROUP BY unit")
 def wls_slope(spark: SparkSession, d: str) -> DataFrame:
     f = transfer.least_squares(place_rounds(spark, d).withColumn("one", F.lit(1.0)), ["unit"], ["a_1"], "a_2", "one")

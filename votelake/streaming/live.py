@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -77,10 +77,18 @@ def estimate(units: DataFrame, sd: float, key: Sequence[str] = (), by: Sequence[
 
 
 def snapshots_until(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """The latest row of each unit at every cutoff: all replayed snapshots as one keyed table."""
-    j = counts.join(F.broadcast(cutoffs), F.col("ts") <= F.col("cutoff"))
-    rest = [c for c in counts.columns if c != "code"]
-    return j.groupBy("cutoff", "code").agg(F.max(F.struct(*["ts", *[c for c in rest if c != "ts"]])).alias("x")).select("cutoff", "code", "x.*")
+    """The latest row of each unit at every cutoff: all replayed snapshots as one keyed table.
+
+    A row holds from its time until its unit's next one, so it meets only the
+    cutoffs of that span; these come as one sorted list in one row.  Of rows of
+    a unit at the same time the largest counts.
+    """
+    rest = [c for c in counts.columns if c not in ("code", "ts")]
+    once = counts.groupBy("code", "ts").agg(F.max(F.struct(*rest)).alias("x")).select("code", "ts", "x.*")
+    span = once.withColumn("_next", F.lead("ts").over(Window.partitionBy("code").orderBy("ts")))
+    list_ = cutoffs.agg(F.array_sort(F.collect_set("cutoff")).alias("_cutoffs"))
+    own = F.filter("_cutoffs", lambda c: (c >= F.col("ts")) & (F.col("_next").isNull() | (c < F.col("_next"))))
+    return span.crossJoin(F.broadcast(list_)).select(F.explode(own).alias("cutoff"), "code", "ts", *rest)
 
 
 def replay(forecast: DataFrame, counts: DataFrame, cutoffs: DataFrame, k: float, sd: float) -> DataFrame:
@@ -116,7 +124,8 @@ def read_counts(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 def latest_counts(counts: DataFrame) -> DataFrame:
-    """Stream of the units that changed, by keyed state in the state store."""
+    """Stream of the units that changed, by keyed state in the state store, which must be RocksDB's: the session is set so."""
+    counts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return counts.groupBy("code").transformWithStateInPandas(LatestCount(), COUNT_SCHEMA, "Update", "None")
 
 
@@ -129,28 +138,33 @@ def newest(counts: DataFrame, until: Column | None = None) -> DataFrame:
 
 
 def track(spark: SparkSession, counts: DataFrame, forecast: DataFrame, state_path: str, history_path: str, checkpoint: str, k: float, sd: float, stop_at: float = 99.99) -> StreamingQuery:
-    """Merge every micro-batch into the stored counts, re-estimate, and append one row of history; stop when ``stop_at`` percent are counted.
-
-    The stored counts are written under the batch's number and the number of the
-    last complete one is read from the history, so a repeated batch gives the
-    same rows and its history row replaces itself.
+    """Re-estimate after every micro-batch and append one row of history, until ``stop_at`` percent are counted.
+
+    Keyed state gives the units that a batch changed; these replace their rows
+    in the stored counts, which are written under the batch's number.  A batch
+    starts from the counts of the last one before it that the history has, and
+    fails if these are gone; so a repeated batch gives the same rows, and its
+    history row replaces itself.  Once the count is complete, further batches
+    change nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        try:
-            before = s.read.parquet(f"{state_path}/batch={number - 1}")
-            rows = before.unionByName(batch.select(*before.columns))
-        except Exception as e:  # noqa: BLE001
-            if number > 0 and "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch
-        newest(rows).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        folder = s._jvm.org.apache.hadoop.fs.Path(history_path)
+        rows = batch
+        if folder.getFileSystem(s._jsc.hadoopConfiguration()).exists(folder):
+            before = s.read.parquet(history_path).where(F.col("batch") < number).orderBy(F.desc("batch")).select("batch", "counted_pct").first()
+            if before is not None:
+                if (before["counted_pct"] or 0) >= stop_at:
+                    return
+                stored = s.read.parquet(f"{state_path}/batch={before['batch']}")
+                rows = stored.join(batch.select("code"), "code", "left_anti").unionByName(batch.select(*stored.columns))
+        rows.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
         state = s.read.parquet(f"{state_path}/batch={number}")
         row = estimate(projected_units(forecast, state, k), sd).withColumn("n_units", F.lit(state.count()))
         row.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
-    return counts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return latest_counts(counts).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finished(history: DataFrame, stop_at: float = 99.99) -> bool:
