@@ -41,6 +41,8 @@ BLOCK_SHINGLES = 1 << 20
 TREE_SHINGLES = 1 << 21
 #: Rows of a shingle that one task compares with each other; the rows of a larger group meet in blocks.
 PAIRED = 400
+#: Pairs that are looked at together.
+PAIRS = 1 << 18
 #: 64-bit words of the marks by which a task rules out that two sets share enough of their first shingles.
 MARKS = 8
 #: Members and queries of a block, about.
@@ -393,18 +395,35 @@ def _near_pairs(num: int, den: int):
     a token gives fewer edges than it has rows, however many pairs there are.
     """
 
-    def group(cols, marks):
+    def possible(cols, marks, a, b):
         n, e, c, k = cols["n"], cols["e"], cols["c"], cols["k"]
-        a, b = np.triu_indices(len(n), 1)
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        ok = (c[a] != c[b]) & (cols["id"][a] != cols["id"][b]) & (large * num <= small * den)
-        a, b = a[ok], b[ok]
+        for test in (lambda: (c[a] != c[b]) & (cols["id"][a] != cols["id"][b]), lambda: np.maximum(n[a], n[b]) * num <= np.minimum(n[a], n[b]) * den, lambda: np.minimum(n[a] - cols["p"][a], n[b] - cols["p"][b]) >= _need(n[a], n[b], num, den)):
+            ok = test()
+            a, b = a[ok], b[ok]
         need = _need(n[a], n[b], num, den)
-        ok = np.minimum(n[a] - cols["p"][a], n[b] - cols["p"][b]) >= need
-        a, b, need = a[ok], b[ok], need[ok]
         first = lambda x: need + 1 - -(-num * n[x] // den)  # noqa: E731  the least number of common first shingles, if those of x end earlier
         have = lambda x, y: k[x] - np.bitwise_count(marks[x] & ~marks[y]).sum(1)  # noqa: E731  and the most that there can be
-        return a, b, np.where(e[a] < e[b], have(a, b) >= first(a), np.where(e[b] < e[a], have(b, a) >= first(b), np.minimum(have(a, b), have(b, a)) >= np.minimum(first(a), first(b))))
+        ab, ba = have(a, b), have(b, a)
+        ok = np.where(e[a] < e[b], ab >= first(a), np.where(e[b] < e[a], ba >= first(b), np.minimum(ab, ba) >= np.minimum(first(a), first(b))))
+        return a[ok], b[ok]
+
+    def connected(cols, marks, begin, end):
+        """Edges inside the row ranges ``begin`` to ``end``, which follow each other."""
+        rows = np.arange(begin[0], end[-1])
+        n = np.repeat(end, end - begin) - rows - 1  # pairs of a row with those after it
+        where = np.cumsum(n)
+        b = np.arange(where[-1]) + np.repeat(rows + 1 - where + n, n)
+        a, b = possible(cols, marks, np.repeat(rows, n), b)
+        a, b, root = a - begin[0], b - begin[0], np.arange(len(rows))
+        while len(a):  # the smallest row that a row is connected with, by as many rounds as the longest chain takes
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            np.minimum.at(new, b, root[a])
+            if (new == root).all():
+                break
+            root = new
+        far = np.flatnonzero(root != np.arange(len(rows)))
+        return cols["id"][begin[0] + far], cols["id"][begin[0] + root[far]]
 
     def run(batches):
         held = None
@@ -418,23 +437,16 @@ def _near_pairs(num: int, den: int):
             held = None if batch is None else table.slice(int(edges[-2])).to_batches()[0]
             cols = {x: table.column(x).to_numpy() for x in ("id", "n", "p", "e", "c", "k")}
             marks = np.column_stack([table.column(f"m{w}").to_numpy() for w in range(MARKS)]).astype(np.int64).view(np.uint64)
-            us, vs = [], []
-            for g in range(done):
-                lo, hi = int(edges[g]), int(edges[g + 1])
-                if hi - lo > 1:
-                    a, b, ok = group({x: y[lo:hi] for x, y in cols.items()}, marks[lo:hi])
-                    a, b = a[ok], b[ok]
-                    root = np.arange(hi - lo)
-                    while len(a):  # the smallest row that a row is connected with, by as many rounds as the longest chain takes
-                        new = root.copy()
-                        np.minimum.at(new, a, root[b])
-                        np.minimum.at(new, b, root[a])
-                        if (new == root).all():
-                            break
-                        root = new
-                    far = np.flatnonzero(root != np.arange(hi - lo))
-                    us.append(cols["id"][lo:hi][far])
-                    vs.append(cols["id"][lo:hi][root[far]])
+            begin, end = edges[:done], edges[1 : done + 1]
+            total = np.concatenate(([0], np.cumsum((end - begin) * (end - begin - 1) // 2)))
+            us, vs, g = [], [], 0
+            while g < done:  # tokens of about PAIRS pairs at a time
+                h = max(g + 1, int(np.searchsorted(total, total[g] + PAIRS, "right")) - 1)
+                if total[h] > total[g]:
+                    u, v = connected(cols, marks, begin[g:h], end[g:h])
+                    us.append(u)
+                    vs.append(v)
+                g = h
             if us:
                 pairs = np.unique(np.column_stack((np.concatenate(us), np.concatenate(vs))), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
