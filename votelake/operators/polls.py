@@ -68,6 +68,20 @@ def track_record(errors: DataFrame, k: float, contest: Sequence[str], exclude: D
     return t.select("house", "contests", F.sqrt(F.col("s") / F.col("contests")).alias("rmse"), F.sqrt(s2).alias("rmse_shrunk"), share(F.col("industry"), s2).alias("quality"))
 
 
+def rolling_quality(errors: DataFrame, k: float, contest: str, last: int) -> DataFrame:
+    """``(contest, house, quality)`` for contests 2 to ``last``: the track record from the contests before each, numbered from 1.
+
+    Each contest's errors count for all later ones, an equi-join by exploding;
+    a house without record has no row.
+    """
+    obs = errors.groupBy("house", contest).agg(F.avg(F.col("error") * F.col("error")).alias("sq")).where(F.col(contest) < last)
+    later = obs.withColumn("_for", F.explode(F.sequence(F.col(contest) + 1, F.lit(last).cast(errors.schema[contest].dataType))))
+    industry = later.groupBy("_for").agg(F.avg("sq").alias("_all"))
+    own = later.groupBy("_for", "house").agg(F.sum("sq").alias("_s"), F.count("*").alias("_n")).join(F.broadcast(industry), "_for")
+    s2 = (F.lit(k) * F.col("_all") + F.col("_s")) / (F.lit(k) + F.col("_n"))
+    return own.select(F.col("_for").alias(contest), "house", share(F.col("_all"), s2).alias("quality"))
+
+
 def at_cutoffs(polls: DataFrame, cutoffs: DataFrame, window: int) -> DataFrame:
     """Each poll row with every cutoff from its end to ``window`` days later: an equi-join on the days of that span, not a range join."""
     days = polls.withColumn("cutoff", F.explode(F.sequence(F.col("end_date"), F.date_add("end_date", window))))
@@ -78,7 +92,8 @@ def aggregate(polls: DataFrame, quality: DataFrame, settings: PollSettings, key:
     """House-effect corrected, time-weighted share per key and candidate.
 
     ``polls`` has (key, poll, house, age, sample, candidate, share), all polls of
-    a key with the same candidates; ``quality`` (house, quality).  A poll's trend
+    a key with the same candidates; ``quality`` ([columns of the key], house,
+    quality), 1 for a house that it hasn't.  A poll's trend
     is the mean of other houses' corrected polls, weighted by closeness in time;
     a house's effect is its mean residual, shrunk and centred so that weighted
     effects cancel; both are repeated.  Everything is keyed, so any number of
@@ -86,7 +101,8 @@ def aggregate(polls: DataFrame, quality: DataFrame, settings: PollSettings, key:
     candidate, estimate, uncorrected, simple, n_polls, n_effective).
     """
     k = list(key)
-    base = polls.join(F.broadcast(quality), "house", "left").withColumn("quality", F.coalesce("quality", F.lit(1.0)))
+    on = [c for c in quality.columns if c != "quality"]
+    base = polls.join(F.broadcast(quality), on, "left").withColumn("quality", F.coalesce("quality", F.lit(1.0)))
     base = base.withColumn("base", F.col("quality") * F.least(F.coalesce(F.col("sample").cast("double"), F.lit(settings.sample_cap)), F.lit(settings.sample_cap)) / settings.sample_cap)
     meta = base.select(*k, "poll", "house", "age", "base").distinct()
     a, b = meta.alias("a"), meta.select(*k, F.col("poll").alias("other"), F.col("house").alias("other_house"), F.col("age").alias("other_age"), F.col("base").alias("other_base")).alias("b")

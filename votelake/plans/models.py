@@ -195,30 +195,88 @@ def aggregate(spark: SparkSession, d: str, days: list[str], settings: poll_ops.P
     return poll_ops.aggregate(poll_ops.at_cutoffs(valid(spark, d), cut, settings.window), quality, settings)
 
 
-@query("poll_aggregate", f"""WITH {POLLS}, {VALID}, m AS (SELECT *, datediff('day', end_date, DATE '2024-01-20') AS age, (0.7 + 0.05 * CAST(substr(house, 2) AS INTEGER)) AS quality FROM va WHERE end_date BETWEEN DATE '2024-01-20' - 14 AND DATE '2024-01-20'),
-b AS (SELECT *, quality * least(sample, 1500) / 1500 AS base FROM m), u AS (SELECT DISTINCT poll, house, age, base FROM b),
-nr AS (SELECT a.poll, o.poll AS other, 0.5 ** (abs(a.age - o.age) / 3.0::DOUBLE) * o.base AS w FROM u a JOIN u o ON a.house <> o.house),
-tr AS (SELECT nr.poll, b.candidate, sum(w * share) / sum(w) AS trend FROM nr JOIN b ON b.poll = nr.other GROUP BY ALL), rs AS (SELECT b.house, b.candidate, b.quality, b.share - coalesce(trend, b.share) AS r FROM b LEFT JOIN tr ON tr.poll = b.poll AND tr.candidate = b.candidate),
-e0 AS (SELECT house, candidate, sum(r) / (count(*) + 2.0::DOUBLE) AS e, max(quality) * count(*) AS anchor FROM rs GROUP BY ALL), e1 AS (SELECT house, candidate, e - sum(e * anchor) OVER (PARTITION BY candidate) / sum(anchor) OVER (PARTITION BY candidate) AS effect FROM e0),
-w AS (SELECT b.*, effect, base * 0.5 ** (age / 3.0::DOUBLE) AS w FROM b JOIN e1 ON e1.house = b.house AND e1.candidate = b.candidate),
-es AS (SELECT candidate, greatest(sum(w * (share - effect)) / sum(w), 0) AS e, sum(w * share) / sum(w) AS u, avg(share) AS s, count(*) AS n_polls, sum(w) ** 2 / sum(w * w) AS n_effective FROM w GROUP BY candidate)
-SELECT candidate, round(e / sum(e) OVER (), 6) AS estimate, round(u / sum(u) OVER (), 6) AS uncorrected, round(s / sum(s) OVER (), 6) AS simple, n_polls, round(n_effective, 6) AS n_effective FROM es""")
+def aggregate_sql(polls_: str, key: str, iterations: int, half: float = 3.0, cap: int = 1500, shrink: float = 2.0) -> str:
+    """Common tables of the aggregate over ``polls_`` (key, poll, house, age, sample, candidate, share, quality); the last, ``es``, has its sums."""
+    tables = [
+        f"b AS MATERIALIZED (SELECT *, quality * least(sample, {cap}) / {cap} AS base FROM {polls_})",
+        f"u AS MATERIALIZED (SELECT DISTINCT {key}, poll, house, age, base FROM b)",
+        f"nr AS MATERIALIZED (SELECT a.{key}, a.poll, o.poll AS other, 0.5 ** (abs(a.age - o.age) / {half}::DOUBLE) * o.base AS w FROM u a JOIN u o ON a.{key} = o.{key} AND a.house <> o.house)",
+        f"ef0 AS (SELECT DISTINCT {key}, house, candidate, 0.0::DOUBLE AS effect FROM b)",
+    ]
+    for i in range(1, iterations + 1):
+        tables += [
+            f"fx{i} AS MATERIALIZED (SELECT b.{key}, b.poll AS other, b.candidate, share - effect AS x FROM b JOIN ef{i - 1} f ON f.{key} = b.{key} AND f.house = b.house AND f.candidate = b.candidate)",
+            f"tr{i} AS MATERIALIZED (SELECT nr.{key}, nr.poll, f.candidate, sum(w * x) / sum(w) AS trend FROM nr JOIN fx{i} f ON f.{key} = nr.{key} AND f.other = nr.other GROUP BY ALL)",
+            f"rs{i} AS (SELECT b.{key}, b.house, b.candidate, b.quality, b.share - coalesce(trend, b.share) AS r FROM b LEFT JOIN tr{i} t ON t.{key} = b.{key} AND t.poll = b.poll AND t.candidate = b.candidate)",
+            f"en{i} AS (SELECT {key}, house, candidate, sum(r) / (count(*) + {shrink}::DOUBLE) AS e, max(quality) * count(*) AS anchor FROM rs{i} GROUP BY ALL)",
+            f"ef{i} AS MATERIALIZED (SELECT {key}, house, candidate, e - sum(e * anchor) OVER (PARTITION BY {key}, candidate) / sum(anchor) OVER (PARTITION BY {key}, candidate) AS effect FROM en{i})",
+        ]
+    tables += [
+        f"wt AS (SELECT b.*, effect, base * 0.5 ** (age / {half}::DOUBLE) AS w FROM b JOIN ef{iterations} f ON f.{key} = b.{key} AND f.house = b.house AND f.candidate = b.candidate)",
+        f"es AS (SELECT {key}, candidate, greatest(sum(w * (share - effect)) / sum(w), 0) AS e, sum(w * share) / sum(w) AS u, avg(share) AS s, count(*) AS n_polls, sum(w) ** 2 / sum(w * w) AS n_effective FROM wt GROUP BY ALL)",
+        f"ag AS (SELECT {key}, candidate, e / sum(e) OVER (PARTITION BY {key}) AS estimate, u / sum(u) OVER (PARTITION BY {key}) AS uncorrected, s / sum(s) OVER (PARTITION BY {key}) AS simple, n_polls, n_effective FROM es)",
+    ]
+    return ", ".join(tables)
+
+
+def _daily(days: list[str]) -> str:
+    rows = ", ".join(f"(DATE '{x}')" for x in days)
+    return f"""k(cutoff) AS (VALUES {rows}), m AS (SELECT va.*, cutoff, datediff('day', end_date, cutoff) AS age, 0.7 + 0.05 * CAST(substr(house, 2) AS INTEGER) AS quality FROM va JOIN k ON end_date BETWEEN cutoff - 14 AND cutoff)"""
+
+
+ROUNDED = "round(estimate, 6) AS estimate, round(uncorrected, 6) AS uncorrected, round(simple, 6) AS simple, n_polls, round(n_effective, 6) AS n_effective"
+TREND_DAYS = [f"2024-01-{x:02d}" for x in range(16, 31)]
+
+
+def aggregated(out: DataFrame, *keys: str) -> DataFrame:
+    return out.select(*keys, "candidate", r6("estimate"), r6("uncorrected"), r6("simple"), "n_polls", r6("n_effective"))
+
+
+@query("poll_aggregate", f"WITH {POLLS}, {VALID}, {_daily(['2024-01-20'])}, {aggregate_sql('m', 'cutoff', 1)} SELECT candidate, {ROUNDED} FROM ag")
 def poll_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    out = aggregate(spark, d, ["2024-01-20"], poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 1))
-    return out.select("candidate", r6("estimate"), r6("uncorrected"), r6("simple"), "n_polls", r6("n_effective"))
+    return aggregated(aggregate(spark, d, ["2024-01-20"], poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 1)))
 
 
-@query("poll_daily_trend")
+@query("poll_daily_trend", f"WITH {POLLS}, {VALID}, {_daily(TREND_DAYS)}, {aggregate_sql('m', 'cutoff', 5)} SELECT cutoff, candidate, {ROUNDED} FROM ag")
 def poll_daily_trend(spark: SparkSession, d: str) -> DataFrame:
-    out = aggregate(spark, d, [f"2024-01-{x:02d}" for x in range(16, 31)], poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 5))
-    return out.select("cutoff", "candidate", r6("estimate"), r6("uncorrected"), r6("simple"), "n_polls", r6("n_effective"))
+    return aggregated(aggregate(spark, d, TREND_DAYS, poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 5)), "cutoff")
 
 
-@query("poll_backtest")
+#: Four contests, a week each but for the last: their polls, results that differ from the mean of these by fixed amounts, and errors of the two leaders.
+WEEKS = """wk AS (SELECT *, CAST(least((day(end_date) + 6) // 7, 4) AS INTEGER) AS contest FROM va), vd AS (SELECT contest, max(end_date) AS vote_date FROM wk GROUP BY contest),
+rw AS (SELECT contest, candidate, m + CASE WHEN candidate = 'click' THEN 0.01 ELSE -0.0025 END * contest AS result FROM (SELECT contest, candidate, avg(share) AS m FROM wk GROUP BY ALL)),
+lw AS (SELECT contest, candidate, result FROM rw QUALIFY row_number() OVER (PARTITION BY contest ORDER BY result DESC, candidate) <= 2),
+ew AS (SELECT contest, house, candidate, avg(share - result) AS error FROM wk JOIN lw USING (contest, candidate) GROUP BY ALL), ow AS (SELECT contest, house, avg(error * error) AS sq FROM ew GROUP BY ALL),
+ta(target) AS (VALUES (2), (3), (4)), iw AS (SELECT target, avg(sq) AS i FROM ow JOIN ta ON contest < target GROUP BY target), qs AS (SELECT target, house, sum(sq) AS s, count(*) AS n FROM ow JOIN ta ON contest < target GROUP BY ALL),
+qw AS (SELECT qs.target, house, i / ((2 * i + s) / (2 + n)) AS quality FROM qs JOIN iw USING (target))"""
+
+
+def weekly(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Polls by contest, results, and the quality of houses from the contests before each."""
+    v = valid(spark, d).withColumn("contest", F.least(F.floor((F.dayofmonth("end_date") + 6) / 7), F.lit(4)).cast("int"))
+    days = v.groupBy("contest").agg(F.max("end_date").alias("vote_date"))
+    moved = F.when(F.col("candidate") == "click", 0.01).otherwise(-0.0025) * F.col("contest")
+    res = v.groupBy("contest", "candidate").agg(F.avg("share").alias("m")).select("contest", "candidate", (F.col("m") + moved).alias("result")).join(F.broadcast(days), "contest")
+    errors = poll_ops.house_errors(v, res, ["contest"], 60)
+    return v, res, poll_ops.rolling_quality(errors, 2, "contest", 4)
+
+
+@query("rolling_record", f"WITH {POLLS}, {VALID}, {WEEKS} SELECT target AS contest, house, round(quality, 6) AS quality FROM qw")
+def rolling_record(spark: SparkSession, d: str) -> DataFrame:
+    return weekly(spark, d)[2].withColumn("quality", r6("quality"))
+
+
+@query("poll_backtest", f"""WITH {POLLS}, {VALID}, {WEEKS}, m AS (SELECT wk.*, datediff('day', end_date, vote_date) AS age, coalesce(quality, 1.0::DOUBLE) AS quality FROM wk JOIN vd USING (contest) LEFT JOIN qw ON qw.target = wk.contest AND qw.house = wk.house), {aggregate_sql('m', 'contest', 5)},
+sg AS (SELECT contest, avg(abs(share - result)) AS mae_single FROM wk JOIN rw USING (contest, candidate) GROUP BY contest)
+SELECT contest, round(avg(abs(estimate - result)), 6) AS mae, round(avg(abs(simple - result)), 6) AS mae_simple, round(any_value(mae_single), 6) AS mae_single, count(*) AS n FROM ag JOIN rw USING (contest, candidate) JOIN sg USING (contest) GROUP BY contest""")
 def poll_backtest(spark: SparkSession, d: str) -> DataFrame:
-    est = aggregate(spark, d, [f"2024-01-{x:02d}" for x in (15, 20, 25, 30)], poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 5)).withColumn("contest", F.lit(1))
-    out = poll_ops.backtest(est, results(valid(spark, d)), ["contest"], ["cutoff"])
-    return out.select("cutoff", r6("mae"), r6("mae_simple"), "n")
+    """Every contest by the aggregate with weights from the earlier ones' record, against the simple mean and single polls."""
+    v, res, quality = weekly(spark, d)
+    aged = v.join(F.broadcast(res.select("contest", "vote_date").distinct()), "contest").withColumn("age", F.datediff("vote_date", "end_date"))
+    est = poll_ops.aggregate(aged, quality, poll_ops.PollSettings(60, 3.0, 1500.0, 2.0, 5), ["contest"])
+    single = v.join(F.broadcast(res), ["contest", "candidate"]).groupBy("contest").agg(r6(F.avg(F.abs(F.col("share") - F.col("result"))), "mae_single"))
+    out = poll_ops.backtest(est, res, ["contest"], ["contest"])
+    return out.select("contest", r6("mae"), r6("mae_simple"), "n").join(single, "contest")
 
 
 @query("main_scenario", f"""WITH {POLLS}, sc AS (SELECT *, CASE WHEN CAST(substr(house, 2) AS INTEGER) % 3 = 0 THEN 's1' ELSE 's2' END AS scenario FROM polls), n AS (SELECT candidate, scenario, count(DISTINCT poll) AS n FROM sc GROUP BY ALL), b AS (SELECT candidate, scenario FROM n QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY n DESC, scenario) = 1)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import polls as poll_ops, rollup, territory, transfer
-from .bindings import POINTS, VOTES, points, query, r6, table, votes
-from .models import DESTS, ORIGINS, matrices, place_rounds, valid, results
+from .bindings import POINTS, POLLS, VOTES, points, query, r6, table, votes
+from .models import DESTS, ORIGINS, RESULTS, VALID, WEEKS, aggregate_sql, matrices, place_rounds, results, valid, weekly
 from .votes import SHARES, group_votes, place_shares
 
 
@@ -145,12 +145,17 @@ def duplicated_keys(spark: SparkSession, d: str) -> DataFrame:
     return rollup.duplicates(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"])
 
 
-@query("horizon_errors")
+HORIZONS = 14
+
+
+@query("horizon_errors", f"""WITH {POLLS}, {VALID}, {RESULTS}, {WEEKS}, k AS (SELECT DATE '2024-01-31' - CAST(unnest(range(1, {HORIZONS + 1})) AS INTEGER) AS cutoff),
+m AS (SELECT va.*, cutoff, datediff('day', end_date, cutoff) AS age, coalesce(quality, 1.0::DOUBLE) AS quality FROM va JOIN k ON end_date BETWEEN cutoff - 14 AND cutoff LEFT JOIN qw ON qw.target = 3 AND qw.house = va.house), {aggregate_sql('m', 'cutoff', 1)}
+SELECT CAST(datediff('day', cutoff, DATE '2024-01-31') AS INTEGER) AS days, round(avg(abs(estimate - result)), 6) AS mae, round(avg(abs(simple - result)), 6) AS mae_simple, count(*) AS n FROM ag JOIN re USING (candidate) GROUP BY cutoff""")
 def horizon_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Error of the aggregate by days before the vote, every horizon a key of one job."""
-    cut = spark.range(1, 15).select(F.date_sub(F.lit("2024-01-31").cast("date"), F.col("id").cast("int")).alias("cutoff"))
+    """Error of the aggregate by days before the vote, every horizon a key of one job; weights from the contests that had ended."""
+    cut = spark.range(1, HORIZONS + 1).select(F.date_sub(F.lit("2024-01-31").cast("date"), F.col("id").cast("int")).alias("cutoff"))
     v = valid(spark, d)
-    quality = spark.createDataFrame([("h0", 1.0)], "house string, quality double")
+    quality = weekly(spark, d)[2].where("contest = 3").select("house", "quality")
     est = poll_ops.aggregate(poll_ops.at_cutoffs(v, cut, 14), quality, poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 1)).withColumn("contest", F.lit(1))
     out = poll_ops.backtest(est, results(v), ["contest"], ["cutoff"])
     return out.select(F.datediff(F.lit("2024-01-31").cast("date"), "cutoff").alias("days"), r6("mae"), r6("mae_simple"), "n")
