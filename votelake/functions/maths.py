@@ -73,6 +73,16 @@ def uniform(seed: int, *key: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
+def digest(seed: int, *key: Column | str) -> Column:
+    """The MD5 digest of seed and key, of which ``uniform_part`` takes up to four draws."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]).cast("binary"))
+
+
+def uniform_part(digest_: Column | str, part: Column | str) -> Column:
+    """The draw in (0, 1) of a quarter of a digest, 0 to 3."""
+    return (F.conv(F.substring(col(digest_), (col(part) * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") + 0.5) / F.lit(float(2**32))
+
+
 def normal(seed: int, *key: Column | str) -> Column:
     """A standard normal draw, Box-Muller over two uniform ones."""
     return F.sqrt(F.lit(-2.0) * F.log(uniform(seed, *key, F.lit("u")))) * F.cos(F.lit(2 * pi) * uniform(seed, *key, F.lit("v")))
@@ -112,6 +122,12 @@ def student_t_sql(seed: int, nu: int, *key: str) -> str:
     return f"({normal_sql(seed, *key, chr(39) + 't' + chr(39))} / sqrt(({square}) / {nu}.0::DOUBLE))"
 
 
+def uniform_part_sql(seed: int, part: str, *key: str) -> str:
+    """The DuckDB expression of ``uniform_part`` of ``digest``."""
+    parts = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in key]])
+    return f"((CAST(('0x' || substr(md5({parts}), CAST(({part}) * 8 + 1 AS BIGINT), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
 def uniform_sql(seed: int, *key: str) -> str:
     """The DuckDB expression of ``uniform``."""
     parts = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in key]])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import haversine_km, planar_km, share, uniform
+from ..functions.maths import digest, haversine_km, planar_km, share, uniform_part
 from . import rollup
 
 #: Nodes whose values are broadcast to the draws of a permutation test, at most; more are joined by a shuffle.
@@ -134,7 +134,7 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     """``(node, z, lag, statistic, p, cluster)``: local Moran, or with ``star`` the Gi* hot spots, with conditional permutation.
 
     A permutation draws as many other nodes' values as the node has neighbours:
-    each draw takes the position that a hash of (seed, permutation, node,
+    each draw takes the position that a digest of (seed, permutation, node,
     neighbour) gives, so all permutations are one job of permutations x edges
     rows; node ids are numbers.  ``p`` is the part of statistics at least as extreme on the smaller side.
     """
@@ -149,8 +149,11 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     if pos.count() <= BROADCAST_NODES:
         pos = F.broadcast(pos)
     reps = values.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm"))
-    fan = base.crossJoin(F.broadcast(reps)).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("deg").cast("int"))))
-    drawn = fan.withColumn("pos", F.floor(uniform(seed, "perm", "src", "slot") * F.col("_n")).cast("long")).join(pos, "pos")
+    deg = F.col("deg").cast("int")
+    fan = base.crossJoin(F.broadcast(reps)).withColumn("_four", F.explode(F.sequence(F.lit(0), F.floor((deg - 1) / 4).cast("int"))))  # a digest gives four draws
+    fan = fan.withColumn("_digest", digest(seed, "perm", "src", "_four")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.least(deg - F.col("_four") * 4, F.lit(4)) - 1)))
+    fan = fan.withColumn("slot", F.col("_four") * 4 + F.col("_q") + 1)
+    drawn = fan.withColumn("pos", F.floor(uniform_part("_digest", "_q") * F.col("_n")).cast("long")).join(pos, "pos")
     value = F.when((F.col("slot") == 1) & F.lit(star), F.col("z")).otherwise(F.col("zp"))
     lags = drawn.groupBy("src", "perm").agg(F.avg(value).alias("plag"), F.max("z").alias("z"), F.max("statistic").alias("statistic"))
     stat = F.col("plag") if star else F.col("z") * F.col("plag")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import normal, normal_sql, share, student_t_sql, uniform, uniform_sql
+from ..functions.maths import normal, normal_sql, share, student_t_sql, uniform, uniform_part_sql, uniform_sql
 from ..operators import dims, polls as poll_ops, rollup, scenario, spatial, transfer, units
 from ..streaming import live
 from .bindings import POINTS, POLLS, VOTES, points, polls, query, r6, scratch, table, votes
@@ -389,7 +389,16 @@ def wls_slope(spark: SparkSession, d: str) -> DataFrame:
     return f.where("term = 'a_1'").select("unit", F.round("coef", 5).alias("coef"), F.round("r2", 5).alias("r2"), "n")
 
 
-@query("wls_fixed_effects")
+_FE = "{c} - sum(w * {c}) OVER (PARTITION BY unit) / sum(w) OVER (PARTITION BY unit)"
+
+
+@query("wls_fixed_effects", f"""WITH {VOTES}, {PLACE}, fe AS (SELECT unit, w, {_FE.format(c='a_1')} AS x1, {_FE.format(c='b_1')} AS x2, {_FE.format(c='a_2')} AS y FROM pl),
+g AS (SELECT sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12, sum(w * x2 * x2) AS s22, sum(w * x1 * y) AS t1, sum(w * x2 * y) AS t2, sum(w * y * y) AS yy, count(*) AS n, count(DISTINCT unit) AS lost FROM fe),
+c AS (SELECT *, s22 / (s11 * s22 - s12 ** 2) AS i11, -s12 / (s11 * s22 - s12 ** 2) AS i12, s11 / (s11 * s22 - s12 ** 2) AS i22 FROM g), f AS (SELECT *, i11 * t1 + i12 * t2 AS b1, i12 * t1 + i22 * t2 AS b2 FROM c),
+m AS (SELECT sum((w * (y - b1 * x1 - b2 * x2)) ** 2 * x1 * x1) AS m11, sum((w * (y - b1 * x1 - b2 * x2)) ** 2 * x1 * x2) AS m12, sum((w * (y - b1 * x1 - b2 * x2)) ** 2 * x2 * x2) AS m22 FROM fe, f),
+o AS (SELECT *, n / (n - 2.0::DOUBLE - lost) AS free, 1 - (yy - b1 * t1 - b2 * t2) / yy AS r2 FROM f, m)
+SELECT 'a_1' AS term, round(b1, 5) AS coef, round(sqrt((i11 ** 2 * m11 + 2 * i11 * i12 * m12 + i12 ** 2 * m22) * free), 5) AS se, round(r2, 5) AS r2, n FROM o
+UNION ALL SELECT 'b_1', round(b2, 5), round(sqrt((i12 ** 2 * m11 + 2 * i12 * i22 * m12 + i22 ** 2 * m22) * free), 5), round(r2, 5), n FROM o""")
 def wls_fixed_effects(spark: SparkSession, d: str) -> DataFrame:
     f = transfer.least_squares(place_rounds(spark, d), [], ["a_1", "b_1"], "a_2", "w", effects="unit")
     return f.select("term", *[F.round(c, 5).alias(c) for c in ("coef", "se", "r2")], "n")
@@ -464,7 +473,7 @@ def _permuted(seed: int, edges: str, own: str, statistic: str, draw: str) -> str
     """Common tables ``pp`` (node, z, lag, statistic, p) of a conditional permutation test."""
     return f"""lg AS (SELECT src, avg(z) AS lag, count(*) AS deg FROM {edges} JOIN zz ON zz.node = dst GROUP BY src), ba AS (SELECT zz.node AS src, z, lag, deg, {own} AS statistic FROM zz JOIN lg ON lg.src = zz.node),
 fa AS (SELECT src, z, statistic, perm, unnest(range(1, deg + 1)) AS slot FROM ba, (SELECT unnest(range(0, {PERMUTATIONS})) AS perm)), dw AS (SELECT src, perm, avg({draw}) AS plag, any_value(z) AS z, any_value(statistic) AS statistic
-FROM (SELECT *, CAST(floor({uniform_sql(seed, 'perm', 'src', 'slot')} * n) AS BIGINT) AS pos FROM fa, n) JOIN ps USING (pos) GROUP BY src, perm),
+FROM (SELECT *, CAST(floor({uniform_part_sql(seed, "(slot - 1) % 4", "perm", "src", "(slot - 1) // 4")} * n) AS BIGINT) AS pos FROM fa, n) JOIN ps USING (pos) GROUP BY src, perm),
 ct AS (SELECT src, sum(CAST({statistic} >= statistic AS INTEGER)) AS above, sum(CAST({statistic} <= statistic AS INTEGER)) AS below FROM dw GROUP BY src),
 pp AS (SELECT ba.src AS node, z, lag, statistic, (least(above, below) + 1) / {PERMUTATIONS + 1}.0::DOUBLE AS p FROM ba JOIN ct ON ct.src = ba.src)"""
 
