@@ -213,6 +213,10 @@ def test_decontamination_against_brute_force(spark):
 def test_decontamination_edges(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "same text here now twice")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd_docs(spark), bench).collect()} == {(5, 2)}
+    tie = "alpha beta gamma delta epsilon zeta and alpha beta gamma delta epsilon zeta"
+    same = bench.unionByName(spark.createDataFrame([(3, "alpha beta gamma delta epsilon zeta")], "item_id long, text string"))
+    found = decontamination.contaminated(docs(spark, [(1, tie)]), same).collect()
+    assert {(r["item_id"], r["similarity"], r["first_word"]) for r in found} == {(1, 1.0, 0), (3, 1.0, 0)}  # the first of equal windows, all equal items
     monkeypatch.setattr(decontamination, "ITEMS", 1)
     assert decontamination.contaminated(odd_docs(spark), bench).count() == 2  # both rows of document 5
     assert decontamination.contaminated(odd_docs(spark), bench.limit(0)).count() == 0
@@ -281,6 +285,8 @@ def test_quality_ranks_held_out_documents(spark):
     assert all(got[i] == q for i, _, q, _ in rows)
     out = quality.score_quality(odd_docs(spark), model).collect()
     assert len(out) == 10 and all(0 <= r["score"] <= 1 for r in out)
+    twice = quality.score_quality(docs(spark, [(1, rows[5][1]), (2, rows[5][1])]), model).collect()
+    assert twice[0]["score"] == twice[1]["score"]
     kept = quality.keep_good(d, model)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, p in got.items() if p}
     assert quality.keep_good(odd_docs(spark), quality.fit_quality(d, y.limit(0))).count() == 10  # nothing learned: all stay
@@ -304,6 +310,11 @@ def test_toxicity_held_out_and_edges(spark):
     assert got[1]["evidence"] and all(e % 4 == 1 for e in got[1]["evidence"])
     assert len(toxicity.score_toxicity(odd_docs(spark), model).collect()) == 10
     assert toxicity.keep_civil(odd_docs(spark), model).count() == 10
+    assert toxicity.score_toxicity(docs(spark, []), model).count() == 0
+    # every document with a word that some example has is a vector, and a repeated row scores the same
+    assert all(got[i]["evidence"] for i, _, _, _ in rows)
+    twice = toxicity.score_toxicity(docs(spark, [(1, rows[5][1]), (1, rows[5][1])]), model).collect()
+    assert twice[0] == twice[1]
     empty = toxicity.fit_toxicity(d, y.limit(0))
     assert {r["score"] for r in toxicity.score_toxicity(odd_docs(spark), empty).collect()} == {0.5} and toxicity.keep_civil(d, empty).count() == len(rows)
 
@@ -353,6 +364,13 @@ def test_language_accuracy_and_rejection(spark):
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
     odd = {r["doc_id"]: r for r in language.identify_language(odd_docs(spark), model).collect()}
     assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (1, 2, 3, 7)) and odd[4]["lang_pred"] != "und"
+    assert language.identify_language(docs(spark, []), model).count() == 0
+    twice = language.identify_language(docs(spark, [(1, rows[0][1]), (1, rows[0][1])]), model).collect()
+    assert twice[0] == twice[1]
+    tie = language.LanguageModel(["aa", "bb"], np.zeros((2, language.BUCKETS)), np.zeros(2), 1.0, 0.0)
+    assert {r["lang_pred"] for r in language.identify_language(docs(spark, [(1, "any words")]), tie).collect()} == {"aa"}
+    many = spark.createDataFrame([(i, f"l{i:03d}") for i in range(300)], "doc_id long, y string")
+    assert len(language.fit_language(d, many, per_class=1).languages) == 300  # no cap
     none = language.fit_language(d, y.limit(0))
     assert {r["lang_pred"] for r in language.identify_language(odd_docs(spark), none).collect()} == {"und"}
 

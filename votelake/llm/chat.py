@@ -115,7 +115,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """``(conv_id, formatted, loss_mask)``: the text of each conversation and the spans (start, length) of assistant texts in it, in code points.
 
     Turns are in order of turn (nulls first), then role, then text; repeated
-    rows are turns each.  Rows with a null conversation id form one conversation.
+    rows are turns each.  Rows with a null conversation id form one
+    conversation; an empty table gives none.
     """
     own = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(HEAD), escape(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
     piece = F.concat("head", "body", F.lit(TAIL))
