@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, labelled, language, licences, merkle, packing, quality, site_tree, toxicity
+from . import chat, decontamination, labelled, language, lexical, licences, merkle, packing, quality, site_tree, toxicity, warc
 from .ngram_join import jaccard_components
+from .storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,17 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_path(spark, "archives")
+    warc.write_archives(warc.captured(_table(spark, sf_dir, "pages")), at)
+    found = warc.resolved(warc.read_archives(spark, at))
+    return found.select(F.col("source_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("to_id").alias("refers_to"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -92,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "op8_merkle": op8_merkle,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
+    "op11_warc": op11_warc,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _OP2_SQL = r"""
@@ -145,7 +159,39 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited
 FROM texts JOIN prints a ON a.t = text JOIN prints e ON e.t = edited JOIN prints n ON n.t = next
 """
 
+_OP11_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p),
+five AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(x, 5 * k + 1, 5))::BIGINT) AS v FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM five
+"""
+
+_OP12_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+item_terms AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+tf AS MATERIALIZED (
+  SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM item_terms) GROUP BY r, doc_id, n, t),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t, n_docs),
+scores AS (
+  SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l))))::BIGINT AS score
+  FROM item_terms JOIN tf USING (t) JOIN weights USING (t), total GROUP BY item_id, doc_id, r),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
+    "op11_warc": _OP11_SQL,
+    "op12_lexical_search": _OP12_SQL,
     "op6_chat_format": _OP6_SQL,
     "op8_merkle": _OP8_SQL,
     "op2_ngram_join": _OP2_SQL,

@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends here.
 
@@ -59,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     checkpoint, whose blocks have one copy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
