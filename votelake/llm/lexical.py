@@ -46,7 +46,8 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """``(item_id, of, term, times)``: how often each item has each of its terms; ``of`` tells texts of one id apart."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
     found = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(PATTERN), F.lit(0))
-    return rows.select("item_id", F.md5("text").alias("of"), F.explode(found).alias("term")).groupBy("item_id", "of", "term").agg(F.count("*").alias("times"))
+    listed = rows.select("item_id", F.md5("text").alias("of"), found.alias("found"))  # one digest an item, not one a term
+    return listed.select("item_id", "of", F.explode("found").alias("term")).groupBy("item_id", "of", "term").agg(F.count("*").alias("times"))
 
 
 def _in_blocks(terms: DataFrame, bound: int) -> tuple[DataFrame, int]:

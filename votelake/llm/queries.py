@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, labelled, language, lexical, licences, merkle, packing, quality, site_tree, toxicity, warc
+from . import chat, decontamination, labelled, language, lexical, licences, merkle, packing, prefix_trie, quality, site_tree, toxicity, warc
 from .ngram_join import jaccard_components
 from .storage import new_path
 
@@ -93,6 +93,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op10_licences": op10_licences,
     "op11_warc": op11_warc,
     "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP2_SQL = r"""
@@ -189,7 +195,38 @@ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+_OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (
+  SELECT conv_id, list(struct_pack(d := sha256(strlen(role) || ':' || role || text), w := len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')))
+    ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS t FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, t, conv_id - conv_id % 20 AS base,
+    (xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
+        lambda i: list_concat([ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT], list_transform(range(8), lambda z: -1::BIGINT))))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4)::BIGINT AS h
+  FROM lists),
+rebuilt AS MATERIALIZED (
+  SELECT a.conv_id AS c, list_concat(CASE WHEN a.h = 0 OR b.t IS NULL THEN [] ELSE b.t[1:a.h] END, a.t[a.h + 1:]) AS t FROM heads a LEFT JOIN lists b ON b.conv_id = a.base),
+paths AS MATERIALIZED (
+  SELECT c, d, array_to_string(list_transform(t[1:d], lambda x: x.d), ',') AS p, CASE WHEN d > 0 THEN array_to_string(list_transform(t[1:d - 1], lambda x: x.d), ',') END AS up,
+    CASE WHEN d > 0 THEN t[d].w ELSE 0 END AS w, d = len(t) AS ends
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT d, p, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, p)),
+below AS (
+  SELECT a.d, a.p, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.w) AS saved
+  FROM full_nodes a JOIN full_nodes b ON b.d >= a.d AND (a.d = 0 OR b.p = a.p OR starts_with(b.p, a.p || ',')) GROUP BY a.d, a.p)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN below USING (d, p) LEFT JOIN full_nodes y ON y.d = x.d - 1 AND y.p = x.up
+"""
+
 SQL: dict[str, str] = {
+    "op13_prefix_trie": _OP13_SQL,
     "op11_warc": _OP11_SQL,
     "op12_lexical_search": _OP12_SQL,
     "op6_chat_format": _OP6_SQL,
