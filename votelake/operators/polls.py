@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.maths import half_life, share
 
@@ -88,6 +91,47 @@ def at_cutoffs(polls: DataFrame, cutoffs: DataFrame, window: int) -> DataFrame:
     return days.join(F.broadcast(cutoffs), "cutoff").withColumn("age", F.datediff("cutoff", "end_date"))
 
 
+def house_effects(base: DataFrame, settings: PollSettings, key: Sequence[str]) -> DataFrame:
+    """``(key, candidate, house, effect)``: each house's shrunk, centred mean distance from the trend of the others.
+
+    ``base`` has (key, candidate, house, age, share, base, quality).  Polls are
+    first summed up per house and age, at most houses x (window + 1) cells for a
+    key and candidate however many polls there are.  The trend at an age is a
+    kernel over these cells, so an iteration is a product of small matrices, and
+    it changes house effects only.
+    """
+    by = [*key, "candidate"]
+    cells = base.where("house is not null").groupBy(*by, "house", "age").agg(
+        F.sum("base").alias("b"), F.sum(F.col("base") * F.col("share")).alias("bx"), F.count("share").alias("valued"), F.count("*").alias("n"), F.sum("share").alias("s"), F.max("quality").alias("quality")
+    )
+    fields = base.select(*by, "house").schema
+    out = StructType([*fields.fields, StructField("effect", DoubleType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        houses, h = np.unique(group["house"].to_numpy(), return_inverse=True)
+        ages, a = np.unique(group["age"].to_numpy(float), return_inverse=True)
+        grid = lambda c: np.bincount(h * len(ages) + a, group[c].fillna(0).to_numpy(float), len(houses) * len(ages)).reshape(len(houses), len(ages))
+        b, bx, valued, n, s = (grid(c) for c in ("b", "bx", "valued", "n", "s"))
+        quality = np.zeros(len(houses))
+        np.maximum.at(quality, h, group["quality"].to_numpy(float))
+        kernel = 0.5 ** (np.abs(ages[:, None] - ages[None, :]) / settings.half)
+        others = 1.0 - np.eye(len(houses))
+        kb, kbx = b @ kernel, bx @ kernel
+        weight = others @ kb  # of the other houses' polls, seen from each house and age
+        met = weight > 0
+        polls, anchor = n.sum(1), quality * n.sum(1)
+        effect = np.zeros(len(houses))
+        for _ in range(settings.iterations):
+            trend = np.divide(others @ (kbx - effect[:, None] * kb), weight, out=np.zeros_like(weight), where=met)
+            mean = np.where(met, s - valued * trend, 0.0).sum(1) / (polls + settings.shrink)
+            centre = (mean * anchor).sum() / anchor.sum() if anchor.sum() else np.nan
+            effect = mean - centre
+        found = pd.DataFrame({c: [group[c].iloc[0]] * len(houses) for c in by})
+        return found.assign(house=houses, effect=effect)
+
+    return cells.groupBy(*by).applyInPandas(run, out)
+
+
 def aggregate(polls: DataFrame, quality: DataFrame, settings: PollSettings, key: Sequence[str] = ("cutoff",)) -> DataFrame:
     """House-effect corrected, time-weighted share per key and candidate.
 
@@ -97,24 +141,15 @@ def aggregate(polls: DataFrame, quality: DataFrame, settings: PollSettings, key:
     is the mean of other houses' corrected polls, weighted by closeness in time;
     a house's effect is its mean residual, shrunk and centred so that weighted
     effects cancel; both are repeated.  Everything is keyed, so any number of
-    dates is one job; pairs of polls are bounded by the window.  Returns (key,
-    candidate, estimate, uncorrected, simple, n_polls, n_effective).
+    dates is one job.  A trend depends on polls by their sums per house and age
+    only, so these are what is iterated over, never pairs of polls.  Returns
+    (key, candidate, estimate, uncorrected, simple, n_polls, n_effective).
     """
     k = list(key)
     on = [c for c in quality.columns if c != "quality"]
     base = polls.join(F.broadcast(quality), on, "left").withColumn("quality", F.coalesce("quality", F.lit(1.0)))
     base = base.withColumn("base", F.col("quality") * F.least(F.coalesce(F.col("sample").cast("double"), F.lit(settings.sample_cap)), F.lit(settings.sample_cap)) / settings.sample_cap)
-    meta = base.select(*k, "poll", "house", "age", "base").distinct()
-    a, b = meta.alias("a"), meta.select(*k, F.col("poll").alias("other"), F.col("house").alias("other_house"), F.col("age").alias("other_age"), F.col("base").alias("other_base")).alias("b")
-    near = a.join(b, k).where("house <> other_house").select(*k, "poll", "other", (half_life(F.abs(F.col("age") - F.col("other_age")), settings.half) * F.col("other_base")).alias("w"))
-    effects = base.select(*k, "house", "candidate").distinct().withColumn("effect", F.lit(0.0))
-    for _ in range(settings.iterations):
-        fixed = base.join(effects, [*k, "house", "candidate"]).select(*k, F.col("poll").alias("other"), "candidate", (F.col("share") - F.col("effect")).alias("x"))
-        trend = near.join(fixed, [*k, "other"]).groupBy(*k, "poll", "candidate").agg(share(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("trend"))
-        resid = base.join(trend, [*k, "poll", "candidate"], "left").withColumn("r", F.col("share") - F.coalesce("trend", "share"))
-        raw = resid.groupBy(*k, "house", "candidate").agg((F.sum("r") / (F.count("*") + F.lit(settings.shrink))).alias("e"), (F.max("quality") * F.count("*")).alias("anchor"))
-        w = Window.partitionBy(*k, "candidate")
-        effects = raw.select(*k, "house", "candidate", (F.col("e") - F.sum(F.col("e") * F.col("anchor")).over(w) / F.sum("anchor").over(w)).alias("effect"))
+    effects = house_effects(base, settings, k)
     j = base.join(effects, [*k, "house", "candidate"]).withColumn("w", F.col("base") * half_life("age", settings.half))
     est = j.groupBy(*k, "candidate").agg(
         F.greatest(share(F.sum(F.col("w") * (F.col("share") - F.col("effect"))), F.sum("w")), F.lit(0.0)).alias("e"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import col, share
+from .ranges import counted, exact_quantiles, quantiles_of, running
 
 
 def total(df: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
@@ -45,11 +46,6 @@ def effective_size(w: Column | str) -> Column:
     return share(F.pow(F.sum(col(w)), 2), F.sum(col(w) * col(w)))
 
 
-def quantiles(x: Column | str, *ps: float) -> Column:
-    """Exact, linearly interpolated."""
-    return F.percentile(col(x), F.array(*[F.lit(p) for p in ps]))
-
-
 def error_summary(df: DataFrame, by: Sequence[str], error: str, hit: str | None = None) -> DataFrame:
     """Root mean square, mean absolute and mean error, number of rows, and hits."""
     e = F.col(error)
@@ -87,14 +83,13 @@ def quantile_bin(df: DataFrame, x: str, n: int, name: str = "bin", by: Sequence[
     """Bins 1..n at the interpolated quantiles of ``x`` (right-closed, the lowest included); a null value has none.
 
     Equal edges are an error in the rows they'd concern: their bin is null.
-    The edges are one small row per group, joined back, not a sorted window.
+    The edges are one small row per group, found by rank and joined back.
     """
-    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_edges"), F.min(x).alias("_low"), F.max(x).alias("_high"))
-    joined = df.join(F.broadcast(edges), list(by), "left") if by else df.crossJoin(F.broadcast(edges))
-    all_ = F.concat(F.array(F.col("_low").cast("double")), F.col("_edges"), F.array(F.col("_high").cast("double")))
-    distinct = F.size(F.array_distinct(all_)) == n + 1
-    at = sum((F.when(F.col(x) > F.col("_edges")[i], 1).otherwise(0) for i in range(n - 1)), F.lit(1))
-    return joined.withColumn(name, F.when(F.col(x).isNotNull() & distinct, at)).drop("_edges", "_low", "_high")
+    edges = exact_quantiles(df, x, [i / n for i in range(n + 1)], by, "_edges").drop("n")
+    joined = df.join(edges, list(by), "left") if by else df.crossJoin(F.broadcast(edges))  # one row
+    distinct = F.size(F.array_distinct("_edges")) == n + 1
+    at = sum((F.when(F.col(x) > F.col("_edges")[i], 1).otherwise(0) for i in range(1, n)), F.lit(1))
+    return joined.withColumn(name, F.when(F.col(x).isNotNull() & distinct, at)).drop("_edges")
 
 
 def variance_parts(df: DataFrame, upper: str, lower: str, x: str, w: str) -> DataFrame:
@@ -139,8 +134,11 @@ def line_input(df: DataFrame, by: Sequence[str], x: str, y: str, target: float)
 
 def bin_summary(binned: DataFrame, columns: Sequence[str], weight: str, name: str = "bin") -> DataFrame:
     """Per bin: rows, weighted mean and median of each column."""
-    cells = [c for x in columns for c in (weighted_mean(x, weight).alias(f"{x}_mean"), F.median(x).alias(f"{x}_median"))]
-    return binned.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), *cells)
+    own = binned.where(F.col(name).isNotNull())
+    means = own.groupBy(name).agg(F.count("*").alias("n"), *[weighted_mean(x, weight).alias(f"{x}_mean") for x in columns])
+    middle = quantiles_of(own, {x: F.col(x) for x in columns}, [0.5], [name])
+    cells = [c for x in columns for c in (F.col(f"{x}_mean"), F.col(x)[0].alias(f"{x}_median"))]
+    return means.join(middle, name, "left").select(name, "n", *cells)
 
 
 def hit_rates(df: DataFrame, truth: str, methods: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
@@ -173,10 +171,9 @@ def duplicates(df: DataFrame, key: Sequence[str], name: str = "duplicated") -> D
 
 
 def average_rank(df: DataFrame, x: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank with ties at their mean, from a count per value and a running sum over these."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*by, x, (before + (F.col("_n") + 1) / 2.0).alias(name))
+    """Rank with ties at their mean, from a count per value and running sums over ranges of these."""
+    values = counted(df, x, by)
+    ranks = values.select(*by, x, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
     return df.join(ranks, [*by, x], "left")
 
 
@@ -201,11 +198,11 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def concentration(df: DataFrame, by: Sequence[str], value: str, key: str, shares: Sequence[float] = (0.5, 0.8)) -> DataFrame:
-    """How many of the largest members reach each share of the group's sum."""
-    order = Window.partitionBy(*by).orderBy(F.desc(value), key)
-    running = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy(*by))
-    placed = df.withColumn("_run", running)
-    return placed.groupBy(*by).agg(*[(F.sum((F.col("_run") < s).cast("int")) + 1).cast("long").alias(f"reach_{round(s * 100)}") for s in shares])
+    """How many of the largest members reach each share of the group's sum; sums run over ranges, so a group may be of any size."""
+    placed = running(df.withColumn("_down", F.negative(value)), by, ["_down", key], {"_run": ("sum", F.col(value))})
+    sums = placed.groupBy(*by).agg(F.sum(value).alias("_all"))
+    part = placed.join(sums, list(by)).withColumn("_run", F.col("_run") / F.col("_all")) if by else placed.crossJoin(F.broadcast(sums)).withColumn("_run", F.col("_run") / F.col("_all"))
+    return part.groupBy(*by).agg(*[(F.sum((F.col("_run") < s).cast("int")) + 1).cast("long").alias(f"reach_{round(s * 100)}") for s in shares])
 
 
 def profile(df: DataFrame, columns: Sequence[str], weights: Sequence[str]) -> DataFrame:
@@ -226,7 +223,7 @@ def bracket_value(curve: DataFrame, x: str, y: str, at: float, by: Sequence[str]
 
 def trim_box(df: DataFrame, columns: Sequence[str], low: float = 0.002, high: float = 0.998) -> DataFrame:
     """Rows inside the quantiles of every column."""
-    box = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
+    box = quantiles_of(df, {f"_{c}": F.col(c) for c in columns}, [low, high])
     out = df.crossJoin(F.broadcast(box))
     for c in columns:
         out = out.where(F.col(c).between(F.col(f"_{c}")[0], F.col(f"_{c}")[1]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 from math import ceil, log2
 
 import numpy as np
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import digest, haversine_km, planar_km, share, uniform_part
 from . import rollup
+from .ranges import quantiles_of
 
-#: Nodes whose values are broadcast to the draws of a permutation test, at most; more are joined by a shuffle.
-BROADCAST_NODES = 1 << 20
+#: Nodes whose values every task of a permutation test holds as one array (8 bytes each), at most; more are joined by a shuffle.
+BROADCAST_NODES = 1 << 22
+#: Draws of a permutation test that a task makes, about, and that it holds at a time.
+TASK_DRAWS, HELD_DRAWS = 1 << 21, 1 << 18
 
 
 def near_candidates(points: DataFrame, targets: DataFrame, key: Sequence[str], x: str, y: str, tx: str, ty: str, k: int, cell: float, within: Sequence[str] = (), reach: Column | None = None) -> DataFrame:
@@ -105,13 +109,14 @@ def outliers(sections: DataFrame, place: Sequence[str], votes: str, valid: str,
 
     The extra variance comes from medians over all sections: that of squared
     residuals over 0.455 (the median of a chi-square of 1) less that of the
-    binomial variance, 0 at least.
+    binomial variance, 0 at least; both are selected by rank in one job.
     """
     w = Window.partitionBy(*place)
     s = sections.where(F.col(valid) > 0).withColumn("_n", F.sum(valid).over(w)).withColumn("_v", F.sum(votes).over(w)).withColumn("_k", F.count("*").over(w)).where(F.col("_k") >= least)
     rest = share(F.col("_v") - F.col(votes), F.col("_n") - F.col(valid))
     s = s.withColumn("p", share(F.col(votes), F.col(valid))).withColumn("p_rest", rest).withColumn("_var", F.col("p_rest") * (1 - F.col("p_rest")) / F.col(valid))
-    t = s.agg(F.greatest(F.median(F.pow(F.col("p") - F.col("p_rest"), 2)) / 0.455 - F.median("_var"), F.lit(0.0)).alias("tau2"))
+    middle = quantiles_of(s, {"_sq": F.pow(F.col("p") - F.col("p_rest"), 2), "_own": F.col("_var")}, [0.5])
+    t = middle.select(F.greatest(F.col("_sq")[0] / 0.455 - F.col("_own")[0], F.lit(0.0)).alias("tau2"))
     z = s.crossJoin(F.broadcast(t)).withColumn("z", share(F.col("p") - F.col("p_rest"), F.sqrt(F.col("_var") + F.col("tau2"))))
     return z.where(F.abs("z") > limit).select(*sections.columns, "p", "p_rest", "z")
 
@@ -130,13 +135,68 @@ def moran(values: DataFrame, edges: DataFrame, node: str = "node", x: str = "x")
     return j.agg(share(F.sum(F.col("d") * F.col("lag")) * F.count("*"), F.sum(F.col("d") * F.col("d")) * n_lag).alias("moran_i"), F.count("*").alias("n"))
 
 
+def _counts_in_tasks(base: DataFrame, placed: DataFrame, size: int, permutations: int, seed: int, star: bool) -> DataFrame:
+    """``(src, above, below)``: permuted statistics at least as large, at least as small, each node's all in one task."""
+    spark = base.sparkSession
+    table = placed.toPandas()  # at most BROADCAST_NODES rows of two numbers
+    z_at = np.empty(size)
+    z_at[table["pos"].to_numpy()] = table["z"].to_numpy(float)
+    shared = spark.sparkContext.broadcast(z_at)
+    tasks = max(1, min(10_000, size * permutations // TASK_DRAWS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [_permuted(shared.value, permutations, seed, star, *row) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame({"src": batch["src"], "above": [c[0] for c in counts], "below": [c[1] for c in counts]})
+
+    light = base.select("src", F.col("z").cast("double").alias("z"), F.col("statistic").cast("double").alias("statistic"), F.col("deg").cast("int").alias("deg"))
+    return light.repartition(tasks, "src").mapInPandas(run, f"src {dict(base.dtypes)['src']}, above long, below long")
+
+
+def _permuted(values: np.ndarray, permutations: int, seed: int, star: bool, src, z: float, statistic: float, deg: int) -> tuple[int, int]:
+    """How many permuted statistics of one node are at least as large, and at least as small, as its own."""
+    fours = (deg + 3) // 4
+    step = max(1, HELD_DRAWS // (4 * fours))
+    above = below = 0
+    for low in range(0, permutations, step):
+        own = range(low, min(low + step, permutations))
+        raw = b"".join(md5(f"{seed}|{perm}|{src}|{four}".encode()).digest() for perm in own for four in range(fours))
+        uniform = (np.frombuffer(raw, ">u4").reshape(len(own), 4 * fours)[:, :deg] + 0.5) / 2.0**32
+        drawn = values[np.floor(uniform * len(values)).astype(np.int64)]
+        if star:
+            drawn[:, 0] = z
+        lag = drawn.sum(axis=1) / deg
+        made = lag if star else z * lag
+        above += int((made >= statistic).sum())
+        below += int((made <= statistic).sum())
+    return above, below
+
+
+def _counts_by_join(base: DataFrame, placed: DataFrame, permutations: int, seed: int, star: bool) -> DataFrame:
+    """The same with a row per draw, for more nodes than a task can hold the values of."""
+    pos = placed.select("pos", F.col("z").alias("zp"))
+    reps = base.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm"))
+    deg = F.col("deg").cast("int")
+    fan = base.crossJoin(F.broadcast(reps)).withColumn("_four", F.explode(F.sequence(F.lit(0), F.floor((deg - 1) / 4).cast("int"))))  # a digest gives four draws
+    fan = fan.withColumn("_digest", digest(seed, "perm", "src", "_four")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.least(deg - F.col("_four") * 4, F.lit(4)) - 1)))
+    fan = fan.withColumn("slot", F.col("_four") * 4 + F.col("_q") + 1)
+    drawn = fan.withColumn("pos", F.floor(uniform_part("_digest", "_q") * F.col("_n")).cast("long")).join(pos, "pos")
+    value = F.when((F.col("slot") == 1) & F.lit(star), F.col("z")).otherwise(F.col("zp"))
+    lags = drawn.groupBy("src", "perm").agg(F.avg(value).alias("plag"), F.max("z").alias("z"), F.max("statistic").alias("statistic"))
+    stat = F.col("plag") if star else F.col("z") * F.col("plag")
+    return lags.groupBy("src").agg(F.sum((stat >= F.col("statistic")).cast("int")).alias("above"), F.sum((stat <= F.col("statistic")).cast("int")).alias("below"))
+
+
 def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed: int, significance: float = 0.01, star: bool = False, node: str = "node", x: str = "x") -> DataFrame:
     """``(node, z, lag, statistic, p, cluster)``: local Moran, or with ``star`` the Gi* hot spots, with conditional permutation.
 
     A permutation draws as many other nodes' values as the node has neighbours:
     each draw takes the position that a digest of (seed, permutation, node,
-    neighbour) gives, so all permutations are one job of permutations x edges
-    rows; node ids are numbers.  ``p`` is the part of statistics at least as extreme on the smaller side.
+    neighbour) gives; node ids are numbers.  A task makes all draws of its
+    nodes in numpy, from one array of values in the order of ids, and emits two
+    counts a node.  Above BROADCAST_NODES nodes the draws are rows that are
+    joined with the values instead.  ``p`` is the part of statistics at least
+    as extreme on the smaller side.
     """
     s = _scaled(values, node, x)
     e = edges.select("src", "dst").distinct().where("src <> dst")
@@ -145,19 +205,12 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     own = s.select(F.col(node).alias("src"), "z", "_n")
     seen = e.join(s.select(F.col(node).alias("dst"), F.col("z").alias("zd")), "dst").groupBy("src").agg(F.avg("zd").alias("lag"), F.count("*").alias("deg"))
     base = own.join(seen, "src").withColumn("statistic", F.col("lag") if star else F.col("z") * F.col("lag"))
-    pos = rollup.numbered(s.select(node, "z"), node).select("pos", F.col("z").alias("zp"))
-    if pos.count() <= BROADCAST_NODES:
-        pos = F.broadcast(pos)
-    reps = values.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm"))
-    deg = F.col("deg").cast("int")
-    fan = base.crossJoin(F.broadcast(reps)).withColumn("_four", F.explode(F.sequence(F.lit(0), F.floor((deg - 1) / 4).cast("int"))))  # a digest gives four draws
-    fan = fan.withColumn("_digest", digest(seed, "perm", "src", "_four")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.least(deg - F.col("_four") * 4, F.lit(4)) - 1)))
-    fan = fan.withColumn("slot", F.col("_four") * 4 + F.col("_q") + 1)
-    drawn = fan.withColumn("pos", F.floor(uniform_part("_digest", "_q") * F.col("_n")).cast("long")).join(pos, "pos")
-    value = F.when((F.col("slot") == 1) & F.lit(star), F.col("z")).otherwise(F.col("zp"))
-    lags = drawn.groupBy("src", "perm").agg(F.avg(value).alias("plag"), F.max("z").alias("z"), F.max("statistic").alias("statistic"))
-    stat = F.col("plag") if star else F.col("z") * F.col("plag")
-    n = lags.groupBy("src").agg(F.sum((stat >= F.col("statistic")).cast("int")).alias("above"), F.sum((stat <= F.col("statistic")).cast("int")).alias("below"))
+    placed = rollup.numbered(s.select(node, "z"), node).select("pos", "z")
+    size = placed.count()
+    if size <= BROADCAST_NODES:
+        n = _counts_in_tasks(base, placed, size, permutations, seed, star)
+    else:
+        n = _counts_by_join(base, placed, permutations, seed, star)
     p = (F.least("above", "below") + 1) / F.lit(permutations + 1)
     label = F.when(p > significance, "none")
     label = label.when(F.col("lag") > 0, "high").otherwise("low") if star else label.when((F.col("z") > 0) & (F.col("lag") > 0), "high-high").when((F.col("z") <= 0) & (F.col("lag") <= 0), "low-low").when(F.col("z") > 0, "high-low").otherwise("low-high")

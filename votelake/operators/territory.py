@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import band, col, share
 from . import rollup, transfer
+from .ranges import exact_quantiles
 
 
 def age_band(code: Column | str) -> Column:
@@ -47,9 +48,10 @@ def abandonment(df: DataFrame, by: Sequence[str], before: str, after: str) -> Da
 
 def distribution(df: DataFrame, by: Sequence[str], x: str, weight: str, lines: Sequence[float]) -> DataFrame:
     """Number, minimum, 10 and 90 % points, maximum, weighted mean, and how many lie above each line."""
-    q = F.percentile(x, F.array(F.lit(0.1), F.lit(0.9)))
+    points = exact_quantiles(df, x, [0.1, 0.9], by, "_q").drop("n")
     above = [F.sum((F.col(x) > line).cast("long")).alias(f"above_{round(line * 100)}") for line in lines]
-    s = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("low"), q.alias("_q"), F.max(x).alias("high"), rollup.weighted_mean(x, weight).alias("mean"), *above)
+    s = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), rollup.weighted_mean(x, weight).alias("mean"), *above)
+    s = s.join(points, list(by), "left") if by else s.crossJoin(F.broadcast(points))  # one row
     return s.select(*by, "n", "low", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p90"), "high", "mean", *[f"above_{round(line * 100)}" for line in lines])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.maths import band, share
 from ..operators import dims, rollup, spatial, units
+from ..operators.ranges import exact_quantiles
 from ..sources import scan
 from .bindings import VOTES, query, r6, table, votes
 
@@ -224,8 +225,11 @@ def weighted_profile(spark: SparkSession, d: str) -> DataFrame:
 @query("share_quantiles", f"""WITH {VOTES}, {SHARES} SELECT year, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90, round(sum(x * w) / sum(w), 6) AS mean,
 round(sum(w) ** 2 / sum(w * w), 6) AS n_effective, CAST(sum(CAST(x > 0.25 AS INTEGER)) AS BIGINT) AS above, round(regr_slope(x, w), 9) AS slope FROM nn GROUP BY year""")
 def share_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = rollup.quantiles("x", 0.1, 0.5, 0.9)
-    out = place_shares(spark, d).groupBy("year").agg(q.alias("q"), rollup.weighted_mean("x", "w").alias("mean"), rollup.effective_size("w").alias("n_effective"), F.sum((F.col("x") > 0.25).cast("long")).alias("above"), F.regr_slope("x", "w").alias("slope"))
+    own = place_shares(spark, d)
+    points = exact_quantiles(own, "x", [0.1, 0.5, 0.9], ["year"], "q").drop("n")
+    above = F.sum((F.col("x") > 0.25).cast("long")).alias("above")
+    sums = own.groupBy("year").agg(rollup.weighted_mean("x", "w").alias("mean"), rollup.effective_size("w").alias("n_effective"), above, F.regr_slope("x", "w").alias("slope"))
+    out = sums.join(points, "year", "left")
     return out.select("year", *[r6(F.col("q")[i], n) for i, n in enumerate(("p10", "p50", "p90"))], r6("mean"), r6("n_effective"), "above", F.round("slope", 9).alias("slope"))
 
 
