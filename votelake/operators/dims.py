@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
+from math import ceil
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.likeness import block_ratio, grams
 from ..functions.text import name_key
+from ..sources.shared import written
 
 #: Steps that a chain of successors may have.
 MAX_HOPS = 10
@@ -101,20 +102,73 @@ def grouped_options(votes: DataFrame, groups: DataFrame, by: Sequence[str], opti
     return named.dropna(subset=list(by)).groupBy(*by, "grp").agg(F.coalesce(F.sum(amount), F.lit(0)).alias(amount))
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff-Obershelp ratio of two texts, in Arrow batches."""
+def similar_pairs(left: DataFrame, right: DataFrame, within: str, left_key: str, right_key: str, left_name: str, right_name: str, least: float) -> DataFrame:
+    """``(within, left_key, right_key, similarity)``: all pairs of one unit whose names have a block ratio of ``least`` or more.
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    return F.pandas_udf(ratio, "double")(a, b)
+    No pair is missed.  Of two names with T characters such a ratio takes
+    M = least T / 2 matching ones, so as many common characters, counted with
+    repeats.  They lie in at most 1 + T - 2M blocks, since blocks that don't
+    touch leave a character out; so the names share 3M - T - 1 pairs of
+    neighbouring characters.  Each name is therefore listed under its rarest
+    pairs only, as many as it can't do without (a prefix filter), names too
+    short for that under their rarest characters.  Names that meet there are
+    held against the bounds on length, characters and pairs, and only then scored.
+    Null and empty names are like nothing.
+    """
+    ratio = least / (2 - least)  # of the lengths of two names that can be alike
+    must = lambda t: F.ceil(t * (1.5 * least) - t - 1 - 1e-9)
+    each = []
+    for side, (df, key, name) in enumerate(((left, left_key, left_name), (right, right_key, right_name))):
+        own = df.select(F.col(within).alias("unit"), F.col(key).alias("key"), F.col(name).alias("name"))
+        own = written(own.where("length(name) > 0"), "names")  # read several times below
+        own = own.withColumns({"len": F.length("name"), "one": grams("name", 1), "two": grams("name", 2)})
+        pairs = must(F.col("len") + F.ceil(F.col("len") * ratio - 1e-9)) if least > 2 / 3 else F.lit(0)
+        own = own.withColumn("pairs", pairs).withColumn("side", F.lit(side))
+        each.append(own)
+
+    def listed(own: DataFrame, kind: str, needed: Column) -> DataFrame:
+        return own.select("side", "unit", "key", F.lit(kind).alias("kind"), F.col(kind).alias("grams"), (F.size(kind) - needed + 1).cast("int").alias("keep"))
+
+    # the longest name that can be like one without a needed pair
+    reach = F.floor(F.lit(_longest_without(least)) / ratio + 1e-9)
+    lists = []
+    for own in each:
+        lists.append(listed(own.where("pairs >= 1"), "two", F.col("pairs")))
+        lists.append(listed(own.where((F.col("pairs") < 1) | (F.col("len") <= reach)), "one", F.ceil(F.col("len") * ratio - 1e-9)))
+    every = lists[0]
+    for more in lists[1:]:
+        every = every.unionByName(more)
+    long = every.select("side", "unit", "key", "kind", "keep", F.explode("grams").alias("gram"))
+    known = long.groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    rare = long.join(known, ["kind", "gram"]).groupBy("side", "unit", "key", "kind", "keep").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    at = rare.select("side", "unit", "key", "kind", F.explode(F.slice("g", 1, F.col("keep"))).alias("x")).select("side", "unit", "key", "kind", F.col("x.gram").alias("gram"))
+    mine = at.where("side = 0").select("unit", F.col("key").alias("k0"), "kind", "gram")
+    theirs = at.where("side = 1").select("unit", F.col("key").alias("k1"), "kind", "gram")
+    met = mine.join(theirs, ["unit", "kind", "gram"]).select("unit", "k0", "k1").distinct()
+    of = lambda own, n: own.select("unit", *[F.col(c).alias(f"{c[0]}{n}") for c in ("key", "name", "len", "one", "two")])
+    both = met.join(of(each[0], 0), ["unit", "k0"]).join(of(each[1], 1), ["unit", "k1"])
+    total = F.col("l0") + F.col("l1")
+    enough = F.ceil(total * (least / 2) - 1e-9)
+    fits = (F.least("l0", "l1") >= enough) & (F.size(F.array_intersect("o0", "o1")) >= enough) & (F.size(F.array_intersect("t0", "t1")) >= 3 * enough - total - 1)
+    scored = both.where(fits).withColumn("similarity", block_ratio("n0", "n1")).where(F.col("similarity") >= least)
+    return scored.select(F.col("unit").alias(within), F.col("k0").alias(left_key), F.col("k1").alias(right_key), "similarity")
+
+
+def _longest_without(least: float) -> int:
+    """The longest name that may share no pair of neighbouring characters with one like it; a bound on all names where ``least`` is too low for pairs."""
+    if least <= 2 / 3:
+        return 1 << 30
+    n = 1
+    while ceil((n + ceil(n * least / (2 - least) - 1e-9)) * (1.5 * least - 1) - 1 - 1e-9) < 1:
+        n += 1
+    return n - 1
 
 
 def match_names(left: DataFrame, right: DataFrame, within: str, left_key: str, right_key: str, left_name: str, right_name: str, alternatives: str | None = None, least: float = 0.75, manual: DataFrame | None = None) -> DataFrame:
     """``(within, left_key, right_key, method, reason)``: exact names first, then listed alternatives, then similar names, then manual rows.
 
-    Names are compared as ``name_key`` inside the same ``within`` unit, which
-    bounds the pairs.  A similar name must be at least ``least`` alike and is
+    Names are compared as ``name_key`` inside the same ``within`` unit.  Only
+    pairs that can be alike are scored (``similar_pairs``).  A similar name must be at least ``least`` alike and is
     taken once, best first.  Manual rows serve only what is still open.
     """
     a = left.select(within, left_key, name_key(left_name).alias("_n"), *([F.col(alternatives).alias("_alt")] if alternatives else []))
@@ -123,12 +177,13 @@ def match_names(left: DataFrame, right: DataFrame, within: str, left_key: str, r
     if alternatives:
         names = names.unionByName(a.select(within, left_key, F.explode(F.split("_alt", r"\|")).alias("_x")).select(within, left_key, name_key("_x").alias("_m"), F.lit(1).alias("_o")))
     hit = names.join(b, [within, "_m"]).groupBy(within, left_key).agg(F.min_by(right_key, F.struct("_o", right_key)).alias(right_key), F.min("_o").alias("_o"))
-    hit = hit.select(within, left_key, right_key, F.when(F.col("_o") == 0, "exact").otherwise("alternative").alias("method"))
+    hit = written(hit.select(within, left_key, right_key, F.when(F.col("_o") == 0, "exact").otherwise("alternative").alias("method")), "matches")
     open_a, open_b = a.join(hit, [within, left_key], "left_anti"), b.join(hit, [within, right_key], "left_anti")
-    scored = open_a.join(open_b, within).withColumn("_s", similarity("_n", "_m")).where(F.col("_s") >= least)
+    scored = similar_pairs(open_a, open_b, within, left_key, right_key, "_n", "_m", least).withColumnRenamed("similarity", "_s")
     best_a = F.row_number().over(Window.partitionBy(within, left_key).orderBy(F.desc("_s"), right_key))
     best_b = F.row_number().over(Window.partitionBy(within, right_key).orderBy(F.desc("_s"), left_key))
     near = scored.withColumn("_ra", best_a).withColumn("_rb", best_b).where("_ra = 1 and _rb = 1").select(within, left_key, right_key, F.lit("similar").alias("method"))
+    near = written(near, "similar-matches")
     done = hit.unionByName(near).withColumn("reason", F.lit(None).cast("string"))
     rest = a.select(within, left_key).join(done, [within, left_key], "left_anti")
     if manual is not None:
