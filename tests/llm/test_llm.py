@@ -635,6 +635,22 @@ def test_licence_edges(spark):
     assert got == [(0, "ISC"), (0, "MIT"), (7, "Apache-2.0"), (7, "MIT"), (8, "BSD-3-Clause"), (9, "BSD-2-Clause"), (10, "GPL-3.0")]
 
 
+def test_edited_licences_keep_their_name(spark):
+    """A holder's name, a year and a program's name in place of the template's leave the licence what it is."""
+    whole = licences.TEXTS
+    bsd = lambda t: t.replace("the copyright holder", "Acme Corporation").replace("COPYRIGHT HOLDERS", "AUTHORS").replace("COPYRIGHT HOLDER", "REGENTS")
+    gnu = lambda t: t.replace("This program", "Frobnicator")
+    edited = {
+        1: ("BSD-3-Clause", bsd(whole["BSD-3-Clause"])), 2: ("BSD-2-Clause", bsd(whole["BSD-2-Clause"])), 3: ("GPL-3.0", gnu(whole["GPL-3.0"])), 4: ("GPL-2.0", gnu(whole["GPL-2.0"])),
+        5: ("MIT", whole["MIT"].replace("AUTHORS OR COPYRIGHT HOLDERS", "ACME CORPORATION")), 6: ("ISC", whole["ISC"].replace("THE AUTHOR", "ACME CORPORATION")),
+        7: ("LGPL-3.0", gnu(whole["LGPL-3.0"])), 8: ("AGPL-3.0", gnu(whole["AGPL-3.0"])), 9: ("GPL-2.0", "x " + licences.NOTICES["GPL-2.0"] + " y"), 10: ("BSD-3-Clause", licences.NOTICES["BSD-3-Clause"]),
+    }
+    rows = [(i, f"Copyright (c) {1990 + i} Acme Corporation. {t} The end.") for i, (_, t) in edited.items()]
+    got = {(r["doc_id"], r["license"]) for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {(i, k) for i, (k, _) in edited.items()}
+    assert not {k for k, _ in licences.default_templates()} & {"BSD", "GPL"}
+
+
 def test_licences_of_few_words(spark):
     lines = [(30, "Text. Licensed under MIT License."), (31, "released UNDER\nISC-License, and released under MIT license"), (32, "This work is licensed under MIT License"), (33, "licensed under MIT"), (34, "zlib")]
     df = odd_docs(spark).unionByName(docs(spark, lines))

@@ -44,12 +44,16 @@ NAMES = {
 }
 SENTENCES = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}", "This work is licensed under the {}", "Distributed under the {}", "Made available under the {}"]
 SPDX = "SPDX-License-Identifier: {}"
+_BSD_0 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_GNU_0 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License"
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 NOTICES = {
+    "GPL-2.0": _GNU_0.format(2),
+    "GPL-3.0": _GNU_0.format(3),
+    "BSD-3-Clause": _BSD_3,
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "Apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty",
@@ -57,7 +61,6 @@ NOTICES = {
 }
 _BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
 _BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = (
     'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
@@ -74,8 +77,8 @@ TEXTS = {
     "ISC": NOTICES["ISC"] + ", provided that the above copyright notice and this permission notice appear in all copies. "
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "BSD-2-Clause": f"{NOTICES['BSD']}: 1. {_BSD_1} 2. {_BSD_2} {_BSD_END}",
-    "BSD-3-Clause": f"{NOTICES['BSD']}: 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_END}",
+    "BSD-2-Clause": f"{_BSD_0}: 1. {_BSD_1} 2. {_BSD_2} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD_0}: 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_END}",
     "Zlib": NOTICES["Zlib"] + ". In no event will the authors be held liable for any damages arising from the use of this software. "
     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
     "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
@@ -195,19 +198,19 @@ def _long(some: DataFrame, known: DataFrame, sizes: list[int], keys: list[int])
         grid = F.transform("hits", lambda p: F.sequence(F.greatest(F.floor((p - (m - 1) + step - 1) / step), F.lit(0)).cast("int"), F.floor(p / step).cast("int")))
         return F.transform(F.array_distinct(F.flatten(grid)), lambda g: F.struct(F.lit(m).alias("m"), (g * step).alias("start")))
 
-    def keyed(w: Column) -> Column:
-        return F.struct(w["m"].alias("m"), w["start"].alias("start"), bands(lambda k: F.slice(F.col("values")[k], w["start"] + 1, w["m"])).alias("bands"))
+    def keyed(w: Column) -> Column:  # a window carries its own surroundings, not the whole text
+        low = F.greatest(w["start"] - w["m"] / 2, F.lit(0)).cast("int")
+        around = F.slice(F.col("h"), low + 1, w["m"] * 2)
+        return F.struct(w["m"].alias("m"), low.alias("low"), around.alias("wide"), bands(lambda k: F.slice(F.col("values")[k], w["start"] + 1, w["m"])).alias("bands"))
 
     windows = F.transform(F.flatten(F.array(*[starts(m) for m in sizes])), keyed)
-    windows = some.select("doc_id", "row", "h", F.explode(windows).alias("w")).select("doc_id", "row", "h", "w.m", "w.start", "w.bands")
+    windows = some.select("doc_id", "row", F.explode(windows).alias("w")).select("doc_id", "row", "w.m", "w.low", "w.wide", "w.bands")
     index = known.select("template_id", "license", "m", "grams", bands(lambda k: F.transform("grams", _seeded(k))).alias("own")).withColumn("band", F.explode("own"))
     met = windows.withColumn("band", F.explode("bands")).join(F.broadcast(index), ["m", "band"])
     # a window and a template may share several bands: only the first one counts
     met = met.where(F.element_at(F.filter(F.zip_with("bands", "own", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("band"))
-    lo = F.greatest(F.col("start") - F.col("m") / 2, F.lit(0)).cast("int")
-    wide = F.slice("h", lo + 1, F.col("m") * 2)
-    at = F.filter(F.transform(wide, lambda x, i: F.when(F.array_contains(F.col("grams"), x), lo + i)), lambda i: i.isNotNull())
-    share = F.size(F.array_intersect("grams", wide)) / F.col("m")
+    at = F.filter(F.transform("wide", lambda x, i: F.when(F.array_contains(F.col("grams"), x), F.col("low") + i)), lambda i: i.isNotNull())
+    share = F.size(F.array_intersect("grams", "wide")) / F.col("m")
     met = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED)
     return met.select("doc_id", "row", "license", "m", "containment", F.array_min(at).alias("first_word"), (F.array_max(at) + (WORDS - 1)).alias("last_word"))
 
@@ -218,9 +221,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     A template is there if a window with a common band, widened by half a
     window at both sides, has CONTAINED of its distinct shingles of WORDS words;
     a template of fewer words, where all its words stand in a row.
-    Of matches of one text that overlap in words, those with a smaller
-    containment, or the same with fewer shingles, give way; the matches of a
-    text are gathered in one row for that.  Null texts are empty; a template
+    Of matches of one text that overlap in words, those that cover fewer
+    shingles of their template, or as many with a smaller containment, give
+    way, so a whole licence with another holder's name stands against its first
+    sentence; the matches of a text are gathered in one row for that.  Null texts are empty; a template
     without words matches nothing; rows with the same id, or none, and the same
     text give their matches once, those with other texts each their own; other
     columns are not read; an empty table gives no match.  The templates are
@@ -245,9 +249,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
         parts.append(_long(some, known.where(F.col("k") == WORDS), sorted({r["m"] for r in long}), sorted({g for r in long for g in r["grams"]})))
     found = reduce(DataFrame.unionByName, parts)
     # by text: at a place, a licence's best match; then those that no better one overlaps
-    best = found.groupBy("doc_id", "row", "license", "first_word", "last_word").agg(F.max(F.struct("containment", "m")).alias("best"))
-    own = best.groupBy("doc_id", "row").agg(F.collect_list(F.struct("best.containment", "best.m", "license", "first_word", "last_word")).alias("all"))
-    rank = lambda x: F.struct(x["containment"], x["m"], x["license"])
+    best = found.groupBy("doc_id", "row", "license", "first_word", "last_word").agg(F.max(F.struct(F.round(F.col("m") * F.col("containment")).alias("covered"), "containment")).alias("best"))
+    own = best.groupBy("doc_id", "row").agg(F.collect_list(F.struct("best.covered", "best.containment", "license", "first_word", "last_word")).alias("all"))
+    rank = lambda x: F.struct(x["covered"], x["containment"], x["license"])
     beats = lambda b, a: (a["first_word"] <= b["last_word"]) & (b["first_word"] <= a["last_word"]) & (rank(b) > rank(a))
     left = F.filter("all", lambda a: ~F.exists("all", lambda b: beats(b, a)))
     return own.select("doc_id", F.explode(left).alias("x")).select("doc_id", "x.license", "x.first_word", "x.last_word", "x.containment")
