@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import normals
 from ..functions.maths import normal, share, student_t
 from . import rollup
 
@@ -90,23 +93,83 @@ def two_round_rule(candidates: DataFrame, contest: Sequence[str], beta: Column,
     return top.select(*contest, F.when(runoff, F.col("_two")).otherwise(F.col("_one")).alias("winner"), runoff.alias("runoff"))
 
 
+GRID = ["beta", "sigma", "delta", "sigma_runoff"]
+#: Simulations whose draws a task holds at a time, and outcomes that it evaluates, about.
+HELD_SIMS, TASK_OUTCOMES = 4096, 1 << 21
+
+
+def _outcomes(race: pd.DataFrame, points: np.ndarray, n_sim: int, seed: int) -> np.ndarray:
+    """In how many simulations each grid point gives what happened in one race.
+
+    The draws are one array per candidate, used by all points.  Points that
+    share the candidates' noise, the list factor and the incumbent's bonus share
+    the first round too.
+    """
+    race = race.sort_values("candidate")
+    strength, first, incumbent = (race[c].to_numpy(float) for c in ("strength", "first", "incumbent"))
+    good = ((race["family"] == race["real_family"]) & (race["incumbent"] == race["real_incumbent"])).to_numpy()
+    real_runoff = bool(race["real_runoff"].iloc[0])
+    rounds, which = np.unique(points[:, :3], axis=0, return_inverse=True)
+    hits = np.zeros(len(points), np.int64)
+    key = race["_race"].iloc[0]
+    for low in range(0, n_sim, HELD_SIMS):
+        sims_ = range(low, min(low + HELD_SIMS, n_sim))
+        z = np.stack([normals([f"{seed}|{key}|{s}|{c}" for s in sims_]) for c in race["_candidate"]])
+        z_runoff = np.stack([normals([f"{seed}|{key}|{s}|{place}|runoff" for s in sims_]) for place in (1, 2)])
+        at = np.arange(len(sims_))
+        noise = {sigma: np.exp(sigma * z) for sigma in np.unique(rounds[:, 1])}
+        noise_runoff = {sigma: np.exp(sigma * z_runoff) for sigma in np.unique(points[:, 3])}
+        for r, (beta, sigma, delta) in enumerate(rounds):
+            score = (strength * np.where(first > 0, 1.0, beta) * np.exp(delta * incumbent))[:, None] * noise[sigma]
+            total = score.sum(0)
+            part = np.divide(score, total, out=np.zeros_like(score), where=total != 0)
+            one = part.argmax(0)
+            top = part[one, at].copy()
+            part[one, at] = -1.0
+            two = part.argmax(0)
+            second = np.maximum(part[two, at], 0.0)
+            runoff = top <= 0.5
+            right = runoff == real_runoff
+            for p in np.flatnonzero(which.ravel() == r):
+                pair = noise_runoff[points[p, 3]]
+                turned = runoff & (second * pair[1] > top * pair[0])
+                hits[p] += int((good[np.where(turned, two, one)] & right).sum())
+    return hits
+
+
 def grid_likelihood(races: DataFrame, grid: DataFrame, n_sim: int, seed: int) -> DataFrame:
     """``(beta, sigma, delta, sigma_runoff, log_likelihood)`` of observed outcomes over a parameter grid with common random numbers.
 
     ``races`` has (race, candidate, family, strength, first, incumbent,
-    real_family, real_incumbent, real_runoff).  One job covers the grid: races,
-    simulations and grid points are keys of one aggregate.
+    real_family, real_incumbent, real_runoff).  A task takes a race, makes its
+    draws once as arrays and evaluates every point over them; what leaves it is
+    one share per point, summed up to the likelihood.  The grid is a table of
+    parameters, and sent to the tasks.
     """
     spark = races.sparkSession
-    cells = races.crossJoin(F.broadcast(sims(spark, n_sim))).crossJoin(F.broadcast(grid.withColumn("point", F.row_number().over(Window.orderBy("beta", "sigma", "delta", "sigma_runoff")))))
-    key = ["point", "race", "sim"]
-    out = two_round_rule(cells, key, F.col("beta"), F.col("sigma"), F.col("delta"), F.col("sigma_runoff"), normal(seed, "race", "sim", "candidate"), normal(seed, "race", "sim", "place", F.lit("runoff")))
-    facts = races.select("race", F.col("candidate").alias("winner"), "family", "incumbent", "real_family", "real_incumbent", "real_runoff")
-    ok = (F.col("family") == F.col("real_family")) & (F.col("incumbent") == F.col("real_incumbent")) & (F.col("runoff") == F.col("real_runoff"))
-    per = out.join(facts, ["race", "winner"]).groupBy("point", "race").agg(F.avg(ok.cast("double")).alias("p"))
+    table = grid.select(*GRID).distinct().toPandas().sort_values(GRID).astype(float).reset_index(drop=True)
+    points = table.to_numpy()
+    texts = [F.col(c).cast("string").alias(f"_{c}") for c in ("race", "candidate")]
+    facts = races.select("race", "candidate", *texts, "family", F.col("strength").cast("double").alias("strength"), F.col("first").cast("int").alias("first"), F.col("incumbent").cast("int").alias("incumbent"), "real_family", F.col("real_incumbent").cast("int").alias("real_incumbent"), "real_runoff")
+
+    def run(race: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"point": np.arange(len(points)), "p": _outcomes(race, points, n_sim, seed) / n_sim})
+
+    # a race is a few rows but much work, so their bytes must not decide how many share a task
+    tasks = max(1, min(10_000, races.select("race").distinct().count() * len(points) * n_sim // TASK_OUTCOMES))
+    per = facts.repartition(tasks, "race").groupBy("race").applyInPandas(run, "point long, p double")
     scored = per.groupBy("point").agg(F.sum(F.log(F.col("p") + 1.0 / (2 * n_sim))).alias("log_likelihood"))
-    points = grid.withColumn("point", F.row_number().over(Window.orderBy("beta", "sigma", "delta", "sigma_runoff")))
-    return scored.join(F.broadcast(points), "point").select("beta", "sigma", "delta", "sigma_runoff", "log_likelihood")
+    named = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "point long, " + ", ".join(f"{c} double" for c in GRID))
+    return scored.join(named, "point").select(*GRID, "log_likelihood")
+
+
+def best_points(likelihood: DataFrame, parameters: Sequence[str] = ("sigma", "delta", "sigma_runoff")) -> DataFrame:
+    """The grid point of the highest likelihood (ties: the smallest parameters), and which parameters are at the upper edge of their grid."""
+    order = [F.desc("log_likelihood"), *GRID]
+    tops = likelihood.agg(*[F.max(p).alias(f"_max_{p}") for p in parameters])
+    best = likelihood.orderBy(*order).limit(1).crossJoin(F.broadcast(tops))  # one row and one row
+    edges = [F.when((F.col(f"_max_{p}") > 0) & (F.col(p) == F.col(f"_max_{p}")), F.lit(p)) for p in parameters]
+    return best.select(*GRID, "log_likelihood", F.array_join(F.array_compact(F.array(*edges)), ",").alias("at_edge"))
 
 
 def best_point(likelihood: DataFrame, parameters: Sequence[str] = ("sigma", "delta", "sigma_runoff")) -> dict[str, float]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.maths import poisson_one, share
+from ..functions.draws import poissons
+from ..functions.maths import share
+
+#: Draws that a bootstrap task makes at a time, and groups whose sums of all replicates it holds.
+BATCH_DRAWS, HELD_GROUPS = 1 << 20, 256
 
 
 def gram(df: DataFrame, by: Sequence[str], xs: Sequence[str], ys: Sequence[str], weight: Column | str) -> DataFrame:
@@ -66,7 +70,8 @@ def transfer_matrix(sums: DataFrame, by: Sequence[str], xs: Sequence[str], ys: S
             yield pd.DataFrame(out, columns=[*keys, "origin", "dest", "p", "n"])
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "origin string", "dest string", "p double", "n long"])
-    return sums.select(*keys, "xx", "xy", "n").mapInPandas(run, schema)
+    tasks = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a group is a small row that costs a solve
+    return sums.select(*keys, "xx", "xy", "n").repartition(tasks, *keys).mapInPandas(run, schema)
 
 
 def with_fallback(own: DataFrame, parent: DataFrame, members: DataFrame, unit: str, region: str, least: int) -> DataFrame:
@@ -133,10 +138,48 @@ def least_squares(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, w
 
 
 def bootstrap_gram(df: DataFrame, by: Sequence[str], unit: Sequence[str], xs: Sequence[str], ys: Sequence[str], weight: str, replicates: int, seed: int) -> DataFrame:
-    """``gram`` of every bootstrap replicate and group in one aggregate; a unit's weight in a replicate is a Poisson draw of its key."""
-    reps = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    fan = df.crossJoin(F.broadcast(reps)).withColumn("_times", poisson_one(seed, "replicate", *unit)).where("_times > 0")
-    return gram(fan, ["replicate", *by], xs, ys, F.col(weight) * F.col("_times"))
+    """``(replicate, by, xx, xy, yy, n)``: ``gram`` of every bootstrap replicate and group; a unit's weight in a replicate is a Poisson draw of its key.
+
+    A task holds the sums of all replicates for the groups it meets and adds
+    each row to them with its draws, a product of two matrices a batch; what it
+    emits are these partial sums, so rows are never repeated per replicate.
+    """
+    own = df.dropna(subset=[*by, *xs, *ys])
+    number = lambda c: F.col(c).cast("double")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in unit])
+    columns = list(dict.fromkeys([*xs, *ys]))
+    light = own.select(*by, key.alias("_key"), number(weight).alias("_w"), *[number(c).alias(f"_v_{c}") for c in columns])
+    products = [(a, b) for a in xs for b in xs] + [(a, b) for a in xs for b in ys] + [(b, b) for b in ys]
+
+    def partial(held: dict) -> pd.DataFrame:
+        rows = [(*g, r, sums[r, :-1].tolist(), int(sums[r, -1])) for g, sums in held.items() for r in np.flatnonzero(sums[:, -1])]
+        return pd.DataFrame(rows, columns=[*by, "replicate", "sums", "n"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for low in range(0, len(batch), BATCH_DRAWS // replicates + 1):
+                rows = batch.iloc[low : low + BATCH_DRAWS // replicates + 1]
+                times = poissons(f"{seed}|{r}|{k}" for k in rows["_key"] for r in range(replicates)).reshape(len(rows), replicates)
+                value = {c: rows[f"_v_{c}"].to_numpy(float) for c in columns}
+                made = np.stack([rows["_w"].to_numpy(float) * value[a] * value[b] for a, b in products], 1)
+                for g, at in rows.groupby(list(by), sort=False).indices.items():
+                    g = g if isinstance(g, tuple) else (g,)
+                    sums = held.setdefault(g, np.zeros((replicates, len(products) + 1)))
+                    sums[:, :-1] += times[at].T @ made[at]
+                    sums[:, -1] += (times[at] > 0).sum(0)
+                if len(held) > HELD_GROUPS:
+                    yield partial(held)
+                    held = {}
+        yield partial(held)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # a row is small but costs a digest per replicate, so its bytes must not decide how many share a task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = light.repartition(tasks, "_key").mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "replicate int, sums array<double>, n long"]))
+    whole = parts.groupBy("replicate", *by).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(len(products))]).alias("s"), F.sum("n").alias("n"))
+    k, j = len(xs), len(ys)
+    return whole.select("replicate", *by, F.slice("s", 1, k * k).alias("xx"), F.slice("s", k * k + 1, k * j).alias("xy"), F.slice("s", k * (k + j) + 1, j).alias("yy"), "n")
 
 
 def bootstrap_interval(replicated: DataFrame, mass: DataFrame, by: Sequence[str], sides: tuple[str, str], low: float = 0.05, high: float = 0.95) -> DataFrame:

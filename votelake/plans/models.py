@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,11 +94,30 @@ scored AS (SELECT beta, sigma, delta, sigma_runoff, race, sim, candidate, streng
 p AS (SELECT beta, sigma, delta, sigma_runoff, res.race, avg(CAST(ra.family = ra.rf AND ra.inc = (ra.rf = 'f2') AND res.runoff = true AS INTEGER)) AS p FROM res JOIN ra ON ra.race = res.race AND ra.candidate = res.winner GROUP BY ALL)
 SELECT CAST(beta AS DOUBLE) AS beta, CAST(sigma AS DOUBLE) AS sigma, CAST(delta AS DOUBLE) AS delta, CAST(sigma_runoff AS DOUBLE) AS sigma_runoff, round(sum(ln(p + 1.0::DOUBLE / {2 * DRAWS})), 6) AS log_likelihood FROM p GROUP BY ALL""")
 def grid_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    grid = spark.createDataFrame([(b, s, e, 0.1) for b in (0.5, 0.8) for s in (0.2, 0.6) for e in (0.0, 0.4)], "beta double, sigma double, delta double, sigma_runoff double")
+    return scenario.grid_likelihood(calibration_races(spark, d), grid, DRAWS, 5).withColumn("log_likelihood", r6("log_likelihood"))
+
+
+def calibration_races(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit as a race with what happened in it."""
     top = F.first("family").over(Window.partitionBy("unit").orderBy(F.desc("strength"), "family"))
     races = strength(spark, d).select(F.col("unit").alias("race"), F.col("family").alias("candidate"), "family", "strength", (F.col("n_cand") == 2).alias("first"), (F.col("family") == "f2").alias("incumbent"), top.alias("real_family"))
-    races = races.withColumn("real_incumbent", F.col("real_family") == "f2").withColumn("real_runoff", F.lit(True))
-    grid = spark.createDataFrame([(b, s, e, 0.1) for b in (0.5, 0.8) for s in (0.2, 0.6) for e in (0.0, 0.4)], "beta double, sigma double, delta double, sigma_runoff double")
-    return scenario.grid_likelihood(races, grid, DRAWS, 5).withColumn("log_likelihood", r6("log_likelihood"))
+    return races.withColumn("real_incumbent", F.col("real_family") == "f2").withColumn("real_runoff", F.lit(True))
+
+
+#: The calibration grid, 3240 points.
+BETAS = [0.1, 0.25, 0.5, 0.75, 1.0]
+SIGMAS = [0.1, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5]
+DELTAS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5]
+RUNOFF_SIGMAS = [0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5]
+
+
+@query("grid_best_point")
+def grid_best_point(spark: SparkSession, d: str) -> DataFrame:
+    """The best point of the whole calibration grid over all races, and the parameters it has at the upper edge."""
+    grid = spark.createDataFrame(list(product(BETAS, SIGMAS, DELTAS, RUNOFF_SIGMAS)), ", ".join(f"{c} double" for c in scenario.GRID))
+    found = scenario.grid_likelihood(calibration_races(spark, d), grid, DRAWS, 5)
+    return scenario.best_points(found).withColumn("log_likelihood", r6("log_likelihood"))
 
 
 UNIT_SHARE = "us AS (SELECT unit, CAST(coalesce(sum(votes) FILTER (WHERE option IN ('PROMO', 'LARGE', 'SMALL')), 0) AS DOUBLE) / sum(votes) AS share, CAST(sum(votes) AS DOUBLE) AS weight FROM votes GROUP BY unit)"
