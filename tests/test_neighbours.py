@@ -89,3 +89,13 @@ def test_bootstrap_interval(spark):
     shares = 0.5 + np.arange(20) / 100
     assert r["replicates"] == 20 and abs(r["mean"] - shares.mean()) < 1e-9 and abs(r["sd"] - shares.std(ddof=1)) < 1e-9
     assert abs(r["low"] - np.quantile(shares, 0.05)) < 1e-9 and abs(r["high"] - np.quantile(shares, 0.95)) < 1e-9
+
+
+def test_bandwidths_equal_fits_for_each_k(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.random() * 9, rng.random() * 9, rng.random(), rng.random()) for i in range(70)] + [(70, 1.0, 1.0, 0.5, 0.5), (71, 1.0, 1.0, 0.2, 0.9), (72, None, 1.0, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "node int, px double, py double, v double, w double").repartition(3)
+    got = {r["k"]: (r["aicc"], r["chosen"]) for r in spatial.bandwidths(df, ["v"], "w", [40, 12, 25, 25, 500], 2.0).collect()}
+    want = {k: spatial.aicc(spatial.local_regression(df, ["v"], "w", k, 2.0)).first()[0] for k in (12, 25, 40, 500)}
+    assert {k: a for k, (a, _) in got.items()} == pytest.approx(want, rel=1e-9)
+    assert [k for k, (_, c) in got.items() if c] == [min(want, key=want.get)]

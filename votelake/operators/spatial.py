@@ -217,6 +217,13 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     return base.join(n, "src").select(F.col("src").alias(node), "z", "lag", "statistic", p.alias("p"), label.alias("cluster"))
 
 
+def _neighbours(p: DataFrame, k: int, cell: float, node: str) -> DataFrame:
+    """Each point (``focus``) with its ``k`` nearest, itself included, their distance ``_d`` and rank ``_r``."""
+    focus = p.select(F.col(node).alias("focus"), F.col("px").alias("fx"), F.col("py").alias("fy"))
+    pairs = near_candidates(focus, p, ["focus"], "fx", "fy", "px", "py", k, cell).withColumn("_d", F.sqrt(F.pow(F.col("px") - F.col("fx"), 2) + F.pow(F.col("py") - F.col("fy"), 2)))
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("focus").orderBy("_d", node))).where(F.col("_r") <= k)
+
+
 def local_regression(points: DataFrame, xs: Sequence[str], y: str, k: int, cell: float, node: str = "node") -> DataFrame:
     """Geographically weighted regression: per point, bisquare weights over its k nearest, itself included, and their own least squares.
 
@@ -224,10 +231,7 @@ def local_regression(points: DataFrame, xs: Sequence[str], y: str, k: int, cell:
     coarse as k of them need; ties go to the smaller node.  Returns (node,
     term, coef, local_r2, n, hat, residual).
     """
-    p = points.dropna(subset=["px", "py", *xs, y])
-    focus = p.select(F.col(node).alias("focus"), F.col("px").alias("fx"), F.col("py").alias("fy"))
-    pairs = near_candidates(focus, p, ["focus"], "fx", "fy", "px", "py", k, cell).withColumn("_d", F.sqrt(F.pow(F.col("px") - F.col("fx"), 2) + F.pow(F.col("py") - F.col("fy"), 2)))
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("focus").orderBy("_d", node))).where(F.col("_r") <= k)
+    near = _neighbours(points.dropna(subset=["px", "py", *xs, y]), k, cell, node)
     near = near.withColumn("_b", F.max("_d").over(Window.partitionBy("focus"))).withColumn("_w", F.pow(1 - F.pow(F.coalesce(F.try_divide("_d", "_b"), F.lit(0.0)), 2), 2)).withColumn("_one", F.lit(1.0))
     terms = ["_one", *xs]
     d = F.col("_w")
@@ -257,8 +261,55 @@ def local_regression(points: DataFrame, xs: Sequence[str], y: str, k: int, cell:
     return sums.mapInPandas(solve, f"{node} {kind}, term string, coef double, local_r2 double, n long, hat double, residual double")
 
 
+def bandwidths(points: DataFrame, xs: Sequence[str], y: str, ks: Sequence[int], cell: float, node: str = "node") -> DataFrame:
+    """``(k, aicc, chosen)``: the corrected Akaike criterion of a local regression for every number of neighbours, and the smallest one's mark.
+
+    Each point has one list of neighbours, up to the largest ``k``.  A bisquare
+    weight is a polynomial of the squared distance, so running sums of products
+    with 1, d^2 and d^4 along the list give the normal equations of every ``k``
+    at once.  What leaves a task is three sums per ``k``.  Ties: the smaller ``k``.
+    """
+    grid = np.array(sorted(set(ks)))
+    m = len(xs) + 1
+    p = points.dropna(subset=["px", "py", *xs, y])
+    cells = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*xs, y])]
+    near = _neighbours(p, int(grid[-1]), cell, node).select("focus", "_r", F.struct(F.col("_r"), F.col("_d").alias("d"), (F.col(node) == F.col("focus")).alias("own"), *cells).alias("s"))
+    lists = near.groupBy("focus").agg(F.sort_array(F.collect_list("s")).alias("l"))
+    lists = lists.select("l.d", "l.own", *[f"l.v{i}" for i in range(m)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(grid), 3))
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                d = np.asarray(row.d, float)
+                table = np.stack([np.ones(len(d)), *[np.asarray(getattr(row, f"v{i}"), float) for i in range(m)]], 1)
+                x = table[:, :m]
+                products = x[:, :, None] * table[:, None, :]
+                upto = [np.cumsum(products * (d**e)[:, None, None], axis=0) for e in (0, 2, 4)]
+                at = np.minimum(grid, len(d)) - 1
+                scale = np.divide(1.0, d[at] ** 2, out=np.zeros(len(at)), where=d[at] > 0)[:, None, None]
+                normal = upto[0][at] - 2 * scale * upto[1][at] + scale**2 * upto[2][at]
+                inverse = np.linalg.pinv(normal[:, :, :m])
+                beta = inverse @ normal[:, :, m:]
+                self_ = table[int(np.argmax(np.asarray(row.own, bool)))]
+                hat = np.einsum("i,kij,j->k", self_[:m], inverse, self_[:m])
+                rest = self_[m] - beta[:, :, 0] @ self_[:m]
+                sums += np.stack((np.ones(len(grid)), hat, rest**2), 1)
+        yield pd.DataFrame({"k": grid, "n": sums[:, 0], "h": sums[:, 1], "rss": sums[:, 2]})
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = lists.repartition(tasks).mapInPandas(run, "k int, n double, h double, rss double")
+    s = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("rss").alias("rss")).where("n > 0")
+    per = s.select("k", _aicc(F.col("n"), F.col("h"), F.col("rss")).alias("aicc"))
+    best = per.agg(F.min(F.struct("aicc", "k")).alias("_best"))
+    return per.crossJoin(F.broadcast(best)).select("k", "aicc", (F.col("k") == F.col("_best.k")).alias("chosen"))  # one row
+
+
+def _aicc(n: Column, h: Column, rss: Column) -> Column:
+    return n * F.log(rss / n) + n * F.log(F.lit(2 * np.pi)) + n * (n + h) / (n - 2 - h)
+
+
 def aicc(fit: DataFrame) -> DataFrame:
     """Corrected Akaike criterion of a local regression, to choose among numbers of neighbours."""
     one = fit.where("term = 'intercept'").agg(F.count("*").alias("n"), F.sum("hat").alias("h"), F.sum(F.col("residual") * F.col("residual")).alias("rss"))
-    n, h = F.col("n").cast("double"), F.col("h")
-    return one.select((n * F.log(F.col("rss") / n) + n * F.log(F.lit(2 * np.pi)) + n * (n + h) / (n - 2 - h)).alias("aicc"))
+    return one.select(_aicc(F.col("n").cast("double"), F.col("h"), F.col("rss")).alias("aicc"))

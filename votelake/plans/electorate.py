@@ -40,9 +40,9 @@ def unit_filters(spark: SparkSession, d: str) -> DataFrame:
     return u.select("unit", "segment", "side", r6("share"), "electors", (F.col("electors") < 20).alias("small"), (F.col("share").between(0.45, 0.55) & (F.col("electors") > 10)).alias("swing"))
 
 
-@query("mixed_types", "SELECT p_brand AS party, count(DISTINCT p_type) AS n_values FROM part WHERE p_size % 10 = 0 GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+@query("mixed_types", "SELECT p_brand AS party, count(DISTINCT p_type) AS n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def mixed_types(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.consistent(table(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_brand").alias("party"), F.col("p_type").alias("type")), "party", "type")
+    return rollup.consistent(table(spark, d, "part").select(F.col("p_brand").alias("party"), F.col("p_type").alias("type")), "party", "type")
 
 
 @query("first_last", f"WITH {VOTES}, {SHARES} SELECT place, round(arg_min(x, year), 6) AS first, round(arg_max(x, year), 6) AS last, round(arg_max(x, year) - arg_min(x, year), 6) AS change FROM nn GROUP BY place")

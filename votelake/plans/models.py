@@ -527,6 +527,13 @@ def local_regression(spark: SparkSession, d: str) -> DataFrame:
     return out.select("node", "term", *[F.round(c, 4).alias(c) for c in ("coef", "local_r2")], "n")
 
 
+@query("local_regression_k")
+def local_regression_k(spark: SparkSession, d: str) -> DataFrame:
+    """The information criterion of every number of neighbours of a grid, and which one is chosen."""
+    p = points(spark, d).select(F.col("point").alias("node"), F.col("lon").alias("px"), F.col("lat").alias("py"), "v1", "v2", "v3")
+    return spatial.bandwidths(p, ["v1", "v2"], "v3", range(15, 91, 5), 2.0).withColumn("aicc", r6("aicc"))
+
+
 @query("kmeans_profile")
 def kmeans_profile(spark: SparkSession, d: str) -> DataFrame:
     """Four types of points by their standardised covariates, sorted by mean of the first."""
@@ -544,7 +551,7 @@ def kmeans_profile(spark: SparkSession, d: str) -> DataFrame:
 # --- live counts -------------------------------------------------------------
 
 COUNTS = """ct AS (SELECT user_id % 200 AS code, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 100 ELSE 40 END) AS BIGINT) AS side1, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 40 ELSE 90 END) AS BIGINT) AS side0, count(*) AS m FROM events GROUP BY 1),
-cn AS (SELECT code, side1, side0, CASE WHEN code % 5 = 0 THEN 0.0::DOUBLE ELSE least(m / 60.0::DOUBLE, 1) END AS pct FROM ct WHERE code % 7 <> 0),
+cn AS (SELECT code, side1, side0, CASE WHEN code % 5 = 0 THEN 0.0::DOUBLE ELSE least(m / 60.0::DOUBLE, 1) END AS pct FROM ct),
 fc AS (SELECT c_custkey % 200 AS code, min(c_nationkey) AS unit, min(c_nationkey) % 5 AS region, CAST(9000 + (c_custkey % 200) * 10 AS DOUBLE) AS valid, 0.4::DOUBLE + (c_custkey % 200) % 20 / 100.0::DOUBLE AS p FROM customer GROUP BY c_custkey % 200)"""
 
 
@@ -557,7 +564,7 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
 def counts(spark: SparkSession, d: str) -> DataFrame:
     one = F.col("event_type").isin("click", "view")
     e = table(spark, d, "events").groupBy((F.col("user_id") % 200).alias("code")).agg(F.sum(F.when(one, 100).otherwise(40)).alias("side1"), F.sum(F.when(one, 40).otherwise(90)).alias("side0"), F.count("*").alias("m"))
-    return e.where("code % 7 <> 0").select("code", "side1", "side0", F.when(F.col("code") % 5 == 0, F.lit(0.0)).otherwise(F.least(F.col("m") / F.lit(60.0), F.lit(1.0))).alias("pct"))
+    return e.select("code", "side1", "side0", F.when(F.col("code") % 5 == 0, F.lit(0.0)).otherwise(F.least(F.col("m") / F.lit(60.0), F.lit(1.0))).alias("pct"))
 
 
 @query("count_projection", f"WITH {COUNTS}, u AS (SELECT 'side1' AS option, side1 AS v, pct FROM cn UNION ALL SELECT 'side0', side0, pct FROM cn), s AS (SELECT option, sum(CASE WHEN pct > 0 THEN v * 100.0::DOUBLE / (pct * 100) ELSE 0 END) AS projected FROM u GROUP BY option) SELECT option, round(projected, 4) AS projected, round(projected / sum(projected) OVER (), 6) AS share FROM s")
