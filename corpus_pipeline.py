@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from votelake.llm import decontamination, ngram_join, packing, quality, toxicity
 from votelake.llm.queries import tokenizer_path
-from votelake.llm.storage import materialize
+from votelake.llm.storage import discard, materialize
 
 
 def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over the documents, each written and read again; a stage's table goes once the next one's is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")), old
+        if before is not None:
+            discard(before)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
