@@ -60,4 +60,4 @@ def test_stages_and_their_effects(spark, sf_dir):
 
 
 def test_queries_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
