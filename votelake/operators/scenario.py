@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import normals
 from ..functions.maths import normal, share, student_t
+from ..sources.shared import written
 from . import rollup
 
 
@@ -151,12 +152,13 @@ def grid_likelihood(races: DataFrame, grid: DataFrame, n_sim: int, seed: int) ->
     points = table.to_numpy()
     texts = [F.col(c).cast("string").alias(f"_{c}") for c in ("race", "candidate")]
     facts = races.select("race", "candidate", *texts, "family", F.col("strength").cast("double").alias("strength"), F.col("first").cast("int").alias("first"), F.col("incumbent").cast("int").alias("incumbent"), "real_family", F.col("real_incumbent").cast("int").alias("real_incumbent"), "real_runoff")
+    facts = written(facts, "races")  # counted, then evaluated
 
     def run(race: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"point": np.arange(len(points)), "p": _outcomes(race, points, n_sim, seed) / n_sim})
 
     # a race is a few rows but much work, so their bytes must not decide how many share a task
-    tasks = max(1, min(10_000, races.select("race").distinct().count() * len(points) * n_sim // TASK_OUTCOMES))
+    tasks = max(1, min(10_000, facts.select("race").distinct().count() * len(points) * n_sim // TASK_OUTCOMES))
     per = facts.repartition(tasks, "race").groupBy("race").applyInPandas(run, "point long, p double")
     scored = per.groupBy("point").agg(F.sum(F.log(F.col("p") + 1.0 / (2 * n_sim))).alias("log_likelihood"))
     named = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "point long, " + ", ".join(f"{c} double" for c in GRID))

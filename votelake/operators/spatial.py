@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import digest, haversine_km, planar_km, share, uniform_part
+from ..sources.shared import written
 from . import rollup
 from .ranges import quantiles_of
 
@@ -115,6 +116,7 @@ def outliers(sections: DataFrame, place: Sequence[str], votes: str, valid: str,
     s = sections.where(F.col(valid) > 0).withColumn("_n", F.sum(valid).over(w)).withColumn("_v", F.sum(votes).over(w)).withColumn("_k", F.count("*").over(w)).where(F.col("_k") >= least)
     rest = share(F.col("_v") - F.col(votes), F.col("_n") - F.col(valid))
     s = s.withColumn("p", share(F.col(votes), F.col(valid))).withColumn("p_rest", rest).withColumn("_var", F.col("p_rest") * (1 - F.col("p_rest")) / F.col(valid))
+    s = written(s, "sections")  # read for the medians and for the result
     middle = quantiles_of(s, {"_sq": F.pow(F.col("p") - F.col("p_rest"), 2), "_own": F.col("_var")}, [0.5])
     t = middle.select(F.greatest(F.col("_sq")[0] / 0.455 - F.col("_own")[0], F.lit(0.0)).alias("tau2"))
     z = s.crossJoin(F.broadcast(t)).withColumn("z", share(F.col("p") - F.col("p_rest"), F.sqrt(F.col("_var") + F.col("tau2"))))

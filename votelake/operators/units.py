@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import share
+from ..sources.shared import written
 from . import rollup
 
 
@@ -96,7 +97,7 @@ def change_by_bin(now: DataFrame, before: DataFrame, keys: Sequence[str], value:
     """Units in both years, binned by the earlier value: units, weight, weighted means before and now, and their difference."""
     k = list(keys)
     j = before.select(*k, F.col(value).alias("before"), F.col(weight).alias("w")).join(now.select(*k, F.col(value).alias("now")), k)
-    b = rollup.quantile_bin(j, "before", bins)
+    b = rollup.quantile_bin(written(j, "changes"), "before", bins)
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("w").alias("weight"), rollup.weighted_mean("before", "w").alias("before"), rollup.weighted_mean("now", "w").alias("now")).withColumn("difference", F.col("now") - F.col("before"))
 
 
