@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -197,6 +198,29 @@ def test_point_in_polygon(spark):
     assert {r["point"] for r in spatial.point_in_polygon(p, e).collect()} == {1, 4}
 
 
+def test_polygon_cells_equal_all_edges(spark):
+    rng = random.Random(3)
+    rings = [[(x, y) for x, y in ((rng.randint(-6, 6), rng.randint(-6, 6)) for _ in range(rng.randint(3, 9)))] for _ in range(40)]
+    rings += [[(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(12)] for _ in range(10)] + [[(0, 0), (8, 0), (8, 8), (0, 8)]]
+    edges = [(i, *map(float, a), *map(float, b)) for i, r in enumerate(rings) for a, b in zip(r, r[1:] + r[:1])]
+    edges += [(len(rings) - 1, *map(float, a), *map(float, b)) for r in [[(2, 2), (6, 2), (6, 6), (2, 6)]] for a, b in zip(r, r[1:] + r[:1])]  # a hole
+    pts = [(float(x) / 2, float(y) / 2) for x in range(-14, 15) for y in range(-14, 15)] + [(rng.uniform(-10, 10), rng.uniform(-10, 10)) for _ in range(200)]
+    want = set()
+    for k, (x, y) in enumerate(pts):
+        n = {}
+        for g, x1, y1, x2, y2 in edges:
+            if y1 != y2 and min(y1, y2) <= y < max(y1, y2) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                n[g] = n.get(g, 0) + 1
+        want |= {(k, g) for g, c in n.items() if c % 2}
+    e = spark.createDataFrame([*edges, (99, None, 0.0, 1.0, 1.0)], "polygon int, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([*[(k, *xy) for k, xy in enumerate(pts)], (-1, None, 0.0)], "point int, x double, y double")
+    for cell in (0.3, 1.0, 4.0):
+        got = spatial.point_in_polygon(p, e, cell).collect()
+        assert len(got) == len(want) and {(r["point"], r["polygon"]) for r in got} == want
+    inside, cut = spatial.polygon_cells(e.where("polygon = 50"), 0.5)
+    assert inside.count() > 100 and cut.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= 5
+
+
 def test_clusters_and_outliers(spark):
     n = spark.createDataFrame([(i, 10.0 if i < 10 else (i * 37 % 11) / 10) for i in range(100)], "node int, x double")
     edges = n.select(F.col("node").alias("src"), F.explode(F.array((F.col("node") + 1) % 100, (F.col("node") + 99) % 100)).alias("dst"))

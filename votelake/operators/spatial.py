@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from hashlib import md5
-from math import ceil, log2
+from math import ceil, floor, log2
 
 import numpy as np
 import pandas as pd
@@ -83,19 +83,54 @@ def mean_distance(pairs: DataFrame, by: Sequence[str], weight: str) -> DataFrame
     return pairs.withColumn("_km", km).groupBy(*by).agg(share(F.sum(F.col("_km") * F.col(weight)), F.sum(weight)).alias("mean_km"))
 
 
+def polygon_cells(edges: DataFrame, cell: float, polygon: str = "polygon") -> tuple[DataFrame, DataFrame]:
+    """A grid over closed rings: ``(inside, cut)``, the cells that lie wholly inside a polygon and those that its edges cut.
+
+    ``cut`` has a row per cell and edge that may touch it, and one without an
+    edge where the parity at the cell's lower border, of what lies to the right
+    of the cell, is odd.  ``cell`` is rounded down to a power of two, so that
+    cells have exact borders.
+    """
+    size = F.lit(2.0 ** floor(log2(cell)))
+    at = lambda v: F.floor(v / size).cast("long")
+    e = edges.dropna(subset=["x1", "y1", "x2", "y2"]).withColumn("lo", F.least("y1", "y2")).withColumn("hi", F.greatest("y1", "y2"))
+    e = e.withColumn("cy", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    x_at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    lower, upper = F.greatest("lo", F.col("cy") * size), F.least("hi", (F.col("cy") + 1) * size)
+    own = F.array(x_at(lower), x_at(upper), *[F.when(F.col("y1") == F.col("y2"), F.col(c)) for c in ("x1", "x2")])
+    slack = lambda x: F.lit(1e-9) * (F.abs(x) + size)  # noqa: E731  more than rounding can move a crossing
+    e = e.withColumn("first", at(F.array_min(F.transform(own, lambda x: x - slack(x))))).withColumn("last", at(F.array_max(F.transform(own, lambda x: x + slack(x)))))
+    e = e.withColumn("cx", F.explode(F.sequence("first", "last")))
+    crosses = (F.col("cx") == F.col("first")) & (F.col("lo") <= F.col("cy") * size) & (F.col("hi") > F.col("cy") * size)
+    row = Window.partitionBy(polygon, "cy").orderBy(F.desc("cx"))
+    c = e.groupBy(polygon, "cy", "cx").agg(F.count_if(crosses).alias("n"))
+    c = c.withColumn("odd", (F.sum("n").over(row) - F.col("n")) % 2 == 1).withColumn("next", F.lag("cx").over(row)).where("odd")
+    inside = c.where("next > cx + 1").select(polygon, "cy", F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"))
+    cut = e.select(polygon, "cy", "cx", "x1", "y1", "x2", "y2", "lo", "hi").unionByName(c.select(polygon, "cy", "cx"), allowMissingColumns=True)
+    return inside, cut
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 1.0, point: str = "point", polygon: str = "polygon") -> DataFrame:
     """``(point, polygon)`` pairs by crossing parity: an odd number of edges to the right of the point.
 
-    ``edges`` has (polygon, x1, y1, x2, y2).  Edges are cut into rows of height
-    ``cell``, so points meet them by an equality and not by a range.  An edge
-    holds its lower end, not its upper one.
+    ``edges`` has (polygon, x1, y1, x2, y2) of closed rings, holes among them.
+    An edge holds its lower end, not its upper one.  A point in a cell that no
+    edge cuts meets the polygons around it only, one in a cut cell that cell's
+    edges: those to the right of it at its height, and, to the parity of all
+    that lies farther right at the cell's lower border, a change for each end
+    of these edges that lies farther right and between the border and the
+    point.  Rows without coordinates are in no polygon.
     """
-    row = lambda c: F.floor(F.col(c) / cell).cast("long")
-    e = edges.where("y1 <> y2").withColumn("_lo", F.least("y1", "y2")).withColumn("_hi", F.greatest("y1", "y2"))
-    e = e.withColumn("_row", F.explode(F.sequence(row("_lo"), row("_hi"))))
+    size = F.lit(2.0 ** floor(log2(cell)))
+    at = lambda v: F.floor(v / size).cast("long")
+    inside, cut = polygon_cells(edges, cell, polygon)
+    p = points.select(point, "x", "y").dropna(subset=["x", "y"]).withColumn("cx", at(F.col("x"))).withColumn("cy", at(F.col("y")))
     x_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    j = points.select(point, "x", "y").withColumn("_row", row("y")).join(e, "_row").where((F.col("y") >= F.col("_lo")) & (F.col("y") < F.col("_hi")) & (F.col("x") < x_at))
-    return j.groupBy(point, polygon).agg((F.count("*") % 2).alias("_odd")).where("_odd = 1").select(point, polygon)
+    right = F.when((F.col("y1") != F.col("y2")) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi")), (F.col("x") < x_at).cast("int")).otherwise(0)
+    ends = [((at(F.col(x)) > F.col("cx")) & (at(F.col(y)) == F.col("cy")) & (F.col(y) > F.col("cy") * size) & (F.col(y) <= F.col("y"))).cast("int") for x, y in (("x1", "y1"), ("x2", "y2"))]
+    flips = F.when(F.col("lo").isNull(), 1).otherwise(right + ends[0] + ends[1])
+    near = p.join(cut, ["cx", "cy"]).groupBy(point, polygon).agg((F.sum(flips) % 2).alias("_odd")).where("_odd = 1").select(point, polygon)
+    return p.join(inside, ["cx", "cy"]).select(point, polygon).unionByName(near)
 
 
 def unit_zones(places: DataFrame, assigned: DataFrame, unit: str, zone: str, weight: str) -> DataFrame:
