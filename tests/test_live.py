@@ -44,7 +44,7 @@ def test_stream_equals_replay(spark, tmp_path):
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, live.COUNT_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / f"s{i}"))
     stream = spark.readStream.schema(live.COUNT_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    live.track(spark, stream, forecast(spark), str(tmp_path / "state"), str(tmp_path / "history"), str(tmp_path / "cp"), 5000, 1.5).awaitTermination()
+    live.track(stream, forecast(spark), str(tmp_path / "history"), str(tmp_path / "cp"), 5000, 1.5).awaitTermination()
     h = spark.read.parquet(str(tmp_path / "history")).orderBy("batch").collect()
     assert len(h) == 3
     all_rows = spark.createDataFrame([r for p in parts for r in p], live.COUNT_SCHEMA)
@@ -74,3 +74,35 @@ def test_snapshots_until(spark):
 def test_scaled_count(spark):
     df = spark.createDataFrame([("x", "a", 50, 50.0), ("x", "b", 50, 50.0), ("y", "a", 30, 100.0), ("z", "b", 9, 0.0)], "unit string, option string, votes long, pct double")
     assert {r["option"]: r["projected"] for r in live.scaled_count(df, "unit", "option", "votes", "pct").collect()} == {"a": 130.0, "b": 100.0}
+
+
+def test_stream_stops_when_all_is_counted(spark, tmp_path):
+    t = lambda h: dt.datetime(2022, 10, 30, h)
+    parts = [[(0, 10, 10, 0.1, t(1)), (1, 50, 50, 1.0, t(1))], [(i, 50 + i, 50, 1.0, t(2)) for i in range(4)], [(0, 1, 9, 1.0, t(3)), (2, 1, 9, 1.0, t(3))]]
+    put = lambda i: spark.createDataFrame(parts[i], live.COUNT_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / f"s{i}"))
+    put(0), put(1)
+    stream = lambda: spark.readStream.schema(live.COUNT_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    cp, h = str(tmp_path / "cp"), str(tmp_path / "history")
+    q = live.track_to_end(spark, stream(), forecast(spark), h, cp, 5000, 1.5, every="0 seconds", wait=120)
+    assert not q.isActive and not spark.streams.active
+    rows = spark.read.parquet(h).orderBy("batch").collect()
+    assert [r["batch"] for r in rows] == [0, 1] and rows[0]["counted_pct"] < 99 and rows[1]["counted_pct"] == 100 and rows[1]["n_units"] == 4
+    state = {r["code"]: r["side1"] for r in live.stored_counts(spark, cp, 1).collect()}
+    assert state == {0: 50, 1: 50, 2: 52, 3: 53}
+    put(2)  # later files move the stream on and change nothing
+    live.track(stream(), forecast(spark), h, cp, 5000, 1.5).awaitTermination()
+    assert spark.read.parquet(h).orderBy("batch").collect() == rows
+    assert {r["code"]: r["side1"] for r in live.stored_counts(spark, cp, 2).collect()} == state
+
+
+def test_repeated_batch_writes_the_same_row(spark, tmp_path):
+    for i, rows in enumerate(snapshots(spark)):
+        spark.createDataFrame(rows, live.COUNT_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / f"s{i}"))
+    stream = spark.readStream.schema(live.COUNT_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    cp, h = tmp_path / "cp", str(tmp_path / "history")
+    live.track(stream, forecast(spark), h, str(cp), 5000, 1.5).awaitTermination()
+    before = spark.read.parquet(h).orderBy("batch").collect()
+    for f in (cp / "commits").glob("*2*"):
+        f.unlink()  # as if the driver had died before the last batch was committed
+    live.track(stream, forecast(spark), h, str(cp), 5000, 1.5).awaitTermination()
+    assert spark.read.parquet(h).orderBy("batch").collect() == before and len(before) == 3

@@ -619,6 +619,39 @@ def live_stream(spark: SparkSession, d: str) -> DataFrame:
     s = snapshots(spark, d).withColumn("slice", F.ceil(F.dayofmonth("ts") / 10).cast("int"))
     s.repartition("slice").write.partitionBy("slice").json(f"{run}/in")
     stream = spark.readStream.schema(live.COUNT_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{run}/in/*")
-    live.track(spark, stream, forecast(spark, d), f"{run}/state", f"{run}/history", f"{run}/checkpoint", 5000, 1.5).awaitTermination()
+    live.track(stream, forecast(spark, d), f"{run}/history", f"{run}/checkpoint", 5000, 1.5).awaitTermination()
     h = spark.read.parquet(f"{run}/history")
     return h.select("batch", r6("counted_pct"), r6("share_projected"), "n_units")
+
+
+ARRIVALS = """sn AS (SELECT user_id % 200 AS code, CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 100 ELSE 40 END) AS BIGINT) AS side1, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 40 ELSE 90 END) AS BIGINT) AS side0 FROM events GROUP BY ALL),
+sp AS (SELECT min(day) AS d0, max(day) AS d1 FROM sn),
+cu AS (SELECT code, day, CAST(sum(side1) OVER w AS BIGINT) AS side1, CAST(sum(side0) OVER w AS BIGINT) AS side0, CAST(row_number() OVER w AS DOUBLE) / count(*) OVER (PARTITION BY code) AS pct,
+  date_diff('day', d0, day) * 4 // (date_diff('day', d0, d1) + 1) AS batch FROM sn, sp WINDOW w AS (PARTITION BY code ORDER BY day))"""
+
+
+@query("live_to_end", f"""WITH {ARRIVALS}, fa AS ({COUNTS.split("fc AS (")[1]}, fc AS (SELECT * FROM fa WHERE code IN (SELECT code FROM sn)),
+k AS (SELECT DISTINCT batch FROM cu), la AS (SELECT k.batch, code, side1, side0, pct FROM cu JOIN k ON cu.batch <= k.batch QUALIFY row_number() OVER (PARTITION BY k.batch, code ORDER BY day DESC) = 1),
+m AS (SELECT k.batch, fc.*, coalesce(side1, 0) AS s1, coalesce(side1 + side0, 0) AS c, coalesce(pct, 0) AS pct FROM fc CROSS JOIN k LEFT JOIN la ON la.code = fc.code AND la.batch = k.batch), r AS (SELECT *, CASE WHEN c > 0 THEN s1 / c - p END AS r FROM m),
+un AS (SELECT batch, unit, region, sum(coalesce(r, 0) * c) AS s, sum(c) AS w FROM r GROUP BY ALL), rg AS (SELECT batch, region, sum(s) AS s, sum(w) AS w FROM un GROUP BY ALL), na AS (SELECT batch, coalesce(sum(s) / nullif(sum(w), 0), 0) AS n FROM rg GROUP BY 1),
+rd AS (SELECT batch, region, (s + 5000 * n) / (w + 5000) AS d FROM rg JOIN na USING (batch)), sw AS (SELECT batch, unit, (s + 5000 * d) / (w + 5000) AS swing FROM un JOIN rd USING (batch, region)),
+t AS (SELECT r.*, swing, n, greatest(CASE WHEN pct > 0.02 THEN c / greatest(pct, 0.02) ELSE valid END, c) AS total FROM r JOIN sw USING (batch, unit) JOIN na USING (batch)), pj AS (SELECT *, s1 + (total - c) * least(greatest(p + coalesce(r, 0) * pct + swing * (1 - pct), 0), 1) AS proj FROM t),
+h AS (SELECT batch, sum(c) / sum(total) * 100 AS counted, sum(proj) / sum(total) * 100 AS projected FROM pj GROUP BY batch), u AS (SELECT batch, count(*) AS n_units FROM la GROUP BY batch)
+SELECT CAST(batch AS INTEGER) AS batch, round(counted, 6) AS counted_pct, round(projected, 6) AS share_projected, n_units FROM h JOIN u USING (batch) WHERE batch <= (SELECT min(batch) FROM h WHERE counted >= 99.99)""")
+def live_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Four snapshots of a count, one file each, streamed until all is counted: the history, one row per batch."""
+    run = scratch(spark, "live")
+    one = F.col("event_type").isin("click", "view")
+    day = table(spark, d, "events").groupBy((F.col("user_id") % 200).alias("code"), F.to_date("ts").alias("day")).agg(F.sum(F.when(one, 100).otherwise(40)).alias("a"), F.sum(F.when(one, 40).otherwise(90)).alias("b"))
+    unit, w = Window.partitionBy("code"), Window.partitionBy("code").orderBy("day")
+    span = day.agg(F.min("day").alias("d0"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("days"))
+    s = day.crossJoin(F.broadcast(span)).withColumn("slice", F.floor(F.datediff("day", "d0") * 4 / F.col("days")))
+    s = s.select("code", F.sum("a").over(w).alias("side1"), F.sum("b").over(w).alias("side0"), (F.row_number().over(w) / F.count("*").over(unit)).alias("pct"), F.col("day").cast("timestamp").alias("ts"), "slice")
+    s.write.parquet(f"{run}/all")  # 200 units a day: each snapshot is one small file, as a live feed gives it
+    s = spark.read.parquet(f"{run}/all")
+    for i in range(4):
+        s.where(F.col("slice") == i).drop("slice").coalesce(1).write.json(f"{run}/in/{i}")
+    stream = live.read_counts(spark, f"{run}/in/*")
+    f = forecast(spark, d).join(s.select("code").distinct(), "code", "left_semi")
+    live.track_to_end(spark, stream, f, f"{run}/history", f"{run}/checkpoint", 5000, 1.5, every="0 seconds", wait=600)
+    return spark.read.parquet(f"{run}/history").select("batch", r6("counted_pct"), r6("share_projected"), "n_units")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from threading import Event
+from time import monotonic
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.maths import normal_cdf, share
 
 COUNT_SCHEMA = "code long, side1 long, side0 long, pct double, ts timestamp"
+#: A trigger that takes what is there now.
+ONCE: Mapping[str, Any] = {"availableNow": True}
 
 
 def scaled_count(counts: DataFrame, unit: str, option: str, votes: str, pct: str, by: Sequence[str] = ()) -> DataFrame:
@@ -137,37 +142,83 @@ def newest(counts: DataFrame, until: Column | None = None) -> DataFrame:
     return j.groupBy("code").agg(F.max(F.struct("ts", "pct", "side1", "side0")).alias("x")).select("code", "x.side1", "x.side0", "x.pct", "x.ts")
 
 
-def track(spark: SparkSession, counts: DataFrame, forecast: DataFrame, state_path: str, history_path: str, checkpoint: str, k: float, sd: float, stop_at: float = 99.99) -> StreamingQuery:
+def stored_counts(spark: SparkSession, checkpoint: str, batch: int) -> DataFrame:
+    """The newest row of every unit after a batch, read from the state store."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").option("batchId", batch).load()
+    return state.select("key.code", "value.*").select("code", "side1", "side0", "pct", "ts")
+
+
+def history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of history there are, None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def finished(rows: DataFrame | None, stop_at: float = 99.99) -> bool:
+    """Whether the last row of history says that the count is complete."""
+    row = rows.orderBy(F.desc("batch")).select("counted_pct").first() if rows is not None else None
+    return row is not None and row[0] is not None and row[0] >= stop_at
+
+
+def track(counts: DataFrame, forecast: DataFrame, history_path: str, checkpoint: str, k: float, sd: float, stop_at: float = 99.99, trigger: Mapping[str, Any] = ONCE) -> StreamingQuery:
     """Re-estimate after every micro-batch and append one row of history, until ``stop_at`` percent are counted.
 
-    Keyed state gives the units that a batch changed; these replace their rows
-    in the stored counts, which are written under the batch's number.  A batch
-    starts from the counts of the last one before it that the history has, and
-    fails if these are gone; so a repeated batch gives the same rows, and its
-    history row replaces itself.  Once the count is complete, further batches
-    change nothing.
+    A batch brings the units that it changed; the others are read from the
+    state store as the batch before it left them, so counts are stored once.
+    History is written under the batch's number: a repeated batch starts from
+    the same state and replaces its own row by an equal one.  Once the count is
+    complete, further batches change nothing.  ``trigger`` is that of a
+    ``DataStreamWriter``; by default, what is there now.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        folder = s._jvm.org.apache.hadoop.fs.Path(history_path)
-        rows = batch
-        if folder.getFileSystem(s._jsc.hadoopConfiguration()).exists(folder):
-            before = s.read.parquet(history_path).where(F.col("batch") < number).orderBy(F.desc("batch")).select("batch", "counted_pct").first()
-            if before is not None:
-                if (before["counted_pct"] or 0) >= stop_at:
-                    return
-                stored = s.read.parquet(f"{state_path}/batch={before['batch']}")
-                rows = stored.join(batch.select("code"), "code", "left_anti").unionByName(batch.select(*stored.columns))
-        rows.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        state = s.read.parquet(f"{state_path}/batch={number}")
-        row = estimate(projected_units(forecast, state, k), sd).withColumn("n_units", F.lit(state.count()))
+        before = history(s, history_path)
+        if before is not None and finished(before.where(F.col("batch") < number), stop_at):
+            batch.write.format("noop").mode("overwrite").save()  # state moves on with every batch
+            return
+        rows = new = batch.persist()
+        if number > 0:
+            rows = stored_counts(s, checkpoint, number - 1).join(new.select("code"), "code", "left_anti").unionByName(new)
+        row = estimate(projected_units(forecast, rows, k), sd).crossJoin(rows.agg(F.count("*").alias("n_units")))
         row.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        new.unpersist()
 
-    return latest_counts(counts).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return latest_counts(counts).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def finished(history: DataFrame, stop_at: float = 99.99) -> bool:
-    """Whether the last row of history says that the count is complete."""
-    row = history.orderBy(F.desc("batch")).select("counted_pct").first()
-    return row is not None and row[0] is not None and row[0] >= stop_at
+class CountListener(StreamingQueryListener):
+    """Says when the history of a count is complete; looked at after every batch."""
+
+    def __init__(self, spark: SparkSession, history_path: str, stop_at: float) -> None:
+        self.spark, self.path, self.stop_at, self.complete = spark, history_path, stop_at, Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if finished(history(self.spark, self.path), self.stop_at):
+            self.complete.set()
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def track_to_end(spark: SparkSession, counts: DataFrame, forecast: DataFrame, history_path: str, checkpoint: str, k: float, sd: float, stop_at: float = 99.99, every: str = "30 seconds", wait: float | None = None) -> StreamingQuery:
+    """``track`` every so often until the count is complete, or for ``wait`` seconds; the query that is returned is stopped.
+
+    A query that failed raises its error.
+    """
+    listener = CountListener(spark, history_path, stop_at)
+    spark.streams.addListener(listener)
+    until = None if wait is None else monotonic() + wait
+    try:
+        q = track(counts, forecast, history_path, checkpoint, k, sd, stop_at, {"processingTime": every})
+        while q.isActive and not listener.complete.wait(0.2) and (until is None or monotonic() < until):
+            pass
+        if q.exception() is not None:
+            raise q.exception()
+        q.stop()
+        return q
+    finally:
+        spark.streams.removeListener(listener)
