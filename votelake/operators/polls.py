@@ -91,6 +91,20 @@ def at_cutoffs(polls: DataFrame, cutoffs: DataFrame, window: int) -> DataFrame:
     return days.join(F.broadcast(cutoffs), "cutoff").withColumn("age", F.datediff("cutoff", "end_date"))
 
 
+def before_votes(polls: DataFrame, votes: DataFrame, last: int, age: int) -> DataFrame:
+    """Each poll row with every contest and horizon, 1 to ``last`` days before its vote, at which it is known.
+
+    ``votes`` has (contest, since, vote_date), a row per contest; polls count
+    that ended after ``since`` (the round before), by the horizon's day, and at
+    most ``age`` days before it.  Contests are met by an equality on the days
+    between, which a contest has one row each for.
+    """
+    open_ = votes.withColumn("end_date", F.explode(F.sequence(F.date_add("since", 1), F.date_sub("vote_date", 1)))).drop("since")
+    j = polls.join(F.broadcast(open_), "end_date").withColumn("ahead", F.datediff("vote_date", "end_date"))
+    j = j.withColumn("days", F.explode(F.filter(F.sequence(F.greatest(F.col("ahead") - age, F.lit(1)), F.greatest(F.col("ahead"), F.lit(1))), lambda x: x <= last)))
+    return j.withColumn("age", F.col("ahead") - F.col("days")).drop("ahead", "vote_date")
+
+
 def house_effects(base: DataFrame, settings: PollSettings, key: Sequence[str]) -> DataFrame:
     """``(key, candidate, house, effect)``: each house's shrunk, centred mean distance from the trend of the others.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import polls as poll_ops, rollup, territory, transfer
+from ..sources.shared import written
 from .bindings import POINTS, POLLS, VOTES, points, query, r6, table, votes
-from .models import DESTS, ORIGINS, RESULTS, VALID, WEEKS, aggregate_sql, matrices, place_rounds, results, valid, weekly
+from .models import DESTS, ORIGINS, VALID, WEEKS, aggregate_sql, matrices, place_rounds, valid, weekly
 from .votes import SHARES, group_votes, place_shares
 
 
@@ -145,17 +146,20 @@ def duplicated_keys(spark: SparkSession, d: str) -> DataFrame:
     return rollup.duplicates(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"])
 
 
-HORIZONS = 14
+#: Days before a vote that are looked at, and days between the round before and the vote.
+HORIZONS, BETWEEN = 20, 25
 
 
-@query("horizon_errors", f"""WITH {POLLS}, {VALID}, {RESULTS}, {WEEKS}, k AS (SELECT DATE '2024-01-31' - CAST(unnest(range(1, {HORIZONS + 1})) AS INTEGER) AS cutoff),
-m AS (SELECT va.*, cutoff, datediff('day', end_date, cutoff) AS age, coalesce(quality, 1.0::DOUBLE) AS quality FROM va JOIN k ON end_date BETWEEN cutoff - 14 AND cutoff LEFT JOIN qw ON qw.target = 3 AND qw.house = va.house), {aggregate_sql('m', 'cutoff', 1)}
-SELECT CAST(datediff('day', cutoff, DATE '2024-01-31') AS INTEGER) AS days, round(avg(abs(estimate - result)), 6) AS mae, round(avg(abs(simple - result)), 6) AS mae_simple, count(*) AS n FROM ag JOIN re USING (candidate) GROUP BY cutoff""")
+@query("horizon_errors", f"""WITH {POLLS}, {VALID}, {WEEKS}, vt AS (SELECT contest, vote_date - {BETWEEN} AS since, vote_date FROM vd WHERE contest > 1), k AS (SELECT contest, since, vote_date, CAST(unnest(range(1, {HORIZONS + 1})) AS INTEGER) AS days FROM vt),
+m AS (SELECT va.*, k.contest * 100 + days AS run, datediff('day', end_date, k.vote_date) - days AS age, coalesce(quality, 1.0::DOUBLE) AS quality FROM va JOIN k ON end_date > since AND end_date BETWEEN k.vote_date - days - 14 AND k.vote_date - days LEFT JOIN qw ON qw.target = k.contest AND qw.house = va.house), {aggregate_sql('m', 'run', 5)}
+SELECT CAST(run % 100 AS INTEGER) AS days, count(DISTINCT run) AS contests, round(avg(abs(estimate - result)), 6) AS mae, round(avg(abs(simple - result)), 6) AS mae_simple, count(*) AS n FROM ag JOIN rw ON rw.contest = run // 100 AND rw.candidate = ag.candidate GROUP BY run % 100""")
 def horizon_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Error of the aggregate by days before the vote, every horizon a key of one job; weights from the contests that had ended."""
-    cut = spark.range(1, HORIZONS + 1).select(F.date_sub(F.lit("2024-01-31").cast("date"), F.col("id").cast("int")).alias("cutoff"))
-    v = valid(spark, d)
-    quality = weekly(spark, d)[2].where("contest = 3").select("house", "quality")
-    est = poll_ops.aggregate(poll_ops.at_cutoffs(v, cut, 14), quality, poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 1)).withColumn("contest", F.lit(1))
-    out = poll_ops.backtest(est, results(v), ["contest"], ["cutoff"])
-    return out.select(F.datediff(F.lit("2024-01-31").cast("date"), "cutoff").alias("days"), r6("mae"), r6("mae_simple"), "n")
+    """Error of the aggregate by days before the vote: polls since the round before, weights from the contests that had ended; all contests and horizons are keys of one job."""
+    _, res, quality = weekly(spark, d)
+    res = written(res, "results")
+    votes_ = res.where("contest > 1").select("contest", F.date_sub("vote_date", BETWEEN).alias("since"), "vote_date").distinct()
+    known = poll_ops.before_votes(valid(spark, d), votes_, HORIZONS, 14)
+    est = poll_ops.aggregate(known, quality, poll_ops.PollSettings(14, 3.0, 1500.0, 2.0, 5), ["contest", "days"])
+    out = poll_ops.backtest(est, res, ["contest"], ["days", "contest"])
+    total = lambda c: r6(F.sum(F.col(c) * F.col("n")) / F.sum("n"), c)
+    return out.groupBy("days").agg(F.count("*").alias("contests"), total("mae"), total("mae_simple"), F.sum("n").alias("n"))
