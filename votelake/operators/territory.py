@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import band, col, share
 from . import rollup, transfer
-from .ranges import exact_quantiles
+from .ranges import exact_quantiles, running
 
 
 def age_band(code: Column | str) -> Column:
@@ -103,6 +103,65 @@ def territory(units: DataFrame, history: DataFrame) -> DataFrame:
     return u.join(s, "unit", "left")
 
 
+def stakes(places: DataFrame) -> DataFrame:
+    """What a runoff can still win in each place: ``gap``, ``at_stake`` and ``elasticity`` are added.
+
+    ``places`` has (side1, side0, third, reserve1, reserve0, electors, p):
+    votes of both sides, of those who are out, of those who voted for a side in
+    another office only, and side 1's share in the contest before.  The
+    elasticity is side 1's net gain if a hundredth more of the electors came and
+    voted as then.  A missing reserve is 0; a missing ``p`` is the place's own
+    share, and a half where that is missing too.
+    """
+    kept = places.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("reserve1", "reserve0")})
+    own = F.coalesce("p", share("side1", F.col("side1") + F.col("side0")), F.lit(0.5))
+    kept = kept.withColumn("p", own).withColumn("gap", F.col("side1") - F.col("side0")).withColumn("at_stake", F.col("third") + F.col("reserve1") + F.col("reserve0"))
+    return kept.withColumn("elasticity", F.col("electors") * 0.01 * (2 * F.col("p") - 1))
+
+
+def stake_table(places: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``stakes`` summed up by unit, region, size or any other column: places, sums, side 1's share, parts of all that is at stake and of the gap."""
+    amounts = ["electors", "side1", "side0", "third", "reserve1", "reserve0", "gap", "at_stake", "elasticity"]
+    t = places.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in amounts])
+    whole = places.agg(F.sum("at_stake").alias("_stake"), F.sum("gap").alias("_gap"))  # one row
+    j = t.crossJoin(F.broadcast(whole)).withColumn("share", share("side1", F.col("side1") + F.col("side0")))
+    return j.withColumn("part_at_stake", share("at_stake", "_stake")).withColumn("part_gap", share("gap", "_gap")).drop("_stake", "_gap")
+
+
+def gathered(table: DataFrame, amount: str, key: str, parts: Sequence[float]) -> DataFrame:
+    """``(part, n)``: how many rows, the largest first, gather each part of the whole amount; running sums by ranges."""
+    sums = running(table.select(key, amount), [], [F.desc(amount), key], {"upto": ("sum", F.col(amount))})
+    whole = table.agg(F.sum(amount).alias("_all"))  # one row
+    counts = [F.count_if(F.col("upto") < p * F.col("_all")).alias(f"_{i}") for i, p in enumerate(parts)]
+    found = sums.crossJoin(F.broadcast(whole)).agg(*counts)
+    cells = F.array(*[F.struct(F.lit(float(p)).alias("part"), (F.col(f"_{i}") + 1).alias("n")) for i, p in enumerate(parts)])
+    return found.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def turnout_cases(places: DataFrame, cases: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """``(scenario, share, change, added)`` if more electors come in some places and vote as in the contest before.
+
+    ``cases`` gives each scenario its places and the points of turnout added
+    there; all are sums of one pass over ``stakes``.
+    """
+    new = {k: F.when(mask, F.col("electors") * points / 100).otherwise(0.0) for k, (mask, points) in cases.items()}
+    sums = [x for i, v in enumerate(new.values()) for x in (F.sum(v).alias(f"_n{i}"), F.sum(v * F.col("p")).alias(f"_p{i}"))]
+    base = places.agg(F.sum("side1").alias("_a"), F.sum("side0").alias("_b"), *sums)
+    before = share("_a", F.col("_a") + F.col("_b"))
+    rows = []
+    for i, k in enumerate(new):
+        after = share(F.col("_a") + F.col(f"_p{i}"), F.col("_a") + F.col("_b") + F.col(f"_n{i}"))
+        rows.append(F.struct(F.lit(k).alias("scenario"), after.alias("share"), (after - before).alias("change"), F.col(f"_n{i}").alias("added")))
+    return base.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+def cluster_profile(labels: DataFrame, places: DataFrame, unit: str, node: str) -> DataFrame:
+    """Per unit and type of cluster: places, their part of the unit's electors, and side 1's share; ``places`` has (unit, node, electors, side1, side0)."""
+    t = labels.select(node, "cluster").join(places, node).groupBy(unit, "cluster").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("electors", "side1", "side0")])
+    whole = t.groupBy(unit).agg(F.sum("electors").alias("_all"))
+    return t.join(whole, unit).select(unit, "cluster", "n", share("electors", "_all").alias("part"), share("side1", F.col("side1") + F.col("side0")).alias("share"))
+
+
 def turnout_scenarios(units: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Share of side 1 if each unit's abstention moves by a factor and those who come vote as the unit does; ``scenarios`` has (scenario, factor)."""
     j = units.crossJoin(F.broadcast(scenarios))
