@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from votelake.functions import maths, text
+from votelake.operators import rollup
 from votelake.sources import scan
 
 
@@ -128,3 +129,26 @@ def test_inventory_and_dimension(spark, tmp_path):
     assert scan.dimension(spark, {"a": ["x", "y"], "b": "z"}, "k", "v").count() == 3
     (tmp_path / "f.bin").write_bytes(b"hello")
     assert scan.file_digests(spark, str(tmp_path / "f.bin")).first()["sha256"].startswith("2cf24dba")
+
+
+def test_repeated_run_replaces_its_rows(spark, tmp_path):
+    at = str(tmp_path / "runs")
+    for run, n in (("1", 3), ("2", 5), ("2", 4)):
+        scan.write_run(spark.range(n), at, run, {"n": str(n)}, {})
+    assert scan.latest_run(spark, at).count() == 4 and spark.read.parquet(f"{at}/data").count() == 7 and spark.read.parquet(f"{at}/runs").count() == 2
+    scan.write_run(spark.range(0), at, "2", {}, {})
+    assert spark.read.parquet(f"{at}/data").count() == 3
+    with pytest.raises(ValueError):
+        scan.write_run(spark.range(1), at, "a/b", {}, {})
+
+
+def test_preferred_files_by_year(spark):
+    f = spark.createDataFrame([(1, "a_BRASIL.csv"), (1, "b.csv"), (2, "c.csv"), (2, "d.txt"), (2, "e.pdf")], "year int, name string")
+    assert {r["name"] for r in scan.preferred_files(f, by=["year"]).collect()} == {"a_BRASIL.csv", "c.csv", "d.txt"}
+
+
+def test_set_verdict(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("x", None), ("y", 1)], "g string, k int")
+    b = spark.createDataFrame([("x", None), ("x", 1), ("y", 1), ("y", 2)], "g string, k int")
+    assert {r["g"]: (r["first"], r["second"], r["both"], r["equal"]) for r in rollup.set_verdict(a, b, "k", ["g"]).collect()} == {"x": (2, 2, 2, True), "y": (1, 2, 1, False)}
+    assert rollup.set_verdict(a.limit(0), b.limit(0), "k").first()["equal"] is True

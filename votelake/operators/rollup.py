@@ -246,3 +246,11 @@ def layers(df: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[
 def levels(df: DataFrame, hierarchy: Sequence[str], measures: Sequence[Column]) -> DataFrame:
     """The same measures at every level of a hierarchy and over all, from one pass (grouping sets of its prefixes)."""
     return df.rollup(*hierarchy).agg(*measures, F.grouping_id().alias("_g")).withColumn("level", F.lit(len(hierarchy)) - F.bit_count("_g")).drop("_g")
+
+
+def set_verdict(first: DataFrame, second: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, first, second, both, equal)``: how many keys two sets have, how many they share, and whether they are equal; null is a key like others."""
+    side = lambda df, n: df.select(*by, key, F.lit(n).alias("_side"))
+    marks = side(first, 1).unionByName(side(second, 2)).groupBy(*by, key).agg(F.max(F.col("_side") == 1).alias("_a"), F.max(F.col("_side") == 2).alias("_b"))
+    n = marks.groupBy(*by).agg(F.count_if("_a").alias("first"), F.count_if("_b").alias("second"), F.count_if(F.col("_a") & F.col("_b")).alias("both"))
+    return n.withColumn("equal", (F.col("first") == F.col("both")) & (F.col("second") == F.col("both")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dims
+from ..operators import dims, rollup
 from ..sources import scan
 from .bindings import query, r6, scratch, table
 
@@ -44,6 +44,25 @@ def preferred_listing(spark: SparkSession, d: str) -> DataFrame:
     return scan.preferred_files(table(spark, d, "nation").select(F.concat("n_name", end).alias("name")))
 
 
+@query("preferred_by_region", """WITH f AS (SELECT n_regionkey AS region, n_name || CASE WHEN n_regionkey < 2 AND n_nationkey % 4 = 0 THEN '_BRASIL.csv' WHEN n_nationkey % 5 = 0 THEN '.pdf' ELSE '.TXT' END AS name FROM nation), g AS (SELECT region, max(CAST(name LIKE '%_BRASIL.csv' AS INTEGER)) AS h FROM f GROUP BY region)
+SELECT region, name FROM f JOIN g USING (region) WHERE name NOT LIKE '%.pdf' AND (h = 0 OR name LIKE '%_BRASIL.csv')""")
+def preferred_by_region(spark: SparkSession, d: str) -> DataFrame:
+    """Regions with a consolidated file and regions without, whose files are all read."""
+    end = F.when((F.col("n_regionkey") < 2) & (F.col("n_nationkey") % 4 == 0), "_BRASIL.csv").when(F.col("n_nationkey") % 5 == 0, ".pdf").otherwise(".TXT")
+    files = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.concat("n_name", end).alias("name"))
+    return scan.preferred_files(files, by=["region"])
+
+
+@query("set_verdicts", """WITH m AS (SELECT c_mktsegment AS segment, c_nationkey AS unit, 1 AS s FROM customer UNION SELECT c_mktsegment, n_nationkey, 2 FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)), g AS (SELECT segment, unit, max(CAST(s = 1 AS INTEGER)) AS a, max(CAST(s = 2 AS INTEGER)) AS b FROM m GROUP BY ALL)
+SELECT segment, CAST(sum(a) AS BIGINT) AS first, CAST(sum(b) AS BIGINT) AS second, CAST(sum(a * b) AS BIGINT) AS both, min(CAST(a = b AS INTEGER)) = 1 AS equal FROM g GROUP BY segment""")
+def set_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the customers of each segment come from all units."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("unit"))
+    units = table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"))
+    every = units.crossJoin(F.broadcast(c.select("segment").distinct()))  # units and segments are fixed
+    return rollup.set_verdict(c, every, "unit", ["segment"])
+
+
 @query("reference_codes", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS code, CASE WHEN s_nationkey = 4 THEN NULL ELSE s_name END AS name, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS unit FROM supplier")
 def reference_codes(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "reference")

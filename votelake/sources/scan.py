@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -23,12 +24,13 @@ def raw_delimited(spark: SparkSession, path: str | list[str], columns: Sequence[
     return df.select(*[clean_nulls(c, sentinels).alias(c) for c in own], F.col("_metadata.file_name").alias("source_file"))
 
 
-def preferred_files(files: DataFrame, name: str = "name", marker: str = "_BRASIL.") -> DataFrame:
-    """Of a listing, only the consolidated files if there are any, else all delimited ones."""
+def preferred_files(files: DataFrame, name: str = "name", marker: str = "_BRASIL.", by: Sequence[str] = ()) -> DataFrame:
+    """Of a listing, only the consolidated files if there are any, else all delimited ones; for each ``by`` (a year, an office) on its own."""
     text = files.where(F.lower(F.col(name)).rlike(r"\.(csv|txt)$"))
     whole = F.upper(F.col(name)).contains(marker)
-    has = text.agg(F.coalesce(F.max(whole), F.lit(False)).alias("_any"))
-    return text.crossJoin(F.broadcast(has)).where(whole | ~F.col("_any")).drop("_any")
+    has = text.groupBy(*by).agg(F.coalesce(F.max(whole), F.lit(False)).alias("_any"))
+    met = text.join(has, list(by)) if by else text.crossJoin(F.broadcast(has))
+    return met.where(whole | ~F.col("_any")).drop("_any")
 
 
 def conform(df: DataFrame, renames: Mapping[str, Sequence[str]], types: Mapping[str, str] | None = None) -> DataFrame:
@@ -178,13 +180,15 @@ def dimension(spark: SparkSession, values: Mapping[str, Any], key: str, value: s
 
 
 def write_run(df: DataFrame, path: str, run_id: str, parameters: Mapping[str, str], inputs: Mapping[str, str]) -> None:
-    """Append a run's rows under its id, and a row of parameters and input digests beside them."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/data")
-    meta = df.sparkSession.createDataFrame([(run_id, dict(parameters), dict(inputs))], "run_id string, parameters map<string,string>, inputs map<string,string>")
-    meta.write.mode("append").parquet(f"{path}/runs")
+    """Write a run's rows under its id, and a row of parameters and input digests beside them; a run that is repeated replaces its own."""
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"not a name of a folder: {run_id!r}")
+    df.write.mode("overwrite").parquet(f"{path}/data/run_id={run_id}")
+    meta = df.sparkSession.createDataFrame([(dict(parameters), dict(inputs))], "parameters map<string,string>, inputs map<string,string>")
+    meta.write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
 
 
 def latest_run(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the last run."""
-    last = spark.read.parquet(f"{path}/runs").agg(F.max("run_id").alias("run_id"))
+    last = spark.read.parquet(f"{path}/runs").agg(F.max(F.col("run_id").cast("string")).alias("run_id"))
     return spark.read.parquet(f"{path}/data").withColumn("run_id", F.col("run_id").cast("string")).join(F.broadcast(last), "run_id", "left_semi")
