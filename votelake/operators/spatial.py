@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 from math import ceil, floor, log2
 
@@ -22,32 +22,59 @@ BROADCAST_NODES = 1 << 22
 TASK_DRAWS, HELD_DRAWS = 1 << 21, 1 << 18
 
 
-def near_candidates(points: DataFrame, targets: DataFrame, key: Sequence[str], x: str, y: str, tx: str, ty: str, k: int, cell: float, within: Sequence[str] = (), reach: Column | None = None) -> DataFrame:
-    """Each row of ``points`` with all targets that can be among its ``k`` nearest, and few others: joined by grid cells, not by pairs.
+def _grid(points: DataFrame, targets: DataFrame, x: str, y: str, tx: str, ty: str, k: int, cell: float, within: Sequence[str] = ()) -> tuple[float, float, float, int]:
+    """``(x0, y0, size, levels)`` of nested grids: cells of ``size``, twice that, and so on, up to one for all.
 
-    Grids of cells of ``cell``, twice that, and so on, up to one cell for all.
-    A point uses the finest one whose cell around it holds ``k`` targets: these
-    are at most a cell's diagonal away, so no nearer ones lie beyond the second
-    ring of cells.  ``reach`` is the number of rings along ``x``, for a distance
-    that shrinks ``x``.  ``key`` identifies the points; ``within`` are columns
-    of both that must be equal.
+    ``size`` is ``cell`` halved until no cell holds over 4 ``k`` targets, or
+    until coordinates can't be told apart any more.
     """
     edges = lambda df, a, b: df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
     both = [e for e in (edges(points, x, y), edges(targets, tx, ty)) if e[0] is not None]
     x0, y0 = min((e[0] for e in both), default=0.0), min((e[2] for e in both), default=0.0)
     span = max([max(e[1] for e in both) - x0, max(e[3] for e in both) - y0] if both else [0.0])
-    levels = max(1, ceil(log2(max(span / cell, 1.0)) + 1e-9) + 1)
-    w, at = list(within), ["_l", "_cx", "_cy"]
+    size = float(cell)
+    while span / size < 2.0**48:
+        at = [F.floor((F.col(c) - low) / size).alias(n) for c, low, n in ((tx, x0, "_cx"), (ty, y0, "_cy"))]
+        most = targets.groupBy(*within, *at).agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0] or 0
+        if most <= 4 * k:
+            break
+        size /= 2.0 ** ceil(log2(most / (4 * k)) / 2)  # what evenly spread targets take
+    return x0, y0, size, max(1, ceil(log2(max(span / size, 1.0)) + 1e-9) + 1)
+
+
+def _placed(df: DataFrame, a: str, b: str, x0: float, y0: float, size: float) -> DataFrame:
+    """``df`` with the cell of the grid ``_l`` that each row lies in."""
+    own = F.lit(size) * F.pow(F.lit(2.0), F.col("_l"))
+    return df.withColumn("_cx", F.floor((F.col(a) - x0) / own)).withColumn("_cy", F.floor((F.col(b) - y0) / own))
+
+
+def _finest(points: DataFrame, targets: DataFrame, key: Sequence[str], x: str, y: str, tx: str, ty: str, k: int, grid: tuple[float, float, float, int], within: Sequence[str] = ()) -> DataFrame:
+    """``points`` in their cells of the finest grid whose cell around each holds ``k`` targets, or else of the one cell for all."""
+    x0, y0, size, levels = grid
+    at = [*within, "_l", "_cx", "_cy"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    t = _placed(targets.select(*within, tx, ty, every.alias("_l")), tx, ty, x0, y0, size)
+    full = t.groupBy(*at).agg(F.count("*").alias("_c")).where(F.col("_c") >= k).drop("_c")
+    names = list(dict.fromkeys([*within, *key, x, y]))
+    own = _placed(points.select(*names, every.alias("_l")), x, y, x0, y0, size).join(full, at, "left_semi").groupBy(*key).agg(F.min("_l").alias("_l"))
+    return _placed(points.join(own, list(key), "left").withColumn("_l", F.coalesce("_l", F.lit(levels - 1))), x, y, x0, y0, size)
 
-    def placed(df: DataFrame, a: str, b: str) -> DataFrame:
-        size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
-        return df.withColumn("_cx", F.floor((F.col(a) - x0) / size)).withColumn("_cy", F.floor((F.col(b) - y0) / size))
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    t = placed(targets.withColumn("_l", every), tx, ty)
-    full = t.groupBy(*w, *at).agg(F.count("*").alias("_c")).where(F.col("_c") >= k).drop("_c")
-    own = placed(points.withColumn("_l", every), x, y).join(full, [*w, *at], "left_semi").groupBy(*key).agg(F.min("_l").alias("_l"))
-    p = placed(points.join(own, list(key), "left").withColumn("_l", F.coalesce("_l", F.lit(levels - 1))), x, y)
+def near_candidates(points: DataFrame, targets: DataFrame, key: Sequence[str], x: str, y: str, tx: str, ty: str, k: int, cell: float, within: Sequence[str] = (), reach: Column | None = None) -> DataFrame:
+    """Each row of ``points`` with all targets that can be among its ``k`` nearest, and few others: joined by grid cells, not by pairs.
+
+    Grids are nested, the finest one as fine as the targets are dense; ``cell``
+    is where that search begins.  A point uses the finest one whose cell around
+    it holds ``k`` targets: these are at most a cell's diagonal away, so no
+    nearer ones lie beyond the second ring of cells.  ``reach`` is the number of
+    rings along ``x``, for a distance that shrinks ``x``.  ``key`` identifies
+    the points; ``within`` are columns of both that must be equal.  Of targets
+    at one place only ``k`` should be given.
+    """
+    w, at = list(within), ["_l", "_cx", "_cy"]
+    grid = _grid(points, targets, x, y, tx, ty, k, cell, w)
+    t = _placed(targets.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(grid[3] - 1)))), tx, ty, *grid[:3])
+    p = _finest(points, targets, key, x, y, tx, ty, k, grid, w)
     rings = F.lit(2) if reach is None else F.greatest(reach.cast("int"), F.lit(2))
     p = p.withColumn("_dx", F.explode(F.sequence(-rings, rings))).withColumn("_cx", F.col("_cx") + F.col("_dx")).drop("_dx")
     p = p.withColumn("_dy", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dy")
@@ -61,7 +88,7 @@ def nearest_place(sectors: DataFrame, places: DataFrame, within: str, sector: st
     be (up to 89 degrees of latitude).  Sectors without coordinates, or in a
     unit without places, have none.
     """
-    p = places.select(within, F.col(place).alias("_p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null")
+    p = places.where("lat is not null").groupBy(within, F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.min(place).alias("_p"))  # of places at one point the smaller is nearest
     s = sectors.select(within, sector, "lat", "lon").where("lat is not null")
     shrink = F.greatest(F.cos(F.radians("lat")), F.lit(0.0174))  # a degree of longitude against one of latitude
     reach = F.ceil(F.sqrt(1 + 1 / (shrink * shrink)))
@@ -254,88 +281,124 @@ def local_clusters(values: DataFrame, edges: DataFrame, permutations: int, seed:
     return base.join(n, "src").select(F.col("src").alias(node), "z", "lag", "statistic", p.alias("p"), label.alias("cluster"))
 
 
-def _neighbours(p: DataFrame, k: int, cell: float, node: str) -> DataFrame:
-    """Each point (``focus``) with its ``k`` nearest, itself included, their distance ``_d`` and rank ``_r``."""
-    focus = p.select(F.col(node).alias("focus"), F.col("px").alias("fx"), F.col("py").alias("fy"))
-    pairs = near_candidates(focus, p, ["focus"], "fx", "fy", "px", "py", k, cell).withColumn("_d", F.sqrt(F.pow(F.col("px") - F.col("fx"), 2) + F.pow(F.col("py") - F.col("fy"), 2)))
-    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("focus").orderBy("_d", node))).where(F.col("_r") <= k)
+#: Cells along a block whose points and neighbours meet in one task, and distances that it holds at a time.
+BLOCK, HELD_PAIRS = 8, 1 << 20
+
+
+def _from_neighbours(p: DataFrame, values: Sequence[str], k: int, cell: float, node: str, extra: Sequence[Column], fit: Callable[[np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fit(distances, values, focus)`` of every place with its ``k`` nearest points, those at the place included, in the order of distance and node.
+
+    Points at one place have the same neighbours, so a place is looked at once
+    (``extra``: aggregates over its points, columns of ``focus``), and of its
+    points only the first ``k`` can be anybody's neighbours.  Places use grids
+    as ``near_candidates`` does; a task gets a block of cells with those of the
+    two rings around cells that it uses, each point once, and emits what ``fit``
+    makes, never pairs.
+    """
+    at = ["_l", "_bx", "_by"]
+    first = F.row_number().over(Window.partitionBy("px", "py").orderBy(node))
+    targets = written(p.select(node, "px", "py", *[F.col(v).cast("double").alias(v) for v in values]).withColumn("_r", first).where(F.col("_r") <= k).drop("_r"), "targets")
+    places = p.groupBy("px", "py").agg(F.count("*").alias("_n"), *extra)
+    grid = _grid(targets, targets, "px", "py", "px", "py", k, cell)
+    focus = written(_finest(places, targets, ["px", "py"], "px", "py", "px", "py", k, grid), "places")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    ring = lambda: F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    cells = focus.select("_l", "_cx", "_cy").distinct().withColumn("_bx", block("_cx")).withColumn("_by", block("_cy"))
+    cells = cells.withColumn("_d", ring()).withColumn("_cx", F.col("_cx") + F.col("_d")).withColumn("_d", ring()).withColumn("_cy", F.col("_cy") + F.col("_d")).drop("_d").distinct()
+    used = sorted(r[0] for r in focus.select("_l").distinct().collect())  # at most a number per halving
+    t = targets.withColumn("_l", F.explode(F.array(*[F.lit(u) for u in used]) if used else F.array().cast("array<int>")))
+    t = _placed(t, "px", "py", *grid[:3]).join(cells, ["_l", "_cx", "_cy"])
+
+    def run(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values(node, kind="stable", na_position="first")
+        xy, table = near[["px", "py"]].to_numpy(float), near[list(values)].to_numpy(float)
+        members = near.reset_index(drop=True).groupby(["_cx", "_cy"]).indices
+        out = []
+        for (cx, cy), group in own.groupby(["_cx", "_cy"]):
+            around = [members[c] for c in ((cx + i, cy + j) for i in range(-2, 3) for j in range(-2, 3)) if c in members]
+            some = np.sort(np.concatenate(around))
+            n, step = min(k, len(some)), max(1, HELD_PAIRS // len(some))
+            for low in range(0, len(group), step):
+                rows = group.iloc[low : low + step]
+                d = np.sqrt((xy[some, 0] - rows["px"].to_numpy()[:, None]) ** 2 + (xy[some, 1] - rows["py"].to_numpy()[:, None]) ** 2)
+                i, j = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])
+                order = np.lexsort((j, d[i, j], i))
+                i, j = i[order], j[order]
+                begin = np.searchsorted(i, np.arange(len(rows)))
+                j = j[begin[:, None] + np.arange(n)]
+                out.append(fit(np.take_along_axis(d, j, 1), table[some[j]], rows))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small but cost much work
+    dealt = lambda df: df.repartition(tasks, *at).groupBy(*at)
+    return dealt(focus.withColumn("_bx", block("_cx")).withColumn("_by", block("_cy"))).cogroup(dealt(t)).applyInPandas(run, schema)
 
 
 def local_regression(points: DataFrame, xs: Sequence[str], y: str, k: int, cell: float, node: str = "node") -> DataFrame:
     """Geographically weighted regression: per point, bisquare weights over its k nearest, itself included, and their own least squares.
 
-    Neighbours come from the cells around a point, on a grid of ``cell`` or as
-    coarse as k of them need; ties go to the smaller node.  Returns (node,
-    term, coef, local_r2, n, hat, residual).
+    Neighbours come from the cells around a point, on a grid as fine as k of
+    them need (``cell`` is where the search for it begins); ties go to the
+    smaller node.  Returns (node, term, coef, local_r2, n, hat, residual).
     """
-    near = _neighbours(points.dropna(subset=["px", "py", *xs, y]), k, cell, node)
-    near = near.withColumn("_b", F.max("_d").over(Window.partitionBy("focus"))).withColumn("_w", F.pow(1 - F.pow(F.coalesce(F.try_divide("_d", "_b"), F.lit(0.0)), 2), 2)).withColumn("_one", F.lit(1.0))
-    terms = ["_one", *xs]
-    d = F.col("_w")
-    own = F.col("_d") == 0
-    sums = near.groupBy("focus").agg(
-        F.array(*[F.sum(d * F.col(a) * F.col(b)) for a in terms for b in terms]).alias("xx"),
-        F.array(*[F.sum(d * F.col(a) * F.col(y)) for a in terms]).alias("xy"),
-        F.sum(d * F.col(y) * F.col(y)).alias("yy"), F.sum(d).alias("sw"), F.sum(d * F.col(y)).alias("sy"), F.count("*").alias("n"),
-        F.array(*[F.max(F.when(own & (F.col(node) == F.col("focus")), F.col(a))) for a in [*terms, y]]).alias("self"),
-    )
-    m = len(terms)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                inv = np.linalg.pinv(np.asarray(r.xx, float).reshape(m, m))
-                beta = inv @ np.asarray(r.xy, float)
-                tss = r.yy - r.sy**2 / r.sw if r.sw else 0
-                r2 = 1 - (r.yy - beta @ np.asarray(r.xy)) / tss if tss > 0 else None
-                x = np.asarray(r.self, float)
-                hat, e = float(x[:m] @ inv @ x[:m]), float(x[m] - x[:m] @ beta)
-                out += [(r.focus, t if t != "_one" else "intercept", float(b), r2, r.n, hat, e) for t, b in zip(terms, beta)]
-            yield pd.DataFrame(out, columns=[node, "term", "coef", "local_r2", "n", "hat", "residual"])
-
-    kind = points.schema[node].dataType.simpleString()
-    return sums.mapInPandas(solve, f"{node} {kind}, term string, coef double, local_r2 double, n long, hat double, residual double")
+    p = points.dropna(subset=["px", "py", *xs, y])
+    terms, m = ["intercept", *xs], len(xs) + 1
+
+    def fit(d: np.ndarray, table: np.ndarray, focus: pd.DataFrame) -> pd.DataFrame:
+        b = d[:, -1:]
+        w = (1 - np.divide(d, b, out=np.zeros_like(d), where=b > 0) ** 2) ** 2
+        x, v = np.concatenate((np.ones((*d.shape, 1)), table[:, :, :-1]), 2), table[:, :, -1]
+        wx = x * w[:, :, None]
+        inverse = np.linalg.pinv(np.swapaxes(wx, 1, 2) @ x)
+        xy = np.einsum("nki,nk->ni", wx, v)
+        beta = np.einsum("nij,nj->ni", inverse, xy)
+        yy, sw, sy = (w * v * v).sum(1), w.sum(1), (w * v).sum(1)
+        tss = yy - np.divide(sy**2, sw, out=np.array(yy), where=sw > 0)
+        r2 = [1 - r / t if t > 0 else None for r, t in zip(yy - (beta * xy).sum(1), tss)]
+        return pd.DataFrame({"px": focus["px"].to_numpy(), "py": focus["py"].to_numpy(), "beta": list(beta), "inverse": list(inverse.reshape(len(d), -1)), "local_r2": pd.Series(r2, dtype=object), "n": d.shape[1]})
+
+    fits = _from_neighbours(p, [*xs, y], k, cell, node, [], fit, "px double, py double, beta array<double>, inverse array<double>, local_r2 double, n long")
+    own = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
+    hat = sum((F.col("inverse")[i * m + j] * a * b for i, a in enumerate(own) for j, b in enumerate(own)), F.lit(0.0))
+    rest = F.col(y).cast("double") - sum((F.col("beta")[i] * a for i, a in enumerate(own)), F.lit(0.0))
+    cells = F.arrays_zip(F.array(*[F.lit(t) for t in terms]).alias("term"), F.col("beta").alias("coef"))
+    j = p.select(node, "px", "py", *xs, y).join(fits, ["px", "py"]).select(node, F.explode(cells).alias("c"), "local_r2", "n", hat.alias("hat"), rest.alias("residual"))
+    return j.select(node, F.col("c")["term"].alias("term"), F.col("c")["coef"].alias("coef"), "local_r2", "n", "hat", "residual")
 
 
 def bandwidths(points: DataFrame, xs: Sequence[str], y: str, ks: Sequence[int], cell: float, node: str = "node") -> DataFrame:
     """``(k, aicc, chosen)``: the corrected Akaike criterion of a local regression for every number of neighbours, and the smallest one's mark.
 
-    Each point has one list of neighbours, up to the largest ``k``.  A bisquare
+    Each place has one list of neighbours, up to the largest ``k``.  A bisquare
     weight is a polynomial of the squared distance, so running sums of products
     with 1, d^2 and d^4 along the list give the normal equations of every ``k``
-    at once.  What leaves a task is three sums per ``k``.  Ties: the smaller ``k``.
+    at once; the points at a place come in by their sums of products.  What
+    leaves a cell is three sums per ``k``.  Ties: the smaller ``k``.
     """
     grid = np.array(sorted(set(ks)))
     m = len(xs) + 1
     p = points.dropna(subset=["px", "py", *xs, y])
-    cells = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*xs, y])]
-    near = _neighbours(p, int(grid[-1]), cell, node).select("focus", "_r", F.struct(F.col("_r"), F.col("_d").alias("d"), (F.col(node) == F.col("focus")).alias("own"), *cells).alias("s"))
-    lists = near.groupBy("focus").agg(F.sort_array(F.collect_list("s")).alias("l"))
-    lists = lists.select("l.d", "l.own", *[f"l.v{i}" for i in range(m)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(grid), 3))
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                d = np.asarray(row.d, float)
-                table = np.stack([np.ones(len(d)), *[np.asarray(getattr(row, f"v{i}"), float) for i in range(m)]], 1)
-                x = table[:, :m]
-                products = x[:, :, None] * table[:, None, :]
-                upto = [np.cumsum(products * (d**e)[:, None, None], axis=0) for e in (0, 2, 4)]
-                at = np.minimum(grid, len(d)) - 1
-                scale = np.divide(1.0, d[at] ** 2, out=np.zeros(len(at)), where=d[at] > 0)[:, None, None]
-                normal = upto[0][at] - 2 * scale * upto[1][at] + scale**2 * upto[2][at]
-                inverse = np.linalg.pinv(normal[:, :, :m])
-                beta = inverse @ normal[:, :, m:]
-                self_ = table[int(np.argmax(np.asarray(row.own, bool)))]
-                hat = np.einsum("i,kij,j->k", self_[:m], inverse, self_[:m])
-                rest = self_[m] - beta[:, :, 0] @ self_[:m]
-                sums += np.stack((np.ones(len(grid)), hat, rest**2), 1)
-        yield pd.DataFrame({"k": grid, "n": sums[:, 0], "h": sums[:, 1], "rss": sums[:, 2]})
-
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = lists.repartition(tasks).mapInPandas(run, "k int, n double, h double, rss double")
+    each = [F.lit(1.0), *[F.col(c).cast("double") for c in [*xs, y]]]
+    sums = F.array(*[F.sum(a * b) for a in each for b in each]).alias("_q")
+
+    def fit(d: np.ndarray, table: np.ndarray, focus: pd.DataFrame) -> pd.DataFrame:
+        at = np.minimum(grid, d.shape[1]) - 1
+        out = np.zeros((len(grid), 3))
+        for row, values, moments in zip(d, table, focus["_q"]):
+            full = np.concatenate((np.ones((len(row), 1)), values), 1)
+            x = full[:, :m]
+            products = x[:, :, None] * full[:, None, :]
+            upto = [np.cumsum(products * (row**e)[:, None, None], axis=0) for e in (0, 2, 4)]
+            scale = np.divide(1.0, row[at] ** 2, out=np.zeros(len(at)), where=row[at] > 0)[:, None, None]
+            normal = upto[0][at] - 2 * scale * upto[1][at] + scale**2 * upto[2][at]
+            inverse = np.linalg.pinv(normal[:, :, :m])
+            beta = (inverse @ normal[:, :, m:])[:, :, 0]
+            q = np.asarray(moments, float).reshape(m + 1, m + 1)
+            error = np.concatenate((-beta, np.ones((len(grid), 1))), 1)  # of a row with its y
+            out += np.stack((np.full(len(grid), q[0, 0]), np.einsum("kij,ij->k", inverse, q[:m, :m]), np.einsum("ki,ij,kj->k", error, q, error)), 1)
+        return pd.DataFrame({"k": grid, "n": out[:, 0], "h": out[:, 1], "rss": out[:, 2]})
+
+    parts = _from_neighbours(p, [*xs, y], int(grid[-1]), cell, node, [sums], fit, "k int, n double, h double, rss double")
     s = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("rss").alias("rss")).where("n > 0")
     per = s.select("k", _aicc(F.col("n"), F.col("h"), F.col("rss")).alias("aicc"))
     best = per.agg(F.min(F.struct("aicc", "k")).alias("_best"))
