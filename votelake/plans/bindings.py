@@ -37,13 +37,18 @@ def r6(c: Column | str, name: str | None = None) -> Column:
     return out.alias(name or c) if name or isinstance(c, str) else out
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their nation and region."""
+    t = lambda n: table(spark, sf_dir, n)
+    units = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # nations and regions are fixed, small dimensions
+    return t("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(units), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per ballot line: region, unit (nation), place (customer), section (order), option (part type), party (brand), year, round, votes."""
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
-    units = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # nations and regions are fixed, small dimensions
-    people = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(units), F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(people(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     j = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
         F.col("r_name").alias("region"), F.col("n_name").alias("unit"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("place"), F.col("o_orderkey").alias("section"),
@@ -51,6 +56,22 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def place_sums(spark: SparkSession, sf_dir: str, sums: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums over the ballot lines of each place (and of ``by``: option, round), with its region, unit and segment.
+
+    Lines are summed by the place's number before its names are joined, so that
+    a task's groups are few and narrow; what ``sums`` read are option, round and votes.
+    """
+    t = lambda n: table(spark, sf_dir, n)
+    line = t("lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
+    j = line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    own = j.select(F.col("o_custkey").alias("place"), F.col("p_type").alias("option"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("round"), F.col("l_quantity").cast("long").alias("votes"))
+    narrow = own.groupBy("place", *by).agg(*[c.alias(n) for n, c in sums.items()])
+    named = narrow.join(people(spark, sf_dir), F.col("place") == F.col("c_custkey"))
+    keys = [F.col("r_name").alias("region"), F.col("n_name").alias("unit"), F.col("c_mktsegment").alias("segment"), F.col("place"), *[F.col(c) for c in by]]
+    return named.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 VOTES = """votes AS (
   SELECT r_name AS region, n_name AS unit, c_mktsegment AS segment, c_custkey AS place, o_orderkey AS section, p_type AS option, p_brand AS party,
     CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS round, CAST(l_quantity AS BIGINT) AS votes

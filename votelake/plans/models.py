@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.maths import normal, normal_sql, share, student_t_sql, uniform, uniform_part_sql, uniform_sql
 from ..operators import dims, polls as poll_ops, rollup, scenario, spatial, transfer, units
 from ..streaming import live
-from .bindings import POINTS, POLLS, VOTES, points, polls, query, r6, scratch, table, votes
-from .votes import FAMILY, GROUP_SQL, assigned_families, group_votes
+from .bindings import POINTS, POLLS, VOTES, place_sums, points, polls, query, r6, scratch, table, votes
+from .votes import FAMILY, GROUP_SQL, GROUPS, assigned_families
 
 # --- seats and scenarios -----------------------------------------------------
 
@@ -331,11 +331,22 @@ wd AS (SELECT unit, segment, place, """ + ", ".join(f"coalesce(sum(v) FILTER (WH
 pl AS (SELECT unit, place, """ + ", ".join(f"CAST({c} AS DOUBLE) / (a_{c[-1]} + b_{c[-1]} + blank_{c[-1]} + otros_{c[-1]}) AS {c}" for c in ORIGINS + DESTS) + """, CAST(a_1 + b_1 + blank_1 + otros_1 AS DOUBLE) AS w FROM wd WHERE a_1 + b_1 + blank_1 + otros_1 > 0 AND a_2 + b_2 + blank_2 + otros_2 > 0)"""
 
 
+def place_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Per place: votes of each group in both rounds, null where it has no line."""
+    grp = F.coalesce(F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])[F.col("option")], F.lit("otros"))
+    sums = {c: F.sum(F.when((F.col("round") == int(c[-1])) & (grp == c[:-2]), F.coalesce("votes", F.lit(0)))) for c in ORIGINS + DESTS}
+    return place_sums(spark, d, sums).dropna(subset=["unit", "segment", "place"])
+
+
+def first_round(spark: SparkSession, d: str, name: str = "origin") -> DataFrame:
+    """Votes of each unit's groups in the first round: (unit, ``name``, votes)."""
+    sums = place_groups(spark, d).groupBy("unit").agg(*[F.sum(c).alias(c) for c in ORIGINS])
+    return sums.unpivot(["unit"], ORIGINS, name, "votes").where("votes is not null")
+
+
 def place_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Per place: shares of each group in both rounds, and the first round's votes as weight."""
-    g = group_votes(spark, d)
-    cells = [F.coalesce(F.sum(F.when((F.col("round") == int(c[-1])) & (F.col("grp") == c[:-2]), F.col("votes"))), F.lit(0)).alias(c) for c in ORIGINS + DESTS]
-    w = g.groupBy("unit", "segment", "place").agg(*cells)
+    w = place_groups(spark, d).select("region", "unit", "place", *[F.coalesce(c, F.lit(0)).alias(c) for c in ORIGINS + DESTS])
     t1, t2 = sum((F.col(c) for c in ORIGINS), F.lit(0)), sum((F.col(c) for c in DESTS), F.lit(0))
     return w.withColumn("t1", t1).withColumn("t2", t2).where("t1 > 0 and t2 > 0").select("unit", "place", *[(F.col(c) / F.col(f"t{c[-1]}")).alias(c) for c in ORIGINS + DESTS], F.col("t1").cast("double").alias("w"))
 
@@ -359,7 +370,7 @@ def transfer_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query("origin_matrix")
 def origin_matrix(spark: SparkSession, d: str) -> DataFrame:
     p = place_rounds(spark, d)
-    regions = votes(spark, d).select("unit", "region").distinct()
+    regions = place_groups(spark, d).select("unit", "region").distinct()
     parent = transfer.transfer_matrix(transfer.gram(p.join(F.broadcast(regions), "unit"), ["region"], ORIGINS, DESTS, "w"), ["region"], ORIGINS, DESTS)
     return transfer.with_fallback(matrices(spark, d), parent, regions, "unit", "region", 40).withColumn("p", r6("p"))
 
@@ -370,7 +381,7 @@ PAIRS = ", ".join(f"('{o}', '{t}', {p})" for o, row in {"a": (0.9, 0.05, 0.03, 0
 @query("second_round_prediction", f"""WITH {VOTES}, m(o, dst, p) AS (VALUES {PAIRS}), g AS (SELECT unit, {GROUP_SQL} AS grp, CAST(sum(votes) AS DOUBLE) AS v FROM votes WHERE round = 1 GROUP BY ALL),
 p AS (SELECT unit, dst, sum(v * p) AS votes FROM g JOIN m ON m.o = g.grp GROUP BY ALL) SELECT unit, dst AS dest, round(votes, 6) AS votes FROM p""")
 def second_round_prediction(spark: SparkSession, d: str) -> DataFrame:
-    g = group_votes(spark, d).where("round = 1").groupBy("unit", "grp").agg(F.sum("votes").alias("votes"))
+    g = first_round(spark, d, "grp").withColumn("grp", F.regexp_replace("grp", "_1$", ""))
     rows = {"a": (0.9, 0.05, 0.03, 0.02), "b": (0.1, 0.8, 0.05, 0.05), "blank": (0.2, 0.2, 0.5, 0.1), "otros": (0.4, 0.35, 0.15, 0.1)}
     flat = spark.createDataFrame([(o, t, p) for o, r in rows.items() for t, p in zip(("a", "b", "blank", "gone"), r)], "origin string, dest string, p double")
     m = table(spark, d, "nation").select(F.col("n_name").alias("unit")).crossJoin(F.broadcast(flat))
@@ -380,8 +391,7 @@ def second_round_prediction(spark: SparkSession, d: str) -> DataFrame:
 
 @query("origin_cells")
 def origin_cells(spark: SparkSession, d: str) -> DataFrame:
-    v = group_votes(spark, d)
-    now = v.where("round = 2 and grp = 'otros'").groupBy("unit", "place").agg(F.sum("votes").cast("double").alias("votes")).withColumn("third", F.lit("otros_2"))
+    now = place_groups(spark, d).where("otros_2 is not null").groupBy("unit", "place").agg(F.sum("otros_2").cast("double").alias("votes")).withColumn("third", F.lit("otros_2"))
     before = place_rounds(spark, d).unpivot(["place"], ORIGINS, "origin", "share")
     return transfer.origin_cells(now, before, matrices(spark, d).select("unit", "origin", "dest", "p"), "unit", "place").withColumn("votes", r6("votes"))
 
@@ -399,7 +409,7 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     """The first side's share, with matrices estimated again in every replicate: mean, deviation and the middle 90 %."""
     g = transfer.bootstrap_gram(place_rounds(spark, d), ["unit"], ["place"], ORIGINS, DESTS, "w", REPLICATES, 17)
     own = transfer.transfer_matrix(g, ["replicate", "unit"], ORIGINS, DESTS)
-    mass = group_votes(spark, d).where("round = 1").groupBy("unit", F.concat("grp", F.lit("_1")).alias("origin")).agg(F.sum("votes").alias("votes"))
+    mass = first_round(spark, d)
     out = transfer.bootstrap_interval(own, mass, ["unit"], ("a_2", "b_2"))
     return out.select("replicates", *[r6(c) for c in ("mean", "sd", "low", "high")])
 

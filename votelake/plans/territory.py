@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import polls as poll_ops, rollup, territory, transfer
 from ..sources.shared import written
-from .bindings import POINTS, POLLS, VOTES, points, query, r6, table, votes
-from .models import DESTS, ORIGINS, VALID, WEEKS, aggregate_sql, matrices, place_rounds, valid, weekly
-from .votes import SHARES, group_votes, place_shares
+from .bindings import POINTS, POLLS, VOTES, place_sums, points, query, r6, table, votes
+from .models import DESTS, ORIGINS, VALID, WEEKS, aggregate_sql, first_round, matrices, place_rounds, valid, weekly
+from .votes import SHARES, place_shares
 
 
 @query("distribution_summary", f"""WITH {VOTES}, {SHARES} SELECT year, count(x) AS n, round(min(x), 6) AS low, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90, round(max(x), 6) AS high, round(sum(x * w) / sum(w), 6) AS mean,
@@ -77,7 +77,7 @@ def turnout_scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 @query("finalists")
 def finalists(spark: SparkSession, d: str) -> DataFrame:
-    v = votes(spark, d).where("round = 2").groupBy("unit", "place", "option").agg(F.sum("votes").alias("votes"))
+    v = place_sums(spark, d, {"votes": F.sum(F.when(F.col("round") == 2, F.col("votes"))), "n": F.count_if(F.col("round") == 2)}, ("option",)).where("n > 0").groupBy("unit", "place", "option").agg(F.sum("votes").alias("votes"))
     return territory.finalists(v, place_rounds(spark, d), "unit", "place", ORIGINS, "w", ["SMALL"]).withColumn("share_first", r6("share_first"))
 
 
@@ -95,20 +95,20 @@ def transfer_validation(spark: SparkSession, d: str) -> DataFrame:
 @query("blocks_and_reserve")
 def blocks_and_reserve(spark: SparkSession, d: str) -> DataFrame:
     """Votes that each first-round group sends to each second-round one, nationally."""
-    g = group_votes(spark, d).where("round = 1").groupBy("unit", F.concat("grp", F.lit("_1")).alias("grp")).agg(F.sum("votes").alias("votes"))
+    g = first_round(spark, d, "grp")
     return transfer.blocks(g, matrices(spark, d).select("unit", "origin", "dest", "p"), "unit").withColumn("votes", F.round("votes", 3))
 
 
 @query("national_matrix")
 def national_matrix(spark: SparkSession, d: str) -> DataFrame:
-    mass = group_votes(spark, d).where("round = 1").groupBy("unit", F.concat("grp", F.lit("_1")).alias("origin")).agg(F.sum("votes").alias("votes"))
+    mass = first_round(spark, d)
     return transfer.national_matrix(matrices(spark, d), mass, "unit").withColumn("p", r6("p"))
 
 
 @query("robustness_variants")
 def robustness_variants(spark: SparkSession, d: str) -> DataFrame:
     """The first side's share under unit matrices, the national matrix, and a return rate of 0.9."""
-    g = group_votes(spark, d).where("round = 1").groupBy("unit", F.concat("grp", F.lit("_1")).alias("grp")).agg(F.sum("votes").alias("votes"))
+    g = first_round(spark, d, "grp")
     m = matrices(spark, d).select("unit", "origin", "dest", "p")
     mass = g.select("unit", F.col("grp").alias("origin"), "votes")
     flat = m.select("unit").distinct().crossJoin(F.broadcast(transfer.national_matrix(m, mass, "unit")))
