@@ -230,22 +230,40 @@ def trim_box(df: DataFrame, columns: Sequence[str], low: float = 0.002, high: fl
     return out.drop(*[f"_{c}" for c in columns])
 
 
-def layers(df: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[Column]) -> DataFrame:
-    """The same measures for several layers, each a set of columns, from one pass; ``layer`` names the set, the other columns are null."""
+def layers(df: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[Column], distinct: Mapping[str, str] = {}) -> DataFrame:
+    """The same measures for several layers, each a set of columns; ``layer`` names the set, the other columns are null.
+
+    ``distinct`` names counts of the distinct values of a column.  They are not
+    given as measures, since rows would then be repeated per layer and count: a
+    value's combinations of the columns meet in one row instead, which says
+    once in which groups of each layer the value is.
+    """
     columns = sorted({c for s in sets.values() for c in s})
-    made = df.groupingSets([list(s) for s in sets.values()], *columns).agg(*measures, *[F.grouping(c).cast("int").alias(f"_{c}") for c in columns])
-    layer = F.lit(None).cast("string")
-    for name, own in sets.items():
-        here = F.lit(True)
+    bit = lambda own: sum(1 << i for i, c in enumerate(columns) if c not in own)
+    mark = sum((F.grouping(c).cast("int") * (1 << i) for i, c in enumerate(columns)), F.lit(0))
+    out = df.groupingSets([list(s) for s in sets.values()], *columns).agg(*measures, mark.alias("_g"))
+    for name, counted_column in distinct.items():
+        own = df.where(F.col(counted_column).isNotNull()).groupBy(F.col(counted_column).alias("_v")).agg(F.collect_set(F.struct(*columns)).alias("_c"))
+        kinds = {c: df.schema[c].dataType for c in columns}
+        cut = lambda s: F.array_distinct(F.transform("_c", lambda x: F.struct(F.lit(bit(s)).alias("_g"), *[(x[c] if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in columns])))  # noqa: B023, E731
+        groups = own.select(F.explode(F.flatten(F.array(*[cut(s) for s in sets.values()]))).alias("x")).select("x.*")
+        n = groups.groupBy("_g", *columns).agg(F.count("*").alias("_n"))
+        n = n.select(*[F.col(c).alias(f"_k_{c}") for c in ["_g", *columns]], "_n")
+        same = F.col("_g") == F.col("_k__g")
         for c in columns:
-            here = here & (F.col(f"_{c}") == (0 if c in own else 1))
-        layer = F.when(here, name).otherwise(layer)
-    return made.withColumn("layer", layer).drop(*[f"_{c}" for c in columns])
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        out = out.join(n, same, "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n", *[f"_k_{c}" for c in ["_g", *columns]])
+    layer = F.lit(None).cast("string")
+    for name, s in sets.items():
+        layer = F.when(F.col("_g") == bit(s), name).otherwise(layer)
+    return out.withColumn("layer", layer).drop("_g")
 
 
-def levels(df: DataFrame, hierarchy: Sequence[str], measures: Sequence[Column]) -> DataFrame:
-    """The same measures at every level of a hierarchy and over all, from one pass (grouping sets of its prefixes)."""
-    return df.rollup(*hierarchy).agg(*measures, F.grouping_id().alias("_g")).withColumn("level", F.lit(len(hierarchy)) - F.bit_count("_g")).drop("_g")
+def levels(df: DataFrame, hierarchy: Sequence[str], measures: Sequence[Column], distinct: Mapping[str, str] = {}) -> DataFrame:
+    """The same measures at every level of a hierarchy and over all (grouping sets of its prefixes); ``distinct`` as in ``layers``."""
+    made = layers(df, {str(n): list(hierarchy[:n]) for n in range(len(hierarchy) + 1)}, measures, distinct)
+    rest = [c for c in made.columns if c not in (*hierarchy, "layer")]
+    return made.select(*hierarchy, *rest, F.col("layer").cast("long").alias("level"))
 
 
 def set_verdict(first: DataFrame, second: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:

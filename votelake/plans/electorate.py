@@ -83,10 +83,11 @@ _PARTS = {"promo": "PROMO", "large": "LARGE", "small": "SMALL", "medium": "MEDIU
 + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _MEASURES.items()) + ", " + ", ".join(f"round(sum(CASE WHEN option = '{o}' THEN votes ELSE 0 END) / sum(votes), 6) AS {k}" for k, o in _PARTS.items())
 + " FROM votes GROUP BY GROUPING SETS (" + ", ".join("(" + ", ".join(s) + ")" for s in LAYERS.values()) + ")")
 def layer_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve measures of eight layers of territory in one pass."""
+    """Twelve measures of eight layers of territory; distinct sections and places by value."""
     parts = [r6(share(F.sum(F.when(F.col("option") == o, F.col("votes")).otherwise(0)), F.sum("votes")), k) for k, o in _PARTS.items()]
-    out = rollup.layers(votes(spark, d), LAYERS, [*[F.expr(v).cast("long").alias(k) for k, v in _MEASURES.items()], *parts])
-    return out.fillna(0, ["year"])
+    distinct = {"sections": "section", "places": "place"}
+    out = rollup.layers(votes(spark, d), LAYERS, [*[F.expr(v).cast("long").alias(k) for k, v in _MEASURES.items() if k not in distinct], *parts], distinct)
+    return out.fillna(0, ["year"]).select("region", "segment", "unit", "year", *_MEASURES, *_PARTS, "layer")
 
 
 # --- parties, rolls and results ----------------------------------------------

@@ -195,8 +195,8 @@ def unit_annex(spark: SparkSession, d: str) -> DataFrame:
 CAST(3 - (CASE WHEN grouping(region) = 1 THEN 1 ELSE 0 END + grouping(unit) + grouping(segment)) AS INTEGER) AS level FROM votes GROUP BY ROLLUP (region, unit, segment)""")
 def level_metrics(spark: SparkSession, d: str) -> DataFrame:
     v = votes(spark, d)
-    out = rollup.levels(v, ["region", "unit", "segment"], [F.sum("votes").alias("votes"), F.countDistinct("section").alias("sections"), r6(share(F.sum(F.when(F.col("option") == "PROMO", F.col("votes"))), F.sum("votes")), "promo_share")])
-    return out.withColumn("level", F.col("level").cast("int"))
+    out = rollup.levels(v, ["region", "unit", "segment"], [F.sum("votes").alias("votes"), r6(share(F.sum(F.when(F.col("option") == "PROMO", F.col("votes"))), F.sum("votes")), "promo_share")], {"sections": "section"})
+    return out.select("region", "unit", "segment", "votes", "sections", "promo_share", F.col("level").cast("int").alias("level"))
 
 
 @query("concentration", f"""WITH {VOTES}, s AS (SELECT unit, party, sum(votes) AS v FROM votes GROUP BY ALL), r AS (SELECT unit, sum(v) OVER (PARTITION BY unit ORDER BY v DESC, party ROWS UNBOUNDED PRECEDING) / sum(v) OVER (PARTITION BY unit) AS c FROM s)
