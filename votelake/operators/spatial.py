@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from hashlib import md5
 from math import ceil, floor, log2
 
 import numpy as np
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import ABREAST, digests
 from ..functions.maths import digest, haversine_km, planar_km, share, uniform_part
 from ..sources.shared import written
 from . import rollup
@@ -210,29 +210,47 @@ def _counts_in_tasks(base: DataFrame, placed: DataFrame, size: int, permutations
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [_permuted(shared.value, permutations, seed, star, *row) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame({"src": batch["src"], "above": [c[0] for c in counts], "below": [c[1] for c in counts]})
+            texts = batch["src"].astype(str)
+            above, below = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for (deg, _), at in batch.groupby([batch["deg"], texts.str.len()]).indices.items():
+                step = max(1, ABREAST // permutations)
+                for low in range(0, len(at), step):
+                    own = at[low : low + step]
+                    rows = batch.iloc[own]
+                    above[own], below[own] = _permuted(shared.value, permutations, seed, star, list(texts.iloc[own]), rows["z"].to_numpy(), rows["statistic"].to_numpy(), deg)
+            yield pd.DataFrame({"src": batch["src"], "above": above, "below": below})
 
     light = base.select("src", F.col("z").cast("double").alias("z"), F.col("statistic").cast("double").alias("statistic"), F.col("deg").cast("int").alias("deg"))
     return light.repartition(tasks, "src").mapInPandas(run, f"src {dict(base.dtypes)['src']}, above long, below long")
 
 
-def _permuted(values: np.ndarray, permutations: int, seed: int, star: bool, src, z: float, statistic: float, deg: int) -> tuple[int, int]:
-    """How many permuted statistics of one node are at least as large, and at least as small, as its own."""
+def _permuted(values: np.ndarray, permutations: int, seed: int, star: bool, src: list[str], z: np.ndarray, statistic: np.ndarray, deg: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many permuted statistics of each node are at least as large, and at least as small, as its own; ids of one length, nodes of one degree."""
     fours = (deg + 3) // 4
-    step = max(1, HELD_DRAWS // (4 * fours))
-    above = below = 0
-    for low in range(0, permutations, step):
-        own = range(low, min(low + step, permutations))
-        raw = b"".join(md5(f"{seed}|{perm}|{src}|{four}".encode()).digest() for perm in own for four in range(fours))
-        uniform = (np.frombuffer(raw, ">u4").reshape(len(own), 4 * fours)[:, :deg] + 0.5) / 2.0**32
+    step = max(1, HELD_DRAWS // (4 * fours * len(src)))
+    names = np.array([list(s.encode()) for s in src], np.uint8)
+    bytes_of = lambda s: np.frombuffer(s.encode(), np.uint8)
+    above, below = np.zeros(len(src), np.int64), np.zeros(len(src), np.int64)
+    cuts = sorted({permutations, *range(0, permutations, step), *(10**e for e in range(1, len(str(permutations))))})
+    for low, high in zip(cuts, cuts[1:]):  # permutations whose numbers have as many digits
+        if low >= permutations:
+            break
+        perms = np.array([list(f"{seed}|{perm}|".encode()) for perm in range(low, high)], np.uint8)
+        head, size = perms.shape[1], perms.shape[1] + names.shape[1]
+        parts = []
+        for four in range(fours):
+            tail = bytes_of(f"|{four}")
+            text = np.empty((len(src), len(perms), size + len(tail)), np.uint8)
+            text[:, :, :head], text[:, :, head:size], text[:, :, size:] = perms[None], names[:, None], tail
+            parts.append(digests(text.reshape(-1, text.shape[2])).reshape(len(src), len(perms), 4))
+        uniform = (np.concatenate(parts, 2)[:, :, :deg] + 0.5) / 2.0**32
         drawn = values[np.floor(uniform * len(values)).astype(np.int64)]
         if star:
-            drawn[:, 0] = z
-        lag = drawn.sum(axis=1) / deg
-        made = lag if star else z * lag
-        above += int((made >= statistic).sum())
-        below += int((made <= statistic).sum())
+            drawn[:, :, 0] = z[:, None]
+        lag = drawn.sum(axis=2) / deg
+        made = lag if star else z[:, None] * lag
+        above += (made >= statistic[:, None]).sum(axis=1)
+        below += (made <= statistic[:, None]).sum(axis=1)
     return above, below
 
 
