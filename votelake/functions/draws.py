@@ -19,7 +19,7 @@ def uniforms(keys: Iterable[str]) -> np.ndarray:
 _SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [np.uint32(int(abs(sin(i + 1)) * 2**32)) for i in range(64)]
 _BEGIN = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-ONE_BLOCK, ABREAST = 55, 1 << 13
+ONE_BLOCK, ABREAST = 55, 1 << 16
 
 
 def digests(texts: np.ndarray) -> np.ndarray:
