@@ -1,4 +1,4 @@
-"""Bounded, reproducible samples of labelled documents to fit a classifier on."""
+"""Labelled documents to fit a classifier on: all, or bounded, reproducible samples."""
 
 from __future__ import annotations
 
@@ -16,6 +16,11 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(id_col.cast("string")) % modulus == remainder
 
 
+def classes_of(classes: DataFrame) -> DataFrame:
+    """``(doc_id, y)``, one row per labelled id: rows with nulls are left out, and an id with several labels keeps the largest."""
+    return classes.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def sample(docs: DataFrame, classes: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, y, weight)`` of at most ``per_class`` documents of each class.
 
@@ -27,7 +32,7 @@ def sample(docs: DataFrame, classes: DataFrame, per_class: int, id_col: str = "d
     enough.  ``weight`` is
     the number of labelled ids of the class that each taken one stands for.
     """
-    labelled = classes.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    labelled = classes_of(classes)
     # hashes are uniform, so this share of them has per_class rows of a class and few more; the rest is cut exactly
     counts = labelled.groupBy("y").agg(F.count("*").alias("n"))
     if counts.count() <= BROADCAST_CLASSES:
