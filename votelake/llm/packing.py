@@ -21,11 +21,14 @@ CAPACITY, END = 4096, 1
 GROUP = 20_000
 #: Emptiest sequences in a row that the search may fail to empty before it ends.
 PATIENCE = 24
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a task remembers, in two halves: when one is full, the other is forgotten.
 MEMORY = 150_000
 
-#: A word that is one run of western letters and one of marks: two words of the tokenizer, both stable under its normalisation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?%$#&*|:;()+=@/-]*)\Z")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?%$#&*|:;()+=@/-"
+#: A run of western letters or of marks: one word of the tokenizer, stable under its normalisation but for case.
+_PLAIN = re.compile(f"(?:[{_LETTERS}]+|[{_MARKS}]+)\\Z")
+#: A mark after a western letter: the tokenizer begins a new word there, so a space before it changes no id.
+_EDGE = re.compile(f"[{_MARKS}](?<=[{_LETTERS}].)")
 _state: dict = {}
 
 
@@ -40,8 +43,9 @@ class WordTokenizer:
     """Ids of texts by a tokenizer whose tokens never cross a space or line feed.
 
     The ids of a text are those of its space-separated words in turn, so each
-    distinct word is encoded once and remembered.  Plain words go straight to
-    the tokenizer's merges; all others take its whole way.
+    distinct word is encoded once and remembered, in small letters and apart
+    from the marks that follow it.  Plain words go straight to the tokenizer's
+    merges; all others take its whole way.
     """
 
     def __init__(self, definition: str):
@@ -50,30 +54,40 @@ class WordTokenizer:
         self.inner = Tokenizer.from_str(definition)
         self.model = self.inner.model
         self.symbols = _byte_symbols()
+        self.added = [t.content.lower() for t in self.inner.get_added_tokens_decoder().values()]
+        self.codes = [i.to_bytes(4, "little") for i in range(max(self.inner.get_vocab().values()) + 1)]
         self.known: dict[str, bytes] = {"": b""}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.known.get(piece)
-        if got is None:
-            low = piece.lower().encode("utf-8").decode("latin-1").translate(self.symbols)
-            got = self.known[piece] = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
-        return got
+        self.before: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.match(word)
-        if plain:
-            return self._piece(plain[1]) + self._piece(plain[2])
-        return np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not _PLAIN.match(word):
+            return np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode("utf-8").decode("latin-1").translate(self.symbols)
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.model.tokenize(low)])
+
+    def _words(self, text: str) -> list[str]:
+        small = text.lower()
+        if not any(t in small for t in self.added):  # those are found in the text as it is written
+            try:
+                text.encode("latin-1")
+                text = small  # letter by letter there, as the tokenizer does; elsewhere a letter's place may matter
+            except UnicodeEncodeError:
+                pass
+            text = _EDGE.sub(r" \g<0>", text)
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        known = self.known
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        for w in {w for ws in words for w in ws}:
-            if w not in known:
-                known[w] = self._word(w)
+        if 2 * len(self.known) > MEMORY:
+            self.known, self.before = {"": b""}, self.known
+        known, before = self.known, self.before
+        words = [self._words(t) for t in texts]
+        for w in set().union(*words).difference(known):
+            got = before.get(w)
+            known[w] = self._word(w) if got is None else got
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
