@@ -11,6 +11,9 @@ from ..sources.shared import scratch  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Ballot lines that one task sorts, joins and sums.
+TASK_LINES = 500_000
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -61,12 +64,17 @@ def place_sums(spark: SparkSession, sf_dir: str, sums: dict[str, Column], by: tu
 
     Lines are summed by the place's number before its names are joined, so that
     a task's groups are few and narrow; what ``sums`` read are option, round and votes.
+    The number of tasks follows that of the lines where this is more than the
+    session's, so that what one holds doesn't grow with the table.
     """
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
-    j = line.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    tasks = -(-line.count() // TASK_LINES)
+    dealt = lambda df, key: df.repartition(tasks, key) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    j = line.join(dealt(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))  # lines follow the side that is dealt
+    j = j.join(dealt(t("part").select("p_partkey", "p_type"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     own = j.select(F.col("o_custkey").alias("place"), F.col("p_type").alias("option"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("round"), F.col("l_quantity").cast("long").alias("votes"))
-    narrow = own.groupBy("place", *by).agg(*[c.alias(n) for n, c in sums.items()])
+    narrow = (dealt(own, "place") if by else own).groupBy("place", *by).agg(*[c.alias(n) for n, c in sums.items()])  # sums by ``by`` are hardly fewer than lines
     named = narrow.join(people(spark, sf_dir), F.col("place") == F.col("c_custkey"))
     keys = [F.col("r_name").alias("region"), F.col("n_name").alias("unit"), F.col("c_mktsegment").alias("segment"), F.col("place"), *[F.col(c) for c in by]]
     return named.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
