@@ -361,9 +361,9 @@ def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame | None, bui
     own = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
     written = materialize(own.mapInArrow(build_sets, "id long, size long, tokens binary"), "shingle-sets")
     sets = written.dropDuplicates(["id"])
-    rows = blocks.join(sets.select("id", "tokens"), "id")
+    rows = blocks.join(sets.select("id", "tokens").hint("merge"), "id")
     if classes is not None:
-        rows = rows.join(classes.select(F.col("node").alias("id"), "component"), "id", "left")
+        rows = rows.join(classes.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     rows = rows.select("block", "part", "id", "q", "tokens", F.coalesce("component", "id").alias("c") if classes is not None else F.col("id").alias("c"))
     links = materialize(rows.groupBy("block", "part").applyInPandas(_tree_join(num, den), "u long, v long"), "links")
     discard(blocks, written)
@@ -372,7 +372,7 @@ def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame | None, bui
 
 def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of pairs ``(a, b)``: a query with its candidates, in several parts if these have more than TREE_SHINGLES shingles."""
-    sized = pairs.join(sizes.select(F.col("id").alias("b"), "n"), "b")
+    sized = pairs.join(sizes.select(F.col("id").alias("b"), "n").hint("merge"), "b")
     parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
     members = sized.join(parts, "a").select("a", F.xxhash64("a", F.lit(7)).alias("block"), F.pmod(F.xxhash64("b"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("id"), F.lit(0).alias("q"))
     queries = members.select("block", "part", F.col("a").alias("id"), F.lit(1).alias("q")).distinct()
@@ -456,7 +456,7 @@ def _near_pairs(num: int, den: int):
 
 def _cluster_blocks(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of clusters ``(node, component)`` in which all rows meet all: in one part, each row once, if that has at most TREE_SHINGLES shingles; else members are dealt over parts, and every part has all as queries."""
-    sized = clusters.select(F.col("component").alias("_c"), F.col("node").alias("id")).join(sizes.select("id", "n"), "id")
+    sized = clusters.select(F.col("component").alias("_c"), F.col("node").alias("id")).join(sizes.select("id", "n").hint("merge"), "id")
     parts = sized.groupBy("_c").agg(F.ceil(F.sum("n") / F.lit(TREE_SHINGLES)).cast("int").alias("parts"))
     own = sized.join(parts, "_c").select(F.xxhash64("_c", F.lit(11)).alias("block"), "id", "parts")
     whole = own.where("parts = 1").select("block", F.lit(0).alias("part"), "id", F.lit(2).alias("q"))
@@ -477,7 +477,7 @@ def _cross_blocks(row: DataFrame, num: int, den: int) -> DataFrame:
     counts = row.groupBy("token").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / F.lit(MEMBERS), F.sum("n") / F.lit(TREE_SHINGLES))).alias("parts"))
     sized = row.join(counts, "token")
     home = sized.groupBy("id").agg(F.max(F.struct("m", "token", "parts")).alias("h")).select("id", F.xxhash64("h.token", F.pmod(F.xxhash64("id"), F.col("h.parts"))).alias("block"))
-    wide = materialize(row.join(home, "id"), "shingle-homes")
+    wide = materialize(row.join(home.hint("merge"), "id"), "shingle-homes")
     need = lambda x, y: F.ceil(F.lit(num) * (x + y) / F.lit(num + den))
     # a query meets a block under a token: the block's bounds there, over its rows, decide whether any row could be similar
     at = wide.groupBy("token", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("p")).alias("left"), F.max("room").alias("room1"), F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -499,7 +499,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component is the smallest id reachable.  A null text counts as empty, and
     an empty set is linked with nothing.  Rows with equal sets (repeated rows
     too) are one component.  A row with a null id is its own component, null.
-    An empty table gives an empty result; other columns are not read.
+    An empty table gives an empty result; other columns are not read.  Joins by
+    id, of which a set has few rows, are merged at any size, so that the driver
+    holds no broadcast tables of them.
     """
     spark = docs.sparkSession
     docs = texts_of(docs, id_col, text_col)
@@ -514,7 +516,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meetings = prefixes.repartition("token").sortWithinPartitions("token", "np", "k1").mapInArrow(_meetings(num, den), "token long, k1 long, np long, e long, q1 long, qn long")
     meetings = materialize(meetings, "shingle-meetings")
     met = meetings.select("token", "k1", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p"), "e", "q1", "qn")
-    met = met.join(same.select("k1", "n", "id"), ["k1", "n"]).join(same.select(F.col("k1").alias("q1"), F.col("n").alias("qn"), F.col("id").alias("pivot")), ["q1", "qn"], "left")
+    met = met.join(same.select("k1", "n", "id").hint("merge"), ["k1", "n"]).join(same.select(F.col("k1").alias("q1"), F.col("n").alias("qn"), F.col("id").alias("pivot")), ["q1", "qn"], "left")
     met = materialize(met.select("token", "id", "n", "p", "e", "pivot"), "shingle-rows")
     discard(meetings)
     heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"), *_marks("token"))
@@ -530,14 +532,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = met.where("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(_star_blocks(_possible(stars, heads, num, den), heads), docs, None, build_sets, num, den)
     first = connected_components(links)
-    row = met.join(heads.select("id", "room"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
+    row = met.join(heads.select("id", "room").hint("merge"), "id").join(first.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("token", "id", "n", "p", "e", "room", F.coalesce("component", "id").alias("c")).distinct()
     split = row.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     row = materialize(row.join(split, "token", "left_semi"), "shingle-open")
     discard(met)
     counts = row.groupBy("token").agg(F.count("*").alias("m"))
     few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
     names = [f"m{w}" for w in range(MARKS)]
-    marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
+    marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names).hint("merge"), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
     near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "u long, v long").distinct(), "shingle-pairs")
     clusters = connected_components(near)
     pairs = _cluster_blocks(clusters, heads)
@@ -545,7 +547,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent.unpersist()
     merged = connected_components(links.unionByName(more))
     discard(row, near, clusters, heads, first, links, more)
-    classes = same.join(merged.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
+    classes = same.join(merged.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = keys.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
