@@ -16,6 +16,7 @@ partition into components, which needs no more than that.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,12 +44,17 @@ TREE_SHINGLES = 1 << 21
 PAIRED = 400
 #: Pairs that are looked at together.
 PAIRS = 1 << 18
-#: 64-bit words of the marks by which a task rules out that two sets share enough of their first shingles.
-MARKS = 8
+#: 64-bit words of a set's sketch, by which pairs are ruled out before their sets are sent anywhere.
+SKETCH = 8
+#: A similar pair is ruled out by chance with a probability below e to the minus this, about 10^-20.
+CERTAIN = 46
 #: Members and queries of a block, about.
 MEMBERS, QUERIES = 256, 1024
 
 
+SKETCHED = [f"m{w}" for w in range(SKETCH)]
+
+
 def _need(n1, n2, num: int, den: int):
     """The least overlap that makes intersection / union >= num / den."""
     return -(-num * (n1 + n2) // (num + den))
@@ -66,6 +72,29 @@ def _ranked(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tu
     return shingles[order], rank[order]
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The sketch of a sorted set: of its smallest shingle in each of 64 * SKETCH bins by hash one bit, 0 in an empty bin."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    back = shingles[::-1]  # of what is assigned to a bin the last stays
+    bits[(back % np.uint64(64 * SKETCH)).astype(np.int64)] = (back >> np.uint64(20)).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _most_differing(num: int, den: int) -> int:
+    """Bits in which the sketches of two similar sets differ, at most.
+
+    A bin can differ only if its smallest shingle in the union is not common,
+    and then does so by half of all hashes: that is 64 * SKETCH draws of
+    probability (1 - num / den) / 2 at most, and Chernoff's bound on their sum.
+    """
+    bins, q = 64 * SKETCH, (1 - num / den) / 2
+    for h in range(math.ceil(bins * q), bins):
+        x = h / bins
+        if x > q and bins * (x * math.log(x / q) + (1 - x) * math.log((1 - x) / (1 - q))) >= CERTAIN if q else True:
+            return h
+    return bins
+
+
 def _place(shingle: int, rank: int) -> int:
     """A number that grows with the global order; places that it can't tell apart are equal."""
     return min(rank, 0xFFFF) << 47 | (shingle >> 17 if rank < 0xFFFF else 0)
@@ -81,22 +110,25 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, int,
 
 
 def _keys(n: int):
-    """Rows ``(doc_id, n, k1, k2, seen)``: one per document, and one per shingle frequent in a block (``doc_id`` null)."""
+    """Rows ``(doc_id, n, k1, k2, seen, m0, ...)``: one per document with its set's sketch, and one per shingle frequent in a block (``doc_id`` null)."""
+    names = ["doc_id", "n", "k1", "k2", "seen"]
 
     def run(batches):
         for batch in batches:
-            ids, out, block, known, held = batch.column(0).to_pylist(), [], [], set(), 0
+            ids, out, sketches, many, block, known, held = batch.column(0).to_pylist(), [], [], [], [], set(), 0
             for i, s, k1, k2 in _sets(batch, n):
                 out.append((ids[i], len(s), k1, k2, None))
+                sketches.append(_sketch(s))
                 if len(s) and (k1, k2) not in known:
                     known.add((k1, k2))
                     block.append(s)
                     held += len(s)
                 if held >= BLOCK_SHINGLES:
-                    out += often(block)
+                    many += often(block)
                     block, known, held = [], set(), 0
-            out += often(block)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 5, names=["doc_id", "n", "k1", "k2", "seen"])
+            many += often(block)
+            words = [pa.array([*w, *[None] * len(many)], pa.int64()) for w in (np.stack(sketches).T.tolist() if sketches else [[]] * SKETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, *many) if out else [[]] * 5)] + words, names=[*names, *SKETCHED])
 
     def often(block):
         if not block:
@@ -339,19 +371,16 @@ def _tree_join(num: int, den: int):
 
 
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose first shingles agree often enough.
+    """The pairs ``(a, b)`` whose sketches differ in no more bits than those of similar sets can.
 
-    Of a set's first ``p = n - ceil(t * n) + 1`` shingles at most ``n - need``
-    are missing in a similar one.  For the set whose first shingles end earlier
-    in the global order, all the others are among the first of the other set.
+    Each bin that differs holds at least one shingle that is not common, so
+    these can't be more than a similar pair has.
     """
-    x, y = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("tokens").alias("ta")), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("tokens").alias("tb"))
+    x, y = (heads.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), *(F.col(m).alias(f"{k}{m}") for m in SKETCHED)).hint("merge") for k in "ab")
     both = pairs.join(x, "a").join(y, "b")
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    least = lambda n: need + 1 - F.ceil(F.lit(num) * F.col(n) / F.lit(den))  # noqa: E731  p - (n - need)
-    a, b = least("na"), least("nb")
-    enough = F.when(F.col("ea") < F.col("eb"), a).when(F.col("eb") < F.col("ea"), b).otherwise(F.least(a, b))
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= enough).select("a", "b")
+    differ = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in SKETCHED), F.lit(0))
+    return both.where(differ <= F.least(F.lit(_most_differing(num, den)), F.col("na") + F.col("nb") - 2 * need)).select("a", "b")
 
 
 def _verified(blocks: DataFrame, docs: DataFrame, classes: DataFrame | None, build_sets, num: int, den: int) -> DataFrame:
@@ -379,32 +408,22 @@ def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return members.drop("a").unionByName(queries)
 
 
-def _marks(name: str) -> list:
-    """Aggregates that set, for each token of a group, one of 64 * MARKS bits."""
-    word, bit = F.pmod(F.shiftright(name, 6), F.lit(MARKS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(name), F.lit(64)).cast("int"))
-    return [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(MARKS)]
-
-
 def _near_pairs(num: int, den: int):
-    """Of rows ``(token, id, n, p, e, c, k, m0, ...)`` sorted by token: edges ``(u, v)`` that connect what pairs of one token connect that may be similar and aren't connected yet.
+    """Of rows ``(token, id, n, p, c, m0, ...)`` sorted by token: edges ``(u, v)`` that connect what pairs of one token connect that may be similar and aren't connected yet.
 
-    ``k`` and the bits ``m`` stand for a set's first shingles that other sets
-    have among theirs.  Of the set whose first shingles end earlier in the
-    global order at most ``n - need`` may be missing in the other one; every bit
-    that only the first has is at least one of them.  All is decided here, and
-    a token gives fewer edges than it has rows, however many pairs there are.
+    The sketches ``m`` are of whole sets, so two long sets that are not alike
+    stay apart however many of their first shingles are in some other set.  All
+    is decided here, and a token gives fewer edges than it has rows, however
+    many pairs there are.
     """
+    most = _most_differing(num, den)
 
     def possible(cols, marks, a, b):
-        n, e, c, k = cols["n"], cols["e"], cols["c"], cols["k"]
+        n, c = cols["n"], cols["c"]
         for test in (lambda: (c[a] != c[b]) & (cols["id"][a] != cols["id"][b]), lambda: np.maximum(n[a], n[b]) * num <= np.minimum(n[a], n[b]) * den, lambda: np.minimum(n[a] - cols["p"][a], n[b] - cols["p"][b]) >= _need(n[a], n[b], num, den)):
             ok = test()
             a, b = a[ok], b[ok]
-        need = _need(n[a], n[b], num, den)
-        first = lambda x: need + 1 - -(-num * n[x] // den)  # noqa: E731  the least number of common first shingles, if those of x end earlier
-        have = lambda x, y: k[x] - np.bitwise_count(marks[x] & ~marks[y]).sum(1)  # noqa: E731  and the most that there can be
-        ab, ba = have(a, b), have(b, a)
-        ok = np.where(e[a] < e[b], ab >= first(a), np.where(e[b] < e[a], ba >= first(b), np.minimum(ab, ba) >= np.minimum(first(a), first(b))))
+        ok = np.bitwise_count(marks[a] ^ marks[b]).sum(1) <= np.minimum(most, n[a] + n[b] - 2 * _need(n[a], n[b], num, den))
         return a[ok], b[ok]
 
     def connected(cols, marks, begin, end):
@@ -435,8 +454,8 @@ def _near_pairs(num: int, den: int):
             edges = np.concatenate(([0], 1 + np.flatnonzero(token[1:] != token[:-1]), [len(token)]))
             done = len(edges) - 1 if batch is None else len(edges) - 2  # the last token may go on
             held = None if batch is None else table.slice(int(edges[-2])).to_batches()[0]
-            cols = {x: table.column(x).to_numpy() for x in ("id", "n", "p", "e", "c", "k")}
-            marks = np.column_stack([table.column(f"m{w}").to_numpy() for w in range(MARKS)]).astype(np.int64).view(np.uint64)
+            cols = {x: table.column(x).to_numpy() for x in ("id", "n", "p", "c")}
+            marks = np.column_stack([table.column(m).to_numpy() for m in SKETCHED]).astype(np.int64).view(np.uint64)
             begin, end = edges[:done], edges[1 : done + 1]
             total = np.concatenate(([0], np.cumsum((end - begin) * (end - begin - 1) // 2)))
             us, vs, g = [], [], 0
@@ -505,13 +524,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = texts_of(docs, id_col, text_col)
-    found = materialize(docs.mapInArrow(_keys(n), "doc_id long, n long, k1 long, k2 long, seen long"), "shingle-keys")
+    found = materialize(docs.mapInArrow(_keys(n), "doc_id long, n long, k1 long, k2 long, seen long" + "".join(f", {m} long" for m in SKETCHED)), "shingle-keys")
     keys = found.where("seen is null")
     often = found.where("seen is not null").groupBy("k1").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "k1").limit(MAX_FREQUENT).toPandas()
     order = np.argsort(often["k1"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((often["k1"].to_numpy(np.int64).view(np.uint64)[order], often["seen"].to_numpy(np.int64)[order]))
 
-    same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "shingle-classes")
+    same = materialize(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in SKETCHED)), "shingle-classes")
     prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(n, num, den, frequent), "token long, k1 long, np long, e long")
     meetings = prefixes.repartition("token").sortWithinPartitions("token", "np", "k1").mapInArrow(_meetings(num, den), "token long, k1 long, np long, e long, q1 long, qn long")
     meetings = materialize(meetings, "shingle-meetings")
@@ -519,10 +538,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = met.join(same.select("k1", "n", "id").hint("merge"), ["k1", "n"]).join(same.select(F.col("k1").alias("q1"), F.col("n").alias("qn"), F.col("id").alias("pivot")), ["q1", "qn"], "left")
     met = materialize(met.select("token", "id", "n", "p", "e", "pivot"), "shingle-rows")
     discard(meetings)
-    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_set("token").alias("tokens"), *_marks("token"))
+    heads = met.groupBy("id").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.size(F.collect_set("token")).alias("k"))
     # of the first shingles, those that no other set has among its own are missing in any set whose first ones end later
-    unshared = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.size("tokens")
-    heads = materialize(heads.withColumn("room", F.col("n") - unshared), "shingle-heads")
+    unshared = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - F.col("k")
+    heads = materialize(heads.select("id", "n", (F.col("n") - unshared).alias("room")).join(same.select("id", *SKETCHED).hint("merge"), "id"), "shingle-heads")
 
     def build_sets(batches):
         for batch in batches:
@@ -538,8 +557,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(met)
     counts = row.groupBy("token").agg(F.count("*").alias("m"))
     few, many = row.join(counts.where(F.col("m") <= PAIRED), "token", "left_semi"), row.join(counts.where(F.col("m") > PAIRED), "token", "left_semi")
-    names = [f"m{w}" for w in range(MARKS)]
-    marked = few.select("token", "id", "n", "p", "e", "c").join(heads.select("id", F.size("tokens").cast("long").alias("k"), *names).hint("merge"), "id").select("token", "id", "n", "p", "e", "c", "k", *names)
+    marked = few.select("token", "id", "n", "p", "c").join(heads.select("id", *SKETCHED).hint("merge"), "id").select("token", "id", "n", "p", "c", *SKETCHED)
     near = materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(_near_pairs(num, den), "u long, v long").distinct(), "shingle-pairs")
     clusters = connected_components(near)
     pairs = _cluster_blocks(clusters, heads)
