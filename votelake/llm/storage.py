@@ -14,6 +14,7 @@ BROADCAST_IDS = 1 << 20
 #: Bytes of a batch of rows that Spark sends to a Python worker, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
@@ -61,12 +62,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends here.
 
     A lost executor costs nothing that was written, unlike with a local
-    checkpoint, whose blocks have one copy.
+    checkpoint, whose blocks have one copy.  The shuffle files of the write go
+    with its end; else they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_CONF, None)
+    spark.conf.set(_CLEAN_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_CONF, before) if before is not None else spark.conf.unset(_CLEAN_CONF)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
     return out
