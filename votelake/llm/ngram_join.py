@@ -9,6 +9,10 @@ that several candidates begin with are matched once, and a subtree is left as
 soon as no size below it fits, or what remains below it cannot supply the
 missing overlap.
 
+Before a set is sent to a block, the 512-bit sketches of two whole sets decide
+whether these can be similar, so that sets that only share some shingles don't
+come into one block.
+
 Equal sets collapse to one representative before anything is paired, and pairs
 whose ends are already connected are not compared again: the result is the
 partition into components, which needs no more than that.
